@@ -14,10 +14,13 @@ from murmurate.sources.csv import read_csv, write_csv
 from murmurate.sources.store import PredictionStore
 
 
-def prediction_records(scored: DataFrame, run_id: str | None, as_of: Clock) -> DataFrame:
+def prediction_records(
+    scored: DataFrame, run_id: str | None, as_of: Clock, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """Scored posts as prediction records: defaults, parsed date, run and time.
 
-    Failed rows make no record. The time is one per batch.
+    Failed rows make no record. The time is one per batch; ``keep`` names
+    columns to carry along, such as the row order.
     """
     df = with_defaults(scored.where(F.col("hf_label") != "error"))
     created = df.schema["created_at"].dataType.typeName()
@@ -30,7 +33,7 @@ def prediction_records(scored: DataFrame, run_id: str | None, as_of: Clock) -> D
             "model_run_id": F.lit(run_id).cast("string"),
             "predicted_at": clock(as_of),
         }
-    ).select([f.name for f in PREDICTION.fields])
+    ).select([f.name for f in PREDICTION.fields] + list(keep))
 
 
 def score_texts_job(spark: SparkSession, source: str, target: str, scorer: Scorer) -> str:
@@ -64,9 +67,8 @@ def score_posts_job(
     scored = spark.read.parquet(scored_path)
     write_csv(scored.drop("_row"), f"{target}/predictions_batch_tweet_{stamp}.csv")
 
-    records = prediction_records(scored.withColumnRenamed("_row", "_order"), run_id, as_of)
-    accepted, rejected = split_accepted(records)
-    store.upsert(accepted)
+    accepted, rejected = split_accepted(prediction_records(scored, run_id, as_of, ("_row",)))
+    store.upsert(accepted, F.col("_row"))
     counts = seen.get
     refused = rejected.count()
     return {

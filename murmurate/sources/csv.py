@@ -20,7 +20,14 @@ from murmurate.operators.rows import normalize_na
 ROWS_PER_FILE = 1_000_000
 
 _READ = {"header": "true", "multiLine": "true", "escape": '"', "encoding": "UTF-8"}
-_WRITE = {"header": "true", "escape": '"', "emptyValue": "", "nullValue": ""}
+_WRITE = {
+    "header": "true",
+    "escape": '"',
+    "emptyValue": "",
+    "nullValue": "",
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
 
 
 def read_csv(
