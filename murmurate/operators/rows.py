@@ -170,26 +170,29 @@ def with_defaults(df: DataFrame, record=SCORING_REQUEST) -> DataFrame:
 def typed_requests(df: DataFrame, column: str = "body") -> DataFrame:
     """Parse JSON request bodies into scoring requests.
 
-    ``accepted`` is false where the body is not JSON, a field has the wrong
-    type or a required field is missing; the row stays, with its body.
+    Counters may come as numbers or as text. ``accepted`` is false where the
+    body is not JSON, a counter is no number or a required field is missing; the
+    row stays, with its body.
     """
-    record = T.StructType([*SCORING_REQUEST.fields, T.StructField("_corrupt", T.StringType())])
+    names = [f.name for f in SCORING_REQUEST.fields]
+    texts = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_corrupt"]])
     parsed = F.from_json(
-        F.col(column), record, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
+        F.col(column), texts, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     )
-    out = df.withColumn("_r", parsed).select(
-        column,
-        *[
-            (F.coalesce(F.col(f"_r.{f.name}"), F.lit(0)) if f.name in COUNT_FIELDS
-             else F.col(f"_r.{f.name}")).alias(f.name)
-            for f in SCORING_REQUEST.fields
-        ],
-        F.col("_r._corrupt").alias("_corrupt"),
+    fields, ok = [], F.col("_r._corrupt").isNull()
+    for n in names:
+        raw = F.col(f"_r.{n}")
+        if n in COUNT_FIELDS:
+            number = raw.try_cast("bigint")
+            fields.append(F.coalesce(number, F.lit(0)).alias(n))
+            ok = ok & (raw.isNull() | number.isNotNull())
+        else:
+            fields.append(raw.alias(n))
+    ok = ok & F.col("_r.id_str").isNotNull() & F.col("_r.clean_text").isNotNull()
+    kept = [c for c in df.columns if c not in names]
+    return df.withColumn("_r", parsed).select(
+        *kept, *fields, F.coalesce(ok, F.lit(False)).alias("accepted")
     )
-    return out.withColumn(
-        "accepted",
-        F.col("_corrupt").isNull() & F.col("id_str").isNotNull() & F.col("clean_text").isNotNull(),
-    ).drop("_corrupt")
 
 
 def check_constraints(df: DataFrame) -> DataFrame:
