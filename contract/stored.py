@@ -53,7 +53,7 @@ def csv_append_sink(v):
     first = v.posts.select(columns)
     again = v.posts.select("id_str", "username", F.col("lang").alias("full_text"))
     # A restarted writer puts its header in once more.
-    header = first.limit(1).select([F.lit(c).alias(c) for c in columns])
+    header = v.spark.range(1).select([F.lit(c).alias(c) for c in columns])
     C.append_csv(first.unionByName(header), path)
     C.append_csv(again, path)
     return C.read_appended(v.spark, path)
@@ -272,7 +272,7 @@ def upsert_predictions(v):
     df = _rescored(v).drop("user_id", "conversation_id_str")
     first = df.where(F.col("predicted_at") < half)
     second = df.where(F.col("predicted_at") >= half)
-    loaded = upsert(first.limit(0), first, order)
+    loaded = upsert(first.where(F.lit(False)), first, order)
     return upsert(loaded, second, order).select(_UPSERT_COLUMNS)
 
 

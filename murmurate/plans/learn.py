@@ -14,6 +14,7 @@ from murmurate.operators.learn import text_classifier
 from murmurate.operators.rows import as_label, drop_missing, require_columns
 from murmurate.operators.split import only, stratified_split
 from murmurate.schemas import CLASSES, MIN_F1_MACRO
+from murmurate.session import written
 from murmurate.sources.tables import write_reports
 
 
@@ -31,6 +32,12 @@ def training_rows(df: DataFrame) -> DataFrame:
     return drop_missing(df, ["clean_text", "label"]).withColumn("label", as_label(F.col("label")))
 
 
+def split_rows(data: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Train and validation rows; the split is made once and kept as files."""
+    split = written(stratified_split(training_rows(data), key), "split", "split")
+    return only(split, "train"), only(split, "validation")
+
+
 def evaluate(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Counts per (true, predicted) class."""
     return pair_counts(model.transform(df).withColumn("prediction", F.col("prediction").cast("int")))
@@ -61,10 +68,10 @@ def train(
     data = weeks[0]
     for week in weeks[1:]:
         data = data.unionByName(week, allowMissingColumns=True)
-    split = stratified_split(training_rows(data), key)
+    train_rows, validation_rows = split_rows(data, key)
     settings = {"max_iter": 30, "reg": 0.01, "features": 1 << 16, **(params or {})}
-    model = text_classifier(**settings).fit(only(split, "train"))
-    metrics = basic_metrics(evaluate(model, only(split, "validation"))).first().asDict()
+    model = text_classifier(**settings).fit(train_rows)
+    metrics = basic_metrics(evaluate(model, validation_rows)).first().asDict()
 
     incremental = len(weeks) > 1
     accepted = (metrics["f1_macro"] or 0.0) >= threshold

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -47,3 +47,14 @@ def shared_folder(spark: SparkSession) -> str:
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
     return f"{shared_folder(spark)}/murmurate/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def written(df: DataFrame, name: str, *partitions: str) -> DataFrame:
+    """Write a frame that is read more than once below the shared folder and read it back.
+
+    What follows starts from the files, so it neither repeats the work nor loses
+    it with an executor.
+    """
+    path = work_path(df.sparkSession, name)
+    df.write.partitionBy(*partitions).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
