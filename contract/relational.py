@@ -9,6 +9,7 @@ from murmurate.functions import scalar as S
 from murmurate.operators import aggregates as A
 from murmurate.operators import rows as O
 from murmurate.operators.graph import reply_edges
+from murmurate.operators.joins import left_join_many
 from murmurate.operators.quality import check_dataset
 from murmurate.operators.runs import latest_runs
 from murmurate.plans.run_reports import active_runs
@@ -267,7 +268,9 @@ def join_left_on_predicate(v):
     scores = v.metrics.where(F.col("key") == "eval_f1_macro").select(
         "run_uuid", F.col("value").alias("f1")
     )
-    return active_runs(v.runs_tables, EXPERIMENT).select("run_uuid").join(scores, "run_uuid", "left")
+    return left_join_many(
+        active_runs(v.runs_tables, EXPERIMENT).select("run_uuid"), scores, "run_uuid"
+    )
 
 
 @query("join_fanout", "runs experiments metrics params tags", f"""

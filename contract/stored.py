@@ -217,6 +217,59 @@ def fn_json_path(v):
     )
 
 
+def _write_thread(v) -> str:
+    """Thread responses: one response per turn, its text an answer to the other role."""
+    other = F.when(F.col("role") == "user", "assistant").otherwise("user")
+    quote = F.when(F.col("turn") % 2 == 0, '"').otherwise("")
+    tweet = F.struct(
+        F.concat_ws("-", "conv_id", "turn").alias("id_str"),
+        F.concat(quote, F.lit("@"), other, F.lit(" "), F.col("text")).alias("full_text"),
+        other.alias("in_reply_to_screen_name"),
+        F.struct(
+            F.when(F.col("turn") > 0, F.array(F.struct(other.alias("screen_name")))).alias(
+                "user_mentions"
+            )
+        ).alias("entities"),
+    )
+    user = F.struct(
+        F.struct(
+            F.struct(F.struct(F.col("role").alias("screen_name")).alias("core")).alias("result")
+        ).alias("user_results")
+    )
+    result = F.struct(tweet.alias("legacy"), user.alias("core")).alias("result")
+    item = F.struct(F.struct(result).alias("tweet_results")).alias("itemContent")
+    entry = F.struct(
+        F.lit("conversationthread").alias("entryId"),
+        F.struct(F.array(F.struct(F.struct(item).alias("item"))).alias("items")).alias("content"),
+    )
+    thread = F.struct(F.array(F.struct(F.array(entry).alias("entries"))).alias("instructions"))
+    path = work_path(v.spark, "thread")
+    v.conversations.select(
+        F.to_json(
+            F.struct(F.struct(thread.alias("threaded_conversation_with_injections_v2")).alias("data"))
+        ).alias("value")
+    ).write.text(path)
+    return path
+
+
+_OTHER = "CASE role WHEN 'user' THEN 'assistant' ELSE 'user' END"
+
+
+@query("timeline_detail", "conversations", rf"""
+    WITH t AS (SELECT *, regexp_replace(concat('@', {_OTHER}, ' ', text),
+        '[\t\n\x0B\f\r\x1c-\x1f\x85\p{{Z}}]{{2,}}', ' ', 'g') AS squeezed FROM conversations)
+    SELECT concat(conv_id, '-', turn) AS id_str, role AS username,
+      {_OTHER} AS in_reply_to_screen_name,
+      CASE WHEN turn % 2 = 0
+        THEN concat('"', substr(squeezed, length(concat('@', {_OTHER}, ' ')) + 1))
+        ELSE squeezed END AS full_text
+    FROM t WHERE turn > 0""")
+def timeline_detail(v):
+    return TL.flatten(TL.read_timeline(v.spark, _write_thread(v)), "detail").select(
+        "id_str", "username", "in_reply_to_screen_name", "full_text"
+    )
+
+
 @query("table_scan", "predictions runs", """
     SELECT 'predictions' AS name, count(*) AS rows FROM predictions
     UNION ALL SELECT 'runs' AS name, count(*) AS rows FROM runs""")

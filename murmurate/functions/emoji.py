@@ -36,6 +36,14 @@ A9 AE 203C 2049 2122 2139 2194-2199 21A9-21AA 231A-231B 2328 23CF 23E9-23F3 23F8
 1FAF0-1FAF8
 """
 
+# Code points that take a skin tone (property Emoji_Modifier_Base).
+TONE_RANGES = """
+261D 26F9 270A-270D 1F385 1F3C2-1F3C4 1F3C7 1F3CA-1F3CC 1F442-1F443 1F446-1F450 1F466-1F478 1F47C
+1F481-1F483 1F485-1F487 1F48F 1F491 1F4AA 1F574-1F575 1F57A 1F590 1F595-1F596 1F645-1F647
+1F64B-1F64F 1F6A3 1F6B4-1F6B6 1F6C0 1F6CC 1F90C 1F90F 1F918-1F91F 1F926 1F930-1F939 1F93C-1F93E
+1F977 1F9B5-1F9B6 1F9B8-1F9B9 1F9BB 1F9CD-1F9CF 1F9D1-1F9DD 1FAC3-1FAC5 1FAF0-1FAF8
+"""
+
 SKIN_TONES = {
     0x1F3FB: "light_skin_tone",
     0x1F3FC: "medium-light_skin_tone",
@@ -111,16 +119,26 @@ JOINED = {
     "😮‍💨": "face_exhaling",
     "😵‍💫": "face_with_spiral_eyes",
     "👁‍🗨": "eye_in_speech_bubble",
+    "🏴\U000E0067\U000E0062\U000E0065\U000E006E\U000E0067\U000E007F": "England",
+    "🏴\U000E0067\U000E0062\U000E0073\U000E0063\U000E0074\U000E007F": "Scotland",
+    "🏴\U000E0067\U000E0062\U000E0077\U000E006C\U000E0073\U000E007F": "Wales",
 }
 
-# Country names that the rule below cannot give are left to the caller's table.
 _FLAG_A = 0x1F1E6
 _JOINER = "‍"
 _VARIATION = "️"
 _KEYCAP = "⃣"
 
-# Whatever can start an emoji; rows without one never leave the JVM.
-CANDIDATE = "[©®‼-㊙\\x{1F000}-\\x{1FAFF}⃣]"
+# Where emoji can start: few ranges, so that a text is passed over quickly. Rows
+# without any of these never leave the JVM.
+_START = "©®‼-㊙\U0001F000-\U0001FAFF"
+CANDIDATE = f"[{_START}\uFE0E\uFE0F]"
+
+
+def _code_points(ranges: str) -> Iterator[int]:
+    for part in ranges.split():
+        first, _, last = part.partition("-")
+        yield from range(int(first, 16), int(last or first, 16) + 1)
 
 
 def _by_rule(ch: str) -> str | None:
@@ -142,13 +160,11 @@ def _by_rule(ch: str) -> str | None:
 def emoji_table() -> dict[str, str]:
     """Single emoji to short name, made by rule."""
     table = {}
-    for part in EMOJI_RANGES.split():
-        first, _, last = part.partition("-")
-        for code in range(int(first, 16), int(last or first, 16) + 1):
-            ch = chr(code)
-            name = SKIN_TONES.get(code) or EXCEPTIONS.get(ch) or _by_rule(ch)
-            if name:
-                table[ch] = name
+    for code in _code_points(EMOJI_RANGES):
+        ch = chr(code)
+        name = SKIN_TONES.get(code) or EXCEPTIONS.get(ch) or _by_rule(ch)
+        if name:
+            table[ch] = name
     table.update(JOINED)
     return table
 
@@ -163,61 +179,70 @@ def country_names(spark) -> dict[str, str]:
     return flags
 
 
+def _joined_name(parts: list[str], shade: str, table: dict[str, str]) -> str | None:
+    """Short name of a joined sequence: profession, hair colour or gender."""
+    if len(parts) != 2:
+        return None
+    who = {"👨": "man", "👩": "woman", "🧑": ""}.get(parts[0])
+    tone = f"_{shade}" if shade else ""
+    if who is not None and parts[1] in PROFESSIONS:
+        return "_".join(x for x in (who, PROFESSIONS[parts[1]]) if x) + tone
+    if who is not None and parts[1] in HAIR:
+        return f"{who or 'person'}{tone}_{HAIR[parts[1]]}"
+    if parts[1] in "♀♂" and parts[0] in table:
+        sex = "woman" if parts[1] == "♀" else "man"
+        base = table[parts[0]]
+        return (sex + base[6:] if base.startswith("person_") else f"{sex}_{base}") + tone
+    return None
+
+
 def _namer(names: dict[str, str]):
-    """A function text → text, with the longest sequence of the table winning."""
-    plain = {k.replace(_VARIATION, ""): v for k, v in names.items()}
+    """A function text → text; the longest known sequence is named as one."""
+    table = {k.replace(_VARIATION, ""): v for k, v in names.items()}
     tones = {chr(code): name for code, name in SKIN_TONES.items()}
-    tone = "[" + "".join(tones) + "]"
-    sequences = sorted((k for k in plain if len(k) > 1), key=len, reverse=True)
-    singles = "".join(re.escape(k) for k in plain if len(k) == 1)
-    vs = f"{_VARIATION}?"
-    longer = "|".join(f"{vs}".join(map(re.escape, k)) + vs for k in sequences)
-    person = "[👨👩🧑]"
-    jobs = "".join(PROFESSIONS) + "".join(HAIR)
-    pattern = re.compile(
-        f"(?P<job>{person}{tone}?{_JOINER}[{jobs}]{vs})"
-        + f"|(?P<gender>[{singles}]{vs}{tone}?{_JOINER}[♀♂]{vs})"
-        + (f"|(?P<long>{longer})" if longer else "")
-        + f"|(?P<key>[0-9#*]{vs}{_KEYCAP})"
-        + f"|(?P<one>[{singles}]{vs}(?P<tone>{tone})?)"
-    )
-    people = {"👨": "man", "👩": "woman", "🧑": ""}
-
-    def name(m: re.Match) -> str:
+    takes_tone = {chr(code) for code in _code_points(TONE_RANGES)}
+    after = f"[{_VARIATION}{''.join(tones)}\U000E0020-\U000E007F]*"
+    sequence = re.compile(f"[{_START}]{after}(?:{_JOINER}[{_START}]{after})*")
+    flags = (k for k in table if _FLAG_A <= ord(k[0]) < _FLAG_A + 26)
+    flags_first = sorted(flags, key=len, reverse=True)
+    flag = re.compile("|".join(map(re.escape, flags_first)) or "(?!)")
+    flag_starts = {k[0] for k in flags_first}
+    keycap = re.compile(f"([0-9#*]){_VARIATION}?{_KEYCAP}")
+
+    def simple(part: str) -> str:
+        """One emoji with whatever follows it; a tone it does not take is named apart."""
+        base, shades = part[0], part[1:]
+        if base not in table:
+            return part
+        name = table[base]
+        if shades and shades[0] in tones and base in takes_tone:
+            name, shades = f"{name}_{tones[shades[0]]}", shades[1:]
+        return f":{name}:" + "".join(f":{tones[x]}:" if x in tones else x for x in shades)
+
+    def named(m: re.Match) -> str:
         found = m.group().replace(_VARIATION, "")
-        shade = next((tones[x] for x in found[1:] if x in tones), None)
-        if m.group("job"):
-            who, what = people[found[0]], found[-1]
-            if what in PROFESSIONS:
-                base = f"{who}_{PROFESSIONS[what]}" if who else PROFESSIONS[what]
-                base = base + (f"_{shade}" if shade else "")
-            else:
-                parts = [x for x in (shade, HAIR[what]) if x]
-                base = f"{who or 'person'}_{'_'.join(parts)}"
-        elif m.group("gender"):
-            sex = "woman" if "♀" in found else "man"
-            base = plain[found[0]]
-            if base.startswith("person_"):
-                base = sex + base[len("person"):]
-            else:
-                base = f"{sex}_{base}"
-            base = base + (f"_{shade}" if shade else "")
-        elif m.group("key"):
-            base = f"keycap_{found[0]}"
-        elif found in plain:
-            base = plain[found]
-        else:
-            base = plain[found[0]] + (f"_{shade}" if shade else "")
-        return f":{base}:"
-
-    return lambda text: pattern.sub(name, text)
+        if found in table:
+            return f":{table[found]}:"
+        parts = found.split(_JOINER)
+        shade = next((tones[x] for x in parts[0][1:] if x in tones), "")
+        joined = _joined_name([p[0] for p in parts], shade, table)
+        return f":{joined}:" if joined else _JOINER.join(map(simple, parts))
+
+    def convert(text: str) -> str:
+        if _KEYCAP in text:
+            text = keycap.sub(r":keycap_\1:", text)
+        if not flag_starts.isdisjoint(text):
+            text = flag.sub(lambda m: f":{table[m.group()]}:", text)
+        return sequence.sub(named, text).replace(_VARIATION, "").replace("\uFE0E", "")
+
+    return convert
 
 
 def demojize(c: Column, names: dict[str, str] | None = None) -> Column:
-    """Replace every emoji by ``:name:``.
+    """Replace every emoji by ``:name:``; loose variation selectors go.
 
     ``names`` adds to or replaces entries of :func:`emoji_table`. Texts go to
-    Python only when they hold a candidate; the others cross as NULL.
+    Python only when they hold a candidate; the flags_first cross as NULL.
     """
     table = {**emoji_table(), **(names or {})}
 

@@ -144,15 +144,17 @@ def duration_trend(t: Tables, experiment: str, as_of: Clock) -> DataFrame:
 
 
 def latest_status(t: Tables, experiment: str) -> DataFrame:
-    """1 or 0 for the newest run; with repeated keys, the smallest values are shown."""
+    """1 or 0 for the newest run; of repeated keys the smallest value counts."""
     runs = latest_runs(t["runs"], t["experiments"], experiment, 1)
-    params = _of(t["params"], runs).where(F.col("key") == "model_accepted")
-    metrics = _of(t["metrics"], runs).where(F.col("key") == "eval_f1_macro")
+
+    def smallest(rows: DataFrame, key: str, name: str) -> DataFrame:
+        return _of(rows, runs).where(F.col("key") == key).groupBy("run_uuid").agg(
+            F.min("value").alias(name)
+        )
+
     return (
-        runs.join(params.select("run_uuid", F.col("value").alias("accepted")), "run_uuid", "left")
-        .join(metrics.select("run_uuid", F.col("value").alias("f1_score")), "run_uuid", "left")
-        .orderBy(F.asc_nulls_last("accepted"), F.asc_nulls_last("f1_score"))
-        .limit(1)
+        runs.join(smallest(t["params"], "model_accepted", "accepted"), "run_uuid", "left")
+        .join(smallest(t["metrics"], "eval_f1_macro", "f1_score"), "run_uuid", "left")
         .select(
             F.col("start_time").alias("time"),
             accepted_flag(F.col("accepted")).alias("is_accepted"),

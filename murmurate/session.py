@@ -13,7 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Texts go to Python in small batches, as one post may be long.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
 

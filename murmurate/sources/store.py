@@ -82,23 +82,28 @@ class PredictionStore:
         affected = existing.where(F.col(PARTITION).isin(days))
         merged = with_day(merge_posts(affected, reduced).drop(PARTITION))
         write_by_day(merged, self._staged)
-        self.spark.createDataFrame([(d,) for d in days], "day date").coalesce(1).write.mode(
+        filled = {
+            p.rsplit("=", 1)[1] for p in files.glob(self.spark, f"{self._staged}/{PARTITION}=*")
+        }
+        plan = [(str(d), str(d) in filled) for d in days]
+        self.spark.createDataFrame(plan, "day string, filled boolean").coalesce(1).write.mode(
             "overwrite"
         ).parquet(self._days)
         self.recover()
         files.delete(self.spark, batch)
 
     def recover(self) -> None:
-        """Put staged days in place; without complete staging, drop it."""
+        """Put staged days in place; without complete staging, drop it.
+
+        Every step can be repeated: a filled day that is no longer staged has
+        been moved already, an emptied day may be gone.
+        """
         if files.exists(self.spark, f"{self._days}/_SUCCESS"):
-            days = {r.day for r in self.spark.read.parquet(self._days).collect()}
-            if files.glob(self.spark, f"{self._staged}/{PARTITION}=*"):
-                staged = self.spark.read.parquet(self._staged)
-                staged.sortWithinPartitions(PARTITION, "pred_label", "username").write.partitionBy(
-                    PARTITION
-                ).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(self.path)
-            for day in days:
-                if not files.exists(self.spark, f"{self._staged}/{PARTITION}={day}"):
-                    files.delete(self.spark, f"{self.path}/{PARTITION}={day}")
+            for day, filled in self.spark.read.parquet(self._days).collect():
+                staged, kept = (f"{p}/{PARTITION}={day}" for p in (self._staged, self.path))
+                if not filled:
+                    files.delete(self.spark, kept)
+                elif files.exists(self.spark, staged):
+                    files.rename(self.spark, staged, kept)
         files.delete(self.spark, self._days)
         files.delete(self.spark, self._staged)

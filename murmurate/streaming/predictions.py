@@ -85,9 +85,22 @@ def read_updates(spark: SparkSession, path: str, keys: list[str], value: str = "
     )
 
 
-def first_of_each(posts: DataFrame, at: str, delay: str, key: str = "id_str") -> DataFrame:
-    """One row per post; a repeat is recognised within ``delay``."""
-    return posts.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
+def first_of_each(
+    posts: DataFrame, at: str, delay: str, key: str = "id_str", salts: int = 16
+) -> DataFrame:
+    """One row per post; a repeat is recognised within ``delay``.
+
+    Repeats are dropped per post and salt first, so that the repeats of a hot
+    post are spread over tasks and at most ``salts`` of them meet in one.
+    """
+    salted = posts.withWatermark(at, delay).withColumn(
+        "_salt", F.pmod(F.xxhash64(key, at), F.lit(salts))
+    )
+    return (
+        salted.dropDuplicatesWithinWatermark([key, "_salt"])
+        .dropDuplicatesWithinWatermark([key])
+        .drop("_salt")
+    )
 
 
 def append_parquet(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
