@@ -21,21 +21,18 @@ def quotas(counts: DataFrame, label: str, fraction: float) -> DataFrame:
     ``counts`` has one row per class, with its rows in ``n``.
     """
     everything = Window.partitionBy()
-    exact = F.col("wanted") * F.col("n") / F.col("total")
-    ranked = Window.partitionBy().orderBy(F.col("exact") - F.floor("exact"), F.desc(label))
+    remainder = F.col("exact") - F.floor("exact")
     return (
         counts.withColumn("total", F.sum("n").over(everything).cast("double"))
         .withColumn("wanted", F.ceil(F.round(F.col("total") * fraction, 9)).cast("double"))
-        .withColumn("exact", exact)
+        .withColumn("exact", F.col("wanted") * F.col("n") / F.col("total"))
         .withColumn("short", F.col("wanted") - F.sum(F.floor("exact")).over(everything))
-        .withColumn("from_last", F.row_number().over(ranked))
-        .withColumn("classes", F.count(F.lit(1)).over(everything))
+        .withColumn("place", F.row_number().over(Window.orderBy(F.desc(remainder), label)))
         .select(
             label,
-            (
-                F.floor("exact")
-                + F.when(F.col("classes") - F.col("from_last") < F.col("short"), 1).otherwise(0)
-            ).cast("long").alias("quota"),
+            (F.floor("exact") + F.when(F.col("place") <= F.col("short"), 1).otherwise(0))
+            .cast("long")
+            .alias("quota"),
         )
     )
 
