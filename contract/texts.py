@@ -6,7 +6,6 @@ from contract import sqltext as Q
 from contract.views import query
 from murmurate.functions import text as X
 from murmurate.functions.emoji import country_names, demojize
-from murmurate.operators.rows import keep_languages
 from murmurate.plans.prepare import clean_posts
 
 
@@ -52,5 +51,5 @@ def clean_text(v):
 
 @query("clean_pages", "pages", f"SELECT page_id, {Q.cleaned('html')} AS clean_text FROM pages")
 def clean_pages(v):
-    pages = keep_languages(v.pages)
-    return pages.select("page_id", X.clean(F.col("html"), country_names(v.spark)).alias("clean_text"))
+    pages = X.with_clean_text(v.pages, "html", "clean_text", country_names(v.spark))
+    return pages.select("page_id", "clean_text")

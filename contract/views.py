@@ -6,7 +6,15 @@ them as common table expressions. Every row of a table is used.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+from murmurate.sources.tables import RUN_TABLES
+
+# Schemas of the table files seen so far, so that a footer is read once.
+_SCHEMAS: dict[str, StructType] = {}
 
 AS_OF = "2024-01-31 00:00:00"
 RUNS_AS_OF = "2001-08-02 00:00:00"
@@ -204,16 +212,23 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
-
-    def base(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        self._frames: dict[str, DataFrame] = {}
 
     def view(self, name: str) -> DataFrame:
-        if name in BASE:
-            return self.base(name)
+        if name not in self._frames:
+            self._frames[name] = self._base(name) if name in BASE else self._derived(name)
+        return self._frames[name]
+
+    def _base(self, name: str) -> DataFrame:
+        path = f"{self.folder}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
+
+    def _derived(self, name: str) -> DataFrame:
         for needed in _closure([name]):
             if needed in BASE:
-                self.base(needed).createOrReplaceTempView(needed)
+                self.view(needed).createOrReplaceTempView(needed)
         return self.spark.sql(f"{_with([name], 0)}SELECT * FROM {name}")
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -222,8 +237,25 @@ class Tables:
         raise AttributeError(name)
 
     @property
-    def runs_tables(self) -> dict[str, DataFrame]:
-        return {n: self.view(n) for n in ("experiments", "runs", "metrics", "params", "tags")}
+    def runs_tables(self) -> Mapping[str, DataFrame]:
+        """The five run tables by name, derived when asked for."""
+        return _RunTables(self)
+
+
+class _RunTables(Mapping):
+    def __init__(self, tables: Tables):
+        self._tables = tables
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in RUN_TABLES:
+            raise KeyError(name)
+        return self._tables.view(name)
+
+    def __iter__(self):
+        return iter(RUN_TABLES)
+
+    def __len__(self) -> int:
+        return len(RUN_TABLES)
 
 
 REGISTRY: dict[str, tuple] = {}

@@ -7,7 +7,7 @@ Java's ``\\w`` and ``\\s`` are ASCII only, so Unicode classes are spelled out.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmurate.functions.emoji import demojize
@@ -52,7 +52,34 @@ def squeeze_harvested(c: Column) -> Column:
     return F.regexp_replace(c, f"{SPACE}{{2,}}", " ")
 
 
+def masked(c: Column) -> Column:
+    """The steps before emoji are named."""
+    return mask_mentions(mask_urls(lower(text_or_empty(c))))
+
+
+def finished(c: Column) -> Column:
+    """The steps after. Line breaks need none of their own: spaces take them in."""
+    return squeeze_spaces(drop_entities(c))
+
+
 def clean(c: Column, emoji_names: dict[str, str] | None = None) -> Column:
-    """The whole normalisation of one post."""
-    masked = mask_mentions(mask_urls(lower(text_or_empty(c))))
-    return squeeze_spaces(join_lines(drop_entities(demojize(masked, emoji_names))))
+    """The whole normalisation of one post as one expression."""
+    return finished(demojize(masked(c), emoji_names))
+
+
+def with_clean_text(
+    df: DataFrame,
+    source: str = "full_text",
+    target: str = "clean_text",
+    emoji_names: dict[str, str] | None = None,
+) -> DataFrame:
+    """Add the normalised text.
+
+    The first steps make a column of their own, as the emoji step looks at
+    their result three times.
+    """
+    return (
+        df.withColumn("_masked", masked(F.col(source)))
+        .withColumn(target, finished(demojize(F.col("_masked"), emoji_names)))
+        .drop("_masked")
+    )

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from murmurate.functions.text import clean
+from murmurate.functions.text import with_clean_text
 from murmurate.operators.rows import (
     add_label_column,
     keep_languages,
@@ -26,9 +26,7 @@ def clean_posts(
 ) -> DataFrame:
     """Posts in the given languages with ``clean_text`` added."""
     require_columns(df, ["full_text"])
-    return keep_languages(df, languages).withColumn(
-        "clean_text", clean(F.col("full_text"), emoji_names)
-    )
+    return with_clean_text(keep_languages(df, languages), emoji_names=emoji_names)
 
 
 def clean_job(

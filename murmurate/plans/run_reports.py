@@ -21,6 +21,7 @@ from murmurate.functions.scalar import (
     round_numeric,
 )
 from murmurate.operators.aggregates import average_of, pivot_keys, share_of_total
+from murmurate.operators.joins import broadcast_if_few, rows_of
 from murmurate.operators.rows import recent
 from murmurate.operators.runs import latest_runs
 from murmurate.schemas import MIN_F1_MACRO
@@ -34,13 +35,18 @@ def active_runs(t: Tables, experiment: str) -> DataFrame:
     return t["runs"].where(F.col("deleted_time").isNull()).join(wanted, "experiment_id")
 
 
+def window_runs(t: Tables, experiment: str, as_of: Clock, window: str) -> DataFrame:
+    """Active runs that started in the window, for broadcast if they are few."""
+    return broadcast_if_few(recent(active_runs(t, experiment), "start_time", as_of, window))
+
+
 def _named(runs: DataFrame) -> DataFrame:
     return runs.withColumnRenamed("name", "run_name")
 
 
 def _of(rows: DataFrame, runs: DataFrame) -> DataFrame:
-    """Key/value rows of a handful of runs (a top-n result, at most n rows)."""
-    return rows.join(F.broadcast(runs.select("run_uuid")), "run_uuid", "left_semi")
+    """Key/value rows of a top-n result: at most n runs to broadcast."""
+    return rows_of(rows, F.broadcast(runs))
 
 
 def latest_run(t: Tables, experiment: str) -> DataFrame:
@@ -73,21 +79,21 @@ def latest_run(t: Tables, experiment: str) -> DataFrame:
 
 
 def f1_over_time(t: Tables, experiment: str, as_of: Clock, threshold: float = MIN_F1_MACRO) -> DataFrame:
-    runs = _named(recent(active_runs(t, experiment), "start_time", as_of, "30 days"))
+    runs = window_runs(t, experiment, as_of, "30 days")
     scores = t["metrics"].where(F.col("key") == "eval_f1_macro").select("run_uuid", "value")
-    return runs.join(scores, "run_uuid").select(
+    return scores.join(runs, "run_uuid").select(
         F.col("start_time").alias("time"),
         F.col("value").alias("f1_macro_score"),
-        "run_name",
+        F.col("name").alias("run_name"),
         accepted_text(F.col("value"), threshold).alias("status"),
     ).orderBy(F.asc_nulls_last("time"))
 
 
 def acceptance_rate(t: Tables, experiment: str, as_of: Clock) -> DataFrame:
     """Grouped by the raw value: several texts other than ``True`` give several rows."""
-    runs = recent(active_runs(t, experiment), "start_time", as_of, "30 days")
-    params = t["params"].where(F.col("key") == "model_accepted").select("run_uuid", "value")
-    counted = runs.join(params, "run_uuid").groupBy("value").agg(F.count(F.lit(1)).alias("count"))
+    params = t["params"].where(F.col("key") == "model_accepted")
+    runs = window_runs(t, experiment, as_of, "30 days")
+    counted = rows_of(params, runs).groupBy("value").agg(F.count(F.lit(1)).alias("count"))
     return share_of_total(counted).select(
         F.when(F.col("value") == "True", "Accepted").otherwise("Rejected").alias("status"),
         "count",
@@ -97,8 +103,8 @@ def acceptance_rate(t: Tables, experiment: str, as_of: Clock) -> DataFrame:
 
 def average_metrics(t: Tables, experiment: str, as_of: Clock) -> DataFrame:
     """Means over metric rows, not over runs."""
-    runs = recent(active_runs(t, experiment), "start_time", as_of, "7 days").select("run_uuid")
-    return runs.join(t["metrics"], "run_uuid").agg(
+    runs = window_runs(t, experiment, as_of, "7 days")
+    return rows_of(t["metrics"], runs).agg(
         average_of("eval_accuracy").alias("avg_accuracy"),
         average_of("eval_f1_macro").alias("avg_f1_macro"),
         average_of("eval_loss").alias("avg_loss"),
@@ -132,10 +138,11 @@ def compare_runs(t: Tables, experiment: str, n: int = 10) -> DataFrame:
 
 
 def duration_trend(t: Tables, experiment: str, as_of: Clock) -> DataFrame:
-    runs = recent(active_runs(t, experiment), "start_time", as_of, "30 days")
-    runs = _named(runs.where(F.col("end_time").isNotNull()))
-    kind = pivot_keys(t["params"], ["is_incremental"])
-    return runs.join(kind, "run_uuid", "left").orderBy(F.asc_nulls_last("start_time")).select(
+    ended = recent(active_runs(t, experiment), "start_time", as_of, "30 days").where(
+        F.col("end_time").isNotNull()
+    )
+    kind = pivot_keys(rows_of(t["params"], broadcast_if_few(ended)), ["is_incremental"])
+    return _named(ended).join(kind, "run_uuid", "left").orderBy(F.asc_nulls_last("start_time")).select(
         F.col("start_time").alias("time"),
         "run_name",
         duration_minutes(F.col("start_time"), F.col("end_time")).alias("duration_minutes"),
@@ -164,13 +171,13 @@ def latest_status(t: Tables, experiment: str) -> DataFrame:
 
 
 def incremental_vs_fresh(t: Tables, experiment: str, as_of: Clock) -> DataFrame:
-    runs = recent(active_runs(t, experiment), "start_time", as_of, "30 days").select("run_uuid")
+    runs = window_runs(t, experiment, as_of, "30 days")
     kind = t["params"].where(F.col("key") == "is_incremental").select(
         "run_uuid", F.col("value").alias("training_type")
     )
     return (
-        runs.join(kind, "run_uuid")
-        .join(t["metrics"], "run_uuid")
+        rows_of(t["metrics"], runs)
+        .join(rows_of(kind, runs), "run_uuid")
         .groupBy("training_type")
         .agg(
             average_of("eval_f1_macro").alias("avg_f1_macro"),
@@ -181,8 +188,8 @@ def incremental_vs_fresh(t: Tables, experiment: str, as_of: Clock) -> DataFrame:
 
 
 def metrics_detail(t: Tables, experiment: str, as_of: Clock) -> DataFrame:
-    runs = _named(recent(active_runs(t, experiment), "start_time", as_of, "7 days"))
-    return runs.join(t["metrics"], "run_uuid").orderBy(
+    runs = _named(window_runs(t, experiment, as_of, "7 days"))
+    return t["metrics"].join(runs, "run_uuid").orderBy(
         F.desc_nulls_first("start_time"), F.asc_nulls_last("key")
     ).select(
         F.col("start_time").alias("time"),
@@ -200,9 +207,9 @@ def param_distribution(
     as_of: Clock,
     keys=("epochs", "learning_rate", "batch_size", "freeze_layers"),
 ) -> DataFrame:
-    runs = recent(active_runs(t, experiment), "start_time", as_of, "30 days").select("run_uuid")
+    runs = window_runs(t, experiment, as_of, "30 days")
     params = t["params"].where(F.col("key").isin(*keys))
-    counted = runs.join(params, "run_uuid").groupBy("key", "value").agg(
+    counted = rows_of(params, runs).groupBy("key", "value").agg(
         F.count(F.lit(1)).alias("usage_count")
     )
     return (
