@@ -252,4 +252,5 @@ def demojize(c: Column, names: dict[str, str] | None = None) -> Column:
         for texts in batches:
             yield texts.map(convert, na_action="ignore")
 
-    return F.coalesce(named(F.when(c.rlike(CANDIDATE), c)), c)
+    candidate = (F.octet_length(c) != F.char_length(c)) & c.rlike(CANDIDATE)
+    return F.coalesce(named(F.when(candidate, c)), c)

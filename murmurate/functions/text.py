@@ -52,19 +52,13 @@ def squeeze_harvested(c: Column) -> Column:
     return F.regexp_replace(c, f"{SPACE}{{2,}}", " ")
 
 
-def masked(c: Column) -> Column:
-    """The steps before emoji are named."""
-    return mask_mentions(mask_urls(lower(text_or_empty(c))))
-
-
-def finished(c: Column) -> Column:
-    """The steps after. Line breaks need none of their own: spaces take them in."""
-    return squeeze_spaces(drop_entities(c))
-
-
 def clean(c: Column, emoji_names: dict[str, str] | None = None) -> Column:
-    """The whole normalisation of one post as one expression."""
-    return finished(demojize(masked(c), emoji_names))
+    """The whole normalisation of one post as one expression.
+
+    Line breaks need no step of their own here: spaces take them in.
+    """
+    masked = mask_mentions(mask_urls(lower(text_or_empty(c))))
+    return squeeze_spaces(drop_entities(demojize(masked, emoji_names)))
 
 
 def with_clean_text(
@@ -73,13 +67,23 @@ def with_clean_text(
     target: str = "clean_text",
     emoji_names: dict[str, str] | None = None,
 ) -> DataFrame:
-    """Add the normalised text.
+    """Add the normalised text, as :func:`clean` gives it.
 
-    The first steps make a column of their own, as the emoji step looks at
-    their result three times.
+    Each step is a column of its own, so that a cheap search decides whether
+    its pattern is run at all and nothing is computed twice.
     """
-    return (
-        df.withColumn("_masked", masked(F.col(source)))
-        .withColumn(target, finished(demojize(F.col("_masked"), emoji_names)))
-        .drop("_masked")
-    )
+    t = F.col("_text")
+
+    def only_if(found: Column, changed: Column) -> Column:
+        return F.when(found, changed).otherwise(t)
+
+    steps = [
+        lower(text_or_empty(F.col(source))),
+        only_if(t.contains("http") | t.contains("www"), mask_urls(t)),
+        only_if(t.contains("@"), mask_mentions(t)),
+        demojize(t, emoji_names),
+        only_if(t.contains("&") & t.contains(";"), drop_entities(t)),
+    ]
+    for step in steps:
+        df = df.withColumn("_text", step)
+    return df.withColumn(target, squeeze_spaces(t)).drop("_text")

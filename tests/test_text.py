@@ -24,6 +24,7 @@ CASES = [
     ("x\r\ny", "x y"),
     ("a b　c", "a b c"),
     ("@ budi &; & amp;", "@ budi &; & amp;"),
+    ("no 1️⃣", "no :keycap_1:"),
 ]
 
 
@@ -33,6 +34,12 @@ def test_cleaning_cases(spark):
     assert got == [b for _, b in CASES]
 
 
+def test_steps_give_the_same(spark):
+    df = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(CASES)], "i int, full_text string")
+    got = [r.clean_text for r in X.with_clean_text(df).orderBy("i").collect()]
+    assert got == [b for _, b in CASES]
+
+
 def test_harvest_keeps_a_single_break(spark):
     df = spark.createDataFrame([("a\nb  c\n\nd",)], "t string")
     assert df.select(X.squeeze_harvested(F.col("t"))).first()[0] == "a\nb c d"
