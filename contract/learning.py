@@ -34,7 +34,7 @@ _WORDS = f"[w for w in regexp_split_to_array(clean_text, '[{SPACE_SET}]+') if w
 
 
 @query("featurize", "labeled", f"""
-    SELECT doc_id, cast(len(words) AS bigint) AS n_words,
+    SELECT doc_id, cast(len(words) AS bigint) AS n_words, md5(array_to_string(words, ' ')) AS text_hash,
       md5(array_to_string(list_concat(words[1:128],
         [('[PAD]') for _ in range(greatest(0, 128 - len(words)))]), ' ')) AS input_hash
     FROM (SELECT doc_id, {_WORDS} AS words FROM labeled)""")
@@ -43,6 +43,7 @@ def featurize(v):
     return words.select(
         "doc_id",
         F.size("words").cast("bigint").alias("n_words"),
+        F.md5(F.array_join("words", " ")).alias("text_hash"),
         F.md5(F.array_join(L.padded_tokens(F.col("words")), " ")).alias("input_hash"),
     )
 
@@ -61,10 +62,10 @@ def train_classifier(v):
 
 @query("train_incremental")
 def train_incremental(v):
-    """Two weeks in turn: the second fit goes over both; the run tables get both runs."""
-    rows = _labelled(v)
-    older = rows.where(F.col("doc_id") % 2 == 0)
-    newer = rows.where(F.col("doc_id") % 2 == 1)
+    """Two sets in turn: the second fit goes over both; the run tables get both runs."""
+    rows = _labelled(v).join(v.documents.select("doc_id", "lang"), "doc_id")
+    older = rows.where(F.col("lang") == "en").drop("lang")
+    newer = rows.where(F.col("lang") != "en").drop("lang")
     folder, models = work_path(v.spark, "runs"), work_path(v.spark, "models")
     params = {"max_iter": 10}
     train(v.spark, [older], ["id_str"], RUNS_AS_OF, folder, models, params=params)

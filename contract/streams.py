@@ -64,8 +64,8 @@ def _tumbling(v, width):
     return ST.read_updates(v.spark, path, ["time", "pred_label"])
 
 
-@query("stream_tumbling_hour", "predictions", _counts("hour"))
-def stream_tumbling_hour(v):
+@query("stream_tumbling", "predictions", _counts("hour"))
+def stream_tumbling(v):
     return _tumbling(v, "1 hour")
 
 

@@ -2,39 +2,88 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmurate.schemas import CLASSES
 
-# Length of the hash prefix that makes a bucket: 16^4 buckets per class.
+# Hex digits of a hash that make a bucket: 16^4 buckets per class.
 _PREFIX = 4
 # Copies of one row that a single task writes out.
 _CHUNK = 1_000_000
-
-
-def quotas(counts: DataFrame, label: str, fraction: float) -> DataFrame:
-    """Validation rows per class: ``ceil(fraction * n)`` rows by largest remainder.
-
-    ``counts`` has one row per class, with its rows in ``n``.
+# Finer and finer: bucket of the key, key, bucket of the whole row.
+_LEVELS = ("_key_bucket", "_key", "_row_bucket")
+
+
+def quotas(counts: Mapping[int, int], fraction: float) -> dict[int, int]:
+    """Validation rows per class: ``ceil(fraction * n)`` in all, by largest remainder."""
+    total = sum(counts.values())
+    wanted = math.ceil(round(total * fraction, 9))
+    exact = {c: wanted * n / total for c, n in counts.items()}
+    out = {c: math.floor(x) for c, x in exact.items()}
+    by_remainder = sorted(exact, key=lambda c: (out[c] - exact[c], c))
+    for c in by_remainder[: wanted - sum(out.values())]:
+        out[c] += 1
+    return out
+
+
+@dataclass
+class _Cut:
+    """Where the quota of a class ends: the value at each level, and what is still needed there."""
+
+    need: int
+    values: list[str] = field(default_factory=list)
+    settled: bool = False
+
+    def inside(self) -> Column:
+        """Rows that share every value of the cut."""
+        same = F.lit(True)
+        for name, value in zip(_LEVELS, self.values):
+            same = same & (F.col(name) == value)
+        return same
+
+    def split(self) -> Column:
+        """Part of a row; NULL for a row at a cut that is not settled."""
+        if not self.values:
+            return F.lit("train")
+        out = None
+        for name, value in zip(_LEVELS, self.values):
+            c = F.col(name)
+            out = (F if out is None else out).when(c < value, "validation").when(c > value, "train")
+        return out.otherwise(F.lit("validation" if self.settled else None))
+
+
+def _advance(rows: DataFrame, label: str, cuts: dict[int, _Cut], level: str) -> None:
+    """Take the cut of each open class one level further, in one aggregate.
+
+    The running count goes over values of the level, not over rows: over buckets,
+    or over the keys of one bucket.
     """
-    everything = Window.partitionBy()
-    remainder = F.col("exact") - F.floor("exact")
-    return (
-        counts.withColumn("total", F.sum("n").over(everything).cast("double"))
-        .withColumn("wanted", F.ceil(F.round(F.col("total") * fraction, 9)).cast("double"))
-        .withColumn("exact", F.col("wanted") * F.col("n") / F.col("total"))
-        .withColumn("short", F.col("wanted") - F.sum(F.floor("exact")).over(everything))
-        .withColumn("place", F.row_number().over(Window.orderBy(F.desc(remainder), label)))
-        .select(
-            label,
-            (F.floor("exact") + F.when(F.col("place") <= F.col("short"), 1).otherwise(0))
-            .cast("long")
-            .alias("quota"),
-        )
+    open_cuts = {c: cut for c, cut in cuts.items() if cut.need and not cut.settled}
+    if not open_cuts:
+        return
+    here, need = F.lit(False), F.lit(0).cast("long")
+    for c, cut in open_cuts.items():
+        here = here | ((F.col(label) == c) & cut.inside())
+        need = F.when(F.col(label) == c, cut.need).otherwise(need)
+    upto = F.sum("n").over(Window.partitionBy(label).orderBy(level))
+    found = (
+        rows.where(here)
+        .groupBy(label, level)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumns({"upto": upto, "need": need})
+        .where((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("n") < F.col("need")))
     )
+    # One row per class.
+    for r in found.collect():
+        cut = cuts[r[label]]
+        cut.values.append(r[level])
+        cut.need = r.need - (r.upto - r.n)
+        cut.settled = cut.need == r.n
 
 
 def stratified_split(
@@ -47,66 +96,66 @@ def stratified_split(
 ) -> DataFrame:
     """Add ``split`` (``train`` / ``validation``) with the exact quota per class.
 
-    Rows go in the order of ``md5(key, seed)``. A class may hold a third of all
-    rows, so it is never ranked as one group: counts per hash prefix give the
-    prefix in which the quota ends, rows before and after it are settled in
-    place, and only the rows with that prefix are ranked. Equal rows are counted
-    as one there and written out again, so copies do not pile up either.
+    Rows go in the order of ``md5(key, seed)``, rows of one key in the order of
+    their own hash. A class may hold a third of all rows, and so may a key, so
+    neither is ranked as a group. Counts per hash bucket give the bucket in which
+    the quota of a class ends, counts per key in that bucket give the key; with
+    unique keys all rows are settled then, each by comparing its hash. Only for
+    a key that is repeated at the very cut the rows of one more bucket are
+    ranked, with equal rows counted as one, and written out again after that.
     """
-    hashed = df.where(F.col(label).isin(*classes)).withColumn(
-        "_hash", F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed))))
-    ).withColumn("_prefix", F.left("_hash", F.lit(_PREFIX)))
-
-    per_prefix = hashed.groupBy(label, "_prefix").agg(F.count(F.lit(1)).alias("n"))
-    running = Window.partitionBy(label).orderBy("_prefix")
-    per_class = per_prefix.groupBy(label).agg(F.sum("n").alias("n"))
-    cuts = (
-        per_prefix.withColumn("upto", F.sum("n").over(running))
-        .join(F.broadcast(quotas(per_class, label, fraction)), label)
-        .where((F.col("upto") >= F.col("quota")) & (F.col("upto") - F.col("n") < F.col("quota")))
-        .select(
-            label,
-            F.col("_prefix").alias("_cut"),
-            (F.col("quota") - F.col("upto") + F.col("n")).alias("_need"),
-        )
+    known = df.where(F.col(label).isin(*classes))
+    digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed))))
+    rows = known.withColumn("_key", digest).withColumns(
+        {
+            "_key_bucket": F.left("_key", F.lit(_PREFIX)),
+            "_row_bucket": F.left(F.md5(F.to_json(F.struct(*df.columns))), F.lit(_PREFIX)),
+        }
     )
-    # One row per class at most, whatever the data: safe to broadcast.
-    placed = hashed.join(F.broadcast(cuts), label, "left")
-
-    settled = placed.where(F.col("_cut").isNull() | (F.col("_prefix") != F.col("_cut")))
-    settled = settled.withColumn(
-        "split", F.when(F.col("_prefix") < F.col("_cut"), "validation").otherwise("train")
-    ).select(*df.columns, "split")
-
-    at_cut = placed.where(F.col("_prefix") == F.col("_cut"))
-    distinct = at_cut.groupBy(*df.columns, "_hash", "_need").agg(F.count(F.lit(1)).alias("_copies"))
-    order = Window.partitionBy(label).orderBy("_hash", F.xxhash64(*df.columns))
+    counts = {r[label]: r.n for r in known.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    cuts = {c: _Cut(q) for c, q in quotas(counts, fraction).items()} if counts else {}
+    for level in _LEVELS:
+        _advance(rows, label, cuts, level)
+
+    split, need = F.lit(None).cast("string"), F.lit(0).cast("long")
+    for c, cut in cuts.items():
+        split = F.when(F.col(label) == c, cut.split()).otherwise(split)
+        need = F.when(F.col(label) == c, cut.need).otherwise(need)
+    placed = rows.withColumn("split", split)
+    settled = placed.where(F.col("split").isNotNull()).select(*df.columns, "split")
+    if all(cut.settled or not cut.values for cut in cuts.values()):
+        return settled
+
+    distinct = (
+        placed.where(F.col("split").isNull())
+        .groupBy(*df.columns)
+        .agg(F.count(F.lit(1)).alias("_copies"))
+        .withColumn("_need", need)
+    )
+    order = Window.partitionBy(label).orderBy(F.md5(F.to_json(F.struct(*df.columns))))
     before = F.sum("_copies").over(order.rowsBetween(Window.unboundedPreceding, -1))
     taken = F.greatest(
         F.lit(0), F.least(F.col("_copies"), F.col("_need") - F.coalesce(before, F.lit(0)))
     )
-    ranked = distinct.withColumn("_taken", taken)
     parts = F.array(
         F.struct(F.lit("validation").alias("split"), F.col("_taken").alias("_n")),
         F.struct(F.lit("train").alias("split"), (F.col("_copies") - F.col("_taken")).alias("_n")),
     )
-    cut_rows = _copies(
-        ranked.select(*df.columns, F.inline(parts)).where("_n > 0"), "_n"
-    ).select(*df.columns, "split")
-    return settled.unionByName(cut_rows)
+    ranked = distinct.withColumn("_taken", taken).select(*df.columns, F.inline(parts))
+    return settled.unionByName(_copies(ranked.where("_n > 0"), "_n"))
 
 
 def _copies(df: DataFrame, n: str) -> DataFrame:
     """Every row ``n`` times; many copies of a row are spread over tasks."""
+    size = F.lit(_CHUNK).cast("long")
     chunks = df.withColumn(
-        "_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / _CHUNK)))
+        "_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / size)))
     ).hint("rebalance")
-    size = F.least(F.lit(_CHUNK).cast("long"), F.col(n) - F.col("_chunk") * _CHUNK)
+    count = F.least(size, F.col(n) - F.col("_chunk") * size)
     return chunks.withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1).cast("long"), size))
+        "_copy", F.explode(F.sequence(F.lit(1).cast("long"), count))
     ).drop("_chunk", "_copy", n)
 
 
 def only(df: DataFrame, part: str) -> DataFrame:
     return df.where(F.col("split") == part).drop("split")
-

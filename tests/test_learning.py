@@ -66,6 +66,22 @@ def test_split_copies_are_written_in_chunks(spark, monkeypatch):
     assert {r.split: r["count"] for r in got} == {"train": 76, "validation": 19}
 
 
+def test_hot_key_at_the_cut_is_not_ranked_as_a_whole(spark):
+    """A key with most rows of its class: rows of one bucket only are left to rank."""
+    rows = [("hot", 1, f"t{i}") for i in range(400)] + [(f"k{i}", 1, "t") for i in range(100)]
+    df = spark.createDataFrame(rows, "key string, label int, text string").repartition(4)
+    got = SP.stratified_split(df, ["key"])
+    assert got.count() == 500 and got.where("split = 'validation'").count() == 100
+    assert got.select("key", "text").distinct().count() == 500
+    again = SP.stratified_split(df.repartition(7), ["key"])
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, got.collect()))
+
+
+def test_quotas():
+    assert SP.quotas({0: 50, 1: 46, 2: 268}, 0.2) == {0: 10, 1: 9, 2: 54}
+    assert SP.quotas({1: 1}, 0.2) == {1: 1}
+
+
 def test_split_of_equal_keys_with_different_rows_keeps_the_quota(spark):
     rows = [("same", 1, f"t{i}") for i in range(50)]
     df = spark.createDataFrame(rows, "key string, label int, text string")

@@ -63,13 +63,12 @@ def test_days_are_pruned(spark):
     assert re.search(rf"PartitionFilters: \[.*{PARTITION}.*>= 2024-01-24", text)
 
 
-def test_split_ranks_no_class_as_a_whole(spark):
-    """Rows are never numbered by hash: only classes are, and copies are summed up."""
-    df = spark.createDataFrame([("k", 1, "t")], "key string, label int, text string")
+def test_split_by_unique_keys_is_a_filter(spark):
+    """With unique keys nothing is shuffled or ranked to place the rows."""
+    rows = [(f"k{i}", i % 3, "t") for i in range(90)]
+    df = spark.createDataFrame(rows, "key string, label int, text string")
     text = plan(stratified_split(df, ["key"]), "simple")
-    windows = re.findall(r"Window \[.*", text)
-    assert windows and not [w for w in windows if "row_number" in w and "_hash" in w]
-    assert "CartesianProduct" not in text
+    assert "Window" not in text and "Exchange" not in text
 
 
 def test_scripts_name_no_cluster_local_folder():
