@@ -376,7 +376,7 @@ def agg_having(v):
     FROM predictions GROUP BY 1, 2""")
 def agg_group_expr(v):
     return v.predictions.groupBy(
-        F.date_trunc("day", "predicted_at").alias("day"),
+        S.trunc_time(v.predictions, "day", "predicted_at").alias("day"),
         S.confidence_band(F.col("pred_score")).alias("band"),
     ).agg(F.count(F.lit(1)).alias("n"))
 
@@ -560,8 +560,8 @@ def fn_nullif(v):
 def fn_date_trunc(v):
     return v.predictions.select(
         "id_str",
-        F.date_trunc("day", "predicted_at").alias("day"),
-        F.date_trunc("hour", "predicted_at").alias("hour"),
+        S.trunc_time(v.predictions, "day", "predicted_at").alias("day"),
+        S.trunc_time(v.predictions, "hour", "predicted_at").alias("hour"),
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmurate.schemas import LABEL_NAMES
@@ -52,6 +52,11 @@ def duration_minutes(start: Column, end: Column) -> Column:
     return round_numeric(micros.cast("double") / F.lit(6e7), 2)
 
 
+def trunc_time(df: DataFrame, unit: str, column: str) -> Column:
+    """Start of the day or hour, in the type of the column."""
+    return F.date_trunc(unit, column).cast(df.schema[column].dataType)
+
+
 def accepted_text(score: Column, threshold: float) -> Column:
     return F.when(score >= threshold, "Accepted").otherwise("Rejected")
 

@@ -9,7 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from murmurate.functions.scalar import Clock, confidence_band, initcap, preview, round_numeric
+from murmurate.functions.scalar import (
+    Clock,
+    confidence_band,
+    initcap,
+    preview,
+    round_numeric,
+    trunc_time,
+)
 from murmurate.operators.aggregates import share_of_total, share_where
 from murmurate.operators.rows import recent
 
@@ -41,7 +48,7 @@ def label_percentage(p: DataFrame, as_of: Clock, label: str) -> DataFrame:
 def _trend(p: DataFrame, as_of: Clock, unit: str, window: str) -> DataFrame:
     counted = (
         _window(p, as_of, window)
-        .groupBy(F.date_trunc(unit, "predicted_at").alias("time"), "pred_label")
+        .groupBy(trunc_time(p, unit, "predicted_at").alias("time"), "pred_label")
         .agg(_count())
     )
     return counted.orderBy("time", "pred_label").select("time", _sentiment(), "count")
@@ -165,7 +172,7 @@ def daily_summary(p: DataFrame, as_of: Clock) -> DataFrame:
     four = F.col("favorite_count") + F.col("retweet_count") + F.col("reply_count") + F.col("quote_count")
     return (
         _window(p, as_of, "30 days")
-        .groupBy(F.date_trunc("day", "predicted_at").alias("date"))
+        .groupBy(trunc_time(p, "day", "predicted_at").alias("date"))
         .agg(
             F.count(F.lit(1)).alias("total_predictions"),
             F.count_distinct("username").alias("unique_users"),

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from murmurate.functions.scalar import Clock, clock, parse_created_at
 from murmurate.operators.learn import Scorer, score_batch, score_posts
-from murmurate.operators.rows import require_columns, split_accepted, with_defaults
+from murmurate.operators.rows import (
+    require_columns,
+    split_accepted,
+    typed_requests,
+    with_defaults,
+)
 from murmurate.schemas import PREDICTION
 from murmurate.session import work_path
 from murmurate.sources.csv import read_csv, write_csv
@@ -36,6 +43,25 @@ def prediction_records(
     ).select([f.name for f in PREDICTION.fields] + list(keep))
 
 
+def request_records(
+    scorer: Scorer, run_id: str | None, as_of: Clock, column: str = "value"
+) -> Callable[[DataFrame], DataFrame]:
+    """From JSON requests to prediction records, for a batch or a stream of them.
+
+    Requests that break the record's types are left out, as are those that
+    cannot be scored. ``_row`` keeps the order of arrival.
+    """
+
+    def records(requests: DataFrame) -> DataFrame:
+        parsed = typed_requests(
+            requests.withColumn("_row", F.monotonically_increasing_id()), column
+        ).where("accepted")
+        posts = parsed.drop(column, "accepted")
+        return prediction_records(score_posts(posts, scorer), run_id, as_of, ("_row",))
+
+    return records
+
+
 def score_texts_job(spark: SparkSession, source: str, target: str, scorer: Scorer) -> str:
     """CSV with ``text`` to ``<target>/predictions_batch.csv``."""
     return write_csv(score_batch(read_csv(spark, source), scorer), f"{target}/predictions_batch.csv")

@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from murmurate import files
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
@@ -45,9 +47,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def _work_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/murmurate/{spark.sparkContext.applicationId}"
+
+
 def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_folder(spark)}/murmurate/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path below the shared folder, kept until :func:`discard_work`."""
+    return f"{_work_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def discard_work(spark: SparkSession) -> None:
+    """Delete what this application wrote below the shared folder by :func:`work_path`."""
+    files.delete(spark, _work_folder(spark))
 
 
 def written(df: DataFrame, name: str, *partitions: str) -> DataFrame:

@@ -19,7 +19,7 @@ from murmurate.operators.rows import normalize_na
 
 ROWS_PER_FILE = 1_000_000
 
-_READ = {"header": "true", "multiLine": "true", "escape": '"', "encoding": "UTF-8"}
+_READ = {"header": "true", "escape": '"', "encoding": "UTF-8"}
 _WRITE = {
     "header": "true",
     "escape": '"',
@@ -31,14 +31,19 @@ _WRITE = {
 
 
 def read_csv(
-    spark: SparkSession, path: str | list[str], schema: T.StructType | None = None
+    spark: SparkSession,
+    path: str | list[str],
+    schema: T.StructType | None = None,
+    line_breaks: bool = True,
 ) -> DataFrame:
-    """A CSV file or folder, missing values as NULL.
+    """A CSV file or folder of files with one header, missing values as NULL.
 
     Columns are texts, or of the schema's types: those are cast after the read,
     so that the file's own header gives the order and ids are never numbers.
+    Without ``line_breaks`` in the fields a large file is read by many tasks.
     """
-    df = normalize_na(spark.read.options(**_READ).csv(path))
+    options = {**_READ, "multiLine": str(line_breaks).lower()}
+    df = normalize_na(spark.read.options(**options).csv(path))
     if schema is None:
         return df
     return df.select(

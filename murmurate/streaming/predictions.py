@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from murmurate.operators.rows import split_accepted
+from murmurate.session import written
 from murmurate.sources.store import PredictionStore
 
 
@@ -29,15 +30,22 @@ def store_stream(
     store: PredictionStore,
     checkpoint: str,
     order: Column | None = None,
+    refused: str | None = None,
 ) -> StreamingQuery:
     """Every micro-batch is scored by ``to_records`` and upserted.
 
     A batch that is repeated after a failure leaves the table as it was, so the
-    result is exact. State is the table only.
+    result is exact. State is the table only. ``refused`` is a folder for the
+    records that break a rule of the table, with their reasons, per batch.
     """
 
-    def save(batch: DataFrame, _: int) -> None:
-        accepted, _rejected = split_accepted(to_records(batch))
+    def save(batch: DataFrame, batch_id: int) -> None:
+        records = to_records(batch)
+        if refused:
+            records = written(records, "records")
+        accepted, rejected = split_accepted(records)
+        if refused:
+            rejected.write.mode("overwrite").parquet(f"{refused}/batch={batch_id}")
         store.upsert(accepted, order)
 
     return (

@@ -14,6 +14,7 @@ from murmurate.plans.learn import evaluate_job, train
 from murmurate.session import work_path
 from murmurate.sources.csv import read_csv, write_csv
 from murmurate.sources.store import PredictionStore
+from murmurate.streaming import predictions as ST
 
 
 def expected_quota(counts, fraction=0.2):
@@ -227,6 +228,27 @@ def test_scoring_job_stores_and_counts(spark, trained):
     assert written.where("hf_label = 'error'").count() == 1 and written.count() == 4
 
 
+def test_request_stream_is_scored_and_stored(spark, trained):
+    landing, refused = work_path(spark, "requests"), work_path(spark, "refused")
+    bodies = [
+        '{"id_str": "1", "clean_text": "bagus mantap", "full_text": "F", "reply_count": "3"}',
+        '{"id_str": "2", "clean_text": "buruk jelek"}',
+        '{"id_str": 3',
+        '{"id_str": "4", "full_text": "F"}',
+    ]
+    spark.createDataFrame([(b,) for b in bodies], "value string").coalesce(1).write.text(landing)
+    store = PredictionStore(spark, work_path(spark, "store"))
+    to_records = serve.request_records(
+        L.model_scorer(trained[0].model), "run_1", "2024-01-31 10:20:30"
+    )
+    ST.store_stream(
+        spark.readStream.text(landing), to_records, store, work_path(spark, "c"), F.col("_row"), refused
+    ).awaitTermination()
+    rows = store.read().collect()
+    assert [(r.id_str, r.pred_label, r.reply_count) for r in rows] == [("1", "positive", 3)]
+    assert [r.id_str for r in spark.read.parquet(refused).collect()] == ["2"]
+
+
 def test_text_job(spark, trained):
     source = write_csv(spark.createDataFrame([("bagus mantap",)], "text string"), work_path(spark, "in"))
     scorer = lambda df: L.model_scorer(trained[0].model)(
