@@ -8,14 +8,20 @@ full table passes it as ``names``.
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The one Python function that runs in tasks travels with its code, so executors
+# need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # --- fixed values -----------------------------------------------------------
 
 # Code points with the Emoji property above U+007F (Unicode emoji-data).

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from murmurate.functions.scalar import round_numeric
 
 PLACES = 6
+# A matrix has a column per class.
+MAX_CLASSES = 1000
 
 
 def pair_counts(df: DataFrame, y: str = "label", yhat: str = "prediction") -> DataFrame:
@@ -115,7 +117,9 @@ def confusion_matrix(pairs: DataFrame, classes: Sequence[int] | None = None) ->
     """
     if classes is None:
         seen = pairs.select(F.explode(F.array("y", "yhat")).alias("c")).distinct()
-        classes = sorted(r.c for r in seen.collect())
+        classes = sorted(r.c for r in seen.limit(MAX_CLASSES + 1).collect())
+        if len(classes) > MAX_CLASSES:
+            raise ValueError(f"more than {MAX_CLASSES} classes")
     empty = pairs.sparkSession.createDataFrame([(c, c, 0) for c in classes], "y int, yhat int, n long")
     dense = pairs.select(F.col("y").cast("int"), F.col("yhat").cast("int"), "n").unionByName(empty)
     return (

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from murmurate.functions.scalar import Clock, clock, parse_created_at
+from murmurate.operators.aggregates import batch_stats, value_counts
 from murmurate.operators.learn import Scorer, score_batch, score_posts
 from murmurate.operators.rows import (
     require_columns,
@@ -16,7 +18,7 @@ from murmurate.operators.rows import (
     with_defaults,
 )
 from murmurate.schemas import PREDICTION
-from murmurate.session import work_path
+from murmurate.session import written
 from murmurate.sources.csv import read_csv, write_csv
 from murmurate.sources.store import PredictionStore
 
@@ -62,9 +64,28 @@ def request_records(
     return records
 
 
-def score_texts_job(spark: SparkSession, source: str, target: str, scorer: Scorer) -> str:
-    """CSV with ``text`` to ``<target>/predictions_batch.csv``."""
-    return write_csv(score_batch(read_csv(spark, source), scorer), f"{target}/predictions_batch.csv")
+def _report(scored: DataFrame, started: float) -> dict:
+    """Statistics of a scored batch: counts, label distribution, mean score, time."""
+    elapsed = (time.monotonic() - started) * 1000
+    stats = batch_stats(scored).first().asDict()
+    stats["label_distribution"] = {
+        r.pred_label: r["count"] for r in value_counts(scored, "pred_label").collect()
+    }
+    stats["inference_time_ms"] = round(elapsed, 2)
+    stats["avg_time_per_prediction_ms"] = round(elapsed / max(stats["total_predictions"], 1), 2)
+    return stats
+
+
+def score_texts_job(spark: SparkSession, source: str, target: str, scorer: Scorer) -> dict:
+    """CSV with ``text`` to ``<target>/predictions_batch.csv``; statistics of the batch.
+
+    The scored rows are written once and read again, so the model runs once.
+    """
+    started = time.monotonic()
+    scored = written(score_batch(read_csv(spark, source), scorer), "scored")
+    report = _report(scored, started)
+    report["output"] = write_csv(scored, f"{target}/predictions_batch.csv")
+    return report
 
 
 def score_posts_job(
@@ -75,31 +96,24 @@ def score_posts_job(
     store: PredictionStore,
     run_id: str | None,
     as_of: Clock,
-) -> dict[str, int]:
-    """CSV of posts to scored CSV and to the store; counts of what became of the rows.
+) -> dict:
+    """CSV of posts to scored CSV and to the store; statistics and what became of the rows.
 
-    The scored rows are written once and read again, so the model runs once.
-    Rows of one post count in file order.
+    Rows of one post count in file order. ``saved`` are the records that keep
+    the rules of the table, ``rejected`` those that do not.
     """
     posts = require_columns(read_csv(spark, source), ["id_str", "clean_text"])
-    stamp = str(as_of).replace("-", "").replace(":", "").replace(" ", "_")[:15]
-    scored_path = work_path(spark, "scored")
-    seen = Observation()
-    score_posts(posts, scorer).withColumn("_row", F.monotonically_increasing_id()).observe(
-        seen,
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(F.col("hf_label") == "error").alias("failed"),
-    ).write.parquet(scored_path)
-    scored = spark.read.parquet(scored_path)
-    write_csv(scored.drop("_row"), f"{target}/predictions_batch_tweet_{stamp}.csv")
-
+    stamp = spark.range(1).select(F.date_format(clock(as_of), "yyyyMMdd_HHmmss")).first()[0]
+    started = time.monotonic()
+    scored = written(
+        score_posts(posts, scorer).withColumn("_row", F.monotonically_increasing_id()), "scored"
+    )
+    report = _report(scored, started)
+    report["output"] = write_csv(
+        scored.drop("_row"), f"{target}/predictions_batch_tweet_{stamp}.csv"
+    )
     accepted, rejected = split_accepted(prediction_records(scored, run_id, as_of, ("_row",)))
     store.upsert(accepted, F.col("_row"))
-    counts = seen.get
-    refused = rejected.count()
-    return {
-        "total": counts["total"],
-        "failed": counts["failed"],
-        "saved": counts["total"] - counts["failed"] - refused,
-        "rejected": refused,
-    }
+    report["rejected"] = rejected.count()
+    report["saved"] = report["total_predictions"] - report["failed"] - report["rejected"]
+    return report

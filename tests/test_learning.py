@@ -216,10 +216,12 @@ def test_scoring_job_stores_and_counts(spark, trained):
     )
     target = work_path(spark, "out")
     store = PredictionStore(spark, work_path(spark, "store"))
-    counts = serve.score_posts_job(
+    report = serve.score_posts_job(
         spark, source, target, L.model_scorer(result.model), store, "run_1", "2024-01-31 10:20:30"
     )
-    assert counts == {"total": 4, "failed": 1, "saved": 2, "rejected": 1}
+    counts = {k: report[k] for k in ("total_predictions", "failed", "saved", "rejected")}
+    assert counts == {"total_predictions": 4, "failed": 1, "saved": 2, "rejected": 1}
+    assert report["label_distribution"] == {"positive": 1, "negative": 1, "neutral": 1, "error": 1}
     rows = store.read().collect()
     assert [(r.id_str, r.full_text, r.favorite_count, r.pred_label) for r in rows] == [
         ("1", "F1", 7, "negative")
@@ -254,7 +256,8 @@ def test_text_job(spark, trained):
     scorer = lambda df: L.model_scorer(trained[0].model)(
         df.withColumnRenamed("text", "clean_text")
     ).withColumnRenamed("clean_text", "text")
-    path = serve.score_texts_job(spark, source, work_path(spark, "out"), scorer)
-    assert read_csv(spark, path).first().pred_label == "positive"
+    report = serve.score_texts_job(spark, source, work_path(spark, "out"), scorer)
+    assert read_csv(spark, report["output"]).first().pred_label == "positive"
+    assert report["total_predictions"] == 1 and report["average_confidence_score"] > 0.5
     with pytest.raises(ValueError, match="text"):
         L.score_batch(spark.createDataFrame([("a",)], "clean_text string"), scorer)

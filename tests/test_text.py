@@ -1,9 +1,15 @@
+import os
+import subprocess
+import sys
+
 import pytest
 from pyspark.sql import functions as F
 
 from murmurate.functions import text as X
 from murmurate.functions.emoji import _namer, country_names, emoji_table
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 CASES = [
     ("Halo @Budi cek https://t.co/AbC &amp; OK", "halo @USER cek HTTPURL ok"),
     ("awwww yes", "aHTTPURL yes"),
@@ -75,3 +81,18 @@ def test_flags_are_paired_from_the_left(spark):
 def test_caller_names_win():
     name = _namer({**emoji_table(), "🔥": "api", "👨‍👩‍👧": "family"})
     assert name("🔥 👨‍👩‍👧") == ":api: :family:"
+
+
+def test_emoji_run_where_the_package_is_not_installed(tmp_path):
+    """Tasks get the code with the job: the working folder holds no package."""
+    script = (
+        f"import sys; sys.path.insert(0, {ROOT!r})\n"
+        "from pyspark.sql import SparkSession, functions as F\n"
+        "spark = SparkSession.builder.master('local[1]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "from murmurate.functions.emoji import demojize\n"
+        "print(spark.createDataFrame([('a 🔥',)], 't string').select(demojize(F.col('t'))).first()[0])\n"
+    )
+    out = subprocess.run(
+        [sys.executable, "-c", script], cwd=tmp_path, capture_output=True, text=True, timeout=120
+    )
+    assert out.stdout.strip().endswith("a :fire:"), out.stderr[-2000:]
