@@ -10,11 +10,11 @@ from murmurate.functions.scalar import clock
 from murmurate.operators import evaluate as E
 from murmurate.operators.learn import logits_scorer, score_posts
 from murmurate.operators.rows import normalize_na, recent
-from murmurate.operators.upsert import upsert
+from murmurate.operators.upsert import one_per_post, upsert
 from murmurate.plans.prepare import merge_week
 from murmurate.plans.serve import prediction_records
 from murmurate.schemas import POST
-from murmurate.session import work_path
+from murmurate.session import work_path, written
 from murmurate.sources import csv as C
 from murmurate.sources import timeline as TL
 from murmurate.sources.store import PredictionStore, write_by_day
@@ -325,8 +325,8 @@ def upsert_predictions(v):
     df = _rescored(v).drop("user_id", "conversation_id_str")
     first = df.where(F.col("predicted_at") < half)
     second = df.where(F.col("predicted_at") >= half)
-    loaded = upsert(first.where(F.lit(False)), first, order)
-    return upsert(loaded, second, order).select(_UPSERT_COLUMNS)
+    table = written(one_per_post(first, order), "table")
+    return upsert(table, second, order).select(_UPSERT_COLUMNS)
 
 
 @query("store_upsert", "predictions", _UPSERT)

@@ -22,9 +22,8 @@ def _records(events):
 
 
 def _stream(v):
-    return ST.file_stream(
-        v.spark, v.folder, v.events.schema, pathGlobFilter="events.parquet"
-    )
+    """The events table as a stream, be it one file or (by the pattern) a folder of files."""
+    return ST.file_stream(v.spark, f"{v.folder}/events.parquet*", v.events.schema)
 
 
 @query("stream_score", "predictions", _UPSERT)

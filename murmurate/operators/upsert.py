@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmurate.schemas import PREDICTION_FIELDS
+from murmurate.session import written
 
 
 def one_per_post(incoming: DataFrame, order: Column, key: str = "id_str") -> DataFrame:
@@ -53,4 +54,8 @@ def merge_posts(existing: DataFrame, reduced: DataFrame, key: str = "id_str") ->
 def upsert(
     existing: DataFrame, incoming: DataFrame, order: Column, key: str = "id_str"
 ) -> DataFrame:
-    return merge_posts(existing, one_per_post(incoming, order, key), key)
+    """Merge a batch into the existing posts.
+
+    The reduced batch is used three times, so it is written once first.
+    """
+    return merge_posts(existing, written(one_per_post(incoming, order, key), "batch"), key)

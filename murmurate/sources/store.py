@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from murmurate import files
 from murmurate.operators.upsert import merge_posts, one_per_post
 from murmurate.schemas import PREDICTION
-from murmurate.session import work_path
+from murmurate.session import written
 
 PARTITION = "predicted_date"
 
@@ -62,14 +62,12 @@ class PredictionStore:
         """Store a batch; the same batch stored twice gives the same table."""
         self.recover()
         order = F.col("predicted_at") if order is None else order
-        batch = work_path(self.spark, "batch")
         columns = [f.name for f in PREDICTION.fields]
         typed = incoming.withColumn("_order", order).select(
             *[F.col(f.name).cast(f.dataType).alias(f.name) for f in PREDICTION.fields], "_order"
         )
         # Written once: the batch is read four times and may come from a model.
-        with_day(one_per_post(typed, F.col("_order")).select(columns)).write.parquet(batch)
-        reduced = self.spark.read.parquet(batch)
+        reduced = written(with_day(one_per_post(typed, F.col("_order")).select(columns)), "batch")
 
         existing = self.read()
         held = existing.select("id_str", PARTITION).join(
@@ -90,7 +88,6 @@ class PredictionStore:
             "overwrite"
         ).parquet(self._days)
         self.recover()
-        files.delete(self.spark, batch)
 
     def recover(self) -> None:
         """Put staged days in place; without complete staging, drop it.

@@ -7,6 +7,7 @@ import pytest
 import __spark_entry__ as entry
 from contract import Tables
 from murmurate.operators.rows import recent
+from murmurate.operators.upsert import one_per_post
 from murmurate.operators.split import stratified_split
 from murmurate.session import work_path
 from murmurate.sources.store import PARTITION, write_by_day
@@ -45,8 +46,10 @@ def test_reports_read_only_their_columns(spark):
 
 
 def test_aggregates_combine_before_the_shuffle(spark):
-    for name in ("q11_sentiment_share", "q15_top_users", "q20_daily_summary", "upsert_predictions"):
+    for name in ("q11_sentiment_share", "q15_top_users", "q20_daily_summary"):
         assert "partial_" in named(spark, name)
+    df = Tables(spark, FOLDER).predictions
+    assert "partial_min_by" in plan(one_per_post(df, df.predicted_at))
 
 
 def test_top_rows_are_not_sorted_globally(spark):
