@@ -3,11 +3,14 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from contract.views import AS_OF, EXPERIMENT, RUNS_AS_OF, Tables
 from murmurate.functions import scalar as S
 from murmurate.operators import rows as O
 from murmurate.operators.aggregates import batch_stats, choose_best, share_of_total, value_counts
 from murmurate.operators.graph import reply_edges
 from murmurate.operators.quality import check_dataset
+from murmurate.plans.catalog import prediction_report_frames, run_report_frames
+from murmurate.sources.tables import register
 
 
 def one(spark, value, column, kind="string"):
@@ -162,3 +165,17 @@ def test_keyword_search(spark):
     ).withColumn("created_at", F.col("created_at").cast("timestamp"))
     found = O.keyword_search(df, ["makan", "Siang"], since="05-01-2024", until="07-01-2024")
     assert [r.i for r in found.collect()] == [1]
+
+
+def test_reports_from_sql(spark):
+    tables = Tables(spark, "/root/testdata/sf0.001")
+    frames = {
+        **run_report_frames(tables.runs_tables, EXPERIMENT, RUNS_AS_OF),
+        **prediction_report_frames(tables.texted, AS_OF),
+    }
+    register(frames)
+    assert len(frames) == 23
+    assert spark.sql("SELECT sum(percentage) FROM sentiment_share").first()[0] == pytest.approx(100, abs=0.05)
+    assert spark.sql("SELECT * FROM latest_run").count() == 1
+    total = spark.sql("SELECT sum(total_predictions) FROM daily_summary").first()[0]
+    assert total == spark.sql("SELECT sum(count) FROM daily_trend").first()[0]
