@@ -62,14 +62,14 @@ def train_classifier(v):
 
 @query("train_incremental")
 def train_incremental(v):
-    """Two sets in turn: the second fit goes over both; the run tables get both runs."""
+    """Two sets in turn: the second fit goes over both, as the first run left a model."""
     rows = _labelled(v).join(v.documents.select("doc_id", "lang"), "doc_id")
     older = rows.where(F.col("lang") == "en").drop("lang")
     newer = rows.where(F.col("lang") != "en").drop("lang")
     folder, models = work_path(v.spark, "runs"), work_path(v.spark, "models")
-    params = {"max_iter": 10}
-    train(v.spark, [older], ["id_str"], RUNS_AS_OF, folder, models, params=params)
-    train(v.spark, [older, newer], ["id_str"], RUNS_AS_OF, folder, models, params=params)
+    settings = {"threshold": 0.0, "params": {"max_iter": 10}}
+    train(v.spark, older, ["id_str"], RUNS_AS_OF, folder, models, **settings)
+    train(v.spark, newer, ["id_str"], RUNS_AS_OF, folder, models, [older], **settings)
     logged = v.spark.read.parquet(f"{folder}/params").where(
         F.col("key").isin("is_incremental", "model_accepted")
     )

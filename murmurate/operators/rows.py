@@ -138,10 +138,14 @@ def keyword_search(
     words: Sequence[str] = (),
     since: str | None = None,
     until: str | None = None,
+    target: int | None = None,
     text: str = "full_text",
     at: str = "created_at",
 ) -> DataFrame:
-    """Posts that hold all words, any case, with ``since <= day < until``."""
+    """Posts that hold all words, any case, with ``since <= day < until``.
+
+    ``target`` is the number of posts wanted, if not all.
+    """
     for word in words:
         df = df.where(lower(F.col(text)).contains(word.lower()))
     kind = df.schema[at].dataType.simpleString() if at in df.columns else "timestamp"
@@ -149,7 +153,7 @@ def keyword_search(
         df = df.where(F.col(at) >= F.lit(_day(since)).cast(kind))
     if until:
         df = df.where(F.col(at) < F.lit(_day(until)).cast(kind))
-    return df
+    return df if target is None else df.limit(target)
 
 
 def add_label_column(df: DataFrame) -> DataFrame:

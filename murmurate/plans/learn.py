@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from murmurate import files
 from murmurate.functions.scalar import Clock, clock
 from murmurate.operators.evaluate import basic_metrics, class_report, confusion_matrix, pair_counts
 from murmurate.operators.learn import text_classifier
 from murmurate.operators.rows import as_label, drop_missing, require_columns
 from murmurate.operators.split import only, stratified_split
-from murmurate.schemas import CLASSES, MIN_F1_MACRO
+from murmurate.schemas import CLASSES, MIN_F1_MACRO, RUNS
 from murmurate.session import written
 from murmurate.sources.tables import write_reports
 
@@ -49,31 +51,49 @@ def evaluate_job(model: PipelineModel, df: DataFrame, folder: str) -> str:
     return write_reports(basic_metrics(pairs), class_report(pairs), confusion_matrix(pairs, CLASSES), folder)
 
 
+def newest_model(
+    spark: SparkSession, runs_folder: str, model_folder: str, experiment_id: int
+) -> str | None:
+    """Path of the model of the newest run, if there is a run and it saved one."""
+    if not files.exists(spark, f"{runs_folder}/runs"):
+        return None
+    newest = (
+        spark.read.schema(RUNS)
+        .parquet(f"{runs_folder}/runs")
+        .where((F.col("experiment_id") == experiment_id) & F.col("deleted_time").isNull())
+        .orderBy(F.desc_nulls_first("start_time"), "run_uuid")
+        .first()
+    )
+    path = f"{model_folder}/{newest.run_uuid}" if newest else None
+    return path if path and files.exists(spark, path) else None
+
+
 def train(
     spark: SparkSession,
-    weeks: list[DataFrame],
+    week: DataFrame,
     key: list[str],
     as_of: Clock,
     runs_folder: str,
     model_folder: str,
+    earlier: Sequence[DataFrame] = (),
     experiment_id: int = 0,
     threshold: float = MIN_F1_MACRO,
     params: dict | None = None,
 ) -> Training:
     """Split, fit, evaluate, log, and save the model if its macro F1 passes.
 
-    Training goes on from earlier weeks by fitting on all of them together:
-    more than one week counts as incremental.
+    If the newest run has a model, training goes on from it: the fit is over the
+    earlier weeks as well. Otherwise it starts afresh on this week.
     """
-    data = weeks[0]
-    for week in weeks[1:]:
-        data = data.unionByName(week, allowMissingColumns=True)
+    incremental = newest_model(spark, runs_folder, model_folder, experiment_id) is not None
+    data = week
+    for other in earlier if incremental else ():
+        data = data.unionByName(other, allowMissingColumns=True)
     train_rows, validation_rows = split_rows(data, key)
     settings = {"max_iter": 30, "reg": 0.01, "features": 1 << 16, **(params or {})}
     model = text_classifier(**settings).fit(train_rows)
     metrics = basic_metrics(evaluate(model, validation_rows)).first().asDict()
 
-    incremental = len(weeks) > 1
     accepted = (metrics["f1_macro"] or 0.0) >= threshold
     stamp = spark.range(1).select(F.date_format(clock(as_of), "yyyyMMdd_HHmmss")).first()[0]
     name = f"sentiment-{'incremental' if incremental else 'fresh'}-{stamp}"

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from murmurate import files
 from murmurate.operators.upsert import merge_posts, one_per_post
@@ -52,11 +53,10 @@ class PredictionStore:
 
     def read(self) -> DataFrame:
         """The table; ``predicted_date`` prunes folders."""
-        schema = PREDICTION.simpleString()[len("struct<"):-1].replace(":", " ")
-        reader = self.spark.read.schema(f"{schema},{PARTITION} date")
+        schema = T.StructType([*PREDICTION.fields, T.StructField(PARTITION, T.DateType())])
         if not files.exists(self.spark, self.path):
-            return self.spark.createDataFrame([], f"{schema},{PARTITION} date")
-        return reader.parquet(self.path)
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self.path)
 
     def upsert(self, incoming: DataFrame, order: Column | None = None) -> None:
         """Store a batch; the same batch stored twice gives the same table."""

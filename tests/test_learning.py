@@ -5,12 +5,13 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from murmurate import files
 from murmurate.operators import evaluate as E
 from murmurate.operators import learn as L
 from murmurate.operators import runs as R
 from murmurate.operators import split as SP
 from murmurate.plans import serve
-from murmurate.plans.learn import evaluate_job, train
+from murmurate.plans.learn import evaluate_job, newest_model, train
 from murmurate.session import work_path
 from murmurate.sources.csv import read_csv, write_csv
 from murmurate.sources.store import PredictionStore
@@ -180,7 +181,7 @@ def trained(spark):
     rows = [(f"{i}", f"teks {words[i % 3]} {i}", i % 3) for i in range(150)]
     week = spark.createDataFrame(rows, "id_str string, clean_text string, label int")
     folder, models = work_path(spark, "runs"), work_path(spark, "models")
-    result = train(spark, [week], ["id_str"], "2024-01-31 10:20:30", folder, models,
+    result = train(spark, week, ["id_str"], "2024-01-31 10:20:30", folder, models,
                    params={"max_iter": 20, "features": 1 << 10})
     return result, week, folder, models
 
@@ -197,11 +198,15 @@ def test_training_accepts_a_good_model(spark, trained):
 
 def test_training_rejects_a_poor_model(spark, trained):
     _, week, folder, models = trained
-    result = train(spark, [week], ["id_str"], "2024-02-01 00:00:00", folder, models + "x",
+    assert newest_model(spark, folder, models, 0) == f"{models}/sentiment-fresh-20240131_102030"
+    assert newest_model(spark, folder, models, 1) is None
+    result = train(spark, week, ["id_str"], "2024-02-01 00:00:00", folder, models + "x",
                    threshold=1.01, params={"max_iter": 1, "features": 1 << 4})
     assert not result.accepted
-    with pytest.raises(Exception):
-        spark.read.text(models + "x").count()
+    assert result.run_uuid.startswith("sentiment-fresh")
+    # The rejected run is the newest now and hides the older model.
+    assert newest_model(spark, folder, models, 0) is None
+    assert not files.exists(spark, models + "x")
 
 
 def test_scoring_job_stores_and_counts(spark, trained):

@@ -165,6 +165,7 @@ def test_keyword_search(spark):
     ).withColumn("created_at", F.col("created_at").cast("timestamp"))
     found = O.keyword_search(df, ["makan", "Siang"], since="05-01-2024", until="07-01-2024")
     assert [r.i for r in found.collect()] == [1]
+    assert O.keyword_search(df, ["gratis"], target=1).count() == 1
 
 
 def test_reports_from_sql(spark):
