@@ -30,22 +30,36 @@ def one_per_post(incoming: DataFrame, order: Column, key: str = "id_str") -> Dat
     )
 
 
-def merge_posts(existing: DataFrame, reduced: DataFrame, key: str = "id_str") -> DataFrame:
-    """Existing posts take the new prediction, unknown posts are added.
-
-    Both sides hold a post once, so neither join can be skewed. The large side
-    is shuffled only when the batch is too big for Spark to broadcast.
-    """
+def _latest(reduced: DataFrame, key: str) -> DataFrame:
+    """Key and the new prediction as one struct."""
     last = [c for c in PREDICTION_FIELDS if c in reduced.columns]
-    new = reduced.select(key, F.struct(*last).alias("_new"))
-    kept = existing.join(new, key, "left").select(
+    return reduced.select(key, F.struct(*last).alias("_new"))
+
+
+def _with_latest(joined: DataFrame, columns: list[str]) -> DataFrame:
+    new = joined.schema["_new"].dataType.fieldNames()
+    return joined.select(
         *[
             F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c)
-            if c in last
+            if c in new
             else F.col(c)
-            for c in existing.columns
+            for c in columns
         ]
     )
+
+
+def updated_posts(existing: DataFrame, reduced: DataFrame, key: str = "id_str") -> DataFrame:
+    """Only the existing posts of the batch, with their new prediction."""
+    return _with_latest(existing.join(_latest(reduced, key), key), existing.columns)
+
+
+def merge_posts(existing: DataFrame, reduced: DataFrame, key: str = "id_str") -> DataFrame:
+    """Existing posts take the new prediction, unknown posts are added.
+
+    Both sides hold a post once, so neither join can be skewed. The large side
+    is shuffled only when the batch is too big for Spark to broadcast.
+    """
+    kept = _with_latest(existing.join(_latest(reduced, key), key, "left"), existing.columns)
     known = existing.select(key).join(reduced.select(key), key, "left_semi")
     added = reduced.join(known, key, "left_anti")
     return kept.unionByName(added.select(existing.columns))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from murmurate import files
-from murmurate.operators.upsert import merge_posts, one_per_post
+from murmurate.operators.upsert import one_per_post, updated_posts
 from murmurate.schemas import PREDICTION
 from murmurate.session import written
 
@@ -39,17 +39,20 @@ def write_by_day(df: DataFrame, path: str, mode: str = "overwrite") -> str:
 class PredictionStore:
     """Predictions of posts, one row per post, one writer at a time.
 
-    A post moves to another day when it is scored again, so an upsert rewrites
-    the days that hold posts of the batch and the days they move to, and no
-    others. The new days are first staged completely, then put in place; a
-    writer that died in between is caught up by the next one.
+    New posts are appended to their day. A post that is scored again leaves its
+    day and is appended to the day of its new prediction, so only the days that
+    held posts of the batch are rewritten. All of it is staged completely before
+    anything is put in place; a writer that died in between is caught up by the
+    next one.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
-        self._staged = f"{self.path}/_staged"
-        self._days = f"{self.path}/_staged_days"
+        self._rest = f"{self.path}/_rest"
+        self._added = f"{self.path}/_added"
+        self._gone = f"{self.path}/_gone"
+        self._plan = f"{self.path}/_plan"
 
     def read(self) -> DataFrame:
         """The table; ``predicted_date`` prunes folders."""
@@ -62,45 +65,71 @@ class PredictionStore:
         """Store a batch; the same batch stored twice gives the same table."""
         self.recover()
         order = F.col("predicted_at") if order is None else order
-        columns = [f.name for f in PREDICTION.fields]
         typed = incoming.withColumn("_order", order).select(
             *[F.col(f.name).cast(f.dataType).alias(f.name) for f in PREDICTION.fields], "_order"
         )
-        # Written once: the batch is read four times and may come from a model.
-        reduced = written(with_day(one_per_post(typed, F.col("_order")).select(columns)), "batch")
-
-        existing = self.read()
-        held = existing.select("id_str", PARTITION).join(
-            reduced.select("id_str"), "id_str", "left_semi"
+        # Written once: the batch is read several times and may come from a model.
+        reduced = written(one_per_post(typed, F.col("_order")).drop("_order"), "batch")
+        first, last = reduced.agg(F.min("id_str"), F.max("id_str")).first()
+        if first is None:
+            return
+
+        # Ids grow with time, so their range lets the scan skip what is older.
+        table = self.read()
+        near = table.where(F.col("id_str").between(first, last))
+        held = written(
+            near.select("id_str", PARTITION).join(reduced.select("id_str"), "id_str", "left_semi"),
+            "held",
         )
-        days = [
-            r[0]
-            for r in held.select(PARTITION).union(reduced.select(PARTITION)).distinct().collect()
-        ]
-        affected = existing.where(F.col(PARTITION).isin(days))
-        merged = with_day(merge_posts(affected, reduced).drop(PARTITION))
-        write_by_day(merged, self._staged)
-        filled = {
-            p.rsplit("=", 1)[1] for p in files.glob(self.spark, f"{self._staged}/{PARTITION}=*")
-        }
-        plan = [(str(d), str(d) in filled) for d in days]
+        # A row per day.
+        days = [r[0] for r in held.select(PARTITION).distinct().collect()]
+        ids = held.select("id_str")
+        rewritten = F.col(PARTITION).isin(days)
+        added = reduced.join(ids, "id_str", "left_anti")
+        if days:
+            moved = updated_posts(near.where(rewritten).drop(PARTITION), reduced)
+            added = added.unionByName(moved)
+            write_by_day(table.where(rewritten).join(ids, "id_str", "left_anti"), self._rest)
+        write_by_day(added, self._added)
+        self._commit(days)
+
+    def compact(self, since: str, until: str) -> None:
+        """Write the days ``since <= day < until`` anew, small files together."""
+        self.recover()
+        day = F.col(PARTITION)
+        part = self.read().where((day >= F.lit(since).cast("date")) & (day < F.lit(until).cast("date")))
+        days = [r[0] for r in part.select(PARTITION).distinct().collect()]
+        if days:
+            write_by_day(part, self._rest)
+            self._commit(days)
+
+    def _commit(self, days: list) -> None:
+        """Note that staging is complete and which days are replaced, then replace them."""
+        plan = [(str(d), files.exists(self.spark, f"{self._rest}/{PARTITION}={d}")) for d in days]
         self.spark.createDataFrame(plan, "day string, filled boolean").coalesce(1).write.mode(
             "overwrite"
-        ).parquet(self._days)
+        ).parquet(self._plan)
         self.recover()
 
     def recover(self) -> None:
-        """Put staged days in place; without complete staging, drop it.
+        """Put staged data in place; without complete staging, drop it.
 
-        Every step can be repeated: a filled day that is no longer staged has
-        been moved already, an emptied day may be gone.
+        Every step can be repeated: what is no longer staged has been moved, and
+        a day that was emptied is put aside before anything is added to it.
         """
-        if files.exists(self.spark, f"{self._days}/_SUCCESS"):
-            for day, filled in self.spark.read.parquet(self._days).collect():
-                staged, kept = (f"{p}/{PARTITION}={day}" for p in (self._staged, self.path))
-                if not filled:
-                    files.delete(self.spark, kept)
-                elif files.exists(self.spark, staged):
-                    files.rename(self.spark, staged, kept)
-        files.delete(self.spark, self._days)
-        files.delete(self.spark, self._staged)
+        spark = self.spark
+        if files.exists(spark, f"{self._plan}/_SUCCESS"):
+            for day, filled in spark.read.parquet(self._plan).collect():
+                rest, kept, gone = (
+                    f"{p}/{PARTITION}={day}" for p in (self._rest, self.path, self._gone)
+                )
+                if filled:
+                    if files.exists(spark, rest):
+                        files.rename(spark, rest, kept)
+                elif files.exists(spark, kept) and not files.exists(spark, gone):
+                    files.make_folder(spark, self._gone)
+                    files.rename(spark, kept, gone)
+            for path in files.glob(spark, f"{self._added}/{PARTITION}=*/*.parquet"):
+                files.move_into(spark, path, f"{self.path}/{path.split('/')[-2]}")
+        for path in (self._plan, self._rest, self._added, self._gone):
+            files.delete(spark, path)
