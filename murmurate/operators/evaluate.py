@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmurate.functions.scalar import round_numeric
@@ -14,9 +14,12 @@ PLACES = 6
 MAX_CLASSES = 1000
 
 
-def pair_counts(df: DataFrame, y: str = "label", yhat: str = "prediction") -> DataFrame:
+def pair_counts(
+    df: DataFrame, y: str = "label", yhat: str = "prediction", extra: Sequence[Column] = ()
+) -> DataFrame:
+    """Rows per (true, predicted) class, and further aggregates if wanted."""
     return df.groupBy(F.col(y).alias("y"), F.col(yhat).alias("yhat")).agg(
-        F.count(F.lit(1)).alias("n")
+        F.count(F.lit(1)).alias("n"), *extra
     )
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +17,7 @@ from murmurate.operators.learn import text_classifier
 from murmurate.operators.rows import as_label, drop_missing, require_columns
 from murmurate.operators.split import only, stratified_split
 from murmurate.schemas import CLASSES, MIN_F1_MACRO, RUNS
-from murmurate.session import written
+from murmurate.session import scratch, written
 from murmurate.sources.tables import write_reports
 
 
@@ -34,15 +35,24 @@ def training_rows(df: DataFrame) -> DataFrame:
     return drop_missing(df, ["clean_text", "label"]).withColumn("label", as_label(F.col("label")))
 
 
-def split_rows(data: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+def split_rows(
+    data: DataFrame, key: list[str], keep: Callable[..., DataFrame] = written
+) -> tuple[DataFrame, DataFrame]:
     """Train and validation rows; the split is made once and kept as files."""
-    split = written(stratified_split(training_rows(data), key), "split", "split")
+    split = keep(stratified_split(training_rows(data), key), "split", "split")
     return only(split, "train"), only(split, "validation")
 
 
 def evaluate(model: PipelineModel, df: DataFrame) -> DataFrame:
-    """Counts per (true, predicted) class."""
-    return pair_counts(model.transform(df).withColumn("prediction", F.col("prediction").cast("int")))
+    """Counts per (true, predicted) class, with the sum of their log losses."""
+    chance = F.element_at(vector_to_array("probability"), F.col("label").cast("int") + 1)
+    scored = model.transform(df).withColumns(
+        {
+            "prediction": F.col("prediction").cast("int"),
+            "loss": -F.ln(F.greatest(chance, F.lit(1e-15))),
+        }
+    )
+    return pair_counts(scored, extra=[F.sum("loss").alias("loss")])
 
 
 def evaluate_job(model: PipelineModel, df: DataFrame, folder: str) -> str:
@@ -89,10 +99,13 @@ def train(
     data = week
     for other in earlier if incremental else ():
         data = data.unionByName(other, allowMissingColumns=True)
-    train_rows, validation_rows = split_rows(data, key)
     settings = {"max_iter": 30, "reg": 0.01, "features": 1 << 16, **(params or {})}
-    model = text_classifier(**settings).fit(train_rows)
-    metrics = basic_metrics(evaluate(model, validation_rows)).first().asDict()
+    with scratch(spark) as keep:
+        train_rows, validation_rows = split_rows(data, key, keep)
+        model = text_classifier(**settings).fit(train_rows)
+        pairs = keep(evaluate(model, validation_rows), "pairs")
+        metrics = basic_metrics(pairs).first().asDict()
+        metrics["loss"] = pairs.agg(F.sum("loss") / F.sum("n")).first()[0]
 
     accepted = (metrics["f1_macro"] or 0.0) >= threshold
     stamp = spark.range(1).select(F.date_format(clock(as_of), "yyyyMMdd_HHmmss")).first()[0]
@@ -104,7 +117,9 @@ def train(
         experiment_id,
         as_of,
         params={
-            **{k: str(v) for k, v in settings.items()},
+            "epochs": str(settings["max_iter"]),
+            "weight_decay": str(settings["reg"]),
+            "features": str(settings["features"]),
             "is_incremental": str(incremental),
             "min_f1_macro_threshold": str(threshold),
             "model_accepted": str(accepted),

@@ -18,7 +18,7 @@ from murmurate.operators.rows import (
     with_defaults,
 )
 from murmurate.schemas import PREDICTION
-from murmurate.session import written
+from murmurate.session import scratch
 from murmurate.sources.csv import read_csv, write_csv
 from murmurate.sources.store import PredictionStore
 
@@ -81,10 +81,11 @@ def score_texts_job(spark: SparkSession, source: str, target: str, scorer: Score
 
     The scored rows are written once and read again, so the model runs once.
     """
-    started = time.monotonic()
-    scored = written(score_batch(read_csv(spark, source), scorer), "scored")
-    report = _report(scored, started)
-    report["output"] = write_csv(scored, f"{target}/predictions_batch.csv")
+    with scratch(spark) as keep:
+        started = time.monotonic()
+        scored = keep(score_batch(read_csv(spark, source), scorer), "scored")
+        report = _report(scored, started)
+        report["output"] = write_csv(scored, f"{target}/predictions_batch.csv")
     return report
 
 
@@ -104,16 +105,17 @@ def score_posts_job(
     """
     posts = require_columns(read_csv(spark, source), ["id_str", "clean_text"])
     stamp = spark.range(1).select(F.date_format(clock(as_of), "yyyyMMdd_HHmmss")).first()[0]
-    started = time.monotonic()
-    scored = written(
-        score_posts(posts, scorer).withColumn("_row", F.monotonically_increasing_id()), "scored"
-    )
-    report = _report(scored, started)
-    report["output"] = write_csv(
-        scored.drop("_row"), f"{target}/predictions_batch_tweet_{stamp}.csv"
-    )
-    accepted, rejected = split_accepted(prediction_records(scored, run_id, as_of, ("_row",)))
-    store.upsert(accepted, F.col("_row"))
-    report["rejected"] = rejected.count()
+    with scratch(spark) as keep:
+        started = time.monotonic()
+        scored = keep(
+            score_posts(posts, scorer).withColumn("_row", F.monotonically_increasing_id()), "scored"
+        )
+        report = _report(scored, started)
+        report["output"] = write_csv(
+            scored.drop("_row"), f"{target}/predictions_batch_tweet_{stamp}.csv"
+        )
+        accepted, rejected = split_accepted(prediction_records(scored, run_id, as_of, ("_row",)))
+        store.upsert(accepted, F.col("_row"))
+        report["rejected"] = rejected.count()
     report["saved"] = report["total_predictions"] - report["failed"] - report["rejected"]
     return report

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,3 +71,21 @@ def written(df: DataFrame, name: str, *partitions: str) -> DataFrame:
     path = work_path(df.sparkSession, name)
     df.write.partitionBy(*partitions).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Gives a :func:`written` whose files are deleted at the end of the block."""
+    paths = []
+
+    def keep(df: DataFrame, name: str, *partitions: str) -> DataFrame:
+        path = work_path(spark, name)
+        paths.append(path)
+        df.write.partitionBy(*partitions).parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield keep
+    finally:
+        for path in paths:
+            files.delete(spark, path)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,7 +11,7 @@ from pyspark.sql import types as T
 from murmurate import files
 from murmurate.operators.upsert import one_per_post, updated_posts
 from murmurate.schemas import PREDICTION
-from murmurate.session import written
+from murmurate.session import scratch
 
 PARTITION = "predicted_date"
 
@@ -68,8 +70,11 @@ class PredictionStore:
         typed = incoming.withColumn("_order", order).select(
             *[F.col(f.name).cast(f.dataType).alias(f.name) for f in PREDICTION.fields], "_order"
         )
-        # Written once: the batch is read several times and may come from a model.
-        reduced = written(one_per_post(typed, F.col("_order")).drop("_order"), "batch")
+        # The batch is read several times and may come from a model: it is written once.
+        with scratch(self.spark) as keep:
+            self._merge(keep(one_per_post(typed, F.col("_order")).drop("_order"), "batch"), keep)
+
+    def _merge(self, reduced: DataFrame, keep: Callable[..., DataFrame]) -> None:
         first, last = reduced.agg(F.min("id_str"), F.max("id_str")).first()
         if first is None:
             return
@@ -77,7 +82,7 @@ class PredictionStore:
         # Ids grow with time, so their range lets the scan skip what is older.
         table = self.read()
         near = table.where(F.col("id_str").between(first, last))
-        held = written(
+        held = keep(
             near.select("id_str", PARTITION).join(reduced.select("id_str"), "id_str", "left_semi"),
             "held",
         )

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from murmurate.operators.rows import split_accepted
-from murmurate.session import written
+from murmurate.session import scratch
 from murmurate.sources.store import PredictionStore
 
 
@@ -40,13 +40,12 @@ def store_stream(
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        records = to_records(batch)
-        if refused:
-            records = written(records, "records")
-        accepted, rejected = split_accepted(records)
-        if refused:
-            rejected.write.mode("overwrite").parquet(f"{refused}/batch={batch_id}")
-        store.upsert(accepted, order)
+        with scratch(batch.sparkSession) as keep:
+            records = keep(to_records(batch), "records") if refused else to_records(batch)
+            accepted, rejected = split_accepted(records)
+            if refused:
+                rejected.write.mode("overwrite").parquet(f"{refused}/batch={batch_id}")
+            store.upsert(accepted, order)
 
     return (
         posts.writeStream.foreachBatch(save)

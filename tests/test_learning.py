@@ -192,6 +192,9 @@ def test_training_accepts_a_good_model(spark, trained):
     assert result.run_uuid == "sentiment-fresh-20240131_102030"
     tags = spark.read.parquet(f"{folder}/tags").first()
     assert (tags.key, tags.value) == ("model_status", "accepted")
+    logged = {r.key: r.value for r in spark.read.parquet(f"{folder}/metrics").collect()}
+    assert {"eval_accuracy", "eval_f1_macro", "eval_loss"} <= set(logged)
+    assert 0 < logged["eval_loss"] < math.log(3)
     out = evaluate_job(result.model, week, work_path(spark, "reports"))
     assert spark.read.json(f"{out}/eval_metrics").first().accuracy >= 0.8
 

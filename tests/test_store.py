@@ -141,6 +141,16 @@ def test_half_staged_data_is_dropped(spark):
     assert not files.exists(spark, f"{store.path}/_added")
 
 
+def test_nothing_is_left_behind(spark):
+    store = PredictionStore(spark, work_path(spark, "t"))
+    folder = store.path.rsplit("/", 1)[0]
+    before = set(files.glob(spark, f"{folder}/*"))
+    store.upsert(records(spark, FIRST))
+    store.upsert(records(spark, SECOND))
+    assert set(files.glob(spark, f"{folder}/*")) - before == {f"file:{store.path}"}
+    assert not [p for p in files.glob(spark, f"{store.path}/*") if "/_" in p]
+
+
 def test_an_empty_batch_changes_nothing(spark):
     store = PredictionStore(spark, work_path(spark, "t"))
     store.upsert(records(spark, []))
