@@ -45,7 +45,9 @@ def split_rows(
 
 def evaluate(model: PipelineModel, df: DataFrame) -> DataFrame:
     """Counts per (true, predicted) class, with the sum of their log losses."""
-    chance = F.element_at(vector_to_array("probability"), F.col("label").cast("int") + 1)
+    chance = F.coalesce(
+        F.get(vector_to_array("probability"), F.col("label").cast("int")), F.lit(0.0)
+    )
     scored = model.transform(df).withColumns(
         {
             "prediction": F.col("prediction").cast("int"),
