@@ -210,6 +210,8 @@ class Tables:
     """The derived inputs as DataFrames, for one folder of tables."""
 
     def __init__(self, spark: SparkSession, folder: str):
+        # Times without zone in the tables are meant, and checked, as UTC.
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
         self.spark = spark
         self.folder = folder.rstrip("/")
         self._frames: dict[str, DataFrame] = {}
