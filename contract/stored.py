@@ -87,7 +87,7 @@ def _write_days(v) -> str:
         F.when(F.col("doc_id") % 37 == 0, "draft").otherwise(F.date_format(day, "yyyy-MM-dd")),
         F.lit(".csv"),
     )
-    v.labeled.withColumn("file", name).write.partitionBy("file").options(**C._WRITE).csv(folder)
+    v.labeled.withColumn("file", name).write.partitionBy("file").options(**C.WRITE_OPTIONS).csv(folder)
     return f"{folder}/file=labeled_*.csv"
 
 

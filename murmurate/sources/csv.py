@@ -19,8 +19,8 @@ from murmurate.operators.rows import normalize_na
 
 ROWS_PER_FILE = 1_000_000
 
-_READ = {"header": "true", "escape": '"', "encoding": "UTF-8"}
-_WRITE = {
+READ_OPTIONS = {"header": "true", "escape": '"', "encoding": "UTF-8"}
+WRITE_OPTIONS = {
     "header": "true",
     "escape": '"',
     "emptyValue": "",
@@ -42,7 +42,7 @@ def read_csv(
     so that the file's own header gives the order and ids are never numbers.
     Without ``line_breaks`` in the fields a large file is read by many tasks.
     """
-    options = {**_READ, "multiLine": str(line_breaks).lower()}
+    options = {**READ_OPTIONS, "multiLine": str(line_breaks).lower()}
     df = normalize_na(spark.read.options(**options).csv(path))
     if schema is None:
         return df
@@ -57,14 +57,14 @@ def read_csv(
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     """Header, UTF-8, bounded files; NULL and empty text are both an empty field."""
-    df.write.options(**_WRITE, maxRecordsPerFile=ROWS_PER_FILE).mode(mode).csv(path)
+    df.write.options(**WRITE_OPTIONS, maxRecordsPerFile=ROWS_PER_FILE).mode(mode).csv(path)
     return path
 
 
 def append_csv(df: DataFrame, path: str) -> str:
     """Append with every value quoted and empty lines left out."""
     rows = df.na.drop(how="all")
-    rows.write.options(**_WRITE, quoteAll="true", maxRecordsPerFile=ROWS_PER_FILE).mode(
+    rows.write.options(**WRITE_OPTIONS, quoteAll="true", maxRecordsPerFile=ROWS_PER_FILE).mode(
         "append"
     ).csv(path)
     return path

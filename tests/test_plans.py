@@ -6,6 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from contract import Tables
+from murmurate.operators.joins import broadcast_if_few, left_join_many, rows_of
 from murmurate.operators.rows import recent
 from murmurate.operators.upsert import one_per_post
 from murmurate.operators.split import stratified_split
@@ -81,3 +82,35 @@ def test_scripts_name_no_cluster_local_folder():
         if path.name != "session.py":
             text = path.read_text()
             assert "/tmp" not in text and "tempfile" not in text and "localCheckpoint" not in text
+
+
+def runs_and_rows(spark):
+    runs = spark.createDataFrame([("a",), ("b",), ("c",)], "run_uuid string")
+    rows = spark.createDataFrame([("a", i) for i in range(5)] + [("b", 9)], "run_uuid string, value int")
+    return runs, rows
+
+
+def test_left_join_with_a_hot_right_key_can_be_split(spark):
+    runs, rows = runs_and_rows(spark)
+    got = left_join_many(runs, rows, "run_uuid")
+    want = runs.join(rows, "run_uuid", "left")
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert "LeftOuter" not in plan(got)
+
+
+def test_runs_are_broadcast_only_when_few(spark):
+    runs, rows = runs_and_rows(spark)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin" in plan(rows_of(rows, broadcast_if_few(runs)))
+        assert "BroadcastHashJoin" not in plan(rows_of(rows, broadcast_if_few(runs, max_rows=2)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_reports_of_a_window_do_not_shuffle_all_rows(spark):
+    """Key/value rows meet the runs by broadcast; what is exchanged is aggregated."""
+    for name in ("q03_acceptance_rate", "q04_avg_metrics", "q10_param_distribution"):
+        text = named(spark, name)
+        assert "SortMergeJoin" not in text and "partial_" in text
