@@ -14,7 +14,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmurate.llm import language, packing, pii, quality, scoring
+from murmurate.llm import decontaminate, language, licenses, neardup, neighbours, packing, pii, quality, scoring, warc
+from murmurate.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -52,12 +53,30 @@ def op1_language(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(_fold(4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontaminate.matches(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+    return found.select("doc_id", "item_id", "first_word", "n_words", "distance", "similarity")
+
+
 @query
 def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.find(_table(spark, folder, "documents"))
     return found.select("doc_id", *(f"n_{kind}" for kind in pii.BASE), "base_sha256", "spans")
 
 
+@query
+def op4_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    archive = work_path(spark, "warc")
+    warc.write(_table(spark, folder, "pages"), archive)
+    return warc.read(spark, archive).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.pack(_table(spark, folder, "documents"), VOCABULARY, public_tokenizers.PATTERN)
@@ -81,3 +100,14 @@ def learned_quality(spark: SparkSession, folder: str) -> quality.Model:
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     found = quality.scores(_table(spark, folder, "documents"), learned_quality(spark, folder))
     return found.select("doc_id", F.coalesce(_fold(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+@query
+def op9_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, folder, "documents"), size=2)
+
+
+@query
+def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    found = licenses.scan(_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
