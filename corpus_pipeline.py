@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmurate.llm import packing, pii, quality
+from murmurate.llm import decontaminate, neardup, packing, pii, quality
 from murmurate.llm.queries import VOCABULARY, importable, learned_quality
 from murmurate.session import work_path
 
@@ -21,19 +21,30 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.accepted(docs, learned_quality(spark, sf_dir))
 
 
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near-duplicates; documents without words or id stay."""
+    importable(spark)
+    return neardup.kept(docs)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of the benchmark."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data masked in the texts; their lengths follow."""
+    """All documents with personal data masked in the texts; the lengths follow."""
     importable(spark)
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences, with their ids."""
+    """Pieces of the documents in sequences, with their ids."""
     importable(spark)
     return packing.pack(docs, VOCABULARY, public_tokenizers.PATTERN)
 
 
-STAGES = [("quality", good), ("pii", private), ("packing", packed)]
+STAGES = [("quality", good), ("near_duplicates", distinct), ("decontamination", clean), ("pii", private), ("packing", packed)]
 #: A learned classifier is no SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 

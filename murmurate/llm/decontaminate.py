@@ -139,4 +139,4 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all columns, that hold no passage of the benchmark."""
     found = written(matches(docs, benchmark).select(F.col("doc_id").alias("found_id"), F.col("text_key").alias("found_key")).distinct(), "contaminated")
-    return docs.join(found, docs["doc_id"].eqNullSafe(F.col("found_id")) & (F.xxhash64(docs["text"]) == F.col("found_key")), "left_anti")
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["found_id"]) & (F.xxhash64(docs["text"]) == found["found_key"]), "left_anti")

@@ -222,3 +222,16 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     out = rows.join(labels, F.col("id") == F.col("node"), "left")
     component = F.coalesce("label", "id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def kept(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs``, with all columns, less those whose component has a smaller id; of rows that share an id, the one with the least text."""
+    rows = written(near_duplicates(docs, size, percent), "near-duplicates").where("doc_id IS NOT NULL")
+    marks = rows.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1 OR NOT kept")
+    marks = written(marks.select(F.col("doc_id").alias("mark_id"), "kept"), "marks")
+    several = marks.where("kept").select("mark_id")
+    single = docs.join(marks, docs["doc_id"].cast("long") == marks["mark_id"], "left_anti")
+    chosen = docs.join(several, docs["doc_id"].cast("long") == several["mark_id"], "left_semi")
+    row = F.struct(*(docs[name] for name in docs.columns))
+    chosen = chosen.groupBy(docs["doc_id"]).agg(F.min_by(row, docs["text"]).alias("row"), F.first(row).alias("any"))
+    return single.union(chosen.select(F.coalesce("row", "any").alias("row")).select("row.*"))
