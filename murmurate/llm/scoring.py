@@ -7,7 +7,8 @@ bounds the model whatever the corpus. Counts come from every byte of every docum
 task adds up its own tables, and only sums per slot are shuffled and added.
 
 A document's score is its loss per token under the background model minus that under the
-target model: above zero, the text looks more like the target.
+target model: the greater, the more the text looks like the target. A target much smaller
+than the corpus has the rougher estimates, which costs all texts alike.
 
 Definitions. A null or empty text has zero losses and score zero. A document is of the
 target if ``target`` holds for its row (null: it is not). Without target tokens both models are
