@@ -88,7 +88,8 @@ def op7_cross_entropy(spark: SparkSession, folder: str) -> DataFrame:
     """Documents labelled as of good quality and not toxic are the target, all documents the background."""
     docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
     good = labels.where("quality = 1 AND toxic = 0").select(F.col("doc_id").alias("good_id")).distinct()
-    marked = docs.select("doc_id", "text").join(good, F.col("doc_id") == F.col("good_id"), "left")
+    # the labels grow with the documents, so they meet by a shuffle at every size
+    marked = docs.select("doc_id", "text").join(good.hint("merge"), F.col("doc_id") == F.col("good_id"), "left")
     return scoring.score(docs, scoring.fit(marked, F.col("good_id").isNotNull()))
 
 
