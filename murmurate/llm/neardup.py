@@ -173,7 +173,8 @@ def links(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
     members = written(lists.select("id", "prefix").distinct(), "members")
     # full sets are made again, but only for the classes in some list
     wanted = members.join(classes, "id").select(F.col("id").alias("wanted"), F.col("set_key").alias("wanted_key"), "signature", "prefix")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(members.select(F.col("id").alias("wanted")).distinct(), F.col("id") == F.col("wanted"), "left_semi")
+    # as many members as documents may be wanted, so texts and ids meet by a shuffle at every size
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(members.select(F.col("id").alias("wanted")).distinct().hint("merge"), F.col("id") == F.col("wanted"), "left_semi")
     sets = _full_sets(texts, size).join(wanted, (F.col("id") == F.col("wanted")) & (F.col("set_key") == F.col("wanted_key")))
     sets = written(sets.select("id", "signature", "shingles", "prefix"), "sets")
 
@@ -230,8 +231,8 @@ def kept(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFr
     marks = rows.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1 OR NOT kept")
     marks = written(marks.select(F.col("doc_id").alias("mark_id"), "kept"), "marks")
     several = marks.where("kept").select("mark_id")
-    single = docs.join(marks, docs["doc_id"].cast("long") == marks["mark_id"], "left_anti")
-    chosen = docs.join(several, docs["doc_id"].cast("long") == several["mark_id"], "left_semi")
+    single = docs.join(marks.hint("merge"), docs["doc_id"].cast("long") == marks["mark_id"], "left_anti")
+    chosen = docs.join(several.hint("merge"), docs["doc_id"].cast("long") == several["mark_id"], "left_semi")
     row = F.struct(*(docs[name] for name in docs.columns))
     chosen = chosen.groupBy(docs["doc_id"]).agg(F.min_by(row, docs["text"]).alias("row"), F.first(row).alias("any"))
     return single.union(chosen.select(F.coalesce("row", "any").alias("row")).select("row.*"))
