@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -38,11 +39,14 @@ def build_session(app: str = "murmurate", master: str | None = None, **conf: str
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as ``spark.checkpoint.dir`` names it.
 
-    Where the setting is missing (tests, a laptop), a temporary folder is made
-    and used for checkpoints for the rest of the session.
+    Where the setting is missing and everything runs in one process, a temporary
+    folder is made and used for checkpoints for the rest of the session. On a
+    cluster the setting has to be there, as executors do not share local folders.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors can reach")
         folder = tempfile.mkdtemp(prefix="murmurate-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
