@@ -5,6 +5,8 @@ All go through Hadoop's FileSystem, so they work on any storage Spark can read.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -20,12 +22,19 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def rename(spark: SparkSession, source: str, target: str) -> None:
+    """Rename; what stood at the target is deleted only after the move has worked."""
     fs, p = _fs(spark, source)
     _, q = _fs(spark, target)
-    if fs.exists(q):
-        fs.delete(q, True)
+    if fs.makeQualified(p).equals(fs.makeQualified(q)):
+        raise ValueError(f"{source} would replace itself")
+    _, aside = _fs(spark, f"{target.rstrip('/')}.replaced-{uuid.uuid4().hex[:12]}")
+    moved = fs.exists(q) and fs.rename(q, aside)
     if not fs.rename(p, q):
+        if moved:
+            fs.rename(aside, q)
         raise OSError(f"could not rename {source} to {target}")
+    if moved:
+        fs.delete(aside, True)
 
 
 def make_folder(spark: SparkSession, path: str) -> None:

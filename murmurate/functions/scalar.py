@@ -23,8 +23,14 @@ def clock(as_of: Clock, like: str = "timestamp") -> Column:
 
 
 def round_numeric(c: Column, places: int) -> Column:
-    """ROUND over NUMERIC: decimal, half away from zero, given back as double."""
-    return F.round(c.cast("decimal(30,10)"), places).cast("double")
+    """ROUND over NUMERIC: decimal, half away from zero, given back as double.
+
+    The decimal takes the shortest text of the number with all its places, so it
+    is rounded once. NaN and infinities have no decimal and stay as they are.
+    """
+    number = c.cast("double")
+    plain = ~F.isnan(number) & (F.abs(number) < float("inf"))
+    return F.when(plain, F.round(number.cast("decimal(38,18)"), places).cast("double")).otherwise(number)
 
 
 def percentage(part: Column, whole: Column) -> Column:
@@ -134,7 +140,7 @@ def strip_reply(c: Column, reply_to: Column) -> Column:
 
 def file_day(path: Column, prefix: str) -> Column:
     """Date in a file name ``<prefix><y-m-d>.csv``; NULL when there is none."""
-    text = F.regexp_extract(path, rf"{prefix}([^/]*)\.csv", 1)
+    text = F.regexp_extract(path, rf"(?:^|/)\Q{prefix}\E([^/]*)\.csv(?:/|$)", 1)
     return F.when(
         text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"),
         F.try_to_timestamp(text, F.lit("y-M-d")).cast("date"),

@@ -7,19 +7,24 @@ the stages use Parquet between themselves.
 
 from __future__ import annotations
 
-import re
-from datetime import date, datetime, timedelta
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from murmurate import files
+from murmurate.functions.scalar import clock, file_day
 from murmurate.operators.rows import normalize_na
 
 ROWS_PER_FILE = 1_000_000
 
-READ_OPTIONS = {"header": "true", "escape": '"', "encoding": "UTF-8"}
+# A header that differs from the first one, and a row with too many or too few fields, fail the read.
+READ_OPTIONS = {
+    "header": "true",
+    "escape": '"',
+    "encoding": "UTF-8",
+    "enforceSchema": "false",
+    "mode": "FAILFAST",
+}
 WRITE_OPTIONS = {
     "header": "true",
     "escape": '"',
@@ -83,43 +88,48 @@ def read_appended(spark: SparkSession, path: str) -> DataFrame:
 
 
 def insert_csv(df: DataFrame, path: str, mode: str = "REPLACE") -> str:
-    """REPLACE keeps what was there as ``….old.csv``; APPEND adds to it."""
+    """REPLACE keeps what was there as ``….old.csv`` (``….old`` without that ending); APPEND adds to it."""
     spark = df.sparkSession
     if mode not in ("REPLACE", "APPEND"):
         raise ValueError(f"unknown insert mode {mode}")
+    path = path.rstrip("/")
     if mode == "REPLACE" and files.exists(spark, path):
-        files.rename(spark, path, path.replace(".csv", ".old.csv"))
+        files.rename(spark, path, old_version(path))
     return append_csv(df, path)
 
 
+def old_version(path: str) -> str:
+    return f"{path.removesuffix('.csv')}.old.csv" if path.endswith(".csv") else f"{path}.old"
+
+
 def dated_files(
     spark: SparkSession, pattern: str, as_of: str, prefix: str = "labeled_", days: int = 7
-) -> list[tuple[date, str]]:
-    """Files or folders ``<prefix><date>.csv`` of the last days, both ends included.
+) -> DataFrame:
+    """``day, path`` of the files that a pattern finds and whose name, or that of their folder,
+    is ``<prefix><date>.csv`` with a date among the last ``days`` and ``as_of``.
 
-    A name whose date cannot be read is skipped. Only names are listed, no data.
+    The listing is Spark's; no content is read.
     """
-    last = datetime.fromisoformat(as_of).date()
-    found = []
-    for path in files.glob(spark, pattern):
-        name = re.search(rf"{prefix}([^/]*)\.csv$", path)
-        try:
-            day = datetime.strptime(name.group(1), "%Y-%m-%d").date() if name else None
-        except ValueError:
-            continue
-        if day and last - timedelta(days=days) <= day <= last:
-            found.append((day, path))
-    return sorted(found)
-
-
-def union_dated(spark: SparkSession, dated: list[tuple[date, str]]) -> DataFrame:
-    """All files in one frame, matched by column name, no row dropped.
-
-    Every day is read with its own header, as the columns may differ; the days
-    of the window bound the number of reads.
+    if not files.glob(spark, pattern):
+        return spark.createDataFrame([], "day date, path string")
+    listed = spark.read.format("binaryFile").load(pattern).select("path")
+    last = clock(as_of).cast("date")
+    return listed.select(file_day(F.col("path"), prefix).alias("day"), "path").where(
+        F.col("day").between(F.date_sub(last, days), last)
+    )
+
+
+def union_dated(spark: SparkSession, dated: DataFrame) -> DataFrame | None:
+    """The files in one frame, matched by column name, no row dropped; None if there are none.
+
+    Files with the same header are one read, and only the names of the few files of
+    the window come to the driver.
     """
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for row in dated.orderBy("day", "path").collect():
+        by_header.setdefault(tuple(spark.read.options(**READ_OPTIONS).csv(row["path"]).columns), []).append(row["path"])
     out = None
-    for _, path in dated:
-        df = read_csv(spark, path)
+    for paths in by_header.values():
+        df = read_csv(spark, paths)
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out

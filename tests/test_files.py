@@ -41,7 +41,7 @@ def test_replace_keeps_the_old_file(spark):
     C.insert_csv(frame("2", "3"), path)
     C.insert_csv(frame("4"), path, "APPEND")
     assert C.read_csv(spark, path).count() == 3
-    assert C.read_csv(spark, path.replace(".csv", ".old.csv")).count() == 1
+    assert C.read_csv(spark, C.old_version(path)).count() == 1
     with pytest.raises(ValueError):
         C.insert_csv(frame("1"), path, "MERGE")
 
@@ -107,3 +107,42 @@ def test_file_operations(spark, tmp_path):
     assert not files.exists(spark, a) and spark.read.parquet(b).count() == 1
     files.delete(spark, b)
     assert not files.exists(spark, b)
+
+
+def test_replace_without_the_ending_keeps_everything(spark):
+    path = work_path(spark, "a.csv.d") + "/plain"
+    frame = lambda *x: spark.createDataFrame([(i,) for i in x], "a string")
+    C.insert_csv(frame("1"), path)
+    C.insert_csv(frame("2", "3"), path)
+    assert C.read_csv(spark, path).count() == 2
+    assert C.read_csv(spark, path + ".old").count() == 1
+    C.insert_csv(frame("4"), path)
+    assert [r.a for r in C.read_csv(spark, path).collect()] == ["4"]
+    assert C.read_csv(spark, path + ".old").count() == 2
+    with pytest.raises(ValueError, match="itself"):
+        files.rename(spark, path, path)
+    assert C.read_csv(spark, path).count() == 1
+
+
+def test_files_with_swapped_headers_are_no_one_table(spark, tmp_path):
+    write(tmp_path / "a.csv", b"id_str,full_text,lang\n1,one,in\n")
+    write(tmp_path / "b.csv", b"lang,id_str,full_text\nin,2,two\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        C.read_csv(spark, f"{tmp_path}/*.csv").collect()
+    dated = spark.createDataFrame([(None, f"{tmp_path}/{n}.csv") for n in "ab"], "day date, path string")
+    got = {(r.id_str, r.full_text, r.lang) for r in C.union_dated(spark, dated).collect()}
+    assert got == {("1", "one", "in"), ("2", "two", "in")}
+
+
+def test_rows_with_too_many_fields_fail(spark, tmp_path):
+    path = write(tmp_path / "x.csv", b"a,b\n1,2\n3,4,5\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        C.read_csv(spark, path).collect()
+
+
+def test_prefix_is_text_and_stands_at_the_start_of_a_name(spark, tmp_path):
+    for name in ("x_labeled_2024-01-30.csv", "labeledX2024-01-30.csv", "labeled_2024-01-30.csv"):
+        write(tmp_path / name, b"clean_text,label\na,1\n")
+    found = C.dated_files(spark, f"{tmp_path}/*.csv", "2024-01-31").collect()
+    assert [r.path.rsplit("/", 1)[1] for r in found] == ["labeled_2024-01-30.csv"]
+    assert C.dated_files(spark, f"{tmp_path}/*.csv", "2024-01-31", "labeled.").count() == 0
