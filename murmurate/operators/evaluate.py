@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from murmurate.functions.scalar import round_numeric
 
 PLACES = 6
-# A matrix has a column per class.
-MAX_CLASSES = 1000
 
 
 def pair_counts(
@@ -112,17 +110,28 @@ def class_report(pairs: DataFrame) -> DataFrame:
     )
 
 
-def confusion_matrix(pairs: DataFrame, classes: Sequence[int] | None = None) -> DataFrame:
+def confusion_counts(pairs: DataFrame) -> DataFrame:
+    """The matrix in long form, whatever the number of classes: ``true_label, pred_label, n``, zeros included."""
+    classes = pairs.agg(F.array_distinct(F.concat(F.collect_set("y"), F.collect_set("yhat"))).alias("all"))
+    cells = classes.select(F.explode("all").alias("true_label"), "all").select(
+        "true_label", F.explode("all").alias("pred_label")
+    )
+    counted = pairs.select(F.col("y").alias("true_label"), F.col("yhat").alias("pred_label"), "n")
+    return cells.join(counted, ["true_label", "pred_label"], "left").na.fill(0, ["n"])
+
+
+def confusion_matrix(pairs: DataFrame, classes: Sequence[int]) -> DataFrame:
     """Dense matrix: a row per true class, a column ``pred_<class>`` per class.
 
-    Without ``classes``, those of the data are taken: a list with an entry per
-    class, read from the aggregated pairs.
+    The columns are the classes the caller names; a pair with another class fails
+    the query. Without names see :func:`confusion_counts`.
     """
-    if classes is None:
-        seen = pairs.select(F.explode(F.array("y", "yhat")).alias("c")).distinct()
-        classes = sorted(r.c for r in seen.limit(MAX_CLASSES + 1).collect())
-        if len(classes) > MAX_CLASSES:
-            raise ValueError(f"more than {MAX_CLASSES} classes")
+    known = F.col("y").isin(*classes) & F.col("yhat").isin(*classes)
+    pairs = pairs.where(
+        F.when(known, True).otherwise(
+            F.raise_error(F.concat_ws(" ", F.lit("a class that is not named:"), "y", "yhat")).cast("boolean")
+        )
+    )
     empty = pairs.sparkSession.createDataFrame([(c, c, 0) for c in classes], "y int, yhat int, n long")
     dense = pairs.select(F.col("y").cast("int"), F.col("yhat").cast("int"), "n").unionByName(empty)
     return (
@@ -133,5 +142,4 @@ def confusion_matrix(pairs: DataFrame, classes: Sequence[int] | None = None) ->
                 for c in classes
             ]
         )
-        .where(F.col("true_label").isin(*classes))
     )

@@ -6,20 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-# Rows of run ids and run attributes that every executor can hold many times over.
-BROADCAST_ROWS = 200_000
-
-
-def broadcast_if_few(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint for broadcast after the rows were counted; beyond the bound, no hint.
-
-    Spark estimates a filtered side by the size of its files, so the few runs of
-    a time window would be joined by shuffling all their key/value rows. The
-    count reads the narrow run table only.
-    """
-    return F.broadcast(df) if df.count() <= max_rows else df
-
-
 def rows_of(rows: DataFrame, runs: DataFrame) -> DataFrame:
     """Key/value rows of the given runs; rows of others are dropped in the scan."""
     return rows.join(runs.select("run_uuid"), "run_uuid", "left_semi")

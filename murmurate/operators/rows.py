@@ -162,12 +162,15 @@ def add_label_column(df: DataFrame) -> DataFrame:
 
 
 def with_defaults(df: DataFrame, record=SCORING_REQUEST) -> DataFrame:
-    """Every column of the record: absent ones as NULL, counters as 0."""
+    """Every column of the record: absent ones as NULL, absent counters as 0.
+
+    A counter that is there and NULL stays NULL.
+    """
     columns = {}
     for field in record.fields:
-        c = F.col(field.name) if field.name in df.columns else F.lit(None)
-        c = c.cast(field.dataType)
-        columns[field.name] = F.coalesce(c, F.lit(0)) if field.name in COUNT_FIELDS else c
+        absent = F.lit(0 if field.name in COUNT_FIELDS else None)
+        c = F.col(field.name) if field.name in df.columns else absent
+        columns[field.name] = c.cast(field.dataType)
     return df.withColumns(columns)
 
 

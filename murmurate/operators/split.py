@@ -9,14 +9,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from murmurate.schemas import CLASSES
-
-# Hex digits of a hash that make a bucket: 16^4 buckets per class.
+# Hex digits of a hash that make a bucket; each level takes as many more, so a level has 16^4 values at most.
 _PREFIX = 4
 # Copies of one row that a single task writes out.
 _CHUNK = 1_000_000
-# Finer and finer: bucket of the key, key, bucket of the whole row.
-_LEVELS = ("_key_bucket", "_key", "_row_bucket")
+# Finer and finer: buckets of the key, key, buckets of the whole row.
+_LEVELS = ("_key_bucket", "_key_bucket_2", "_key", "_row_bucket", "_row_bucket_2")
 
 
 def quotas(counts: Mapping[int, int], fraction: float) -> dict[int, int]:
@@ -92,7 +90,7 @@ def stratified_split(
     label: str = "label",
     fraction: float = 0.2,
     seed: int = 42,
-    classes: Sequence[int] = CLASSES,
+    classes: Sequence[int] | None = None,
 ) -> DataFrame:
     """Add ``split`` (``train`` / ``validation``) with the exact quota per class.
 
@@ -103,16 +101,23 @@ def stratified_split(
     unique keys all rows are settled then, each by comparing its hash. Only for
     a key that is repeated at the very cut the rows of one more bucket are
     ranked, with equal rows counted as one, and written out again after that.
+
+    All labels found take part. With ``classes``, a label that is not named fails the
+    split, as does a row without label; no row is left out.
     """
-    known = df.where(F.col(label).isin(*classes))
+    counts = {r[label]: r.n for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    unknown = [c for c in counts if c is None or (classes is not None and c not in classes)]
+    if unknown:
+        raise ValueError(f"rows with labels that cannot be split: {unknown}")
     digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed))))
-    rows = known.withColumn("_key", digest).withColumns(
+    rows = df.withColumn("_key", digest).withColumns(
         {
             "_key_bucket": F.left("_key", F.lit(_PREFIX)),
+            "_key_bucket_2": F.left("_key", F.lit(2 * _PREFIX)),
             "_row_bucket": F.left(F.md5(F.to_json(F.struct(*df.columns))), F.lit(_PREFIX)),
+            "_row_bucket_2": F.left(F.md5(F.to_json(F.struct(*df.columns))), F.lit(2 * _PREFIX)),
         }
     )
-    counts = {r[label]: r.n for r in known.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     cuts = {c: _Cut(q) for c, q in quotas(counts, fraction).items()} if counts else {}
     for level in _LEVELS:
         _advance(rows, label, cuts, level)

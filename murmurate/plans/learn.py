@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -59,8 +61,9 @@ def evaluate(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 def evaluate_job(model: PipelineModel, df: DataFrame, folder: str) -> str:
     """Metrics, class report and confusion matrix of a labelled set, as files."""
-    pairs = evaluate(model, training_rows(df))
-    return write_reports(basic_metrics(pairs), class_report(pairs), confusion_matrix(pairs, CLASSES), folder)
+    with scratch(df.sparkSession) as keep:
+        pairs = keep(evaluate(model, training_rows(df)), "pairs")  # the model runs once
+        return write_reports(basic_metrics(pairs), class_report(pairs), confusion_matrix(pairs, CLASSES), folder)
 
 
 def newest_model(
@@ -73,7 +76,7 @@ def newest_model(
         spark.read.schema(RUNS)
         .parquet(f"{runs_folder}/runs")
         .where((F.col("experiment_id") == experiment_id) & F.col("deleted_time").isNull())
-        .orderBy(F.desc_nulls_first("start_time"), "run_uuid")
+        .orderBy(F.desc_nulls_first("start_time"), F.desc_nulls_last("end_time"), "run_uuid")
         .first()
     )
     path = f"{model_folder}/{newest.run_uuid}" if newest else None
@@ -95,8 +98,10 @@ def train(
     """Split, fit, evaluate, log, and save the model if its macro F1 passes.
 
     If the newest run has a model, training goes on from it: the fit is over the
-    earlier weeks as well. Otherwise it starts afresh on this week.
+    earlier weeks as well. Otherwise it starts afresh on this week. The run starts at
+    ``as_of`` and ends as much later as it took.
     """
+    started = time.monotonic()
     incremental = newest_model(spark, runs_folder, model_folder, experiment_id) is not None
     data = week
     for other in earlier if incremental else ():
@@ -112,12 +117,17 @@ def train(
     accepted = (metrics["f1_macro"] or 0.0) >= threshold
     stamp = spark.range(1).select(F.date_format(clock(as_of), "yyyyMMdd_HHmmss")).first()[0]
     name = f"sentiment-{'incremental' if incremental else 'fresh'}-{stamp}"
+    run_uuid = f"{name}-{uuid.uuid4().hex}"
+    if accepted:
+        model.write().save(f"{model_folder}/{run_uuid}")
     log_run(
         spark,
         runs_folder,
+        run_uuid,
         name,
         experiment_id,
         as_of,
+        time.monotonic() - started,
         params={
             "epochs": str(settings["max_iter"]),
             "weight_decay": str(settings["reg"]),
@@ -129,38 +139,39 @@ def train(
         metrics={f"eval_{k}": v for k, v in metrics.items() if v is not None},
         tags={"model_status": "accepted" if accepted else "rejected"},
     )
-    if accepted:
-        model.write().overwrite().save(f"{model_folder}/{name}")
-    return Training(model, metrics, accepted, name)
+    return Training(model, metrics, accepted, run_uuid)
 
 
 def log_run(
     spark: SparkSession,
     folder: str,
+    run_uuid: str,
     name: str,
     experiment_id: int,
     as_of: Clock,
+    seconds: float,
     params: dict[str, str],
     metrics: dict[str, float],
     tags: dict[str, str],
 ) -> None:
-    """Append one run to the run tables."""
+    """Append one run that took so many seconds to the run tables; the run itself comes last."""
     now = clock(as_of)
-    spark.range(1).select(
-        F.lit(name).alias("run_uuid"),
+    run = spark.range(1).select(
+        F.lit(run_uuid).alias("run_uuid"),
         F.lit(name).alias("name"),
         F.lit("FINISHED").alias("status"),
         F.lit(experiment_id).alias("experiment_id"),
         now.alias("start_time"),
-        now.alias("end_time"),
+        F.timestamp_micros(F.unix_micros(now) + F.lit(round(seconds * 1e6))).alias("end_time"),
         F.lit(None).cast("timestamp").alias("deleted_time"),
-    ).write.mode("append").parquet(f"{folder}/runs")
+    )
     for table, pairs in (("params", params), ("tags", tags)):
-        rows = [(name, k, v) for k, v in pairs.items()]
+        rows = [(run_uuid, k, v) for k, v in pairs.items()]
         spark.createDataFrame(rows, "run_uuid string, key string, value string").coalesce(
             1
         ).write.mode("append").parquet(f"{folder}/{table}")
-    rows = [(name, k, float(v)) for k, v in metrics.items()]
+    rows = [(run_uuid, k, float(v)) for k, v in metrics.items()]
     spark.createDataFrame(rows, "run_uuid string, key string, value double").select(
         "*", F.lit(0).cast("long").alias("step"), now.alias("timestamp")
     ).coalesce(1).write.mode("append").parquet(f"{folder}/metrics")
+    run.write.mode("append").parquet(f"{folder}/runs")

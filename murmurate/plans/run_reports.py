@@ -21,7 +21,7 @@ from murmurate.functions.scalar import (
     round_numeric,
 )
 from murmurate.operators.aggregates import average_of, pivot_keys, share_of_total
-from murmurate.operators.joins import broadcast_if_few, rows_of
+from murmurate.operators.joins import rows_of
 from murmurate.operators.rows import recent
 from murmurate.operators.runs import latest_runs
 from murmurate.schemas import MIN_F1_MACRO
@@ -36,8 +36,8 @@ def active_runs(t: Tables, experiment: str) -> DataFrame:
 
 
 def window_runs(t: Tables, experiment: str, as_of: Clock, window: str) -> DataFrame:
-    """Active runs that started in the window, for broadcast if they are few."""
-    return broadcast_if_few(recent(active_runs(t, experiment), "start_time", as_of, window))
+    """Active runs that started in the window."""
+    return recent(active_runs(t, experiment), "start_time", as_of, window)
 
 
 def _named(runs: DataFrame) -> DataFrame:
@@ -141,7 +141,7 @@ def duration_trend(t: Tables, experiment: str, as_of: Clock) -> DataFrame:
     ended = recent(active_runs(t, experiment), "start_time", as_of, "30 days").where(
         F.col("end_time").isNotNull()
     )
-    kind = pivot_keys(rows_of(t["params"], broadcast_if_few(ended)), ["is_incremental"])
+    kind = pivot_keys(rows_of(t["params"], ended), ["is_incremental"])
     return _named(ended).join(kind, "run_uuid", "left").orderBy(F.asc_nulls_last("start_time")).select(
         F.col("start_time").alias("time"),
         "run_name",

@@ -76,14 +76,16 @@ def _report(scored: DataFrame, started: float) -> dict:
     return stats
 
 
-def score_texts_job(spark: SparkSession, source: str, target: str, scorer: Scorer) -> dict:
+def score_texts_job(
+    spark: SparkSession, source: str, target: str, scorer: Scorer, line_breaks: bool = True
+) -> dict:
     """CSV with ``text`` to ``<target>/predictions_batch.csv``; statistics of the batch.
 
     The scored rows are written once and read again, so the model runs once.
     """
     with scratch(spark) as keep:
         started = time.monotonic()
-        scored = keep(score_batch(read_csv(spark, source), scorer), "scored")
+        scored = keep(score_batch(read_csv(spark, source, line_breaks=line_breaks), scorer), "scored")
         report = _report(scored, started)
         report["output"] = write_csv(scored, f"{target}/predictions_batch.csv")
     return report
@@ -97,18 +99,26 @@ def score_posts_job(
     store: PredictionStore,
     run_id: str | None,
     as_of: Clock,
+    line_breaks: bool = True,
 ) -> dict:
     """CSV of posts to scored CSV and to the store; statistics and what became of the rows.
 
-    Rows of one post count in file order. ``saved`` are the records that keep
-    the rules of the table, ``rejected`` those that do not.
+    Rows of one post count in the order of the file names and of their places in the
+    files. ``saved`` are the records that keep the rules of the table, ``rejected``
+    those that do not.
     """
-    posts = require_columns(read_csv(spark, source), ["id_str", "clean_text"])
+    posts = require_columns(read_csv(spark, source, line_breaks=line_breaks), ["id_str", "clean_text"])
+    place = F.struct(
+        F.input_file_name().alias("file"),
+        F.expr("input_file_block_start()").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    )
+    posts = posts.withColumn("_row", place)
     stamp = spark.range(1).select(F.date_format(clock(as_of), "yyyyMMdd_HHmmss")).first()[0]
     with scratch(spark) as keep:
         started = time.monotonic()
         scored = keep(
-            score_posts(posts, scorer).withColumn("_row", F.monotonically_increasing_id()), "scored"
+            score_posts(posts, scorer), "scored"
         )
         report = _report(scored, started)
         report["output"] = write_csv(

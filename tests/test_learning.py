@@ -121,12 +121,32 @@ def test_metrics_of_one_class_and_of_nothing(spark):
 
 
 def test_confusion_is_dense(spark):
-    got = E.confusion_matrix(pairs(spark, [(0, 2), (0, 2), (2, 2)])).orderBy("true_label").collect()
+    got = E.confusion_matrix(pairs(spark, [(0, 2), (0, 2), (2, 2)]), (0, 2)).orderBy("true_label").collect()
     assert [tuple(r) for r in got] == [(0, 0, 2), (2, 0, 1)]
     got = E.confusion_matrix(pairs(spark, [(0, 2)]), (0, 1, 2)).orderBy("true_label").collect()
     assert [tuple(r) for r in got] == [(0, 0, 0, 1), (1, 0, 0, 0), (2, 0, 0, 0)]
 
 
+def test_confusion_has_no_cap_and_loses_no_class(spark):
+    got = E.confusion_counts(pairs(spark, [(i, (i + 1) % 1001) for i in range(1001)]))
+    assert got.count() == 1001 * 1001 and got.where("n = 1").count() == 1001
+    with pytest.raises(Exception, match="not named"):
+        E.confusion_matrix(pairs(spark, [(0, 2), (5, 0)]), (0, 1, 2)).collect()
+    assert E.confusion_counts(pairs(spark, [])).count() == 0
+
+
+def test_split_keeps_all_classes_and_refuses_what_it_is_not_given(spark):
+    rows = [(f"k{i}", i % 4, "t") for i in range(400)]
+    df = spark.createDataFrame(rows, "key string, label int, text string")
+    got = SP.stratified_split(df, ["key"])
+    sizes = Counter((r.label, r.split) for r in got.collect())
+    assert sizes == {(c, s): n for c in range(4) for s, n in (("train", 80), ("validation", 20))}
+    with pytest.raises(ValueError, match="3"):
+        SP.stratified_split(df, ["key"], classes=(0, 1, 2))
+    with pytest.raises(ValueError, match="None"):
+        SP.stratified_split(df.withColumn("label", F.lit(None).cast("int")), ["key"])
+
+
 def test_tokens_are_cut_and_padded(spark):
     df = spark.createDataFrame([("a b c",), ("",)], "t string")
     words = df.select(L.padded_tokens(L.tokens(F.col("t")), 2).alias("w")).collect()
@@ -189,19 +209,22 @@ def trained(spark):
 def test_training_accepts_a_good_model(spark, trained):
     result, week, folder, models = trained
     assert result.accepted and result.metrics["f1_macro"] >= 0.8
-    assert result.run_uuid == "sentiment-fresh-20240131_102030"
+    assert result.run_uuid.startswith("sentiment-fresh-20240131_102030-")
     tags = spark.read.parquet(f"{folder}/tags").first()
     assert (tags.key, tags.value) == ("model_status", "accepted")
     logged = {r.key: r.value for r in spark.read.parquet(f"{folder}/metrics").collect()}
     assert {"eval_accuracy", "eval_f1_macro", "eval_loss"} <= set(logged)
     assert 0 < logged["eval_loss"] < math.log(3)
+    run = spark.read.parquet(f"{folder}/runs").where(F.col("run_uuid") == result.run_uuid).first()
+    assert str(run.start_time) == "2024-01-31 10:20:30" and run.end_time > run.start_time
+    assert (run["name"], run.status) == ("sentiment-fresh-20240131_102030", "FINISHED")
     out = evaluate_job(result.model, week, work_path(spark, "reports"))
     assert spark.read.json(f"{out}/eval_metrics").first().accuracy >= 0.8
 
 
 def test_training_rejects_a_poor_model(spark, trained):
     _, week, folder, models = trained
-    assert newest_model(spark, folder, models, 0) == f"{models}/sentiment-fresh-20240131_102030"
+    assert newest_model(spark, folder, models, 0) == f"{models}/{trained[0].run_uuid}"
     assert newest_model(spark, folder, models, 1) is None
     result = train(spark, week, ["id_str"], "2024-02-01 00:00:00", folder, models + "x",
                    threshold=1.01, params={"max_iter": 1, "features": 1 << 4})
@@ -238,6 +261,23 @@ def test_scoring_job_stores_and_counts(spark, trained):
     assert written.where("hf_label = 'error'").count() == 1 and written.count() == 4
 
 
+def test_first_row_of_a_post_is_that_of_the_first_file(spark, trained):
+    """Two files hold one post; Spark may read the larger second one first."""
+    folder = work_path(spark, "two")
+    rows = [[("1", "first", "bagus", "1")], [("1", "second", "buruk", "2")] + [(str(i), "F", "biasa " * 50, "3") for i in range(10, 300)]]
+    for k, part in enumerate(rows):
+        write_csv(
+            spark.createDataFrame(part, "id_str string, full_text string, clean_text string, favorite_count string").coalesce(1),
+            f"{folder}/day={k}",
+        )
+    store = PredictionStore(spark, work_path(spark, "store"))
+    serve.score_posts_job(
+        spark, f"{folder}/day=*", work_path(spark, "out"), L.model_scorer(trained[0].model), store, "run_1", "2024-01-31 10:20:30"
+    )
+    row = store.read().where("id_str = '1'").first()
+    assert (row.full_text, row.favorite_count, row.pred_label) == ("first", 1, "negative")
+
+
 def test_request_stream_is_scored_and_stored(spark, trained):
     landing, refused = work_path(spark, "requests"), work_path(spark, "refused")
     bodies = [
