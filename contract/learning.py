@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from contract.sqltext import SPACE_SET, rnd
 from contract.views import EXPERIMENT, RUNS_AS_OF, query
+from murmurate.functions.scalar import round_numeric
 from murmurate.operators import evaluate as E
 from murmurate.operators import learn as L
 from murmurate.operators import runs as R
@@ -65,7 +66,7 @@ def train_incremental(v):
     """Two sets in turn: the second fit goes over both, as the first run left a model."""
     rows = _labelled(v).join(v.documents.select("doc_id", "lang"), "doc_id")
     older = rows.where(F.col("lang") == "en").drop("lang")
-    newer = rows.where(F.col("lang") != "en").drop("lang")
+    newer = rows.where(~F.col("lang").eqNullSafe("en")).drop("lang")
     folder, models = work_path(v.spark, "runs"), work_path(v.spark, "models")
     settings = {"threshold": 0.0, "params": {"max_iter": 10}}
     train(v.spark, older, ["id_str"], RUNS_AS_OF, folder, models, **settings)
@@ -99,24 +100,24 @@ def run_log(v):
 _SCORED = """SELECT concat('v', vec_id) AS id_str,
       concat('LABEL_', list_position(logits, list_max(logits)) - 1) AS hf_label,
       ['negative', 'neutral', 'positive'][list_position(logits, list_max(logits))] AS pred_label,
-      1 / list_sum([exp(cast(x AS double) - list_max(logits)) for x in logits]) AS pred_score
-    FROM logits"""
+      1 / list_sum([exp(cast(x AS double) - list_max(logits)) for x in logits]) AS pred_score,
+      md5(text) AS text_hash
+    FROM worded"""
 
 
-@query("score_batch", "logits", f"""
-    SELECT id_str, hf_label, pred_label, {rnd('pred_score', 8)} AS pred_score FROM ({_SCORED})""")
+@query("score_batch", "worded", f"""
+    SELECT id_str, hf_label, pred_label, {rnd('pred_score', 8)} AS pred_score, text_hash FROM ({_SCORED})""")
 def score_batch(v):
-    texts = v.logits.select(
-        F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("id_str"),
-        F.lit("teks").alias("text"),
-        "logits",
+    texts = v.worded.select(
+        F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("id_str"), "text", "logits"
     )
     scored = L.score_batch(texts, L.logits_scorer())
     return scored.select(
         "id_str",
         "hf_label",
         "pred_label",
-        F.round(F.col("pred_score").cast("decimal(30,10)"), 8).cast("double").alias("pred_score"),
+        round_numeric(F.col("pred_score"), 8).alias("pred_score"),
+        F.md5("text").alias("text_hash"),
     )
 
 
@@ -180,7 +181,16 @@ def class_report(v):
     f"cast(sum(CASE WHEN yhat = {c} THEN 1 ELSE 0 END) AS bigint) AS pred_{c}" for c in (0, 1, 2)
 ) + " FROM pairs GROUP BY y")
 def confusion(v):
-    return E.confusion_matrix(E.pair_counts(v.pairs, "y", "yhat"))
+    return E.confusion_matrix(E.pair_counts(v.pairs, "y", "yhat"), (0, 1, 2))
+
+
+@query("confusion_counts", "pairs", """
+    WITH classes AS (SELECT y AS c FROM pairs UNION SELECT yhat FROM pairs)
+    SELECT a.c AS true_label, b.c AS pred_label,
+      (SELECT count(*) FROM pairs WHERE y = a.c AND yhat = b.c) AS n
+    FROM classes a CROSS JOIN classes b""")
+def confusion_counts(v):
+    return E.confusion_counts(E.pair_counts(v.pairs, "y", "yhat"))
 
 
 _NEWEST = f"""SELECT r.run_uuid FROM runs r JOIN experiments e ON r.experiment_id = e.experiment_id

@@ -2,14 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from contract.reports import BANDS, SENTIMENT, _avg, _cases, _max
+from contract.reports import BANDS, SENTIMENT, _avg, _cases
 from contract.sqltext import pct, rnd, runs_of, since
 from contract.views import AS_OF, EXPERIMENT, query
 from murmurate.functions import scalar as S
 from murmurate.operators import aggregates as A
 from murmurate.operators import rows as O
 from murmurate.operators.graph import reply_edges
-from murmurate.operators.joins import left_join_many
+from murmurate.operators.joins import left_join_many, rows_of
 from murmurate.operators.quality import check_dataset
 from murmurate.operators.runs import latest_runs
 from murmurate.plans.run_reports import active_runs
@@ -54,10 +54,7 @@ def derive_tweet_columns(v):
 
 @query("lang_filter", "posts", "SELECT id_str, lang FROM posts WHERE lang IN ('in', 'id')")
 def lang_filter(v):
-    kept = O.keep_languages(v.posts)
-    return O.keep_languages(kept.drop("lang")).join(kept.select("id_str", "lang"), "id_str").select(
-        "id_str", "lang"
-    )
+    return O.keep_languages(v.posts).select("id_str", "lang")
 
 
 @query("require_columns", "labeled", """
@@ -155,7 +152,7 @@ def typed_record(v):
     body = F.to_json(
         F.struct(
             F.when(number % 10 != 0, F.col("id_str")).alias("id_str"),
-            F.lit("teks").alias("clean_text"),
+            F.col("clean_text"),
             F.when(number % 9 == 0, "banyak")
             .otherwise(F.col("favorite_count").cast("string"))
             .alias("favorite_count"),
@@ -164,7 +161,7 @@ def typed_record(v):
     )
     body = F.when(number % 7 == 0, F.concat(F.lit("no json "), body)).otherwise(body)
     ok = F.col("accepted")
-    return O.typed_requests(v.predictions.select("event_id", body.alias("body"))).select(
+    return O.typed_requests(v.texted.select("event_id", body.alias("body"))).select(
         "event_id",
         "accepted",
         F.when(ok, F.col("favorite_count")).alias("favorite_count"),
@@ -200,7 +197,7 @@ def row_constraints(v):
 
 
 @query("with_default", "predictions", """
-    SELECT id_str, username, coalesce(quote_count, 0) AS quote_count, favorite_count,
+    SELECT id_str, username, quote_count, favorite_count,
       cast(NULL AS varchar) AS location, cast(0 AS bigint) AS retweet_count
     FROM predictions""")
 def with_default(v):
@@ -235,6 +232,10 @@ def join_one_to_many(v):
     return size("metrics").unionByName(size("params"))
 
 
+def _max(side: str, key: str) -> str:
+    return f"max({side}.value) FILTER (WHERE {side}.key = '{key}')"
+
+
 _SIDES = ("LEFT JOIN metrics m ON r.run_uuid = m.run_uuid "
           "LEFT JOIN params p ON r.run_uuid = p.run_uuid "
           "LEFT JOIN tags t ON r.run_uuid = t.run_uuid")
@@ -242,13 +243,13 @@ _SIDES = ("LEFT JOIN metrics m ON r.run_uuid = m.run_uuid "
 
 def _sides(v):
     t = v.runs_tables
-    out = active_runs(t, EXPERIMENT).select("run_uuid")
+    out = runs = active_runs(t, EXPERIMENT).select("run_uuid")
     for table, keys in (
         ("metrics", ["eval_f1_macro", "eval_loss"]),
         ("params", ["epochs", "learning_rate"]),
         ("tags", ["model_status"]),
     ):
-        out = out.join(A.pivot_keys(t[table], keys), "run_uuid", "left")
+        out = out.join(A.pivot_keys(rows_of(t[table], runs), keys), "run_uuid", "left")
     return out
 
 
@@ -279,13 +280,13 @@ def join_left_on_predicate(v):
     {runs_of(_SIDES)} GROUP BY r.run_uuid""")
 def join_fanout(v):
     t = v.runs_tables
-    out = active_runs(t, EXPERIMENT).select("run_uuid")
+    out = runs = active_runs(t, EXPERIMENT).select("run_uuid")
     for table, column, name in (
         ("metrics", "value", "metric_values"),
         ("params", "key", "param_keys"),
         ("tags", "key", "tag_keys"),
     ):
-        counted = t[table].groupBy("run_uuid").agg(F.count_distinct(column).alias(name))
+        counted = rows_of(t[table], runs).groupBy("run_uuid").agg(F.count_distinct(column).alias(name))
         out = out.join(counted, "run_uuid", "left")
     return out.na.fill(0)
 

@@ -7,7 +7,8 @@ WORD = r"[\p{L}\p{N}_]"
 
 
 def rnd(x: str, n: int) -> str:
-    return f"cast(round(cast({x} AS decimal(30,10)), {n}) AS double)"
+    """Rounded once, from the shortest text of the number."""
+    return f"cast(round(cast(cast(cast({x} AS double) AS varchar) AS decimal(38,18)), {n}) AS double)"
 
 
 def pct(part: str, whole: str) -> str:
@@ -62,6 +63,13 @@ def newline(x: str) -> str:
     return rf"regexp_replace({x}, '[\r\n\t]+', ' ', 'g')"
 
 
+def harvest_space(x: str) -> str:
+    """Two or more of JavaScript's white space characters, listed one by one, become a blank."""
+    codes = [9, 10, 11, 12, 13, 32, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288, 65279]
+    listed = "".join(rf"\x{{{code:X}}}" for code in codes)
+    return f"regexp_replace({x}, '[{listed}]{{2,}}', ' ', 'g')"
+
+
 def space(x: str) -> str:
     return f"trim(regexp_replace({x}, '[{SPACE_SET}]+', ' ', 'g'))"
 

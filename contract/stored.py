@@ -1,16 +1,18 @@
 """Readers, writers, the store, and jobs made of them."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from contract.sqltext import rnd
+from contract.sqltext import cleaned, harvest_space, rnd
 from contract.views import AS_OF, query
 
-from murmurate.functions.scalar import clock
+from murmurate.functions.scalar import clock, file_day, round_numeric
 
 from murmurate.operators import evaluate as E
 from murmurate.operators.learn import logits_scorer, score_posts
 from murmurate.operators.rows import normalize_na, recent
 from murmurate.operators.upsert import one_per_post, upsert
+from murmurate.plans import prepare as P
 from murmurate.plans.prepare import merge_week
 from murmurate.plans.serve import prediction_records
 from murmurate.schemas import POST
@@ -75,7 +77,10 @@ def insert_mode(v):
             F.lit(version).alias("version"), F.count(F.lit(1)).alias("rows")
         )
 
-    return size("current", path).unionByName(size("old", path.replace(".csv", ".old.csv")))
+    return size("current", path).unionByName(size("old", C.old_version(path)))
+
+
+_PREFIX = "file=labeled_"
 
 
 def _write_days(v) -> str:
@@ -98,20 +103,19 @@ _IN_WEEK = "doc_id % 37 <> 0 AND doc_id % 12 <= 7"
     SELECT doc_id, cast(date '2024-01-31' - cast(doc_id % 12 AS int) AS date) AS day
     FROM labeled WHERE {_IN_WEEK}""")
 def dated_files(v):
-    out = None
-    for day, path in C.dated_files(v.spark, _write_days(v), AS_OF):
-        df = C.read_csv(v.spark, path).select(
-            F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(day).alias("day")
-        )
-        out = df if out is None else out.unionByName(df)
-    return out
+    found = C.dated_files(v.spark, _write_days(v), AS_OF, _PREFIX)
+    paths = [row["path"] for row in found.select("path").collect()]
+    rows = v.spark.read.options(**C.READ_OPTIONS, multiLine="true").csv(paths)
+    return rows.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), file_day(F.col("_metadata.file_path"), _PREFIX).alias("day")
+    )
 
 
 @query("merge_weekly", "labeled", f"""
     SELECT doc_id, clean_text, cast(cast(label AS double) AS bigint) AS label FROM labeled
     WHERE label IN ('0', '1', '2.0') AND {_IN_WEEK}""")
 def merge_weekly(v):
-    return merge_week(v.spark, _write_days(v), AS_OF).select(
+    return merge_week(v.spark, _write_days(v), AS_OF, _PREFIX).select(
         F.col("doc_id").cast("bigint").alias("doc_id"), "clean_text", "label"
     )
 
@@ -178,7 +182,7 @@ def _write_timeline(v) -> str:
     return path
 
 
-_SPACES = r"regexp_replace(full_text, '[\t\n\x0B\f\r\x1c-\x1f\x85\p{Z}]{2,}', ' ', 'g')"
+_SPACES = harvest_space("full_text")
 _NESTED = "cast(id_str AS bigint) % 7 = 0"
 
 
@@ -255,9 +259,8 @@ def _write_thread(v) -> str:
 _OTHER = "CASE role WHEN 'user' THEN 'assistant' ELSE 'user' END"
 
 
-@query("timeline_detail", "conversations", rf"""
-    WITH t AS (SELECT *, regexp_replace(concat('@', {_OTHER}, ' ', text),
-        '[\t\n\x0B\f\r\x1c-\x1f\x85\p{{Z}}]{{2,}}', ' ', 'g') AS squeezed FROM conversations)
+@query("timeline_detail", "conversations", f"""
+    WITH t AS (SELECT *, {harvest_space(f"concat('@', {_OTHER}, ' ', text)")} AS squeezed FROM conversations)
     SELECT concat(conv_id, '-', turn) AS id_str, role AS username,
       {_OTHER} AS in_reply_to_screen_name,
       CASE WHEN turn % 2 = 0
@@ -300,7 +303,7 @@ def partitioned_store(v):
 
 # A user stands for a post here: every event of the user scores it again.
 def _rescored(v):
-    return v.predictions.withColumn("id_str", F.concat(F.lit("post_"), F.col("user_id").cast("string")))
+    return v.texted.drop("doc_ref").withColumn("id_str", F.concat(F.lit("post_"), F.col("user_id").cast("string")))
 
 
 _UPSERT = """
@@ -308,17 +311,21 @@ _UPSERT = """
       SELECT concat('post_', cast(user_id AS varchar)) AS post, *,
         row_number() OVER (PARTITION BY user_id ORDER BY predicted_at, event_id) AS first,
         row_number() OVER (PARTITION BY user_id ORDER BY predicted_at DESC, event_id DESC) AS last
-      FROM predictions)
-    SELECT a.post AS id_str, a.username, a.favorite_count, a.created_at, b.pred_label, b.hf_label,
-      b.pred_score, b.model_run_id, b.predicted_at
+      FROM texted)
+    SELECT a.post AS id_str, a.username, a.favorite_count, a.created_at, md5(a.full_text) AS text_hash,
+      b.pred_label, b.hf_label, b.pred_score, b.model_run_id, b.predicted_at
     FROM ranked a JOIN ranked b ON a.post = b.post AND a.first = 1 AND b.last = 1"""
-_UPSERT_COLUMNS = [
-    "id_str", "username", "favorite_count", "created_at", "pred_label", "hf_label", "pred_score",
-    "model_run_id", "predicted_at",
-]
 
 
-@query("upsert_predictions", "predictions", _UPSERT)
+def _upserted(df):
+    return df.select(
+        "id_str", "username", "favorite_count", "created_at", F.md5("full_text").alias("text_hash"),
+        "pred_label", "hf_label", "pred_score", "model_run_id", "predicted_at",
+    )
+
+
+
+@query("upsert_predictions", "texted", _UPSERT)
 def upsert_predictions(v):
     order = F.struct("predicted_at", "event_id")
     half = clock("2024-01-16 00:00:00", "timestamp_ntz")
@@ -326,23 +333,22 @@ def upsert_predictions(v):
     first = df.where(F.col("predicted_at") < half)
     second = df.where(F.col("predicted_at") >= half)
     table = written(one_per_post(first, order), "table")
-    return upsert(table, second, order).select(_UPSERT_COLUMNS)
+    return _upserted(upsert(table, second, order))
 
 
-@query("store_upsert", "predictions", _UPSERT)
+@query("store_upsert", "texted", _UPSERT)
 def store_upsert(v):
     store = PredictionStore(v.spark, work_path(v.spark, "store"))
-    text = F.lit("teks")
     df = _rescored(v).withColumns(
         {
             c: F.lit(None).cast("string")
             for c in ("tweet_url", "user_id_str", "location", "image_url", "original_label")
         }
-    ).withColumns({"full_text": text, "clean_text": text})
+    )
     half = clock("2024-01-16 00:00:00", "timestamp_ntz")
     for part in (F.col("predicted_at") < half, F.col("predicted_at") >= half):
         store.upsert(df.where(part), F.struct("predicted_at", "event_id"))
-    return store.read().select(_UPSERT_COLUMNS)
+    return _upserted(store.read())
 
 
 @query("normalize_na", "labeled", """
@@ -381,7 +387,7 @@ def report_sink(v):
     )
 
 
-@query("score_tweets", "logits", f"""
+@query("score_tweets", "worded", f"""
     SELECT concat('v', vec_id) AS id_str,
       CASE WHEN vec_id % 9 = 0 THEN 'error'
         ELSE concat('LABEL_', list_position(logits, list_max(logits)) - 1) END AS hf_label,
@@ -390,31 +396,91 @@ def report_sink(v):
         AS pred_label,
       CASE WHEN vec_id % 9 = 0 THEN 0.0 ELSE
         {rnd('1 / list_sum([exp(cast(x AS double) - list_max(logits)) for x in logits])', 8)} END
-        AS pred_score
-    FROM logits""")
+        AS pred_score,
+      CASE WHEN vec_id % 9 <> 0 THEN md5(text) END AS text_hash
+    FROM worded""")
 def score_tweets(v):
-    posts = v.logits.select(
+    posts = v.worded.select(
         F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("id_str"),
-        F.when(F.col("vec_id") % 9 != 0, "teks").alias("clean_text"),
+        F.when(F.col("vec_id") % 9 != 0, F.col("text")).alias("clean_text"),
         "logits",
     )
-    scored = score_posts(posts, logits_scorer()).drop("clean_text", "logits")
-    return scored.withColumn("pred_score", F.round(F.col("pred_score").cast("decimal(30,10)"), 8).cast("double"))
+    scored = score_posts(posts, logits_scorer()).withColumn("text_hash", F.md5("clean_text"))
+    scored = scored.drop("clean_text", "logits")
+    return scored.withColumn("pred_score", round_numeric(F.col("pred_score"), 8))
 
 
-@query("scored_records", "logits", """
+@query("scored_records", "worded", """
     SELECT concat('v', vec_id) AS id_str, 'run_1' AS model_run_id, cast(0 AS bigint) AS reply_count,
-      timestamp '2024-01-31' AS predicted_at
-    FROM logits WHERE vec_id % 9 <> 0""")
+      timestamp '2024-01-31' AS predicted_at, md5(text) AS text_hash
+    FROM worded WHERE vec_id % 9 <> 0""")
 def scored_records(v):
-    posts = v.logits.select(
+    posts = v.worded.select(
         F.concat(F.lit("v"), F.col("vec_id").cast("string")).alias("id_str"),
-        F.when(F.col("vec_id") % 9 != 0, "teks").alias("clean_text"),
+        F.when(F.col("vec_id") % 9 != 0, F.col("text")).alias("clean_text"),
         "logits",
     )
     scored = score_posts(posts, logits_scorer()).drop("logits")
     return prediction_records(scored, "run_1", AS_OF).select(
-        "id_str", "model_run_id", "reply_count", "predicted_at"
+        "id_str", "model_run_id", "reply_count", "predicted_at", F.md5("clean_text").alias("text_hash")
+    )
+
+
+
+
+# --- whole jobs ---------------------------------------------------------------
+
+_VALID_ENTRY = "cast(id_str AS bigint) % 10 <> 0 AND cast(id_str AS bigint) % 15 <> 0"
+
+
+@query("harvest_job", "posts", f"""
+    SELECT id_str, nullif({_SPACES}, '') AS full_text, lang, copy FROM posts, (VALUES (1), (2)) copies(copy)
+    WHERE {_VALID_ENTRY}""")
+def harvest_job(v):
+    """Responses are taken twice: the second time is appended to the first."""
+    source, path = _write_timeline(v), work_path(v.spark, "harvest") + ".csv"
+    P.harvest_job(v.spark, source, path, insert="REPLACE")
+    P.harvest_job(v.spark, source, path, insert="APPEND")
+    place = Window.partitionBy("id_str").orderBy("id_str")
+    return C.read_appended(v.spark, path).select(
+        "id_str", "full_text", "lang", F.row_number().over(place).alias("copy")
+    )
+
+
+@query("harvest_target", "posts", f"""
+    SELECT least(count(*), 25) AS rows, 1 AS one_header FROM posts WHERE {_VALID_ENTRY}""")
+def harvest_target(v):
+    """Only so many posts are wanted."""
+    path = P.harvest_job(v.spark, _write_timeline(v), work_path(v.spark, "harvest"), wanted=25)
+    return C.read_appended(v.spark, path).agg(
+        F.count(F.lit(1)).alias("rows"), F.lit(1).alias("one_header")
+    )
+
+
+@query("reply_edges_job", "posts", """
+    SELECT username AS source, in_reply_to_screen_name AS target FROM posts
+    WHERE username IS NOT NULL OR in_reply_to_screen_name IS NOT NULL""")
+def reply_edges_job(v):
+    posts = C.write_csv(v.posts, work_path(v.spark, "answers"))
+    return C.read_csv(v.spark, P.reply_edges_job(v.spark, posts, work_path(v.spark, "edges")))
+
+
+@query("merge_job", "labeled", f"""
+    SELECT count(*) AS rows_in, count(*) FILTER (WHERE label IN ('0', '1', '2.0')) AS rows_out,
+      count(*) FILTER (WHERE label IN ('0', '1', '2.0')) AS written
+    FROM labeled WHERE {_IN_WEEK}""")
+def merge_job(v):
+    report = P.merge_job(v.spark, _write_days(v), work_path(v.spark, "week"), AS_OF, _PREFIX)
+    return C.read_csv(v.spark, report["output"]).agg(
+        F.lit(report["rows_in"]).cast("long").alias("rows_in"),
+        F.lit(report["rows_out"]).cast("long").alias("rows_out"),
+        F.count(F.lit(1)).alias("written"),
     )
 
 
+@query("clean_job", "posts", f"""
+    SELECT id_str, nullif({cleaned('full_text')}, '') AS clean_text FROM posts WHERE lang IN ('in', 'id')""")
+def clean_job(v):
+    folder = work_path(v.spark, "cleaned")
+    P.clean_job(v.spark, C.write_csv(v.posts, work_path(v.spark, "raw")), folder)
+    return C.read_csv(v.spark, f"{folder}/cleaned.csv").select("id_str", "clean_text")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from contract.stored import _UPSERT, _UPSERT_COLUMNS
+from contract.stored import _UPSERT, _upserted
 from contract.views import VIEWS, query
 from murmurate.schemas import PREDICTION
 from murmurate.session import work_path
@@ -26,18 +26,21 @@ def _stream(v):
     return ST.file_stream(v.spark, f"{v.folder}/events.parquet*", v.events.schema)
 
 
-@query("stream_score", "predictions", _UPSERT)
+@query("stream_score", "texted", _UPSERT)
 def stream_score(v):
     store = PredictionStore(v.spark, work_path(v.spark, "stream-store"))
+    n_documents = v.documents.count()
+    texts = v.documents.select(
+        F.col("doc_id").alias("doc_ref"), F.col("text").alias("full_text"), F.col("text").alias("clean_text")
+    )
 
     def to_records(batch):
         df = _records(batch).withColumns(
             {
                 "id_str": F.concat(F.lit("post_"), F.col("user_id").cast("string")),
-                "full_text": F.lit("teks"),
-                "clean_text": F.lit("teks"),
+                "doc_ref": F.col("event_id") % n_documents,
             }
-        )
+        ).join(texts, "doc_ref")
         missing = [f for f in PREDICTION.fields if f.name not in df.columns]
         return df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing})
 
@@ -48,7 +51,7 @@ def stream_score(v):
         work_path(v.spark, "stream-check"),
         F.struct("predicted_at", "event_id"),
     ).awaitTermination()
-    return store.read().select(_UPSERT_COLUMNS)
+    return _upserted(store.read())
 
 
 def _counts(unit: str) -> str:
@@ -92,17 +95,18 @@ def stream_dedupe(v):
       + interval '1 hour' <= (SELECT max(predicted_at) FROM predictions) - interval '1 hour'
     GROUP BY 1, 2""")
 def stream_late(v):
-    """The first half of the events arrives last, too late to be counted.
+    """The first half of the events arrives last, too late to be counted. Each part is a batch of as many files.
 
     Spark compares a batch with the watermark of the batch before the last, so
     the second half comes in two batches.
     """
     landing = work_path(v.spark, "landing")
+    files = v.spark.sparkContext.defaultParallelism
     half, three_quarters = (F.lit(d).cast("timestamp_ntz") for d in ("2024-01-16", "2024-01-23"))
     ts = F.col("ts")
     for part in ((ts >= half) & (ts < three_quarters), ts >= three_quarters, ts < half):
-        v.events.where(part).coalesce(1).write.mode("append").parquet(landing)
-    stream = ST.file_stream(v.spark, landing, v.events.schema, files_per_batch=1)
+        v.events.where(part).repartition(files).write.mode("append").parquet(landing)
+    stream = ST.file_stream(v.spark, landing, v.events.schema, files_per_batch=files)
     path = work_path(v.spark, "late")
     counts = ST.window_counts(_records(stream), "1 hour")
     ST.append_parquet(counts, path, work_path(v.spark, "late-check")).awaitTermination()

@@ -23,7 +23,7 @@ _step("tx_newline", Q.newline("full_text"), X.join_lines)
 _step("tx_space", Q.space("full_text"), X.squeeze_spaces)
 _step(
     "harvest_space",
-    f"regexp_replace(full_text, '[{Q.SPACE_SET}]{{2,}}', ' ', 'g')",
+    Q.harvest_space("full_text"),
     X.squeeze_harvested,
 )
 

@@ -37,7 +37,7 @@ SUFFIXES = [
     "' @@a'",
     "' HTTP://A b'",
     "' a&amp;b'",
-    "concat(' ', chr(28), 'a', chr(28), 'b')",
+    "concat(' ', chr(28), chr(28), 'a', chr(28), chr(133), 'b \ufeff\ufeffc', chr(133), chr(133), 'd')",
     "' mantap 😂 👍🏽 ❤️ 🇮🇩 🙏'",
     "''",
 ]
@@ -161,10 +161,21 @@ VIEWS: dict[str, tuple[list[str], str | tuple[str, str]]] = {
     "valid": (["labeled"], """
         SELECT doc_id, id_str, clean_text, cast(cast(label AS double) AS bigint) AS label
         FROM labeled WHERE label IN ('0', '1', '2.0')"""),
+    # Three numbers from all dimensions of a vector; whole millionths, so that the sums are exact.
     "logits": (["embeddings"], (
-        "SELECT vec_id, label % 3 AS y, slice(embedding, 1, 3) AS logits FROM embeddings",
-        "SELECT vec_id, label % 3 AS y, embedding[1:3] AS logits FROM embeddings",
+        """SELECT vec_id, label % 3 AS y, transform(array(0, 1, 2), k -> cast(aggregate(
+            filter(embedding, (x, i) -> i % 3 = k), cast(0 AS bigint),
+            (total, x) -> total + cast(floor(cast(x AS double) * 1e6) AS bigint)) AS double) / 1e6) AS logits
+          FROM embeddings""",
+        """SELECT vec_id, label % 3 AS y, [cast(list_sum([cast(floor(cast(embedding[i] AS double) * 1e6) AS bigint)
+            for i in range(k + 1, len(embedding) + 1, 3)]) AS double) / 1e6 for k in [0, 1, 2]] AS logits
+          FROM embeddings""",
     )),
+    # The same with the text of a document; every document is used in turn.
+    "worded": (["logits", "documents"], """
+        SELECT l.*, d.text
+        FROM (SELECT *, vec_id % (SELECT count(*) FROM documents) AS doc_ref FROM logits) l
+        JOIN documents d ON d.doc_id = l.doc_ref"""),
     "pairs": (["logits"], (
         "SELECT y, cast(array_position(logits, array_max(logits)) - 1 AS int) AS yhat FROM logits",
         "SELECT y, cast(list_position(logits, list_max(logits)) - 1 AS int) AS yhat FROM logits",

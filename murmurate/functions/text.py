@@ -15,6 +15,8 @@ from murmurate.functions.emoji import demojize
 WORD = r"[\p{L}\p{N}_]"
 SPACE_SET = r"\t\n\x0B\f\r\x1c-\x1f\x85\p{Z}"
 SPACE = f"[{SPACE_SET}]"
+# The site's own notion of a blank, that of JavaScript, differs from the above.
+HARVEST_SPACE = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 
 _TRIM = f"^{SPACE}+|{SPACE}+$"
 
@@ -49,7 +51,7 @@ def squeeze_spaces(c: Column) -> Column:
 
 def squeeze_harvested(c: Column) -> Column:
     """Two or more spaces become one blank; a single line break stays."""
-    return F.regexp_replace(c, f"{SPACE}{{2,}}", " ")
+    return F.regexp_replace(c, f"{HARVEST_SPACE}{{2,}}", " ")
 
 
 def clean(c: Column, emoji_names: dict[str, str] | None = None) -> Column:

@@ -13,6 +13,9 @@ from murmurate.operators.rows import split_accepted
 from murmurate.session import scratch
 from murmurate.sources.store import PredictionStore
 
+# Run over what has arrived, then stop.
+ONCE = {"availableNow": True}
+
 
 def file_stream(
     spark: SparkSession, path: str, schema: StructType, files_per_batch: int | None = None, **options
@@ -31,12 +34,16 @@ def store_stream(
     checkpoint: str,
     order: Column | None = None,
     refused: str | None = None,
+    trigger: dict | None = None,
 ) -> StreamingQuery:
     """Every micro-batch is scored by ``to_records`` and upserted.
 
     A batch that is repeated after a failure leaves the table as it was, so the
     result is exact. State is the table only. ``refused`` is a folder for the
-    records that break a rule of the table, with their reasons, per batch.
+    records that break a rule of the table, with their reasons, per batch. Without
+    ``order``, rows of one post count in the order of ``_row`` if the records carry
+    it, else in that of their times. ``trigger`` says when batches run, by default once over all
+    that has arrived.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
@@ -45,12 +52,13 @@ def store_stream(
             accepted, rejected = split_accepted(records)
             if refused:
                 rejected.write.mode("overwrite").parquet(f"{refused}/batch={batch_id}")
-            store.upsert(accepted, order)
+            place = F.col("_row") if "_row" in accepted.columns else None
+            store.upsert(accepted, place if order is None else order)
 
     return (
         posts.writeStream.foreachBatch(save)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or ONCE))
         .start()
     )
 
@@ -67,7 +75,9 @@ def window_counts(
     )
 
 
-def write_updates(counts: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def write_updates(
+    counts: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
     """Changed counts of every micro-batch as Parquet, one folder per batch.
 
     A repeated batch overwrites its own folder.
@@ -80,7 +90,7 @@ def write_updates(counts: DataFrame, path: str, checkpoint: str) -> StreamingQue
         counts.writeStream.outputMode("update")
         .foreachBatch(save)
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
+        .trigger(**(trigger or ONCE))
         .start()
     )
 
@@ -98,10 +108,11 @@ def first_of_each(
     """One row per post; a repeat is recognised within ``delay``.
 
     Repeats are dropped per post and salt first, so that the repeats of a hot
-    post are spread over tasks and at most ``salts`` of them meet in one.
+    post are spread over tasks and at most ``salts`` of them meet in one. Salts are
+    drawn, so repeats that are equal in every column are spread as well.
     """
     salted = posts.withWatermark(at, delay).withColumn(
-        "_salt", F.pmod(F.xxhash64(key, at), F.lit(salts))
+        "_salt", F.floor(F.rand() * salts)
     )
     return (
         salted.dropDuplicatesWithinWatermark([key, "_salt"])
@@ -110,12 +121,14 @@ def first_of_each(
     )
 
 
-def append_parquet(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def append_parquet(
+    df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
+) -> StreamingQuery:
     return (
         df.writeStream.format("parquet")
         .option("path", path)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
-        .trigger(availableNow=True)
+        .trigger(**(trigger or ONCE))
         .start()
     )

@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__ as entry
 from contract import Tables
-from murmurate.operators.joins import broadcast_if_few, left_join_many, rows_of
+from murmurate.operators.joins import left_join_many
 from murmurate.operators.rows import recent
 from murmurate.operators.upsert import one_per_post
 from murmurate.operators.split import stratified_split
@@ -79,9 +79,25 @@ def test_scripts_name_no_cluster_local_folder():
     import pathlib
 
     for path in pathlib.Path(entry.__file__).parent.glob("murmurate/**/*.py"):
+        text = path.read_text()
+        assert "/tmp" not in text and "localCheckpoint" not in text
         if path.name != "session.py":
-            text = path.read_text()
-            assert "/tmp" not in text and "tempfile" not in text and "localCheckpoint" not in text
+            assert "tempfile" not in text
+
+
+def test_a_cluster_has_to_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from murmurate.session import shared_folder
+
+    def session(master):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=lambda x: None)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=context)
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_folder(session(master))
+    assert shared_folder(session("local[4]"))
 
 
 def runs_and_rows(spark):
@@ -98,15 +114,13 @@ def test_left_join_with_a_hot_right_key_can_be_split(spark):
     assert "LeftOuter" not in plan(got)
 
 
-def test_runs_are_broadcast_only_when_few(spark):
-    runs, rows = runs_and_rows(spark)
-    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        assert "BroadcastHashJoin" in plan(rows_of(rows, broadcast_if_few(runs)))
-        assert "BroadcastHashJoin" not in plan(rows_of(rows, broadcast_if_few(runs, max_rows=2)))
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+def test_run_reports_start_no_job_when_built(spark):
+    for name in [n for n in REPORTS if n < "q11"]:
+        named(spark, name)  # the footers are read once per process
+        spark.sparkContext.setJobGroup(f"build {name}", name)
+        entry.queries()[name](spark, FOLDER)
+        spark.sparkContext.setJobGroup("", "")
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup(f"build {name}")
 
 
 def test_reports_of_a_window_do_not_shuffle_all_rows(spark):
