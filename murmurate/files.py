@@ -37,18 +37,6 @@ def rename(spark: SparkSession, source: str, target: str) -> None:
         fs.delete(aside, True)
 
 
-def make_folder(spark: SparkSession, path: str) -> None:
-    fs, p = _fs(spark, path)
-    fs.mkdirs(p)
-
-
-def move_into(spark: SparkSession, source: str, folder: str) -> None:
-    """Move a file into a folder, which is made if it is not there."""
-    _, p = _fs(spark, source)
-    make_folder(spark, folder)
-    rename(spark, source, f"{folder}/{p.getName()}")
-
-
 def delete(spark: SparkSession, path: str) -> None:
     fs, p = _fs(spark, path)
     fs.delete(p, True)

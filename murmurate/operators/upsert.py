@@ -6,14 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmurate.schemas import PREDICTION_FIELDS
-from murmurate.session import written
 
 
 def one_per_post(incoming: DataFrame, order: Column, key: str = "id_str") -> DataFrame:
-    """A batch reduced to one row per post: first metadata, last prediction.
+    """Rows reduced to one per post: first metadata, last prediction.
 
     The aggregate combines on the map side, so a post that fills a third of the
-    batch reaches the shuffle as one row per task. Whole structs are compared
+    rows reaches the shuffle as one row per task. Whole structs are compared
     by ``order``, which keeps the columns of one row together.
     """
     last = [c for c in PREDICTION_FIELDS if c in incoming.columns]
@@ -30,46 +29,14 @@ def one_per_post(incoming: DataFrame, order: Column, key: str = "id_str") -> Dat
     )
 
 
-def _latest(reduced: DataFrame, key: str) -> DataFrame:
-    """Key and the new prediction as one struct."""
-    last = [c for c in PREDICTION_FIELDS if c in reduced.columns]
-    return reduced.select(key, F.struct(*last).alias("_new"))
-
-
-def _with_latest(joined: DataFrame, columns: list[str]) -> DataFrame:
-    new = joined.schema["_new"].dataType.fieldNames()
-    return joined.select(
-        *[
-            F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c)
-            if c in new
-            else F.col(c)
-            for c in columns
-        ]
-    )
-
-
-def updated_posts(existing: DataFrame, reduced: DataFrame, key: str = "id_str") -> DataFrame:
-    """Only the existing posts of the batch, with their new prediction."""
-    return _with_latest(existing.join(_latest(reduced, key), key), existing.columns)
-
-
-def merge_posts(existing: DataFrame, reduced: DataFrame, key: str = "id_str") -> DataFrame:
-    """Existing posts take the new prediction, unknown posts are added.
-
-    Both sides hold a post once, so neither join can be skewed. The large side
-    is shuffled only when the batch is too big for Spark to broadcast.
-    """
-    kept = _with_latest(existing.join(_latest(reduced, key), key, "left"), existing.columns)
-    known = existing.select(key).join(reduced.select(key), key, "left_semi")
-    added = reduced.join(known, key, "left_anti")
-    return kept.unionByName(added.select(existing.columns))
-
-
 def upsert(
     existing: DataFrame, incoming: DataFrame, order: Column, key: str = "id_str"
 ) -> DataFrame:
-    """Merge a batch into the existing posts.
-
-    The reduced batch is used three times, so it is written once first.
-    """
-    return merge_posts(existing, written(one_per_post(incoming, order, key), "batch"), key)
+    """Merge a batch into the existing posts: one aggregate over both, what exists comes first."""
+    batch = incoming.withColumn("_order", order)
+    place = batch.schema["_order"].dataType
+    columns = existing.columns
+    both = existing.withColumns({"_new": F.lit(False), "_order": F.lit(None).cast(place)}).unionByName(
+        batch.select(*columns, F.lit(True).alias("_new"), "_order")
+    )
+    return one_per_post(both, F.struct("_new", "_order"), key).select(*columns)

@@ -1,17 +1,14 @@
-"""The prediction table: Parquet folders by day of prediction."""
+"""The prediction table, and predictions as Parquet folders by day."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from murmurate import files
-from murmurate.operators.upsert import one_per_post, updated_posts
+from murmurate.operators.upsert import one_per_post
 from murmurate.schemas import PREDICTION
-from murmurate.session import scratch
 
 PARTITION = "predicted_date"
 
@@ -41,100 +38,58 @@ def write_by_day(df: DataFrame, path: str, mode: str = "overwrite") -> str:
 class PredictionStore:
     """Predictions of posts, one row per post, one writer at a time.
 
-    New posts are appended to their day. A post that is scored again leaves its
-    day and is appended to the day of its new prediction, so only the days that
-    held posts of the batch are rewritten. All of it is staged completely before
-    anything is put in place; a writer that died in between is caught up by the
-    next one.
+    The table is a log: a batch is reduced to one row per post and written as a
+    folder of its own, and nothing that stands is touched. Reading takes the first
+    metadata and the last prediction of each post by one aggregate. ``compact``
+    writes that result as a snapshot, which replaces all that came before it.
+
+    Folders count once Spark has written their ``_SUCCESS``. A writer that died
+    leaves one without, whose number the next writer takes.
     """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark = spark
         self.path = path.rstrip("/")
-        self._rest = f"{self.path}/_rest"
-        self._added = f"{self.path}/_added"
-        self._gone = f"{self.path}/_gone"
-        self._plan = f"{self.path}/_plan"
+
+    def _complete(self) -> list[tuple[int, str, str]]:
+        """Number, kind and path of the complete folders from the last snapshot on."""
+        found = []
+        for kind in ("snapshot", "batch"):
+            for marker in files.glob(self.spark, f"{self.path}/{kind}-*/_SUCCESS"):
+                folder = marker.rsplit("/", 1)[0]
+                found.append((int(folder.rsplit("-", 1)[1]), kind, folder))
+        newest = max((n for n, kind, _ in found if kind == "snapshot"), default=0)
+        return sorted(x for x in found if x[0] >= newest)
+
+    def _write(self, df: DataFrame, kind: str) -> int:
+        number = max((n for n, _, _ in self._complete()), default=0) + 1
+        df.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(
+            f"{self.path}/{kind}-{number:012d}"
+        )
+        return number
 
     def read(self) -> DataFrame:
-        """The table; ``predicted_date`` prunes folders."""
-        schema = T.StructType([*PREDICTION.fields, T.StructField(PARTITION, T.DateType())])
-        if not files.exists(self.spark, self.path):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self.path)
+        """The table, with the day of each prediction."""
+        folders = [folder for _, _, folder in self._complete()]
+        if not folders:
+            return with_day(self.spark.createDataFrame([], PREDICTION))
+        schema = T.StructType([*PREDICTION.fields, T.StructField("_batch", T.LongType())])
+        log = self.spark.read.schema(schema).parquet(*folders)
+        return with_day(one_per_post(log, F.col("_batch")).drop("_batch"))
 
     def upsert(self, incoming: DataFrame, order: Column | None = None) -> None:
         """Store a batch; the same batch stored twice gives the same table."""
-        self.recover()
         order = F.col("predicted_at") if order is None else order
         typed = incoming.withColumn("_order", order).select(
             *[F.col(f.name).cast(f.dataType).alias(f.name) for f in PREDICTION.fields], "_order"
         )
-        # The batch is read several times and may come from a model: it is written once.
-        with scratch(self.spark) as keep:
-            self._merge(keep(one_per_post(typed, F.col("_order")).drop("_order"), "batch"), keep)
+        self._write(one_per_post(typed, F.col("_order")).drop("_order"), "batch")
 
-    def _merge(self, reduced: DataFrame, keep: Callable[..., DataFrame]) -> None:
-        first, last = reduced.agg(F.min("id_str"), F.max("id_str")).first()
-        if first is None:
+    def compact(self) -> None:
+        """Write the table as one snapshot and delete what it replaces."""
+        before = self._complete()
+        if not before:
             return
-
-        # Ids grow with time, so their range lets the scan skip what is older.
-        table = self.read()
-        near = table.where(F.col("id_str").between(first, last))
-        held = keep(
-            near.select("id_str", PARTITION).join(reduced.select("id_str"), "id_str", "left_semi"),
-            "held",
-        )
-        # A row per day.
-        days = [r[0] for r in held.select(PARTITION).distinct().collect()]
-        ids = held.select("id_str")
-        rewritten = F.col(PARTITION).isin(days)
-        added = reduced.join(ids, "id_str", "left_anti")
-        if days:
-            moved = updated_posts(near.where(rewritten).drop(PARTITION), reduced)
-            added = added.unionByName(moved)
-            write_by_day(table.where(rewritten).join(ids, "id_str", "left_anti"), self._rest)
-        write_by_day(added, self._added)
-        self._commit(days)
-
-    def compact(self, since: str, until: str) -> None:
-        """Write the days ``since <= day < until`` anew, small files together."""
-        self.recover()
-        day = F.col(PARTITION)
-        part = self.read().where((day >= F.lit(since).cast("date")) & (day < F.lit(until).cast("date")))
-        days = [r[0] for r in part.select(PARTITION).distinct().collect()]
-        if days:
-            write_by_day(part, self._rest)
-            self._commit(days)
-
-    def _commit(self, days: list) -> None:
-        """Note that staging is complete and which days are replaced, then replace them."""
-        plan = [(str(d), files.exists(self.spark, f"{self._rest}/{PARTITION}={d}")) for d in days]
-        self.spark.createDataFrame(plan, "day string, filled boolean").coalesce(1).write.mode(
-            "overwrite"
-        ).parquet(self._plan)
-        self.recover()
-
-    def recover(self) -> None:
-        """Put staged data in place; without complete staging, drop it.
-
-        Every step can be repeated: what is no longer staged has been moved, and
-        a day that was emptied is put aside before anything is added to it.
-        """
-        spark = self.spark
-        if files.exists(spark, f"{self._plan}/_SUCCESS"):
-            for day, filled in spark.read.parquet(self._plan).collect():
-                rest, kept, gone = (
-                    f"{p}/{PARTITION}={day}" for p in (self._rest, self.path, self._gone)
-                )
-                if filled:
-                    if files.exists(spark, rest):
-                        files.rename(spark, rest, kept)
-                elif files.exists(spark, kept) and not files.exists(spark, gone):
-                    files.make_folder(spark, self._gone)
-                    files.rename(spark, kept, gone)
-            for path in files.glob(spark, f"{self._added}/{PARTITION}=*/*.parquet"):
-                files.move_into(spark, path, f"{self.path}/{path.split('/')[-2]}")
-        for path in (self._plan, self._rest, self._added, self._gone):
-            files.delete(spark, path)
+        self._write(self.read().drop(PARTITION), "snapshot")
+        for _, _, folder in before:
+            files.delete(self.spark, folder)
