@@ -50,6 +50,12 @@ def emoji(x: str) -> str:
         "❤️": "red_heart",
         "🇮🇩": "Indonesia",
         "🙏": "folded_hands",
+        "👨‍👩‍👧": "family_man_woman_girl",
+        "👩🏿‍💻": "woman_technologist_dark_skin_tone",
+        "2️⃣": "keycap_2",
+        "🤷‍♀️": "woman_shrugging",
+        "🏳️‍🌈": "rainbow_flag",
+        "😡": "enraged_face",
     }.items():
         x = f"replace({x}, '{found}', ':{name}:')"
     return x

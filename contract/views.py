@@ -38,7 +38,7 @@ SUFFIXES = [
     "' HTTP://A b'",
     "' a&amp;b'",
     "concat(' ', chr(28), chr(28), 'a', chr(28), chr(133), 'b \ufeff\ufeffc', chr(133), chr(133), 'd')",
-    "' mantap 😂 👍🏽 ❤️ 🇮🇩 🙏'",
+    "' mantap 😂 👍🏽 ❤️ 🇮🇩 🙏 👨‍👩‍👧 👩🏿‍💻 2️⃣ 🤷‍♀️ 🏳️‍🌈 😡'",
     "''",
 ]
 

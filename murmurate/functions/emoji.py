@@ -2,26 +2,21 @@
 
 Names follow the English short names of the Unicode locale data. They are made
 from the character names by rule, with a list of exceptions; a caller with the
-full table passes it as ``names``.
+full table passes it as ``names``. The table of all sequences is built on the
+driver and is a constant of the plan, so the texts never leave the JVM.
 """
 
 from __future__ import annotations
 
+import json
 import re
-import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The one Python function that runs in tasks travels with its code, so executors
-# need no copy of this package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 # --- fixed values -----------------------------------------------------------
 
 # Code points with the Emoji property above U+007F (Unicode emoji-data).
@@ -105,6 +100,10 @@ EXCEPTIONS = {
     "🅱": "B_button_(blood_type)", "🔝": "TOP_arrow", "🔜": "SOON_arrow", "💏": "kiss",
     "🥇": "1st_place_medal", "🥈": "2nd_place_medal", "🥉": "3rd_place_medal",
     "♀": "female_sign", "♂": "male_sign", "☠": "skull_and_crossbones", "⚠": "warning",
+    "🆙": "UP!_button", "☑": "check_box_with_check", "✴": "eight-pointed_star", "🔫": "water_pistol",
+    "😡": "enraged_face", "🤗": "smiling_face_with_open_hands", "👿": "angry_face_with_horns",
+    "🤖": "robot", "👴": "old_man", "👵": "old_woman", "📈": "chart_increasing",
+    "📉": "chart_decreasing", "🔒": "locked", "🔓": "unlocked",
 }
 
 # Objects that turn a person into a profession when joined to it.
@@ -135,10 +134,13 @@ _JOINER = "‍"
 _VARIATION = "️"
 _KEYCAP = "⃣"
 
-# Where emoji can start: few ranges, so that a text is passed over quickly. Rows
-# without any of these never leave the JVM.
+# Where emoji can start: few ranges, so that a text is passed over quickly.
 _START = "©®‼-㊙\U0001F000-\U0001FAFF"
-CANDIDATE = f"[{_START}\uFE0E\uFE0F]"
+CANDIDATE = f"[{_START}\uFE0E\uFE0F{_KEYCAP}]"
+# People that have a female and a male form without a skin tone.
+_PLAIN_PAIRS = "👯🤼🧞🧟"
+_PEOPLE = {"👨": "man", "👩": "woman", "🧑": ""}
+_CHILDREN = {"👧": "girl", "👦": "boy"}
 
 
 def _code_points(ranges: str) -> Iterator[int]:
@@ -185,78 +187,106 @@ def country_names(spark) -> dict[str, str]:
     return flags
 
 
-def _joined_name(parts: list[str], shade: str, table: dict[str, str]) -> str | None:
-    """Short name of a joined sequence: profession, hair colour or gender."""
-    if len(parts) != 2:
-        return None
-    who = {"👨": "man", "👩": "woman", "🧑": ""}.get(parts[0])
-    tone = f"_{shade}" if shade else ""
-    if who is not None and parts[1] in PROFESSIONS:
-        return "_".join(x for x in (who, PROFESSIONS[parts[1]]) if x) + tone
-    if who is not None and parts[1] in HAIR:
-        return f"{who or 'person'}{tone}_{HAIR[parts[1]]}"
-    if parts[1] in "♀♂" and parts[0] in table:
-        sex = "woman" if parts[1] == "♀" else "man"
-        base = table[parts[0]]
-        return (sex + base[6:] if base.startswith("person_") else f"{sex}_{base}") + tone
-    return None
-
-
-def _namer(names: dict[str, str]):
-    """A function text → text; the longest known sequence is named as one."""
-    table = {k.replace(_VARIATION, ""): v for k, v in names.items()}
-    tones = {chr(code): name for code, name in SKIN_TONES.items()}
-    takes_tone = {chr(code) for code in _code_points(TONE_RANGES)}
-    after = f"[{_VARIATION}{''.join(tones)}\U000E0020-\U000E007F]*"
-    sequence = re.compile(f"[{_START}]{after}(?:{_JOINER}[{_START}]{after})*")
-    flags = (k for k in table if _FLAG_A <= ord(k[0]) < _FLAG_A + 26)
-    flags_first = sorted(flags, key=len, reverse=True)
-    flag = re.compile("|".join(map(re.escape, flags_first)) or "(?!)")
-    flag_starts = {k[0] for k in flags_first}
-    keycap = re.compile(f"([0-9#*]){_VARIATION}?{_KEYCAP}")
-
-    def simple(part: str) -> str:
-        """One emoji with whatever follows it; a tone it does not take is named apart."""
-        base, shades = part[0], part[1:]
-        if base not in table:
-            return part
-        name = table[base]
-        if shades and shades[0] in tones and base in takes_tone:
-            name, shades = f"{name}_{tones[shades[0]]}", shades[1:]
-        return f":{name}:" + "".join(f":{tones[x]}:" if x in tones else x for x in shades)
-
-    def named(m: re.Match) -> str:
-        found = m.group().replace(_VARIATION, "")
-        if found in table:
-            return f":{table[found]}:"
-        parts = found.split(_JOINER)
-        shade = next((tones[x] for x in parts[0][1:] if x in tones), "")
-        joined = _joined_name([p[0] for p in parts], shade, table)
-        return f":{joined}:" if joined else _JOINER.join(map(simple, parts))
-
-    def convert(text: str) -> str:
-        if _KEYCAP in text:
-            text = keycap.sub(r":keycap_\1:", text)
-        if not flag_starts.isdisjoint(text):
-            text = flag.sub(lambda m: f":{table[m.group()]}:", text)
-        return sequence.sub(named, text).replace(_VARIATION, "").replace("\uFE0E", "")
-
-    return convert
+def _joined(table: dict[str, str]) -> Iterator[tuple[str, str]]:
+    """Sequences of several emoji: people with an object, hair or gender, families, couples."""
+    shades = {"": "", **{chr(code): f"_{name}" for code, name in SKIN_TONES.items()}}
+    for tone, shade in shades.items():
+        for person, who in _PEOPLE.items():
+            for thing, name in PROFESSIONS.items():
+                yield person + tone + _JOINER + thing, "_".join(x for x in (who, name) if x) + shade
+            for thing, name in HAIR.items():
+                yield person + tone + _JOINER + thing, f"{who or 'person'}{shade}_{name}"
+        takes_gender = map(chr, _code_points(TONE_RANGES))
+        for base in [*takes_gender, *_PLAIN_PAIRS] if tone == "" else takes_gender:
+            for sign, sex in (("♀", "woman"), ("♂", "man")):
+                name = table.get(base, "")
+                if name:
+                    gendered = sex + name[6:] if name.startswith("person_") else f"{sex}_{name}"
+                    yield base + tone + _JOINER + sign, gendered + shade
+    adults = [("👨",), ("👩",), ("👨", "👨"), ("👨", "👩"), ("👩", "👩")]
+    children = [("👦",), ("👧",), ("👧", "👦"), ("👦", "👦"), ("👧", "👧")]
+    for parents in adults:
+        for kids in children:
+            names = [_PEOPLE[x] for x in parents] + [_CHILDREN[x] for x in kids]
+            yield _JOINER.join(parents + kids), "_".join(["family", *names])
+    two_tones = [(a, b, x + ("" if a == b else y)) for a, x in shades.items() for b, y in shades.items() if bool(a) == bool(b)]
+    for a, b, shade in two_tones:
+        yield f"🧑{a}{_JOINER}🤝{_JOINER}🧑{b}", "people_holding_hands" + shade
+        for one, two in (("👩", "👨"), ("👨", "👨"), ("👩", "👩"), ("🧑", "🧑")):
+            names = f"{_PEOPLE[one] or 'person'}_{_PEOPLE[two] or 'person'}{shade}"
+            yield f"{one}{a}{_JOINER}❤{_JOINER}{two}{b}", f"couple_with_heart_{names}"
+            yield f"{one}{a}{_JOINER}❤{_JOINER}💋{_JOINER}{two}{b}", f"kiss_{names}"
+
+
+def sequence_table(names: dict[str, str] | None = None) -> dict[str, str]:
+    """All known sequences, without variation selectors, to their names; ``names`` come first."""
+    single = emoji_table()
+    table = {f"{sign}{_KEYCAP}": f"keycap_{sign}" for sign in "0123456789#*"}
+    table |= dict(_joined(single))
+    for code in _code_points(TONE_RANGES):
+        if chr(code) in single:
+            table |= {chr(code) + chr(tone): f"{single[chr(code)]}_{name}" for tone, name in SKIN_TONES.items()}
+    table |= single
+    return {k.replace(_VARIATION, ""): v for k, v in (table | (names or {})).items()}
+
+
+# The constant is an array of small maps, as a map is searched from its first key.
+_SLOTS = 512
+
+
+def _constant(table: dict[str, str]) -> Column:
+    slots: list[dict[str, str]] = [{} for _ in range(_SLOTS)]
+    for key, name in table.items():
+        slots[ord(key[0]) % _SLOTS][key] = name
+    return F.from_json(F.lit(json.dumps(slots)), "array<map<string,string>>")
 
 
 def demojize(c: Column, names: dict[str, str] | None = None) -> Column:
     """Replace every emoji by ``:name:``; loose variation selectors go.
 
-    ``names`` adds to or replaces entries of :func:`emoji_table`. Texts go to
-    Python only when they hold a candidate; the flags_first cross as NULL.
+    ``names`` adds to or replaces entries of :func:`sequence_table`. The longest known
+    sequence is named as one; of an unknown one every emoji is named by itself, and a
+    skin tone it does not take is named apart. Only texts that hold a candidate are cut
+    into emoji and what stands between them.
     """
-    table = {**emoji_table(), **(names or {})}
-
-    @F.pandas_udf("string")
-    def named(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        convert = _namer(table)
-        for texts in batches:
-            yield texts.map(convert, na_action="ignore")
-
+    table = _constant(sequence_table(names))
+    tones = {chr(code): name for code, name in SKIN_TONES.items()}
+    after = f"[{_VARIATION}{''.join(tones)}\U000E0020-\U000E007F]*"
+    flag = f"[{chr(_FLAG_A)}-{chr(_FLAG_A + 25)}]"
+    token = "|".join(
+        [
+            f"[0-9#*]{_VARIATION}?{_KEYCAP}",
+            flag + flag,
+            f"[{_START}]{after}(?:{_JOINER}[{_START}]{after})*",
+            f"[^{_START}0-9#*]+",
+            f"[0-9#*]+(?!{_VARIATION}?{_KEYCAP})",
+            "[0-9#*]",
+        ]
+    )
+
+    def lookup(key: Column) -> Column:
+        slot = F.pmod(F.ascii(key), F.lit(_SLOTS))
+        return F.try_element_at(F.get(table, slot), key)
+
+    def alone(part: Column) -> Column:
+        """One emoji with whatever follows it."""
+        rest = F.substring(part, F.lit(2), F.char_length(part))
+        for tone, name in tones.items():
+            rest = F.replace(rest, F.lit(tone), F.lit(f":{name}:"))
+        first = lookup(F.left(part, F.lit(1)))
+        return F.coalesce(
+            F.concat(F.lit(":"), lookup(part), F.lit(":")),
+            F.concat(F.lit(":"), first, F.lit(":"), rest),
+            part,
+        )
+
+    def named(found: Column) -> Column:
+        key = F.replace(found, F.lit(_VARIATION), F.lit(""))
+        parts = F.array_join(F.transform(F.split(key, _JOINER), alone), _JOINER)
+        known = F.concat(F.lit(":"), lookup(key), F.lit(":"))
+        return F.when(found.rlike(f"^(?:[{_START}]|[0-9#*]{_VARIATION}?{_KEYCAP})"), F.coalesce(known, parts)).otherwise(found)
+
+    tokens = F.regexp_extract_all(c, F.lit(token), F.lit(0))
+    whole = F.translate(F.array_join(F.transform(tokens, named), ""), _VARIATION + "\uFE0E", "")
     candidate = (F.octet_length(c) != F.char_length(c)) & c.rlike(CANDIDATE)
-    return F.coalesce(named(F.when(candidate, c)), c)
+    return F.when(candidate, whole).otherwise(c)
