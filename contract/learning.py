@@ -12,16 +12,20 @@ from murmurate.operators.aggregates import pivot_keys
 from murmurate.operators.rows import valid_labels
 from murmurate.operators.split import stratified_split
 from murmurate.plans.learn import evaluate, split_rows, train
-from murmurate.session import work_path
+from murmurate.schemas import LABEL_NAMES
+from murmurate.session import work_path, written
 
 
-@query("stratified_split", "valid", """
-    WITH counts AS (SELECT label, count(*) AS n FROM valid GROUP BY label),
+_QUOTA = """counts AS (SELECT label, count(*) AS n FROM valid GROUP BY label),
       wanted AS (SELECT ceil(round(sum(n) * 0.2, 9)) AS w, sum(n) AS total FROM counts),
-      exact AS (SELECT label, w * n / total AS x, w FROM counts, wanted),
-      quota AS (SELECT label, floor(x) + CASE WHEN
+      exact AS (SELECT label, n, w * n / total AS x, w FROM counts, wanted),
+      quota AS (SELECT label, n, floor(x) + CASE WHEN
           row_number() OVER (ORDER BY x - floor(x) DESC, label) <= w - sum(floor(x)) OVER ()
-          THEN 1 ELSE 0 END AS q FROM exact),
+          THEN 1 ELSE 0 END AS q FROM exact)"""
+
+
+@query("stratified_split", "valid", f"""
+    WITH {_QUOTA},
       ranked AS (SELECT doc_id, label, row_number() OVER (
           PARTITION BY label ORDER BY md5(concat(id_str, '|42'))) AS place FROM valid)
     SELECT doc_id, r.label, CASE WHEN place <= q THEN 'validation' ELSE 'train' END AS split
@@ -53,15 +57,32 @@ def _labelled(v):
     return valid_labels(v.labeled).select("doc_id", "id_str", "clean_text", "label")
 
 
-@query("train_classifier")
+@query("train_classifier", "valid", f"""
+    WITH {_QUOTA}
+    SELECT label, n - cast(q AS bigint) AS train_rows, cast(q AS bigint) AS judged_rows,
+      true AS metrics_in_range FROM quota""")
 def train_classifier(v):
-    """Fit on the train rows, judge on the validation rows."""
+    """Fit on the train rows, judge on the validation rows: rows per class, and whether the metrics are shares."""
     train_rows, validation_rows = split_rows(_labelled(v), ["id_str"])
     model = L.text_classifier(max_iter=15).fit(train_rows)
-    return E.basic_metrics(evaluate(model, validation_rows))
+    pairs = written(evaluate(model, validation_rows), "pairs")
+    metrics = E.basic_metrics(pairs)
+    good = F.lit(True)
+    for name in metrics.columns:
+        good = good & F.col(name).between(0.0, 1.0)
+    judged = pairs.groupBy(F.col("y").cast("bigint").alias("label")).agg(F.sum("n").alias("judged_rows"))
+    return (
+        train_rows.groupBy("label").agg(F.count(F.lit(1)).alias("train_rows"))
+        .withColumn("label", F.col("label").cast("bigint"))
+        .join(judged, "label")
+        .withColumn("metrics_in_range", F.lit(metrics.select(good).first()[0]))
+    )
 
 
-@query("train_incremental")
+@query("train_incremental", "valid", """
+    SELECT kind AS is_incremental, 'True' AS model_accepted, 'accepted' AS model_status,
+      6 AS n_metrics, true AS took_time FROM (VALUES ('False'), ('True')) runs(kind)
+    WHERE (SELECT count(*) FROM valid) > 0""")
 def train_incremental(v):
     """Two sets in turn: the second fit goes over both, as the first run left a model."""
     rows = _labelled(v).join(v.documents.select("doc_id", "lang"), "doc_id")
@@ -71,10 +92,13 @@ def train_incremental(v):
     settings = {"threshold": 0.0, "params": {"max_iter": 10}}
     train(v.spark, older, ["id_str"], RUNS_AS_OF, folder, models, **settings)
     train(v.spark, newer, ["id_str"], RUNS_AS_OF, folder, models, [older], **settings)
-    logged = v.spark.read.parquet(f"{folder}/params").where(
-        F.col("key").isin("is_incremental", "model_accepted")
+    logged = {t: v.spark.read.parquet(f"{folder}/{t}") for t in ("runs", "params", "tags", "metrics")}
+    sides = pivot_keys(logged["params"], ["is_incremental", "model_accepted"]).join(
+        pivot_keys(logged["tags"], ["model_status"]), "run_uuid"
     )
-    return logged.orderBy("run_uuid", "key")
+    counted = logged["metrics"].groupBy("run_uuid").agg(F.count(F.lit(1)).cast("int").alias("n_metrics"))
+    took = logged["runs"].select("run_uuid", (F.col("end_time") > F.col("start_time")).alias("took_time"))
+    return sides.join(counted, "run_uuid").join(took, "run_uuid").drop("run_uuid")
 
 
 @query("model_gate", "metrics", """
@@ -121,14 +145,16 @@ def score_batch(v):
     )
 
 
-@query("score_documents")
+@query("score_documents", "documents", "SELECT doc_id, true AS one_of_three, true AS is_share FROM documents")
 def score_documents(v):
     """Every document scored by a model fitted on the labelled ones."""
     model = L.text_classifier(text="text", max_iter=10).fit(
         _labelled(v).withColumnRenamed("clean_text", "text")
     )
     return L.score_batch(v.documents, L.model_scorer(model)).select(
-        "doc_id", "hf_label", "pred_label", "pred_score"
+        "doc_id",
+        F.col("pred_label").isin(*LABEL_NAMES.values()).alias("one_of_three"),
+        F.col("pred_score").between(0.0, 1.0).alias("is_share"),
     )
 
 

@@ -7,7 +7,6 @@ import __spark_entry__ as entry
 from contract import REGISTRY
 
 FOLDER = "/root/testdata/sf0.001"
-SLOW = {"train_classifier", "train_incremental", "score_documents"}
 
 
 @pytest.fixture(scope="module")
@@ -15,7 +14,7 @@ def db():
     return check.database(FOLDER)
 
 
-@pytest.mark.parametrize("name", [n for n in REGISTRY if n not in SLOW])
+@pytest.mark.parametrize("name", list(REGISTRY))
 def test_query_equals_sql(spark, db, name):
     ok, text = check.compare(spark, db, FOLDER, name)
     assert ok, text
@@ -25,17 +24,6 @@ def test_entry_has_rows(spark):
     assert entry.entry(spark).count() == 3
 
 
-def test_training_gives_metrics(spark):
-    row = entry.queries()["train_classifier"](spark, FOLDER).first()
-    assert 0 <= row.f1_macro <= 1 and 0 <= row.accuracy <= 1
-
-
-def test_incremental_run_is_logged(spark):
-    rows = entry.queries()["train_incremental"](spark, FOLDER).collect()
-    kinds = {(r.run_uuid.split("-")[1], r.value) for r in rows if r.key == "is_incremental"}
-    assert kinds == {("fresh", "False"), ("incremental", "True")}
-
-
 def test_reports_are_ordered(spark):
     q = entry.queries()
     counts = [r["count"] for r in q["q11_sentiment_share"](spark, FOLDER).collect()]
@@ -48,6 +36,10 @@ def test_reports_are_ordered(spark):
     assert rows == sorted(rows)
 
 
+def test_every_query_has_its_sql():
+    assert not [n for n, (_, sql) in REGISTRY.items() if not sql]
+
+
 def test_names_are_plain():
     assert not [n for n in REGISTRY if n.startswith(("pipeline", "op"))]
     assert set(REGISTRY) <= set(entry.queries())
