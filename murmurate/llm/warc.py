@@ -100,11 +100,11 @@ class _File:
         return self.shard, self.number, self.staged, f"{self.shard:08d}-{self.number:05d}.warc.gz", self.records, self.size, self.digest.hexdigest()
 
 
-def _writer(folder: str, roll: int, date: str):
+def _writer(folder: str, least: int, roll: int, date: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = fs.FileSystem.from_uri(folder)
         attempt = f"a{TaskContext.get().taskAttemptId()}"
-        out, last, unnamed = None, None, 0
+        out, last, marked, unnamed = None, None, None, 0
 
         def closed(file: _File) -> pa.RecordBatch:
             kinds = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
@@ -112,7 +112,10 @@ def _writer(folder: str, roll: int, date: str):
 
         for batch in batches:
             for row in range(batch.num_rows):
-                shard, page_id, url, html, size, sha1_hex, first_id = (column[row].as_py() for column in batch.columns)
+                shard, page_id, sha1_hex, is_page, url, html, first_id = (column[row].as_py() for column in batch.columns)
+                if not is_page:
+                    marked = page_id, sha1_hex, first_id
+                    continue
                 if out and (out.shard != shard or out.size >= roll):
                     yield closed(out)
                     number = out.number + 1 if out.shard == shard else 0
@@ -121,14 +124,15 @@ def _writer(folder: str, roll: int, date: str):
                     out = _File(system, path, shard, 0, attempt)
                 repeated = page_id is not None and (page_id, sha1_hex) == last
                 last = (page_id, sha1_hex)
-                revisit = first_id is not None and (page_id != first_id or repeated)
+                payload = html.encode()
+                if marked and marked[:2] == last:
+                    first_id = marked[2]
+                elif repeated and len(payload) >= least:
+                    first_id = page_id
                 name = str(page_id) if page_id is not None and not repeated else f"{'' if page_id is None else page_id}.{shard}.{unnamed}"
                 unnamed += 1
-                payload = None
-                if not revisit:
-                    payload = html.encode()
-                    size, sha1_hex = len(payload), hashlib.sha1(payload).hexdigest()
-                out.add(record(page_id, url, payload, size, sha1_hex, first_id, name, date))
+                digest = hashlib.sha1(payload).hexdigest()
+                out.add(record(page_id, url, payload if first_id is None else None, len(payload), digest, first_id, name, date))
         if out:
             yield closed(out)
 
@@ -136,7 +140,7 @@ def _writer(folder: str, roll: int, date: str):
 
 
 def _shards(pages: DataFrame, shard_bytes: int, ranges: int) -> tuple[Column, int]:
-    """The shard of a row, a number that grows with the id, and how many shards there are."""
+    """The shard of a row, a number that grows with the id, and how many shards there are; it follows from id, url and digest."""
     bounds = pages.agg(F.min("page_id").alias("low"), F.max("page_id").alias("high")).first()
     low, high = bounds["low"] or 0, bounds["high"] or 0
     width = max(1, -(-(high - low + 1) // ranges))
@@ -171,13 +175,15 @@ def write(pages: DataFrame, folder: str, least: int = 0, shard_bytes: int = SHAR
     spark = pages.sparkSession
     payload = F.coalesce(F.col("html"), F.lit(""))
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), payload.alias("html"), F.octet_length(payload).cast("long").alias("size"), F.sha1(F.encode(payload, "UTF-8")).alias("sha1_hex"))
-    groups = pages.where(F.col("size") >= least).groupBy("sha1_hex").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("sha1_hex").alias("same"), "first_id")
-    marked = pages.join(groups, (F.col("sha1_hex") == F.col("same")) & (F.col("size") >= least), "left").drop("same")
-    # the payload of a revisit stays behind
-    marked = marked.withColumn("html", F.when(F.col("first_id").isNull() | (F.col("page_id") == F.col("first_id")), F.col("html")))
+    groups = pages.where(F.col("size") >= least).groupBy("sha1_hex").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first_id IS NOT NULL").select(F.col("sha1_hex").alias("same"), "first_id")
+    again = pages.where(F.col("size") >= least).select("page_id", "sha1_hex", F.when(F.col("page_id").isNull(), F.col("url")).alias("url"))
+    again = again.join(groups, F.col("sha1_hex") == F.col("same")).where(~F.col("page_id").eqNullSafe(F.col("first_id"))).distinct()
     shard, n = _shards(pages, shard_bytes, ranges)
-    dealt = marked.select(shard.alias("shard"), "page_id", "url", "html", "size", "sha1_hex", "first_id").repartitionById(n, F.col("shard"))
-    files = dealt.sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "sha1_hex", "url").mapInArrow(_writer(folder, roll, date), _MANIFEST)
+    # What a page revisits goes ahead of it through the same shuffle, which is the only one of the payloads.
+    marks = again.select(shard.alias("shard"), "page_id", "sha1_hex", F.lit(False).alias("is_page"), "url", F.lit(None).cast("string").alias("html"), "first_id")
+    whole = pages.select(shard.alias("shard"), "page_id", "sha1_hex", F.lit(True).alias("is_page"), "url", "html", F.lit(None).cast("long").alias("first_id"))
+    dealt = whole.unionByName(marks).repartitionById(n, F.col("shard"))
+    files = dealt.sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "sha1_hex", "is_page", "url").mapInArrow(_writer(folder, least, roll, date), _MANIFEST)
     files.write.parquet(f"{folder}/_staged_manifest")
 
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
