@@ -31,10 +31,10 @@ from pyspark.sql import functions as F
 
 from murmurate.session import written
 
-PROJECTIONS = 128
+PROJECTIONS = 64
 THRESHOLD = 0.6
-SHARE = 0.12
-LEAST = 2000
+SHARE = 0.2
+LEAST = 2500
 STEP = 1.2
 BLOCK = 16_384
 QUERIES = 512
@@ -55,24 +55,25 @@ def search(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int, sh
     asked = np.hstack([(queries / lengths).astype(np.float32), np.zeros((len(queries), 1), np.float32)])
     lines = np.random.default_rng(seed).standard_normal((index.shape[1], projections)).astype(np.float32)
     numbers, centres = index @ lines, asked @ lines
-    order = np.argsort(numbers, axis=0, kind="stable").T.astype(np.int32).copy()
+    order = np.argsort(numbers, axis=0, kind="stable").T.astype(np.int64).copy()
     ordered = np.take_along_axis(numbers, order.T, axis=0).T.copy()
     enough, threshold = min(n, max(least, int(np.ceil(share * n)))), int(np.ceil(THRESHOLD * projections))
-    begin = np.stack([np.searchsorted(ordered[i], centres[:, i]) for i in range(projections)], axis=1)
-    bounds: list[tuple[np.ndarray, np.ndarray]] = []  # of all queries, at each step
+    order = list(order)
+    begin = np.stack([np.searchsorted(ordered[i], centres[:, i]) for i in range(projections)], axis=1).tolist()
+    bounds: list[tuple[list, list]] = []  # of all queries, at each step
     for q in range(len(queries)):
-        count = np.zeros(n, np.int16)
+        count = np.zeros(n, np.int64)
         low = high = begin[q]
         step = 0
         while True:
             if step == len(bounds):
                 half = np.float32(0.4 * STEP**step)
-                bounds.append(tuple(np.stack([np.searchsorted(ordered[i], centres[:, i] + way * half, side) for i in range(projections)], axis=1) for way, side in ((-1, "left"), (1, "right"))))
+                bounds.append(tuple(np.stack([np.searchsorted(ordered[i], centres[:, i] + way * half, side) for i in range(projections)], axis=1).tolist() for way, side in ((-1, "left"), (1, "right"))))
             wider_low, wider_high = bounds[step][0][q], bounds[step][1][q]
-            for i in range(projections):
-                line = order[i]
-                count[line[wider_low[i] : low[i]]] += 1
-                count[line[high[i] : wider_high[i]]] += 1
+            # what the wider windows add on both sides, in all arrays
+            added = [line[a:b] for line, a, b in zip(order, wider_low, low, strict=True)]
+            added += [line[a:b] for line, a, b in zip(order, high, wider_high, strict=True)]
+            count += np.bincount(np.concatenate(added), minlength=n)
             low, high, step = wider_low, wider_high, step + 1
             found = np.flatnonzero(count >= threshold)
             if len(found) >= enough:
