@@ -9,11 +9,16 @@ Candidates are retained if their whole signatures agree in at least ``least(SIGN
 coordinates; links are confirmed on the full sets. ``least`` lies ``SAFETY`` standard
 deviations below the mean of two sets that are just similar enough.
 
-Links matter only as far as they connect, which saves large groups from all their pairs:
-for some rounds each posting list compares its members with one leader, drawn anew each
-time; after that, members of a list that are not yet connected are compared one by one,
-those outside the list's largest component with all others. So no link between different
-components is left out, and nothing is capped.
+Links matter only as far as they connect, which saves large groups from all their pairs.
+First each posting list draws ``LEADERS`` leaders, and a class is compared with those of
+its leaders whose signatures agree best. Then members of a list that are not yet connected
+are compared one by one, those outside the list's largest component with all others. So no
+link between different components is left out, and nothing is capped.
+
+Signatures, a few hundred bytes a class, are what the candidates are found with. Texts move
+only for the two confirmations: a leader's text goes ahead of those of its members through
+one sorted shuffle, so a task holds the sets of two documents; a leader with many members
+is dealt over several tasks.
 
 Definitions. Words are runs without blank after lower-casing A-Z; a text with fewer words
 than a shingle is one shingle. Null texts and texts without words have no set and link with
@@ -38,9 +43,11 @@ from murmurate.session import written
 SHINGLE = 5
 PERCENT = 80
 SIGNATURE = 128
-POSTED = 32
+POSTED = 20
 SAFETY = 4.2
-ROUNDS = 3
+LEADERS = 3
+#: Members of a leader that one task confirms.
+MEMBERS = 1000
 _random = np.random.default_rng(11)
 _FACTORS = _random.integers(0, 1 << 63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MASKS = _random.integers(0, 1 << 63, SIGNATURE, dtype=np.uint64)
@@ -74,38 +81,32 @@ def _sets(column: pa.Array, size: int) -> Iterator[tuple[int, list[np.ndarray]]]
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    """``doc_id, n_shingles, set_key, signature`` of each row; key and signature are null without words."""
+    """``doc_id, n_shingles, set_key, posted, signature`` of each row; the last three are null without words.
+
+    ``posted`` has the first coordinates, ``signature`` 16 bits of every one.
+    """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, sets in _sets(batch.column(1), size):
+                found = [signature(x) if len(x) else None for x in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, len(sets)), pa.array([len(x) for x in sets], pa.int64()), pa.array([_key(x) for x in sets], pa.binary()),
-                        pa.array([signature(x) if len(x) else None for x in sets], pa.list_(pa.int32())),
+                        pa.array([None if x is None else x[:POSTED] for x in found], pa.list_(pa.int32())), pa.array([None if x is None else x.astype(np.int16) for x in found], pa.list_(pa.int16())),
                     ],
-                    ["doc_id", "n_shingles", "set_key", "signature"],
+                    ["doc_id", "n_shingles", "set_key", "posted", "signature"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, "doc_id long, n_shingles long, set_key binary, signature array<int>")
-
-
-def _full_sets(docs: DataFrame, size: int) -> DataFrame:
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, sets in _sets(batch.column(1), size):
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(sets)), pa.array([_key(x) for x in sets], pa.binary()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))],
-                    ["id", "set_key", "shingles"],
-                )
-
-    return docs.mapInArrow(full, "id long, set_key binary, shingles array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        sketch, "doc_id long, n_shingles long, set_key binary, posted array<int>, signature array<smallint>"
+    )
 
 
 def posting_lists(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``token, id, prefix``: an entry for each coordinate-value pair in the prefix of a class that another class has too."""
     value = F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
-    posted = classes.select("id", F.posexplode(F.slice("signature", 1, POSTED)).alias("coordinate", "value"))
+    posted = classes.select("id", F.posexplode("posted").alias("coordinate", "value"))
     posted = posted.select("id", F.shiftleft(F.col("coordinate").cast("long"), 32).bitwiseOR(value).alias("token"))
     shared = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("token").alias("shared"), "n")
     by_class = posted.join(shared, F.col("token") == F.col("shared")).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("rarest"))  # at most POSTED a class
@@ -123,15 +124,49 @@ def _similar_sizes(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs ``a, b`` whose signatures agree and whose full sets are similar enough."""
-    one = sets.select(F.col("id").alias("a_id"), F.col("signature").alias("a_signature"), F.col("shingles").alias("a_shingles"))
-    two = sets.select(F.col("id").alias("b_id"), F.col("signature").alias("b_signature"), F.col("shingles").alias("b_shingles"))
-    both = pairs.join(one, F.col("a") == F.col("a_id")).join(two, F.col("b") == F.col("b_id"))
-    both = both.where(_similar_sizes(F.size("a_shingles"), F.size("b_shingles"), percent)).where(_agree("a_signature", "b_signature") >= least(SIGNATURE, percent))
-    common = F.size(F.array_intersect("a_shingles", "b_shingles"))
-    both = both.select("a", "b", common.alias("common"), (F.size("a_shingles") + F.size("b_shingles")).alias("total"))
-    return both.where((F.col("common") * 100).cast("long") >= (F.col("total") - F.col("common")) * percent).select("a", "b")
+def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs ``a, b`` of document ids whose full sets are similar enough."""
+    pairs = written(pairs.select("a", "b"), "pairs")
+    members = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select(F.col("a").alias("leader"), F.ceil(F.col("n") / MEMBERS).alias("parts"))
+    dealt = pairs.join(members, F.col("a") == F.col("leader")).select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.col("b").alias("wanted"), F.lit(True).alias("is_member"))
+    dealt = dealt.union(dealt.select("a", "part", F.col("a").alias("wanted"), F.lit(False).alias("is_member")).distinct())
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        packer = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([packer.compress((x or "").encode()) for x in batch.column(1).to_pylist()], pa.binary())], ["id", "text"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpacker = zstandard.ZstdDecompressor()
+        leader, leading = None, []
+        for batch in batches:
+            one, two = [], []
+            for start in range(0, batch.num_rows, 64):
+                part = batch.slice(start, 64)
+                texts = pa.array([unpacker.decompress(x).decode() for x in part.column(4).to_pylist()], pa.large_string())
+                sets = [x for _, found in _sets(texts, size) for x in found]
+                for a, salt, is_member, b, own in zip(*(part.column(k).to_pylist() for k in range(4)), sets, strict=True):
+                    if (a, salt) != leader:
+                        leader, leading = (a, salt), []
+                    if not is_member:
+                        leading.append(own)
+                        continue
+                    for other in leading:
+                        common = len(np.intersect1d(own, other, assume_unique=True))
+                        if common and 100 * common >= percent * (len(own) + len(other) - common):
+                            one.append(a)
+                            two.append(b)
+                            break
+            yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["a", "b"])
+
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id IS NOT NULL").mapInArrow(packed, "id long, text binary")
+    # as many texts as there are documents may be wanted, so they meet by a shuffle at every size
+    rows = texts.join(dealt.hint("merge"), F.col("id") == F.col("wanted")).select("a", "part", "is_member", "id", "text")
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", "is_member").mapInArrow(compare, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -162,58 +197,50 @@ def components(edges: DataFrame) -> DataFrame:
         mark = state
 
 
-def _labelled(entries: DataFrame, labels: DataFrame) -> DataFrame:
-    joined = entries.drop("label").join(labels, F.col("id") == F.col("node"), "left")
-    return joined.select("token", "id", F.coalesce("label", "id").alias("label"))
-
-
 def links(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Confirmed pairs of class ids that connect everything that is connected."""
     lists = written(posting_lists(classes, percent), "postings")
-    members = written(lists.select("id", "prefix").distinct(), "members")
-    # full sets are made again, but only for the classes in some list
-    wanted = members.join(classes, "id").select(F.col("id").alias("wanted"), F.col("set_key").alias("wanted_key"), "signature", "prefix")
-    # as many members as documents may be wanted, so texts and ids meet by a shuffle at every size
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(members.select(F.col("id").alias("wanted")).distinct().hint("merge"), F.col("id") == F.col("wanted"), "left_semi")
-    sets = _full_sets(texts, size).join(wanted, (F.col("id") == F.col("wanted")) & (F.col("set_key") == F.col("wanted_key")))
-    sets = written(sets.select("id", "signature", "shingles", "prefix"), "sets")
-
-    entries = lists.select("token", "id", F.col("id").alias("label"))
-    found = None
-    for turn in range(ROUNDS):
-        drawn = F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("draw"), "id", "label"))
-        leaders = entries.groupBy(F.col("token").alias("list")).agg(F.min("label").alias("low"), F.max("label").alias("high"), drawn.alias("leader")).where("low != high")
-        pairs = entries.join(leaders, F.col("token") == F.col("list")).where("id != leader.id AND label != leader.label")
-        new = written(confirmed(pairs.select(F.col("leader.id").alias("a"), F.col("id").alias("b")).distinct(), sets, percent), "links")
-        found = new if found is None else found.union(new)
-        entries = written(_labelled(entries, components(found)), "postings")
-
+    members = lists.select(F.col("id").alias("member"), "prefix").distinct()
+    facts = written(classes.join(members, F.col("id") == F.col("member")).select("id", "n_shingles", "signature", "prefix"), "members")
+
+    def retained(one: str, two: str) -> Column:
+        sizes = _similar_sizes(F.col(f"{one}.n_shingles"), F.col(f"{two}.n_shingles"), percent)
+        return sizes & (_agree(f"{one}.signature", f"{two}.signature") >= least(SIGNATURE, percent))
+
+    draws = [F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("draw"), "id")).getField("id") for turn in range(LEADERS)]
+    leaders = lists.groupBy(F.col("token").alias("list")).agg(F.array_distinct(F.array(*draws)).alias("leaders"))
+    pairs = lists.join(leaders, F.col("token") == F.col("list")).select(F.explode("leaders").alias("a"), F.col("id").alias("b")).where("a != b").distinct()
+    near = pairs.join(facts.alias("one"), F.col("a") == F.col("one.id")).join(facts.alias("two"), F.col("b") == F.col("two.id")).where(retained("one", "two"))
+    near = near.select("a", "b", _agree("one.signature", "two.signature").alias("agree"))
+    # a class need not meet all of its leaders: what this leaves unconnected comes next
+    first = near.groupBy("b").agg(F.slice(F.sort_array(F.collect_set(F.struct("agree", "a")), False), 1, LEADERS).alias("best")).select("b", F.explode("best.a").alias("a"))
+    found = written(confirmed(first, docs, size, percent), "links")
+
+    labels = components(found)
+    entries = written(lists.join(labels, F.col("id") == F.col("node"), "left").select("token", "id", F.coalesce("label", "id").alias("label")), "entries")
     mixed = entries.groupBy(F.col("token").alias("list")).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("list")
     open_ = entries.join(mixed, F.col("token") == F.col("list")).drop("list")
     largest = open_.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("token").alias("list")).agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
-    facts = sets.select(F.col("id").alias("fact_id"), "signature", "prefix", F.size("shingles").alias("n"))
-    open_ = open_.join(largest, F.col("token") == F.col("list")).join(facts, F.col("id") == F.col("fact_id"))
-    open_ = written(open_.select("token", "id", "label", (F.col("label") == F.col("largest")).alias("main"), "signature", "prefix", "n"), "open")
-    left = open_.where("NOT main").select(*(F.col(x).alias(f"a_{x}") for x in open_.columns))
-    right = open_.select(*(F.col(x).alias(f"b_{x}") for x in open_.columns))
-    rest = left.join(
-        right,
-        (F.col("a_token") == F.col("b_token"))
-        & (F.col("a_label") != F.col("b_label"))
-        & (F.col("b_main") | (F.col("a_id") < F.col("b_id")))
-        & _similar_sizes(F.col("a_n"), F.col("b_n"), percent)
+    open_ = open_.join(largest, F.col("token") == F.col("list")).join(facts.withColumnRenamed("id", "fact"), F.col("id") == F.col("fact"))
+    open_ = written(open_.select("token", "id", "label", (F.col("label") == F.col("largest")).alias("main"), "n_shingles", "signature", "prefix"), "open")
+    rest = open_.where("NOT main").alias("one").join(
+        open_.alias("two"),
+        (F.col("one.token") == F.col("two.token"))
+        & (F.col("one.label") != F.col("two.label"))
+        & (F.col("two.main") | (F.col("one.id") < F.col("two.id")))
         # of the lists that a pair shares, the first has to find it
-        & (F.array_min(F.array_intersect("a_prefix", "b_prefix")) == F.col("a_token"))
-        & (_agree("a_signature", "b_signature") >= least(SIGNATURE, percent)),
+        & (F.array_min(F.array_intersect("one.prefix", "two.prefix")) == F.col("one.token"))
+        & retained("one", "two"),
     )
-    return found.union(confirmed(rest.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct(), sets, percent))
+    return found.union(confirmed(rest.select(F.col("one.id").alias("a"), F.col("two.id").alias("b")), docs, size, percent))
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for each row of ``docs``."""
     rows = written(sketches(docs, size), "sketches")
     usable = rows.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
-    classes = usable.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"))
+    # equal keys have equal columns
+    classes = usable.groupBy("set_key").agg(F.min("doc_id").alias("id"), *(F.first(name).alias(name) for name in ("n_shingles", "posted", "signature")))
     classes = written(classes, "classes")
     rows = rows.join(classes.select(F.col("set_key").alias("key"), "id"), (F.col("set_key") == F.col("key")) & F.col("doc_id").isNotNull(), "left").select("doc_id", "n_shingles", "id")
     # an id with several texts links their classes

@@ -88,7 +88,7 @@ def _matrix(column: pa.Array, row: int) -> tuple[np.ndarray, np.ndarray]:
     cells = column[row].values
     ids = cells.field("rep").to_numpy()
     flat = cells.field("embedding").flatten().to_numpy(zero_copy_only=False)
-    return ids, flat.reshape(len(ids), -1).astype(np.float32, copy=False)
+    return ids, flat.reshape(len(ids), -1)
 
 
 def _searched(k: int, share: float, least: int):
@@ -119,8 +119,10 @@ def _packed(rows: DataFrame, blocks: Column, name: str) -> DataFrame:
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, share: float = SHARE, least: int = LEAST, block: int = BLOCK) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of every row of ``vectors`` for which ``is_query`` holds."""
+    # single precision stays, everything else is taken as double; minus zero becomes zero
+    kind = "float" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "double"
     rows = vectors.where(F.col("vec_id").isNotNull() & _usable(F.col("embedding")))
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast("float") + F.lit(0.0).cast("float")).alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("embedding", lambda x: x.cast(kind) + F.lit(0.0).cast(kind)).alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     # of equal vectors the smallest ids; Spark keeps that many per task before it shuffles
     smallest = Window.partitionBy("embedding").orderBy("vec_id")
     ranked = rows.select("vec_id", "embedding").withColumn("place", F.dense_rank().over(smallest)).where(F.col("place") <= k + 1)

@@ -288,6 +288,9 @@ def test_neighbours_find_all_of_a_small_table_with_ties(spark):
     for q in expected:
         assert [v for v, _ in found[q]] == [v for v, _ in expected[q]]
         assert np.allclose([s for _, s in found[q]], [s for _, s in expected[q]], rtol=1e-12)
+    doubles = spark.createDataFrame([(k, [1 + k * 1e-12, 1.0]) for k in range(40)], "vec_id long, embedding array<double>")
+    best = neighbours.nearest(doubles, F.col("vec_id") % 20 == 0, k=3).where("query_id = 0").orderBy("rank").collect()
+    assert [r["vec_id"] for r in best] == [39, 38, 37] and best[0]["score"] == 2 + 39e-12
     few = df.where("vec_id < 3")
     assert neighbours.nearest(few, F.col("vec_id") % 20 == 0).count() == 2
     assert neighbours.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
