@@ -17,8 +17,9 @@ from murmurate.functions.scalar import Clock, clock
 from murmurate.operators.evaluate import basic_metrics, class_report, confusion_matrix, pair_counts
 from murmurate.operators.learn import text_classifier
 from murmurate.operators.rows import as_label, drop_missing, require_columns
+from murmurate.operators.runs import pick_stage_model, register_versions
 from murmurate.operators.split import only, stratified_split
-from murmurate.schemas import CLASSES, MIN_F1_MACRO, RUNS
+from murmurate.schemas import CLASSES, MIN_F1_MACRO, RUNS, VERSIONS
 from murmurate.session import scratch, written
 from murmurate.sources.tables import write_reports
 
@@ -94,8 +95,9 @@ def train(
     experiment_id: int = 0,
     threshold: float = MIN_F1_MACRO,
     params: dict | None = None,
+    model_name: str = "sentiment",
 ) -> Training:
-    """Split, fit, evaluate, log, and save the model if its macro F1 passes.
+    """Split, fit, evaluate, log, and save and register the model if its macro F1 passes.
 
     If the newest run has a model, training goes on from it: the fit is over the
     earlier weeks as well. Otherwise it starts afresh on this week. The run starts at
@@ -139,9 +141,37 @@ def train(
         metrics={f"eval_{k}": v for k, v in metrics.items() if v is not None},
         tags={"model_status": "accepted" if accepted else "rejected"},
     )
+    if accepted:
+        register_model(spark, runs_folder, model_name, run_uuid)
     return Training(model, metrics, accepted, run_uuid)
 
 
+def model_versions(spark: SparkSession, runs_folder: str) -> DataFrame:
+    """The registered versions; none yet gives an empty frame."""
+    path = f"{runs_folder}/versions"
+    if not files.exists(spark, path):
+        return spark.createDataFrame([], VERSIONS)
+    return spark.read.schema(VERSIONS).parquet(path)
+
+
+def register_model(
+    spark: SparkSession, runs_folder: str, model_name: str, run_uuid: str, stage: str = "Staging"
+) -> None:
+    """Append the model of a run as the next version of its name."""
+    new = spark.createDataFrame([(model_name, stage, run_uuid)], "model_name string, stage string, run_uuid string")
+    register_versions(model_versions(spark, runs_folder), new).write.mode("append").parquet(f"{runs_folder}/versions")
+
+
+def serving_model(
+    spark: SparkSession, runs_folder: str, model_folder: str, model_name: str = "sentiment"
+) -> PipelineModel:
+    """The registered model that serves: the highest version in the first stage that has one."""
+    chosen = pick_stage_model(model_versions(spark, runs_folder).where(F.col("model_name") == model_name)).first()
+    if chosen is None:
+        raise ValueError(f"no version of {model_name} is in a serving stage")
+    return PipelineModel.load(f"{model_folder}/{chosen.run_uuid}")
+
+
 def log_run(
     spark: SparkSession,
     folder: str,

@@ -122,6 +122,15 @@ PREDICTION = T.StructType(
 
 # Run metadata: one row per run, then key/value rows.
 EXPERIMENTS = T.StructType().add("experiment_id", T.IntegerType()).add("name", T.StringType())
+VERSIONS = T.StructType(
+    [
+        T.StructField("model_name", T.StringType()),
+        T.StructField("version", T.LongType()),
+        T.StructField("stage", T.StringType()),
+        T.StructField("run_uuid", T.StringType()),
+    ]
+)
+
 RUNS = (
     T.StructType()
     .add("run_uuid", T.StringType())

@@ -11,7 +11,7 @@ from murmurate.operators import learn as L
 from murmurate.operators import runs as R
 from murmurate.operators import split as SP
 from murmurate.plans import serve
-from murmurate.plans.learn import evaluate_job, newest_model, train
+from murmurate.plans.learn import evaluate_job, model_versions, newest_model, register_model, serving_model, train
 from murmurate.session import work_path
 from murmurate.sources.csv import read_csv, write_csv
 from murmurate.sources.store import PredictionStore
@@ -222,6 +222,24 @@ def test_training_accepts_a_good_model(spark, trained):
     assert spark.read.json(f"{out}/eval_metrics").first().accuracy >= 0.8
 
 
+def test_accepted_models_are_registered_and_served(spark, trained):
+    result, week, folder, models = trained
+    assert [tuple(r) for r in model_versions(spark, folder).collect()] == [("sentiment", 1, "Staging", result.run_uuid)]
+    scored = L.model_scorer(serving_model(spark, folder, models))(week.select("id_str", "clean_text"))
+    assert scored.where(F.col("hf_label").isNull()).count() == 0 and scored.count() == week.count()
+    with pytest.raises(ValueError, match="other"):
+        serving_model(spark, folder, models, "other")
+    empty = work_path(spark, "none")
+    assert model_versions(spark, empty).count() == 0
+    for run in ("r1", "r2"):
+        register_model(spark, empty, "m", run)
+    register_model(spark, empty, "m", "r3", "Production")
+    register_model(spark, empty, "m", "r4")
+    assert sorted((r.version, r.run_uuid) for r in model_versions(spark, empty).collect()) == [(1, "r1"), (2, "r2"), (3, "r3"), (4, "r4")]
+    with pytest.raises(Exception, match="r3"):
+        serving_model(spark, empty, models, "m")
+
+
 def test_training_rejects_a_poor_model(spark, trained):
     _, week, folder, models = trained
     assert newest_model(spark, folder, models, 0) == f"{models}/{trained[0].run_uuid}"
