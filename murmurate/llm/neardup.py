@@ -10,10 +10,13 @@ coordinates; links are confirmed on the full sets. ``least`` lies ``SAFETY`` sta
 deviations below the mean of two sets that are just similar enough.
 
 Links matter only as far as they connect, which saves large groups from all their pairs.
-First each posting list draws ``LEADERS`` leaders, and a class is compared with those of
-its leaders whose signatures agree best. Then members of a list that are not yet connected
-are compared one by one, those outside the list's largest component with all others. So no
-link between different components is left out, and nothing is capped.
+First each posting list draws ``LEADERS`` leaders, and a class is confirmed with those of
+its leaders whose signatures agree best and those that were drawn first. Then members of a
+list that are not yet connected are compared one by one, those outside the list's largest
+component with all others. Where that component is large, blocks of those outside it meet
+all of its documents within tasks, which report links only. Lists all of whose pairs have
+met already are left out. So no link between different components is left out, and nothing
+is capped.
 
 Signatures, a few hundred bytes a class, are what the candidates are found with. Texts move
 only for the two confirmations: a leader's text goes ahead of those of its members through
@@ -42,12 +45,17 @@ from murmurate.session import written
 
 SHINGLE = 5
 PERCENT = 80
-SIGNATURE = 128
+SIGNATURE = 256
 POSTED = 20
 SAFETY = 4.2
 LEADERS = 3
+#: Leaders that a class is confirmed with: so many by agreement and so many by order of draw.
+CONFIRMED = 2
 #: Members of a leader that one task confirms.
 MEMBERS = 1000
+#: A list's largest component is large from so many of its members on; documents of a block that meets it.
+LARGE = 32
+MEETING = 64
 _random = np.random.default_rng(11)
 _FACTORS = _random.integers(0, 1 << 63, SIGNATURE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MASKS = _random.integers(0, 1 << 63, SIGNATURE, dtype=np.uint64)
@@ -83,7 +91,7 @@ def _sets(column: pa.Array, size: int) -> Iterator[tuple[int, list[np.ndarray]]]
 def sketches(docs: DataFrame, size: int) -> DataFrame:
     """``doc_id, n_shingles, set_key, posted, signature`` of each row; the last three are null without words.
 
-    ``posted`` has the first coordinates, ``signature`` 16 bits of every one.
+    ``posted`` has the first coordinates, ``signature`` 8 bits of every one.
     """
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,27 +101,28 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, len(sets)), pa.array([len(x) for x in sets], pa.int64()), pa.array([_key(x) for x in sets], pa.binary()),
-                        pa.array([None if x is None else x[:POSTED] for x in found], pa.list_(pa.int32())), pa.array([None if x is None else x.astype(np.int16) for x in found], pa.list_(pa.int16())),
+                        pa.array([None if x is None else x[:POSTED] for x in found], pa.list_(pa.int32())), pa.array([None if x is None else x.astype(np.int8) for x in found], pa.list_(pa.int8())),
                     ],
                     ["doc_id", "n_shingles", "set_key", "posted", "signature"],
                 )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        sketch, "doc_id long, n_shingles long, set_key binary, posted array<int>, signature array<smallint>"
+        sketch, "doc_id long, n_shingles long, set_key binary, posted array<int>, signature array<tinyint>"
     )
 
 
 def posting_lists(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``token, id, prefix``: an entry for each coordinate-value pair in the prefix of a class that another class has too."""
+    """``token, id, n_shingles, prefix``: an entry for each coordinate-value pair in the prefix of a class that another class has too."""
     value = F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
-    posted = classes.select("id", F.posexplode("posted").alias("coordinate", "value"))
-    posted = posted.select("id", F.shiftleft(F.col("coordinate").cast("long"), 32).bitwiseOR(value).alias("token"))
+    posted = classes.select("id", "n_shingles", F.posexplode("posted").alias("coordinate", "value"))
+    posted = posted.select("id", "n_shingles", F.shiftleft(F.col("coordinate").cast("long"), 32).bitwiseOR(value).alias("token"))
     shared = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("token").alias("shared"), "n")
-    by_class = posted.join(shared, F.col("token") == F.col("shared")).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("rarest"))  # at most POSTED a class
+    by_class = posted.join(shared, F.col("token") == F.col("shared")).groupBy("id", "n_shingles").agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("rarest"))  # at most POSTED a class
     prefix = POSTED - least(POSTED, percent) + 1
     # the pairs that the class has alone are the rarest of all and come first
     taken = F.slice("rarest", 1, F.greatest(F.lit(0), F.lit(prefix - POSTED) + F.size("rarest")))
-    return by_class.select("id", taken.getField("token").alias("prefix")).select(F.explode("prefix").alias("token"), "id", "prefix")
+    prefixes = by_class.select("id", "n_shingles", taken.getField("token").alias("prefix"))
+    return prefixes.select(F.explode("prefix").alias("token"), "id", "n_shingles", "prefix")
 
 
 def _agree(a: str, b: str) -> Column:
@@ -125,11 +134,36 @@ def _similar_sizes(a: Column, b: Column, percent: int) -> Column:
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` of document ids whose full sets are similar enough."""
+    """``a, b, linked`` of pairs of document ids by their full sets."""
     pairs = written(pairs.select("a", "b"), "pairs")
     members = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select(F.col("a").alias("leader"), F.ceil(F.col("n") / MEMBERS).alias("parts"))
-    dealt = pairs.join(members, F.col("a") == F.col("leader")).select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.col("b").alias("wanted"), F.lit(True).alias("is_member"))
-    dealt = dealt.union(dealt.select("a", "part", F.col("a").alias("wanted"), F.lit(False).alias("is_member")).distinct())
+    dealt = pairs.join(members, F.col("a") == F.col("leader")).select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.lit(True).alias("is_member"), F.col("b").alias("wanted"))
+    dealt = dealt.union(dealt.select("a", "part", F.lit(False).alias("is_member"), F.col("a").alias("wanted")).distinct())
+    return _compared(dealt, docs, size, percent, every=True).groupBy("a", "b").agg(F.bool_or("linked").alias("linked"))
+
+
+def meetings(outside: DataFrame, labels: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links ``a, b`` of documents ``id`` with any document of the component ``largest``, one for each at most.
+
+    The documents outside come in blocks, and those of the component one after the other.
+    """
+    blocks_ = outside.groupBy("largest").agg(F.ceil(F.count(F.lit(1)) / MEETING).alias("parts"))
+    inside = labels.join(blocks_, F.col("label") == F.col("largest"))
+    sizes = inside.groupBy(F.col("largest").alias("of")).agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("splits"), F.max("parts").alias("parts"))
+    splits = F.explode(F.sequence(F.lit(0).cast("long"), F.col("splits") - 1))
+    leading = outside.join(sizes, F.col("largest") == F.col("of")).select("largest", F.pmod(F.xxhash64("id"), F.col("parts")).alias("block"), "splits", "id").select("largest", "block", "splits", "id", splits.alias("split"))
+    leading = leading.select(F.col("largest").alias("a"), (F.col("block") * F.col("splits") + F.col("split")).alias("part"), F.lit(False).alias("is_member"), F.col("id").alias("wanted"))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    members = labels.join(sizes, F.col("label") == F.col("of")).select("label", "node", "splits", F.pmod(F.xxhash64("node"), F.col("splits")).alias("split"), each.alias("block"))
+    members = members.select(F.col("label").alias("a"), (F.col("block") * F.col("splits") + F.col("split")).alias("part"), F.lit(True).alias("is_member"), F.col("node").alias("wanted"))
+    return _compared(leading.union(members), docs, size, percent, every=False).select("a", "b")
+
+
+def _compared(dealt: DataFrame, docs: DataFrame, size: int, percent: int, every: bool) -> DataFrame:
+    """Sets of the members of each ``(a, part)`` against those that lead it: ``a, b, linked`` with the ids of both.
+
+    With ``every``, each comparison is a row; without, only the first link of each that leads.
+    """
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -142,31 +176,43 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Dat
         import zstandard
 
         unpacker = zstandard.ZstdDecompressor()
-        leader, leading = None, []
+        group, leading, marks = None, [], None
         for batch in batches:
-            one, two = [], []
+            out = []
             for start in range(0, batch.num_rows, 64):
-                part = batch.slice(start, 64)
-                texts = pa.array([unpacker.decompress(x).decode() for x in part.column(4).to_pylist()], pa.large_string())
+                rows = batch.slice(start, 64)
+                texts = pa.array([unpacker.decompress(x).decode() for x in rows.column(4).to_pylist()], pa.large_string())
                 sets = [x for _, found in _sets(texts, size) for x in found]
-                for a, salt, is_member, b, own in zip(*(part.column(k).to_pylist() for k in range(4)), sets, strict=True):
-                    if (a, salt) != leader:
-                        leader, leading = (a, salt), []
+                for a, part, is_member, number, own in zip(*(rows.column(k).to_pylist() for k in range(4)), sets, strict=True):
+                    if (a, part) != group:
+                        group, leading, marks = (a, part), [], None
                     if not is_member:
-                        leading.append(own)
+                        leading.append((number, own))
                         continue
-                    for other in leading:
+                    chosen = range(len(leading))
+                    if not every:
+                        if marks is None:
+                            marks = np.array([signature(x)[:SIGNATURE] for _, x in leading]).reshape(len(leading), -1)
+                        chosen = np.flatnonzero((marks == signature(own)).sum(axis=1) >= least(SIGNATURE, percent)).tolist() if len(leading) else []
+                    linked_now = []
+                    for k in chosen:
+                        other = leading[k][1]
                         common = len(np.intersect1d(own, other, assume_unique=True))
-                        if common and 100 * common >= percent * (len(own) + len(other) - common):
-                            one.append(a)
-                            two.append(b)
-                            break
-            yield pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64())], ["a", "b"])
+                        linked = bool(common) and 100 * common >= percent * (len(own) + len(other) - common)
+                        if every or linked:
+                            out.append((leading[k][0], number, linked))
+                        if linked:
+                            linked_now.append(k)
+                    if not every and linked_now:
+                        leading = [x for k, x in enumerate(leading) if k not in linked_now]
+                        marks = np.delete(marks, linked_now, axis=0)
+            columns = list(zip(*out, strict=True)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["a", "b", "linked"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id IS NOT NULL").mapInArrow(packed, "id long, text binary")
     # as many texts as there are documents may be wanted, so they meet by a shuffle at every size
     rows = texts.join(dealt.hint("merge"), F.col("id") == F.col("wanted")).select("a", "part", "is_member", "id", "text")
-    return rows.repartition("a", "part").sortWithinPartitions("a", "part", "is_member").mapInArrow(compare, "a long, b long").distinct()
+    return rows.repartition("a", "part").sortWithinPartitions("a", "part", "is_member").mapInArrow(compare, "a long, b long, linked boolean")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -207,22 +253,37 @@ def links(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
         sizes = _similar_sizes(F.col(f"{one}.n_shingles"), F.col(f"{two}.n_shingles"), percent)
         return sizes & (_agree(f"{one}.signature", f"{two}.signature") >= least(SIGNATURE, percent))
 
-    draws = [F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("draw"), "id")).getField("id") for turn in range(LEADERS)]
-    leaders = lists.groupBy(F.col("token").alias("list")).agg(F.array_distinct(F.array(*draws)).alias("leaders"))
-    pairs = lists.join(leaders, F.col("token") == F.col("list")).select(F.explode("leaders").alias("a"), F.col("id").alias("b")).where("a != b").distinct()
+    draws = [F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("draw"), "id", "n_shingles")) for turn in range(LEADERS)]
+    drawn = F.array_distinct(F.transform(F.array(*draws), lambda x: F.struct(x["id"].alias("id"), x["n_shingles"].alias("n_shingles"))))
+    leaders = written(lists.groupBy(F.col("token").alias("list")).agg(drawn.alias("leaders"), F.count(F.lit(1)).alias("members")), "leaders")
+    met = lists.join(leaders, F.col("token") == F.col("list")).select(F.explode("leaders").alias("leader"), "id", "n_shingles").where("leader.id != id")
+    pairs = met.where(_similar_sizes(F.col("leader.n_shingles"), F.col("n_shingles"), percent)).select(F.col("leader.id").alias("a"), F.col("id").alias("b")).distinct()
     near = pairs.join(facts.alias("one"), F.col("a") == F.col("one.id")).join(facts.alias("two"), F.col("b") == F.col("two.id")).where(retained("one", "two"))
-    near = near.select("a", "b", _agree("one.signature", "two.signature").alias("agree"))
-    # a class need not meet all of its leaders: what this leaves unconnected comes next
-    first = near.groupBy("b").agg(F.slice(F.sort_array(F.collect_set(F.struct("agree", "a")), False), 1, LEADERS).alias("best")).select("b", F.explode("best.a").alias("a"))
-    found = written(confirmed(first, docs, size, percent), "links")
-
-    labels = components(found)
-    entries = written(lists.join(labels, F.col("id") == F.col("node"), "left").select("token", "id", F.coalesce("label", "id").alias("label")), "entries")
+    near = written(near.select("a", "b", _agree("one.signature", "two.signature").alias("agree")), "near")
+    best = F.slice(F.sort_array(F.collect_set(F.struct("agree", "a")), False), 1, CONFIRMED).getField("a")
+    foremost = F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64("a", F.lit(0)).alias("draw"), "a"))), 1, CONFIRMED).getField("a")
+    first = near.groupBy("b").agg(F.array_union(best, foremost).alias("a")).select(F.explode("a").alias("a"), "b")
+    tested = written(confirmed(first, docs, size, percent), "tested")
+    found = tested.where("linked").select("a", "b")
+
+    labels = written(components(found), "labels")
+    # candidates that the leaders' turn has left
+    left = near.join(tested.select(F.col("a").alias("one"), F.col("b").alias("two")), (F.col("a") == F.col("one")) & (F.col("b") == F.col("two")), "left_anti")
+    for side in ("a", "b"):
+        left = left.join(labels.select(F.col("node").alias(f"{side}_node"), F.col("label").alias(f"{side}_label")), F.col(side) == F.col(f"{side}_node"), "left")
+    left = left.where(~F.coalesce("a_label", "a").eqNullSafe(F.coalesce("b_label", "b"))).select("a", "b")
+
+    # lists with two members at least that were no leaders; in others all pairs have met
+    entries = lists.join(leaders.where(F.col("members") > F.size("leaders") + 1).select("list"), F.col("token") == F.col("list"), "left_semi")
+    entries = written(entries.select("token", "id").join(labels, F.col("id") == F.col("node"), "left").select("token", "id", F.coalesce("label", "id").alias("label")), "entries")
     mixed = entries.groupBy(F.col("token").alias("list")).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("list")
     open_ = entries.join(mixed, F.col("token") == F.col("list")).drop("list")
-    largest = open_.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("token").alias("list")).agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
-    open_ = open_.join(largest, F.col("token") == F.col("list")).join(facts.withColumnRenamed("id", "fact"), F.col("id") == F.col("fact"))
-    open_ = written(open_.select("token", "id", "label", (F.col("label") == F.col("largest")).alias("main"), "n_shingles", "signature", "prefix"), "open")
+    largest = open_.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("token").alias("list")).agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.max("n").alias("n"))
+    open_ = open_.join(largest, F.col("token") == F.col("list")).withColumn("main", F.col("label") == F.col("largest"))
+    open_ = written(open_.select("token", "id", "label", "main", "largest", (F.col("n") >= LARGE).alias("large")), "open")
+    outside = written(open_.where("large AND NOT main").select("id", "largest").distinct(), "outside")
+    marked = open_.where("NOT (large AND main)").join(facts.withColumnRenamed("id", "fact"), F.col("id") == F.col("fact"))
+    open_ = written(marked.select("token", "id", "label", "main", "n_shingles", "signature", "prefix"), "marked")
     rest = open_.where("NOT main").alias("one").join(
         open_.alias("two"),
         (F.col("one.token") == F.col("two.token"))
@@ -232,7 +293,9 @@ def links(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
         & (F.array_min(F.array_intersect("one.prefix", "two.prefix")) == F.col("one.token"))
         & retained("one", "two"),
     )
-    return found.union(confirmed(rest.select(F.col("one.id").alias("a"), F.col("two.id").alias("b")), docs, size, percent))
+    rest = left.union(rest.select(F.col("one.id").alias("a"), F.col("two.id").alias("b"))).distinct()
+    found = found.union(confirmed(rest, docs, size, percent).where("linked").select("a", "b"))
+    return found.union(meetings(outside, labels, docs, size, percent))
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
