@@ -112,3 +112,43 @@ def op9_minhash(spark: SparkSession, folder: str) -> DataFrame:
 def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
     found = licenses.scan(_table(spark, folder, "documents"))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+_BITS = [f"{k:04b}" for k in range(16)]
+
+SQL["op5_warc"] = f"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+      b AS (SELECT page_id, payload, min(page_id) OVER (PARTITION BY payload) AS first_id,
+          array_to_string([{_BITS}[strpos('0123456789abcdef', c)] for c in string_split(sha1(payload), '')], '') AS bits
+        FROM p)
+    SELECT page_id, cast(octet_length(encode(payload)) AS bigint) AS payload_bytes,
+      array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * cast(bits[5 * i + 1] AS int)
+          + 8 * cast(bits[5 * i + 2] AS int) + 4 * cast(bits[5 * i + 3] AS int)
+          + 2 * cast(bits[5 * i + 4] AS int) + cast(bits[5 * i + 5] AS int), 1) for i in range(32)], '') AS payload_digest,
+      CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+    FROM b"""
+
+SQL["op9_minhash"] = r"""
+    WITH RECURSIVE words AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(
+          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+        FROM documents),
+      sets AS (
+        SELECT doc_id, CASE WHEN len(w) < 2 THEN w
+          ELSE list_distinct([concat(w[i], ' ', w[i + 1]) for i in range(1, len(w))]) END AS s FROM words),
+      shingles AS (SELECT doc_id, unnest(s) AS g FROM sets),
+      common AS (
+        SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+        FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+      links AS (
+        SELECT a, b FROM common JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b
+        WHERE 100 * n >= 80 * (len(x.s) + len(y.s) - n)),
+      both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+      reached AS (
+        SELECT doc_id, doc_id AS other FROM documents
+        UNION SELECT r.doc_id, l.b FROM reached r JOIN both_ways l ON l.a = r.other)
+    SELECT s.doc_id, cast(len(s.s) AS bigint) AS n_shingles, min(r.other) AS component_id,
+      s.doc_id = min(r.other) AS kept
+    FROM sets s JOIN reached r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s.s"""
