@@ -39,7 +39,7 @@ _IP = re.compile(r"([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOGIN = re.compile(r"[^\s/@:]++:[^\s/@]++@(?=[A-Za-z0-9])")
-_ACCOUNT = re.compile(r"(?:[ \t]*(?:no\b\.?|number\b|nr\b\.?|is\b|#|:|=)){0,4}[ \t]*[\"']?([A-Za-z]{0,4}[0-9](?:[ -]?[A-Za-z0-9])++)", re.IGNORECASE)
+_ACCOUNT = re.compile(r"(?:[ \t]*(?:no\b\.?|number\b|nr\b\.?|is\b|#|:|=)){0,4}[ \t]*[\"']?([A-Za-z]{0,4}[0-9][A-Za-z0-9]*+(?:[ -](?:[0-9][A-Za-z0-9]*+|(?-i:[A-Z]{4})(?=[ -][0-9])))*+)", re.IGNORECASE)
 _SECRET = re.compile(r"[\"']?[ \t]*[:=][ \t]*(?:\"([^\"\s]++)\"|'([^'\s]++)'|([^\s\"']++))")
 
 

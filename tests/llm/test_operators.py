@@ -237,6 +237,24 @@ def test_pii_base_equals_the_plain_patterns():
         assert {k: found[k] for k in pii.BASE} == plain_spans(text), text
 
 
+@pytest.mark.parametrize(
+    "text, kind, found",
+    [
+        ("account no. 12345-678 with 5 items", "account", ["12345-678"]),
+        ("Account number: GB29 NWBK 6016 1331 9268 19, then", "account", ["GB29 NWBK 6016 1331 9268 19"]),
+        ("account 1234 and myaccount 123456", "account", []),
+        ("passport AB1234567 issued", "account", ["AB1234567"]),
+        ("password: hunter2hunter2; secret", "secret", ["hunter2hunter2;"]),
+        ("the token ring is a token of thanks", "secret", []),
+        ("api_key='abcdefgh12'", "secret", ["abcdefgh12"]),
+        ("ftp://u:p@h.org x://y", "login", ["u:p"]),
+        ("account " + "1" * 100_000, "account", ["1" * 100_000]),
+    ],
+)
+def test_pii_cues(text, kind, found):
+    assert [text[a:b] for a, b in pii.spans(text)[kind]] == found
+
+
 def test_pii_rows_and_masks(spark):
     text = "mail é@x a.b@c.de, IBAN: DE89370400440532013000 token = \"1eb9c654e721b4f8\" http://me:pw@host.org/ 10.0.0.1"
     docs = clashing(frame(spark, [*ODD, text]))
@@ -249,7 +267,7 @@ def test_pii_rows_and_masks(spark):
     assert masked.columns == docs.columns
     out = {r["doc_id"]: r["text"] for r in masked.select("doc_id", "text").collect()}
     assert [out[k] for k in range(len(ODD))] == ODD
-    assert out[len(ODD)] == 'mail é@x [EMAIL], IBAN: [ACCOUNT] token = "[SECRET]" http://[LOGIN].org/ [IP]' or "[EMAIL]" in out[len(ODD)]
+    assert out[len(ODD)] == 'mail é@x [EMAIL], IBAN: [ACCOUNT] token = "[SECRET]" http://[LOGIN]/ [IP]'
     for secret in ("a.b@c.de", "DE89370400440532013000", "1eb9c654e721b4f8", "me:pw", "10.0.0.1"):
         assert secret not in out[len(ODD)]
     assert pii.find(docs.limit(0)).count() == 0
