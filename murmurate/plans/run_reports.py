@@ -8,7 +8,7 @@ key/value rows of no other run.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,24 +44,51 @@ def _named(runs: DataFrame) -> DataFrame:
     return runs.withColumnRenamed("name", "run_name")
 
 
-def _of(rows: DataFrame, runs: DataFrame) -> DataFrame:
-    """Key/value rows of a top-n result: at most n runs to broadcast."""
-    return rows_of(rows, F.broadcast(runs))
+def _values(
+    t: Tables, runs: DataFrame, wanted: Mapping[str, Mapping[str, str]], pick: Callable = F.max
+) -> DataFrame:
+    """One row per run of a top-n result: per table the picked value of each key, under the given name.
+
+    The key/value tables are one stream of rows, so the few runs are broadcast once.
+    """
+    parts, columns = [], []
+    for table, keys in wanted.items():
+        is_number = table == "metrics"
+        value = F.col("value")
+        parts.append(
+            t[table].where(F.col("key").isin(*keys)).select(
+                "run_uuid",
+                F.concat(F.lit(f"{table}."), "key").alias("place"),
+                (value if is_number else F.lit(None).cast("double")).alias("number"),
+                (F.lit(None).cast("string") if is_number else value).alias("text"),
+            )
+        )
+        columns += [
+            pick(F.when(F.col("place") == f"{table}.{key}", F.col("number" if is_number else "text"))).alias(name)
+            for key, name in keys.items()
+        ]
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return rows_of(rows, F.broadcast(runs)).groupBy("run_uuid").agg(*columns)
+
+
+def _same(*keys: str) -> dict[str, str]:
+    return {key: key for key in keys}
 
 
 def latest_run(t: Tables, experiment: str) -> DataFrame:
     runs = latest_runs(t["runs"], t["experiments"], experiment, 1)
-    metrics = pivot_keys(
-        _of(t["metrics"], runs), ["eval_accuracy", "eval_f1_macro", "eval_loss"]
-    )
-    params = pivot_keys(
-        _of(t["params"], runs), ["model_accepted", "epochs", "learning_rate", "is_incremental"]
-    )
-    tags = pivot_keys(_of(t["tags"], runs), ["model_status"])
-    out = runs
-    for side in (metrics, params, tags):
-        out = out.join(side, "run_uuid", "left")
-    return out.select(
+    values = _values(
+        t,
+        runs,
+        {
+            "metrics": _same("eval_accuracy", "eval_f1_macro", "eval_loss"),
+            "params": _same("model_accepted", "epochs", "learning_rate", "is_incremental"),
+            "tags": _same("model_status"),
+        },
+    )
+    return runs.join(values, "run_uuid", "left").select(
         F.col("run_uuid").alias("run_id"),
         F.col("name").alias("run_name"),
         "status",
@@ -114,17 +141,20 @@ def average_metrics(t: Tables, experiment: str, as_of: Clock) -> DataFrame:
 
 def compare_runs(t: Tables, experiment: str, n: int = 10) -> DataFrame:
     runs = latest_runs(t["runs"], t["experiments"], experiment, n)
-    metrics = pivot_keys(
-        _of(t["metrics"], runs),
-        ["eval_f1_macro", "eval_accuracy", "eval_loss"],
-        rename={"eval_f1_macro": "f1_macro", "eval_accuracy": "accuracy", "eval_loss": "loss"},
-    )
-    params = pivot_keys(
-        _of(t["params"], runs),
-        ["epochs", "learning_rate", "model_accepted", "is_incremental"],
-        rename={"learning_rate": "lr", "model_accepted": "accepted", "is_incremental": "incremental"},
-    )
-    out = _named(runs).join(metrics, "run_uuid", "left").join(params, "run_uuid", "left")
+    values = _values(
+        t,
+        runs,
+        {
+            "metrics": {"eval_f1_macro": "f1_macro", "eval_accuracy": "accuracy", "eval_loss": "loss"},
+            "params": {
+                "epochs": "epochs",
+                "learning_rate": "lr",
+                "model_accepted": "accepted",
+                "is_incremental": "incremental",
+            },
+        },
+    )
+    out = _named(runs).join(values, "run_uuid", "left")
     return out.orderBy(F.desc_nulls_first("start_time"), "run_uuid").select(
         "start_time",
         "run_name",
@@ -153,20 +183,11 @@ def duration_trend(t: Tables, experiment: str, as_of: Clock) -> DataFrame:
 def latest_status(t: Tables, experiment: str) -> DataFrame:
     """1 or 0 for the newest run; of repeated keys the smallest value counts."""
     runs = latest_runs(t["runs"], t["experiments"], experiment, 1)
-
-    def smallest(rows: DataFrame, key: str, name: str) -> DataFrame:
-        return _of(rows, runs).where(F.col("key") == key).groupBy("run_uuid").agg(
-            F.min("value").alias(name)
-        )
-
-    return (
-        runs.join(smallest(t["params"], "model_accepted", "accepted"), "run_uuid", "left")
-        .join(smallest(t["metrics"], "eval_f1_macro", "f1_score"), "run_uuid", "left")
-        .select(
-            F.col("start_time").alias("time"),
-            accepted_flag(F.col("accepted")).alias("is_accepted"),
-            "f1_score",
-        )
+    wanted = {"params": {"model_accepted": "accepted"}, "metrics": {"eval_f1_macro": "f1_score"}}
+    return runs.join(_values(t, runs, wanted, F.min), "run_uuid", "left").select(
+        F.col("start_time").alias("time"),
+        accepted_flag(F.col("accepted")).alias("is_accepted"),
+        "f1_score",
     )
 
 
