@@ -32,7 +32,7 @@ from murmurate.llm import blocks
 BITS = 16
 SIZES = (3, 4)
 DIMENSIONS = 16
-SAMPLE = 6000
+SAMPLE = 3000
 _SAME = np.uint32(1)
 
 
@@ -59,6 +59,11 @@ def slots(data: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> Iterator[t
         yield gram[inside], np.concatenate(([0], np.cumsum(lengths)))
 
 
+def _place(bits: int) -> str:
+    """The narrowest type of a slot."""
+    return "<u2" if bits <= 16 else "<u4"
+
+
 def _counted(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, data, offsets in blocks.blocks(batch.column(0)):
@@ -68,7 +73,7 @@ def _counted(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Record
                 places, counts = np.unique(np.concatenate([s[b[k] : b[k + 1]] for s, b in found]), return_counts=True)
                 rows.append((places, (counts / max(1, counts.sum())).astype(np.float32)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1).slice(first, len(rows)), batch.column(2).slice(first, len(rows)), pa.array([p.astype(np.int32) for p, _ in rows], pa.list_(pa.int32())), pa.array([w for _, w in rows], pa.list_(pa.float32()))],
+                [batch.column(1).slice(first, len(rows)), batch.column(2).slice(first, len(rows)), pa.array([p.astype(_place(bits)).tobytes() for p, _ in rows], pa.binary()), pa.array([w.tobytes() for _, w in rows], pa.binary())],
                 ["known_id", "label", "places", "weights"],
             )
 
@@ -125,10 +130,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, sa
     known = known.orderBy(F.xxhash64("known_id"), "known_id").limit(sample)  # a row is an id and a label, so this may be broadcast
     texts = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("known_id")).select("text", "known_id", F.col("label").cast("int").alias("label"))
     kind = labels.schema["doc_id"].dataType.simpleString()
-    counted = texts.mapInArrow(lambda batches: _counted(batches, bits), f"known_id {kind}, label int, places array<int>, weights array<float>").toArrow()
-    counted = counted.sort_by("known_id").combine_chunks()
-    places, weights = counted["places"], counted["weights"]
-    rows = [(places[k].values.to_numpy(), weights[k].values.to_numpy(), label) for k, label in enumerate(counted["label"].to_pylist())]
+    counted = texts.mapInArrow(lambda batches: _counted(batches, bits), f"known_id {kind}, label int, places binary, weights binary").toArrow()
+    found = sorted(zip(*(counted[name].to_pylist() for name in ("known_id", "places", "weights", "label")), strict=True))
+    del counted
+    pa.default_memory_pool().release_unused()
+    rows = [(np.frombuffer(p, _place(bits)), np.frombuffer(w, np.float32), label) for _, p, w, label in found]
     return train(rows, bits)
 
 
