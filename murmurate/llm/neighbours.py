@@ -1,14 +1,24 @@
 """Nearest neighbours of largest inner product by collision-counting hashing.
 
-Each vector has one number per random projection, and each projection of a block of vectors
+Each vector has one number per random projection, and each projection of a group of vectors
 is a sorted array. For a query, windows around its own numbers open in all arrays at once and
-widen step by step (virtual rehashing): a step looks only at what the wider windows add. A
+widen step by step (virtual rehashing). A window is a run of ranks; as the last ones cover half
+of the arrays, a vector's collisions are counted by holding its ranks against the windows. A
 vector whose number of collisions reaches ``THRESHOLD`` of the projections is verified by the
-inner product of the original vectors in double precision. The windows widen until ``SHARE``
-of the block, and ``LEAST`` vectors at least, are verified.
+inner product of the original vectors in double precision.
+
+When the search ends is decided by what it has found and not by a share of the block. The
+windows widen until ``SHARE`` of the block, and ``LEAST`` vectors at least, are verified; then
+once more, to the width at which a vector as near as the ``k``-th best found so far collides
+often enough with probability ``SURE``. Any true neighbour is at least that near, so each is
+verified with that probability, whatever the dimension and the lengths are. Vectors without
+structure, or of many dimensions, cost more verification and not recall.
 
 Largest inner products become smallest distances by one more coordinate that gives all
-vectors of a block the norm of its longest (the query gets zero there).
+vectors of a group the norm of its longest (the query gets zero there). The vectors of a block
+are grouped by length, longest first, so that a long vector does not flatten the others. A
+group whose longest vector cannot reach the ``k``-th best is left out, which loses nothing;
+groups below ``WHOLE`` vectors are verified whole.
 
 Blocks hold about ``BLOCK`` different vectors and queries come in blocks too; a task searches
 one block for one block of queries, so no task grows with the data. Equal vectors are indexed
@@ -22,7 +32,10 @@ smaller id. An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from math import comb
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +44,19 @@ from pyspark.sql import functions as F
 
 from murmurate.session import written
 
-PROJECTIONS = 64
+PROJECTIONS = 128
 THRESHOLD = 0.6
+SURE = 0.95
 SHARE = 0.2
 LEAST = 2500
 STEP = 1.2
 BLOCK = 16_384
 QUERIES = 512
+#: The longest vector of a group has at most this many times the norm of its shortest.
+RANGE = 1.2
+WHOLE = 256
+#: What single precision may take from a distance: the root of its smallest part of one, with room.
+ROUNDING = 1e-3
 
 
 def _padded(x: np.ndarray, norm: float) -> np.ndarray:
@@ -45,42 +64,111 @@ def _padded(x: np.ndarray, norm: float) -> np.ndarray:
     return np.hstack([x, np.sqrt(rest)[:, None].astype(np.float32)])
 
 
+def _reach(projections: int, threshold: int, sure: float) -> float:
+    """Half a window, in distances, at which a vector meets ``threshold`` of the windows with probability ``sure``."""
+
+    def met(p: float) -> float:
+        return sum(comb(projections, c) * p**c * (1 - p) ** (projections - c) for c in range(threshold, projections + 1))
+
+    low, high = 0.0, 1.0
+    for _ in range(40):
+        p = (low + high) / 2
+        low, high = (low, p) if met(p) >= sure else (p, high)
+    # a projection of a distance is normal with that distance as deviation
+    return NormalDist().inv_cdf((1 + min(high, 1 - 1e-9)) / 2)
+
+
+class _Group:
+    """The sorted projection arrays of vectors of similar norm; ``rows`` are their places in the block."""
+
+    def __init__(self, rows: np.ndarray, exact: np.ndarray, norm: float, asked: np.ndarray, lines: np.ndarray, threshold: int):
+        self.rows, self.exact, self.norm, self.threshold = rows, exact[rows], norm, threshold
+        self.whole = len(rows) < WHOLE
+        if self.whole:
+            return
+        # vectors and queries are scaled to norm one, so that windows have one scale
+        index = _padded((self.exact / norm).astype(np.float32), 1.0)
+        numbers, self.centres = index @ lines, (asked @ lines).astype(np.float32)
+        order = np.argsort(numbers, axis=0, kind="stable").T.copy()
+        self.ordered = np.take_along_axis(numbers, order.T, axis=0).T.copy()
+        self.ranks = np.empty(order.shape, np.uint16 if len(rows) < 1 << 16 else np.uint32)
+        np.put_along_axis(self.ranks, order, np.arange(len(rows), dtype=self.ranks.dtype)[None, :], axis=1)
+        self.from_low, self.inside = np.empty_like(self.ranks), np.empty(order.shape, bool)
+        self.bounds: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # of all queries, at each step
+        self.step = 0
+
+    def _colliding(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Vectors in enough of the windows, which hold the ranks from ``low`` to before ``high``."""
+        np.subtract(self.ranks, low.astype(self.ranks.dtype)[:, None], out=self.from_low)  # below the window it wraps round
+        np.less(self.from_low, (high - low).astype(self.ranks.dtype)[:, None], out=self.inside)
+        kind = np.uint8 if len(self.ranks) < 1 << 8 else np.uint16
+        return np.flatnonzero(np.add.reduce(self.inside.view(np.uint8), axis=0, dtype=kind) >= self.threshold)
+
+    def _at(self, q: int, step: int) -> np.ndarray:
+        if step not in self.bounds:
+            half = np.float32(0.4 * STEP**step)
+            self.bounds[step] = tuple(np.stack([np.searchsorted(line, self.centres[:, i] + way * half, side) for i, line in enumerate(self.ordered)], axis=1) for way, side in ((-1, "left"), (1, "right")))
+        return self._colliding(self.bounds[step][0][q], self.bounds[step][1][q])
+
+    def _within(self, q: int, half: float) -> np.ndarray:
+        low, high = self.centres[q] - np.float32(half), self.centres[q] + np.float32(half)
+        return self._colliding(np.array([line.searchsorted(x, "left") for line, x in zip(self.ordered, low, strict=True)]), np.array([line.searchsorted(x, "right") for line, x in zip(self.ordered, high, strict=True)]))
+
+    def _values(self, found: np.ndarray, query: np.ndarray) -> np.ndarray:
+        return (self.exact @ query)[found] if 4 * len(found) > len(self.exact) else self.exact[found] @ query
+
+    def verified(self, q: int, query: np.ndarray, enough: int, best: np.ndarray, k: int, reach: float) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors verified and their inner products; ``best`` has the largest ones of the groups before."""
+        n = len(self.rows)
+        enough = max(enough, k - len(best))
+        if self.whole or enough >= n:
+            return self.rows, self.exact @ query
+        found, value, half = np.zeros(0, np.int64), np.zeros(0), 0.0
+        if enough > 0:
+            # the first step with enough, which is the same wherever one starts to look for it
+            found = self._at(q, self.step)
+            while len(found) < enough:
+                self.step += 1
+                found = self._at(q, self.step)
+            while self.step and len(less := self._at(q, self.step - 1)) >= enough:
+                self.step, found = self.step - 1, less
+            value, half = self._values(found, query), 0.4 * STEP**self.step
+        reached = np.partition(np.concatenate((best, value)), -k)[-k]
+        needed = reach * math.sqrt(max(0.0, 2 - 2 * reached / (float(np.linalg.norm(query)) * self.norm))) + ROUNDING
+        if needed > half:
+            found = self._within(q, needed)
+            value = self._values(found, query)
+        return self.rows[found], value
+
+
 def search(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int, share: float = SHARE, least: int = LEAST, projections: int = PROJECTIONS, seed: int = 5) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query: its number, rows of ``vectors`` with the ``k`` largest verified inner products, and these."""
-    n, exact = len(vectors), vectors.astype(np.float64)
+    n, exact, wanted = len(vectors), vectors.astype(np.float64), queries.astype(np.float64)
     norms = np.linalg.norm(exact, axis=1)
-    # vectors and queries are scaled to norm one, so that windows have one scale
-    index = _padded((vectors / norms.max()).astype(np.float32), 1.0)
-    lengths = np.linalg.norm(queries.astype(np.float64), axis=1, keepdims=True)
-    asked = np.hstack([(queries / lengths).astype(np.float32), np.zeros((len(queries), 1), np.float32)])
-    lines = np.random.default_rng(seed).standard_normal((index.shape[1], projections)).astype(np.float32)
-    numbers, centres = index @ lines, asked @ lines
-    order = np.argsort(numbers, axis=0, kind="stable").T.astype(np.int64).copy()
-    ordered = np.take_along_axis(numbers, order.T, axis=0).T.copy()
+    asked = np.hstack([(wanted / np.linalg.norm(wanted, axis=1, keepdims=True)).astype(np.float32), np.zeros((len(queries), 1), np.float32)])
+    lines = np.random.default_rng(seed).standard_normal((vectors.shape[1] + 1, projections)).astype(np.float32)
     enough, threshold = min(n, max(least, int(np.ceil(share * n)))), int(np.ceil(THRESHOLD * projections))
-    order = list(order)
-    begin = np.stack([np.searchsorted(ordered[i], centres[:, i]) for i in range(projections)], axis=1).tolist()
-    bounds: list[tuple[list, list]] = []  # of all queries, at each step
-    for q in range(len(queries)):
-        count = np.zeros(n, np.int64)
-        low = high = begin[q]
-        step = 0
-        while True:
-            if step == len(bounds):
-                half = np.float32(0.4 * STEP**step)
-                bounds.append(tuple(np.stack([np.searchsorted(ordered[i], centres[:, i] + way * half, side) for i in range(projections)], axis=1).tolist() for way, side in ((-1, "left"), (1, "right"))))
-            wider_low, wider_high = bounds[step][0][q], bounds[step][1][q]
-            # what the wider windows add on both sides, in all arrays
-            added = [line[a:b] for line, a, b in zip(order, wider_low, low, strict=True)]
-            added += [line[a:b] for line, a, b in zip(order, high, wider_high, strict=True)]
-            count += np.bincount(np.concatenate(added), minlength=n)
-            low, high, step = wider_low, wider_high, step + 1
-            found = np.flatnonzero(count >= threshold)
-            if len(found) >= enough:
+    reach = _reach(projections, threshold, SURE)
+    falling = np.argsort(-norms, kind="stable")
+    groups, first = [], 0
+    while enough < n and first < n:
+        norm = float(norms[falling[first]])
+        last = int(np.searchsorted(-norms[falling], -norm / RANGE, "right"))
+        groups.append(_Group(np.sort(falling[first:last]), exact, norm, asked, lines, threshold))
+        first = last
+    for q, query in enumerate(wanted):
+        length = float(np.linalg.norm(query))
+        rows, value = (np.zeros(0, np.int64), np.zeros(0)) if groups else (np.arange(n), exact @ query)
+        for group in groups:
+            best = np.sort(np.partition(value, -k)[-k:] if len(value) > k else value)
+            # the margin is for the rounding of the norms
+            if len(rows) >= enough and len(best) == k and group.norm * length * (1 + 1e-9) < best[0]:
                 break
-        value = exact[found] @ queries[q].astype(np.float64)
-        best = np.lexsort((ids[found], -value))[:k]
-        yield q, found[best], value[best]
+            more, values = group.verified(q, query, max(0, enough - len(rows)), best, k, reach)
+            rows, value = np.concatenate((rows, more)), np.concatenate((value, values))
+        near = np.flatnonzero(value >= np.partition(value, -k)[-k]) if len(value) > k else np.arange(len(value))
+        top = near[np.lexsort((ids[rows[near]], -value[near]))[:k]]
+        yield q, rows[top], value[top]
 
 
 def _matrix(column: pa.Array, row: int) -> tuple[np.ndarray, np.ndarray]:

@@ -324,6 +324,22 @@ def test_neighbours_recall_without_verifying_all():
     assert hits / (40 * 21) >= 0.9
 
 
+@pytest.mark.parametrize(("dimensions", "norms"), [(64, "lognormal"), (64, "one long"), (128, "uniform"), (256, "equal"), (768, "equal")])
+def test_neighbours_recall_of_the_query_on_unequal_norms_and_many_dimensions(dimensions, norms):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(neighbours.BLOCK, dimensions))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if norms == "one long":
+        x[7] *= 3
+    elif norms != "equal":
+        x *= rng.lognormal(0, 0.5, (len(x), 1)) if norms == "lognormal" else rng.uniform(0.5, 2, (len(x), 1))
+    x = x.astype(np.float32)
+    queries, hits = x[100:130], 0
+    for q, rows, _ in neighbours.search(x, np.arange(len(x)), queries, 21):
+        hits += len(set(np.argsort(-(x.astype(float) @ queries[q].astype(float)))[:21]) & set(rows))
+    assert hits / (len(queries) * 21) >= 0.9
+
+
 # --- WARC (5)
 
 
