@@ -480,6 +480,19 @@ def test_scoring_equals_a_plain_model(spark):
         assert found[k]["background_loss"] == pytest.approx(background(text), rel=1e-4)
 
 
+def test_scoring_counts_every_distinct_gram_apart(spark):
+    rng = random.Random(14)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", k=50_000)) for _ in range(6)]
+    docs = frame(spark, texts)
+    table = scoring.counts(docs, F.col("doc_id") < 2)
+    rows = {r["gram_order"]: r["count"] for r in table.groupBy("gram_order").count().collect()}
+    for order in range(1, scoring.ORDER + 1):
+        assert rows[order] == len({t[k : k + order] for t in texts for k in range(len(t) - order + 1)})
+    # n-grams the model has not seen are scored by their shorter ends
+    other = scoring.score(frame(spark, ["~~~~", texts[0][:40] + "é"]), scoring.fit(docs, F.col("doc_id") < 2)).collect()
+    assert len(other) == 2 and all(math.isfinite(r["score"]) and r["target_loss"] > 0 for r in other)
+
+
 def test_scoring_of_empty_tables(spark):
     docs = frame(spark, [])
     assert scoring.score(docs, scoring.fit(docs, F.lit(True))).count() == 0
