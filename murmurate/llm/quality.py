@@ -32,7 +32,7 @@ from murmurate.llm import blocks
 BITS = 16
 SIZES = (3, 4)
 DIMENSIONS = 16
-SAMPLE = 3000
+SAMPLE = 6000
 _SAME = np.uint32(1)
 
 

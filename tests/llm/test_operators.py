@@ -545,6 +545,13 @@ def test_quality_without_labels(spark):
     assert [r["predicted"] for r in quality.scores(docs, quality.fit(docs, one)).collect()] == [1, 1]
 
 
+def test_quality_learns_from_six_thousand_rows(spark, monkeypatch):
+    docs = spark.range(6100).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
+    known = spark.range(6100).select(F.col("id").alias("doc_id"), (F.col("id") % 7 != 0).cast("int").alias("quality"))
+    monkeypatch.setattr(quality, "train", lambda rows, bits: len(rows))
+    assert quality.fit(docs, known) == 6000
+
+
 # --- near-duplicates (9)
 
 
