@@ -14,12 +14,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmurate.llm import decontaminate, language, licenses, neardup, neighbours, packing, pii, quality, scoring, warc
+from murmurate.llm import crosstoken, decontaminate, language, licenses, neardup, neighbours, packing, pii, quality, scoring, warc
 from murmurate.session import work_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+#: The two tokenisers that are aligned.
+BYTE_PIECES, SENTENCE_PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -114,6 +116,12 @@ def op10_licenses(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+@query
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    found = crosstoken.align(_table(spark, folder, "documents"), BYTE_PIECES, SENTENCE_PIECES, public_tokenizers.PATTERN)
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 _BITS = [f"{k:04b}" for k in range(16)]
 
 SQL["op5_warc"] = f"""
