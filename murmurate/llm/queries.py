@@ -14,8 +14,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmurate.llm import crosstoken, decontaminate, language, licenses, neardup, neighbours, packing, pii, quality, scoring, warc
-from murmurate.session import work_path
+from murmurate.llm import crosstoken, decontaminate, language, licenses, neardup, neighbours, outliers, outliers_sql, packing, pii, quality, scoring, warc
+from murmurate.session import work_path, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -122,6 +122,12 @@ def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+@query
+def op12_outliers(spark: SparkSession, folder: str) -> DataFrame:
+    stats = written(outliers.statistics(_table(spark, folder, "documents"), ["doc_id"]), "statistics")
+    return outliers.judge(stats, outliers.fit(stats)).select("document.doc_id", *outliers.NUMBERS, "base_failed", "kept")
+
+
 _BITS = [f"{k:04b}" for k in range(16)]
 
 SQL["op5_warc"] = f"""
@@ -160,3 +166,5 @@ SQL["op9_minhash"] = r"""
     SELECT s.doc_id, cast(len(s.s) AS bigint) AS n_shingles, min(r.other) AS component_id,
       s.doc_id = min(r.other) AS kept
     FROM sets s JOIN reached r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s.s"""
+
+SQL["op12_outliers"] = outliers_sql.sql()
