@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from murmurate.llm import crosstoken, decontaminate, language, licenses, neardup, neighbours, outliers, outliers_sql, packing, pii, quality, scoring, warc
+from murmurate.llm import crosstoken, decontaminate, language, licenses, neardup, negatives, neighbours, outliers, outliers_sql, packing, pii, quality, scoring, warc
 from murmurate.session import work_path, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,6 +128,13 @@ def op12_outliers(spark: SparkSession, folder: str) -> DataFrame:
     return outliers.judge(stats, outliers.fit(stats)).select("document.doc_id", *outliers.NUMBERS, "base_failed", "kept")
 
 
+@query
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels of every seventh id are moved on by one, as mislabelled rows would be."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
 _BITS = [f"{k:04b}" for k in range(16)]
 
 SQL["op5_warc"] = f"""
@@ -168,3 +175,22 @@ SQL["op9_minhash"] = r"""
     FROM sets s JOIN reached r ON r.doc_id = s.doc_id GROUP BY s.doc_id, s.s"""
 
 SQL["op12_outliers"] = outliers_sql.sql()
+
+SQL["op13_hard_negatives"] = """
+    WITH usable AS (
+        SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+          list_transform(embedding, lambda x: cast(floor(256 * cast(x AS double)) AS bigint)) AS q
+        FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+          AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+      parts AS (SELECT vec_id, label, unnest(q) AS x, unnest(range(len(q))) AS d FROM usable),
+      scores AS (
+        SELECT a.vec_id AS anchor_id, a.label AS anchor_label, b.vec_id, b.label, cast(sum(a.x * b.x) AS bigint) AS score
+        FROM parts a JOIN parts b ON a.d = b.d AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 GROUP BY ALL),
+      positives AS (
+        SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE label = anchor_label
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+    SELECT p.anchor_id, positive_id, cast(row_number() OVER w AS int) AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+    FROM positives p JOIN scores s ON s.anchor_id = p.anchor_id AND s.label <> s.anchor_label
+      AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+    WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)
+    QUALIFY row_number() OVER w <= 3"""
