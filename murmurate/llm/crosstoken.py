@@ -37,7 +37,7 @@ from murmurate.session import written
 
 BLOCK = 2 << 20
 #: Every so many ends of the shorter list are searched first; those between start from the one before.
-STRIDE = 32
+STRIDE = 8
 
 
 def gallop(keys: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -81,21 +81,37 @@ class _Side:
 
     def __init__(self, coder, last: str, lead: str = ""):
         self.encode = lambda text: coder.encode(lead + text)
-        self.pieces = coder.pieces()
-        self.sizes = np.array([len(x) for x in self.pieces], np.int64)
+        pieces = coder.pieces()
+        self.sizes = np.array([len(x) for x in pieces], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.bytes = np.frombuffer(b"".join(pieces), np.uint8)
         #: each id followed by a comma, and by the mark that ends the tokens of a group
-        self.inner = np.array([f"{k}," for k in range(len(self.pieces))], object)
-        self.final = np.array([f"{k}{last}" for k in range(len(self.pieces))], object)
-
-    def joined(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, ids.tolist()))
+        self.inner = np.array([f"{k}," for k in range(len(pieces))], object)
+        self.final = np.array([f"{k}{last}" for k in range(len(pieces))], object)
+
+    def exact(self, ids: list[np.ndarray], wholes: list[bytes]) -> np.ndarray:
+        """Whether the bytes of each list of ids are those of its text."""
+        flat = np.concatenate([*ids, np.zeros(0, "<u4")])
+        sizes = self.sizes[flat]
+        ends = np.cumsum(sizes)
+        at = np.cumsum([0, *map(len, ids)])
+        of_text = np.concatenate(([0], ends))[at]
+        joined = self.bytes[np.arange(of_text[-1]) + np.repeat(self.begins[flat] - (ends - sizes), sizes)]
+        whole = np.frombuffer(b"".join(wholes), np.uint8)
+        of_whole = np.cumsum([0, *map(len, wholes)])
+        same = np.diff(of_text) == np.diff(of_whole)
+        if same.all() and np.array_equal(joined, whole):
+            return same
+        return same & np.array([np.array_equal(joined[i:j], whole[k:m]) for i, j, k, m in zip(of_text[:-1], of_text[1:], of_whole[:-1], of_whole[1:], strict=True)], bool)
 
 
 def _texts_of_groups(a: np.ndarray, b: np.ndarray, a_cut: np.ndarray, b_cut: np.ndarray, left: _Side, right: _Side) -> np.ndarray:
     """The decimal ids of both sides in the order of groups, each with the mark that follows it."""
     out = np.empty(len(a) + len(b), object)
     for ids, own, cut, other, side in ((a, 0, a_cut, np.concatenate(([0], b_cut + 1)), left), (b, 1, b_cut, np.concatenate(([0], a_cut + 1)), right)):
-        group = np.searchsorted(cut, np.arange(len(ids)))
+        last = np.zeros(len(ids) + 1, np.int64)
+        last[cut + 1] = 1
+        group = np.cumsum(last)[:-1]
         shown = side.inner[ids]
         shown[cut] = side.final[ids[cut]]
         out[np.arange(len(ids)) + other[group + own]] = shown
@@ -113,9 +129,9 @@ def _aligned(a: list[np.ndarray], b: list[np.ndarray], left: _Side, right: _Side
     from_a, from_b = (np.cumsum([0, *map(len, x)]) for x in (a, b))
     shown = _texts_of_groups(flat_a, flat_b, cut_a, cut_b, left, right)
     texts = ["".join(shown[i:j].tolist())[:-1] for i, j in zip(from_a[:-1] + from_b[:-1], from_a[1:] + from_b[1:], strict=True)]
-    document = np.searchsorted(from_a, link_a, "right") - 1
+    document = np.repeat(np.arange(len(a)), np.diff(from_a))[link_a]
     return {
-        "pair": flat_a[link_a] * len(right.pieces) + flat_b[link_b],
+        "pair": flat_a[link_a] * len(right.sizes) + flat_b[link_b],
         "document": document,
         "groups": np.diff(np.searchsorted(cut_a, from_a)),
         "links": np.bincount(document, minlength=len(a)),
@@ -125,14 +141,11 @@ def _aligned(a: list[np.ndarray], b: list[np.ndarray], left: _Side, right: _Side
 
 def _block(texts: list[str | None], left: _Side, right: _Side) -> tuple[dict[str, list], tuple[np.ndarray, np.ndarray]]:
     """A row of numbers per text, and the different pairs of the block with their numbers of links."""
-    a, b = [], []
-    for text in texts:
-        coded = [side.encode(text) for side in (left, right)] if text else [np.zeros(0, "<u4")] * 2
-        whole = b" " + (text or "").encode()
-        if not all(side.joined(ids) == whole for side, ids in zip((left, right), coded, strict=True)):
-            coded = [np.zeros(0, "<u4")] * 2
-        a.append(coded[0])
-        b.append(coded[1])
+    none = np.zeros(0, "<u4")
+    a, b = ([side.encode(text) if text else none for text in texts] for side in (left, right))
+    wholes = [b" " + text.encode() if text else b"" for text in texts]
+    sound = left.exact(a, wholes) & right.exact(b, wholes)
+    a, b = ([ids if good else none for ids, good in zip(side, sound, strict=True)] for side in (a, b))
     shorter = np.array([len(x) <= len(y) for x, y in zip(a, b, strict=True)], bool)
     order, parts = [], []
     for rows in (np.flatnonzero(shorter), np.flatnonzero(~shorter)):
@@ -189,7 +202,7 @@ def blocks_of(docs: DataFrame, a: str, b: str, pattern: str, with_groups: bool =
                 cells = [rows[f] if isinstance(rows[f], pa.Array) else pa.array(rows[f], {"places": pa.binary(), "times": pa.binary()}.get(f) or (pa.string() if "groups" in f and f != "n_groups" else pa.int64())) for f in fields]
                 docs_of = pa.StructArray.from_arrays(cells, fields)
                 listed = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-                one, other = np.divmod(pairs, len(right.pieces))
+                one, other = np.divmod(pairs, len(right.sizes))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([block], pa.int64()), listed(docs_of), listed(pa.array(one, pa.int32())), listed(pa.array(other, pa.int32())), listed(pa.array(n, pa.int64()))],
                     ["block", "docs", "a", "b", "n"],

@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import os
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import regex
 
-#: Longest word that is cached, and how many words are.
+#: Longest word that is cached, and how many words each of the cache's two halves holds.
 WORD = 64
-WORDS = 1 << 18
+WORDS = 1 << 17
 #: Letters, digits, marks and blanks that all versions of Unicode class alike.
 _PLAIN = regex.compile(r"[\t\n\r\x20-\x7E¡-ɏ]*")
 
@@ -36,27 +37,35 @@ class ByteLevel:
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         self.split = regex.compile(pattern)
         self.known: dict[str, bytes] = {}
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.older: dict[str, bytes] = {}
 
     def encode(self, text: str) -> np.ndarray:
         """Token ids of a text, unsigned and little-endian."""
         if not _PLAIN.fullmatch(text) or any(mark in text for mark in self.marks):
-            return np.frombuffer(self._whole(text), "<u4")
+            return self._whole(text)
         words = self.split.findall(text)
-        unknown = {word for word in words if word not in self.known}
-        if unknown:
-            if any(len(word) > WORD for word in unknown):
-                return np.frombuffer(self._whole(text), "<u4")
-            if len(self.known) + len(unknown) > WORDS:
-                self.known.clear()
-                unknown = set(words)
-            listed = list(unknown)
-            for word, code in zip(listed, self.tokenizer.encode_batch_fast(listed, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(code.ids, "<u4").tobytes()
+        missing = {word for word in words if word not in self.known}
+        if missing:
+            if max(map(len, missing)) > WORD:
+                return self._whole(text)
+            if len(self.known) + len(missing) > WORDS:
+                # words still in use come back from the older half, the others are forgotten
+                self.older, self.known = self.known, {}
+                missing = set(words)
+            fresh = []
+            for word in missing:
+                if word in self.older:
+                    self.known[word] = self.older[word]
+                else:
+                    fresh.append(word)
+            if fresh:
+                for word, code in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
+                    self.known[word] = pack(f"<{len(code.ids)}I", *code.ids)
         return np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4")
 
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
     def pieces(self) -> list[bytes]:
         """The bytes of each token: its characters stand for bytes, the printable ones of Latin-1 for themselves."""
         shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]

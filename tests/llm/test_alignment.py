@@ -105,6 +105,15 @@ def test_cached_words_give_the_ids_of_the_tokenizer(text):
             assert tokens.byte_level(BYTE_PIECES, PATTERN, special).encode(x).tolist() == direct.encode(x, add_special_tokens=False).ids
 
 
+def test_words_survive_the_turn_of_the_cache(monkeypatch):
+    monkeypatch.setattr(tokens, "WORDS", 50)
+    coder, rng = tokens.ByteLevel(BYTE_PIECES, PATTERN, True), random.Random(12)
+    for _ in range(100):
+        text = " ".join("".join(rng.choices("abc", k=rng.randint(1, 4))) for _ in range(rng.randint(0, 80)))
+        assert coder.encode(text).tolist() == DIRECT[True].encode(text, add_special_tokens=False).ids
+        assert len(coder.known) <= 130 and len(coder.older) <= 130
+
+
 def test_alignment_query_keeps_every_document(spark):
     found = QUERIES["op11_alignment"](spark, "/root/testdata/sf0.001")
     assert found.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
