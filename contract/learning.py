@@ -1,5 +1,7 @@
 """Split, features, training, evaluation and model selection."""
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from contract.sqltext import SPACE_SET, rnd
@@ -10,6 +12,7 @@ from murmurate.operators import learn as L
 from murmurate.operators import runs as R
 from murmurate.operators.aggregates import pivot_keys
 from murmurate.operators.rows import valid_labels
+from murmurate.operators.softmax import FEATURES, LAYERS, fit
 from murmurate.operators.split import stratified_split
 from murmurate.plans.learn import evaluate, split_rows, train
 from murmurate.schemas import LABEL_NAMES
@@ -57,48 +60,122 @@ def _labelled(v):
     return valid_labels(v.labeled).select("doc_id", "id_str", "clean_text", "label")
 
 
+def _quota(rows: str) -> str:
+    return _QUOTA.replace("FROM valid", f"FROM {rows}").replace("counts", f"counts_{rows}").replace("wanted", f"wanted_{rows}").replace("exact", f"exact_{rows}").replace("quota AS", f"quota_{rows} AS")
+
+
+def _halves(rows: str) -> str:
+    """``split_<rows>``: the rows with their words, slots and part of the split."""
+    return f"""{_quota(rows)},
+      split_{rows} AS (
+        SELECT p.doc_id, p.label, p.words, len(p.words) AS n, CASE WHEN place <= q THEN 'validation' ELSE 'train' END AS split
+        FROM (SELECT doc_id, label, {_WORDS} AS words, row_number() OVER (
+            PARTITION BY label ORDER BY md5(concat(id_str, '|42'))) AS place FROM {rows}) p
+          JOIN quota_{rows} q ON q.label = p.label)"""
+
+
+_SLOT = f"cast(concat('0x', substr(md5(w), 1, 7)) AS bigint) % {FEATURES}"
+
+
+def _chances(rows: str, weights: str) -> str:
+    """``chance_<rows>``: doc_id, label and the probabilities of the classes by ``weights`` and its biases (slot -1)."""
+    summed = ", ".join(f"coalesce(sum(t.w{c}), 0) / sqrt(greatest(any_value(r.n), 1)) + any_value(b.w{c}) AS x{c}" for c in range(3))
+    powers = " + ".join(f"exp(x{c})" for c in range(3))
+    return f"""terms_{rows} AS (SELECT doc_id, {_SLOT} AS slot FROM (SELECT doc_id, unnest(words) AS w FROM {rows})),
+      chance_{rows} AS (SELECT doc_id, label, {", ".join(f"exp(x{c}) / ({powers}) AS p{c}" for c in range(3))} FROM (
+        SELECT r.doc_id, any_value(r.label) AS label, {summed}
+        FROM {rows} r LEFT JOIN terms_{rows} s ON s.doc_id = r.doc_id LEFT JOIN {weights} t ON t.slot = s.slot
+          CROSS JOIN (SELECT * FROM {weights} WHERE slot = -1) b GROUP BY r.doc_id))"""
+
+
+def _gradient(rows: str) -> str:
+    """``gradient_<rows>``: mean gradient per slot, biases at slot -1, from the chances of the rows."""
+    error = ", ".join(f"(c.p{k} - CASE WHEN c.label = {k} THEN 1 ELSE 0 END) AS e{k}" for k in range(3))
+    return f"""error_{rows} AS (SELECT doc_id, {error} FROM chance_{rows} c),
+      gradient_{rows} AS (
+        SELECT slot, {", ".join(f"sum(e{k} / sqrt(n)) / (SELECT count(*) FROM {rows}) AS g{k}" for k in range(3))}
+        FROM terms_{rows} t JOIN error_{rows} e ON e.doc_id = t.doc_id JOIN {rows} r ON r.doc_id = t.doc_id GROUP BY slot
+        UNION ALL SELECT -1, {", ".join(f"avg(e{k})" for k in range(3))} FROM error_{rows})"""
+
+
+_NONE = "zero AS (SELECT -1 AS slot, 0.0 AS w0, 0.0 AS w1, 0.0 AS w2)"
+
+
+def _first_step(rows: str) -> str:
+    """``first``: the coefficients after one step from zero over the train rows."""
+    return f"""{_halves(rows)},
+      {_NONE}, train_{rows} AS (SELECT * FROM split_{rows} WHERE split = 'train'),
+      {_chances(f"train_{rows}", "zero")},
+      {_gradient(f"train_{rows}")},
+      first AS (SELECT slot, {", ".join(f"{-RATE} * g{k} AS w{k}" for k in range(3))} FROM gradient_train_{rows})"""
+
+
+#: One step over all train rows, which SQL can follow.
+RATE, DECAY, FROZEN = 3.0, 0.001, 6
+ONE_STEP = {"epochs": 1, "batch_size": 1 << 40, "learning_rate": RATE, "weight_decay": DECAY, "freeze_layers": FROZEN}
+
+
 @query("train_classifier", "valid", f"""
-    WITH {_QUOTA}
-    SELECT label, n - cast(q AS bigint) AS train_rows, cast(q AS bigint) AS judged_rows,
-      true AS metrics_in_range FROM quota""")
+    WITH {_first_step("valid")},
+      judged AS (SELECT * FROM split_valid WHERE split = 'validation'),
+      {_chances("judged", "first")}
+    SELECT label, (SELECT count(*) FROM train_valid t WHERE t.label = c.label) AS train_rows, count(*) AS judged_rows,
+      count(*) FILTER (list_position([p0, p1, p2], greatest(p0, p1, p2)) - 1 = label) AS hits,
+      {rnd("sum(-ln([p0, p1, p2][label + 1]))", 6)} AS loss
+    FROM chance_judged c GROUP BY label""")
 def train_classifier(v):
-    """Fit on the train rows, judge on the validation rows: rows per class, and whether the metrics are shares."""
+    """Fit on the train rows, judge on the validation rows: rows, hits and log losses per class."""
     train_rows, validation_rows = split_rows(_labelled(v), ["id_str"])
-    model = L.text_classifier(max_iter=15).fit(train_rows)
+    model = fit(train_rows, **ONE_STEP).model
     pairs = written(evaluate(model, validation_rows), "pairs")
-    metrics = E.basic_metrics(pairs)
-    good = F.lit(True)
-    for name in metrics.columns:
-        good = good & F.col(name).between(0.0, 1.0)
-    judged = pairs.groupBy(F.col("y").cast("bigint").alias("label")).agg(F.sum("n").alias("judged_rows"))
-    return (
-        train_rows.groupBy("label").agg(F.count(F.lit(1)).alias("train_rows"))
-        .withColumn("label", F.col("label").cast("bigint"))
-        .join(judged, "label")
-        .withColumn("metrics_in_range", F.lit(metrics.select(good).first()[0]))
+    hits = F.coalesce(F.sum(F.when(F.col("y") == F.col("yhat"), F.col("n"))), F.lit(0))
+    judged = pairs.groupBy(F.col("y").cast("bigint").alias("label")).agg(
+        F.sum("n").alias("judged_rows"), hits.alias("hits"), round_numeric(F.sum("loss"), 6).alias("loss")
     )
+    learned = train_rows.groupBy(F.col("label").cast("bigint").alias("label")).agg(F.count(F.lit(1)).alias("train_rows"))
+    return learned.join(judged, "label").select("label", "train_rows", "judged_rows", "hits", "loss")
+
+
+_LAYER = f"CASE WHEN slot < 0 THEN -1 ELSE slot * {LAYERS} // {FEATURES} END"
 
 
-@query("train_incremental", "valid", """
-    SELECT kind AS is_incremental, 'True' AS model_accepted, 'accepted' AS model_status,
-      6 AS n_metrics, true AS took_time FROM (VALUES ('False'), ('True')) runs(kind)
-    WHERE (SELECT count(*) FROM valid) > 0""")
+def _digest(weights: str, kind: str, frozen: int) -> str:
+    return f"""SELECT '{kind}' AS is_incremental, '{frozen}' AS freeze_layers, 'accepted' AS model_status, cast({_LAYER} AS int) AS layer, class,
+      {rnd("sum(weight)", 6)} AS total, {rnd("sum(abs(weight))", 6)} AS size
+      FROM (SELECT slot, unnest([0, 1, 2]) AS class, unnest([w0, w1, w2]) AS weight FROM {weights}) GROUP BY ALL"""
+
+
+@query("train_incremental", "valid documents", f"""
+    WITH older AS (SELECT v.* FROM valid v JOIN documents d ON d.doc_id = v.doc_id WHERE lang = 'en'),
+      newer AS (SELECT v.* FROM valid v JOIN documents d ON d.doc_id = v.doc_id WHERE lang IS DISTINCT FROM 'en'),
+      {_first_step("older")},
+      {_halves("newer")}, train_newer AS (SELECT * FROM split_newer WHERE split = 'train'),
+      {_chances("train_newer", "first")},
+      {_gradient("train_newer")},
+      second AS (
+        SELECT slot, {", ".join(f"""CASE WHEN slot < 0 THEN w{k} - {RATE} * g{k} WHEN {_LAYER} < {FROZEN} THEN w{k}
+          ELSE w{k} * (1 - {RATE} * {DECAY}) - {RATE} * g{k} END AS w{k}""" for k in range(3))}
+        FROM (SELECT coalesce(f.slot, g.slot) AS slot, {", ".join(f"coalesce(w{k}, 0) AS w{k}, coalesce(g{k}, 0) AS g{k}" for k in range(3))}
+          FROM first f FULL JOIN gradient_train_newer g ON g.slot = f.slot))
+    {_digest("first", "False", 0)}
+    UNION ALL {_digest("second", "True", FROZEN)}""")
 def train_incremental(v):
-    """Two sets in turn: the second fit goes over both, as the first run left a model."""
+    """Two sets in turn: the second run starts from the coefficients of the first and reads the second set only.
+
+    Per run, layer of slots and class: the sum of the saved coefficients and of their sizes.
+    """
     rows = _labelled(v).join(v.documents.select("doc_id", "lang"), "doc_id")
     older = rows.where(F.col("lang") == "en").drop("lang")
     newer = rows.where(~F.col("lang").eqNullSafe("en")).drop("lang")
     folder, models = work_path(v.spark, "runs"), work_path(v.spark, "models")
-    settings = {"threshold": 0.0, "params": {"max_iter": 10}}
-    train(v.spark, older, ["id_str"], RUNS_AS_OF, folder, models, **settings)
-    train(v.spark, newer, ["id_str"], RUNS_AS_OF, folder, models, [older], **settings)
-    logged = {t: v.spark.read.parquet(f"{folder}/{t}") for t in ("runs", "params", "tags", "metrics")}
-    sides = pivot_keys(logged["params"], ["is_incremental", "model_accepted"]).join(
-        pivot_keys(logged["tags"], ["model_status"]), "run_uuid"
-    )
-    counted = logged["metrics"].groupBy("run_uuid").agg(F.count(F.lit(1)).cast("int").alias("n_metrics"))
-    took = logged["runs"].select("run_uuid", (F.col("end_time") > F.col("start_time")).alias("took_time"))
-    return sides.join(counted, "run_uuid").join(took, "run_uuid").drop("run_uuid")
+    runs = [train(v.spark, part, ["id_str"], RUNS_AS_OF, folder, models, threshold=0.0, params=ONE_STEP) for part in (older, newer)]
+    logged = {t: v.spark.read.parquet(f"{folder}/{t}") for t in ("params", "tags")}
+    sides = pivot_keys(logged["params"], ["is_incremental", "freeze_layers"]).join(pivot_keys(logged["tags"], ["model_status"]), "run_uuid")
+    saved = [v.spark.read.parquet(f"{models}/{run.run_uuid}/coefficients").withColumn("run_uuid", F.lit(run.run_uuid)) for run in runs]
+    place = F.when(F.col("slot") < 0, -1).otherwise(F.expr(f"slot * {LAYERS} div {FEATURES}")).cast("int")
+    found = saved[0].unionByName(saved[1]).groupBy("run_uuid", place.alias("layer"), "class")
+    sums = found.agg(round_numeric(F.sum("weight"), 6).alias("total"), round_numeric(F.sum(F.abs("weight")), 6).alias("size"))
+    return sums.join(sides, "run_uuid").select("is_incremental", "freeze_layers", "model_status", "layer", "class", "total", "size")
 
 
 @query("model_gate", "metrics", """
@@ -145,16 +222,18 @@ def score_batch(v):
     )
 
 
-@query("score_documents", "documents", "SELECT doc_id, true AS one_of_three, true AS is_share FROM documents")
+@query("score_documents", "valid documents", f"""
+    WITH {_first_step("valid")},
+      texts AS (SELECT doc_id, 0 AS label, {_WORDS.replace("clean_text", "coalesce(text, '')")} AS words FROM documents),
+      scored AS (SELECT *, len(words) AS n FROM texts),
+      {_chances("scored", "first")}
+    SELECT doc_id, ['negative', 'neutral', 'positive'][list_position([p0, p1, p2], greatest(p0, p1, p2))] AS pred_label,
+      {rnd("greatest(p0, p1, p2)", 6)} AS pred_score FROM chance_scored""")
 def score_documents(v):
-    """Every document scored by a model fitted on the labelled ones."""
-    model = L.text_classifier(text="text", max_iter=10).fit(
-        _labelled(v).withColumnRenamed("clean_text", "text")
-    )
+    """Every document scored by a model fitted on the train rows of the labelled ones."""
+    model = replace(fit(split_rows(_labelled(v), ["id_str"])[0], **ONE_STEP).model, text="text")
     return L.score_batch(v.documents, L.model_scorer(model)).select(
-        "doc_id",
-        F.col("pred_label").isin(*LABEL_NAMES.values()).alias("one_of_three"),
-        F.col("pred_score").between(0.0, 1.0).alias("is_share"),
+        "doc_id", "pred_label", round_numeric(F.col("pred_score"), 6).alias("pred_score")
     )
 
 

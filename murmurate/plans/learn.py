@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from murmurate import files
 from murmurate.functions.scalar import Clock, clock
 from murmurate.operators.evaluate import basic_metrics, class_report, confusion_matrix, pair_counts
-from murmurate.operators.learn import text_classifier
 from murmurate.operators.rows import as_label, drop_missing, require_columns
 from murmurate.operators.runs import pick_stage_model, register_versions
+from murmurate.operators.softmax import SoftmaxModel, fit
 from murmurate.operators.split import only, stratified_split
 from murmurate.schemas import CLASSES, MIN_F1_MACRO, RUNS, VERSIONS
 from murmurate.session import scratch, written
@@ -26,7 +26,7 @@ from murmurate.sources.tables import write_reports
 
 @dataclass
 class Training:
-    model: PipelineModel
+    model: SoftmaxModel
     metrics: dict[str, float]
     accepted: bool
     run_uuid: str
@@ -46,7 +46,7 @@ def split_rows(
     return only(split, "train"), only(split, "validation")
 
 
-def evaluate(model: PipelineModel, df: DataFrame) -> DataFrame:
+def evaluate(model: PipelineModel | SoftmaxModel, df: DataFrame) -> DataFrame:
     """Counts per (true, predicted) class, with the sum of their log losses."""
     chance = F.coalesce(
         F.get(vector_to_array("probability"), F.col("label").cast("int")), F.lit(0.0)
@@ -60,7 +60,7 @@ def evaluate(model: PipelineModel, df: DataFrame) -> DataFrame:
     return pair_counts(scored, extra=[F.sum("loss").alias("loss")])
 
 
-def evaluate_job(model: PipelineModel, df: DataFrame, folder: str) -> str:
+def evaluate_job(model: PipelineModel | SoftmaxModel, df: DataFrame, folder: str) -> str:
     """Metrics, class report and confusion matrix of a labelled set, as files."""
     with scratch(df.sparkSession) as keep:
         pairs = keep(evaluate(model, training_rows(df)), "pairs")  # the model runs once
@@ -91,27 +91,27 @@ def train(
     as_of: Clock,
     runs_folder: str,
     model_folder: str,
-    earlier: Sequence[DataFrame] = (),
     experiment_id: int = 0,
     threshold: float = MIN_F1_MACRO,
     params: dict | None = None,
     model_name: str = "sentiment",
+    stage: str = "Staging",
 ) -> Training:
     """Split, fit, evaluate, log, and save and register the model if its macro F1 passes.
 
-    If the newest run has a model, training goes on from it: the fit is over the
-    earlier weeks as well. Otherwise it starts afresh on this week. The run starts at
-    ``as_of`` and ends as much later as it took.
+    If the newest run has a model, training goes on from its coefficients, with the lowest
+    layers frozen; earlier weeks are not read again. Otherwise it starts afresh. ``params`` are
+    those of :func:`murmurate.operators.softmax.fit`. The run starts at ``as_of`` and ends as much
+    later as it took.
     """
     started = time.monotonic()
-    incremental = newest_model(spark, runs_folder, model_folder, experiment_id) is not None
-    data = week
-    for other in earlier if incremental else ():
-        data = data.unionByName(other, allowMissingColumns=True)
-    settings = {"max_iter": 30, "reg": 0.01, "features": 1 << 16, **(params or {})}
+    previous = newest_model(spark, runs_folder, model_folder, experiment_id)
+    incremental = previous is not None
+    settings = {"learning_rate": 3.0, "epochs": 3, "weight_decay": 0.001, **(params or {})}
     with scratch(spark) as keep:
-        train_rows, validation_rows = split_rows(data, key, keep)
-        model = text_classifier(**settings).fit(train_rows)
+        train_rows, validation_rows = split_rows(week, key, keep)
+        fitted = fit(train_rows, SoftmaxModel.load(spark, previous) if incremental else None, **settings)
+        model = fitted.model
         pairs = keep(evaluate(model, validation_rows), "pairs")
         metrics = basic_metrics(pairs).first().asDict()
         metrics["loss"] = pairs.agg(F.sum("loss") / F.sum("n")).first()[0]
@@ -121,7 +121,7 @@ def train(
     name = f"sentiment-{'incremental' if incremental else 'fresh'}-{stamp}"
     run_uuid = f"{name}-{uuid.uuid4().hex}"
     if accepted:
-        model.write().save(f"{model_folder}/{run_uuid}")
+        model.save(spark, f"{model_folder}/{run_uuid}")
     log_run(
         spark,
         runs_folder,
@@ -131,9 +131,12 @@ def train(
         as_of,
         time.monotonic() - started,
         params={
-            "epochs": str(settings["max_iter"]),
-            "weight_decay": str(settings["reg"]),
-            "features": str(settings["features"]),
+            "epochs": str(settings["epochs"]),
+            "learning_rate": str(settings["learning_rate"]),
+            "batch_size": str(fitted.batch_size),
+            "weight_decay": str(settings["weight_decay"]),
+            "freeze_layers": str(fitted.frozen),
+            "features": str(model.features),
             "is_incremental": str(incremental),
             "min_f1_macro_threshold": str(threshold),
             "model_accepted": str(accepted),
@@ -142,7 +145,7 @@ def train(
         tags={"model_status": "accepted" if accepted else "rejected"},
     )
     if accepted:
-        register_model(spark, runs_folder, model_name, run_uuid)
+        register_model(spark, runs_folder, model_name, run_uuid, stage)
     return Training(model, metrics, accepted, run_uuid)
 
 
@@ -164,12 +167,13 @@ def register_model(
 
 def serving_model(
     spark: SparkSession, runs_folder: str, model_folder: str, model_name: str = "sentiment"
-) -> PipelineModel:
+) -> PipelineModel | SoftmaxModel:
     """The registered model that serves: the highest version in the first stage that has one."""
     chosen = pick_stage_model(model_versions(spark, runs_folder).where(F.col("model_name") == model_name)).first()
     if chosen is None:
         raise ValueError(f"no version of {model_name} is in a serving stage")
-    return PipelineModel.load(f"{model_folder}/{chosen.run_uuid}")
+    path = f"{model_folder}/{chosen.run_uuid}"
+    return SoftmaxModel.load(spark, path) if files.exists(spark, f"{path}/coefficients") else PipelineModel.load(path)
 
 
 def log_run(

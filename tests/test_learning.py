@@ -2,6 +2,7 @@ import hashlib
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from murmurate import files
 from murmurate.operators import evaluate as E
 from murmurate.operators import learn as L
 from murmurate.operators import runs as R
+from murmurate.operators import softmax as S
 from murmurate.operators import split as SP
 from murmurate.plans import serve
 from murmurate.plans.learn import evaluate_job, model_versions, newest_model, register_model, serving_model, train
@@ -202,7 +204,7 @@ def trained(spark):
     week = spark.createDataFrame(rows, "id_str string, clean_text string, label int")
     folder, models = work_path(spark, "runs"), work_path(spark, "models")
     result = train(spark, week, ["id_str"], "2024-01-31 10:20:30", folder, models,
-                   params={"max_iter": 20, "features": 1 << 10})
+                   params={"epochs": 5, "features": 1 << 10})
     return result, week, folder, models
 
 
@@ -245,7 +247,7 @@ def test_training_rejects_a_poor_model(spark, trained):
     assert newest_model(spark, folder, models, 0) == f"{models}/{trained[0].run_uuid}"
     assert newest_model(spark, folder, models, 1) is None
     result = train(spark, week, ["id_str"], "2024-02-01 00:00:00", folder, models + "x",
-                   threshold=1.01, params={"max_iter": 1, "features": 1 << 4})
+                   threshold=1.01, params={"epochs": 1, "features": 1 << 4})
     assert not result.accepted
     assert result.run_uuid.startswith("sentiment-fresh")
     # The rejected run is the newest now and hides the older model.
@@ -327,3 +329,49 @@ def test_text_job(spark, trained):
     assert report["total_predictions"] == 1 and report["average_confidence_score"] > 0.5
     with pytest.raises(ValueError, match="text"):
         L.score_batch(spark.createDataFrame([("a",)], "clean_text string"), scorer)
+
+
+def test_training_goes_on_from_the_saved_coefficients(spark):
+    folder, models = work_path(spark, "runs"), work_path(spark, "models")
+    weeks = [
+        spark.createDataFrame([(f"{w}{i}", f"{word} kata{i % 7} {w}", i % 3) for i, word in enumerate(["buruk", "biasa", "bagus"] * 30)], "id_str string, clean_text string, label int")
+        for w in ("satu", "dua")
+    ]
+    first = train(spark, weeks[0], ["id_str"], "2024-01-01 00:00:00", folder, models, threshold=0.0, params={"features": 1 << 8})
+    second = train(spark, weeks[1], ["id_str"], "2024-01-08 00:00:00", folder, models, threshold=0.0, stage="Production")
+    frozen = S.layer(np.arange(1 << 8), 1 << 8) < 6
+    assert second.model.features == 1 << 8 and "incremental" in second.run_uuid
+    assert (second.model.weights[:, frozen] == first.model.weights[:, frozen]).all()
+    assert (second.model.weights[:, ~frozen] != first.model.weights[:, ~frozen]).any()
+    assert np.array_equal(S.SoftmaxModel.load(spark, f"{models}/{second.run_uuid}").weights, second.model.weights)
+    params = spark.read.parquet(f"{folder}/params").groupBy("key").agg(F.collect_set("value").alias("v"))
+    logged = {r["key"]: set(r.v) for r in params.collect()}
+    assert logged["freeze_layers"] == {"0", "6"} and logged["learning_rate"] == {"3.0"} and logged["batch_size"] == {"9"}
+    assert isinstance(serving_model(spark, folder, models), S.SoftmaxModel)
+    assert [r.stage for r in model_versions(spark, folder).orderBy("version").collect()] == ["Staging", "Production"]
+
+
+def test_gradient_equals_numpy(spark):
+    rng = np.random.default_rng(5)
+    rows = [(" ".join(rng.choice(["a", "b", "c", "d", "é"], rng.integers(0, 9))), int(rng.integers(0, 4))) for _ in range(60)] + [(None, 1), ("a", None)]
+    df = spark.createDataFrame(rows, "clean_text string, label int").repartition(3)
+    x = np.zeros((61, 16))
+    for k, (text, _) in enumerate(rows[:61]):
+        words = (text or "").split()
+        for w in words:
+            x[k, int(hashlib.md5(w.encode()).hexdigest()[:7], 16) % 16] += 1 / math.sqrt(len(words))
+    y = np.eye(4)[[label for _, label in rows[:61]]]
+    weights, bias = np.zeros((4, 16)), np.zeros(4)
+    for _ in range(4):
+        p = np.exp(x @ weights.T + bias)
+        error = p / p.sum(axis=1, keepdims=True) - y
+        weights, bias = weights * (1 - 0.5 * 0.01) - 0.5 * error.T @ x / 61, bias - 0.5 * error.mean(axis=0)
+    fitted = S.fit(df, learning_rate=0.5, weight_decay=0.01, epochs=4, batch_size=1000, features=16)
+    assert np.allclose(fitted.model.weights, weights) and np.allclose(fitted.model.bias, bias)
+    wrong = S.fit(df.withColumn("label", F.lit(0)), learning_rate=0.5, weight_decay=0.01, epochs=4, batch_size=1000, features=16)
+    assert not np.allclose(wrong.model.weights[0], weights[0])
+    scored = fitted.model.transform(df).collect()
+    assert all(abs(sum(r.probability) - 1) < 1e-12 for r in scored) and len(scored) == 62
+    assert S.fit(df.limit(0), features=16).model.weights.shape == (3, 16)
+    with pytest.raises(ValueError, match="999"):
+        S.fit(df.withColumn("label", F.lit(-1)), features=16)
