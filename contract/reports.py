@@ -1,9 +1,14 @@
 """Dashboard reports over runs and predictions."""
 
+from pyspark.sql import functions as F
+
 from contract.sqltext import initcap, pct, rnd, runs_of, since
 from contract.views import AS_OF, EXPERIMENT, RUNS_AS_OF, query
 from murmurate.plans import prediction_reports as P
 from murmurate.plans import run_reports as R
+from murmurate.schemas import PREDICTION
+from murmurate.session import work_path
+from murmurate.sources.store import PredictionStore
 
 RUN_VIEWS = "experiments runs metrics params tags"
 _MINUTES = rnd("cast(epoch_us(end_time) - epoch_us(start_time) AS double) / 6e7", 2)
@@ -253,3 +258,56 @@ def q19(v):
     FROM predictions WHERE {since('30 days')} GROUP BY 1""")
 def q20(v):
     return P.daily_summary(v.predictions, AS_OF)
+
+
+# Reports on the published table and its hourly sums; the window starts within an hour.
+_LATE = "2024-01-31 00:25:00"
+
+
+def _published(v):
+    """The events in two batches; the second scores every third post of the first again, and moves it to another day."""
+    columns = {f.name: F.lit(None).cast(f.dataType) for f in PREDICTION.fields if f.name not in v.predictions.columns}
+    rows = v.predictions.withColumns(columns)
+    store = PredictionStore(v.spark, work_path(v.spark, "published"), hourly=True)
+    moved = F.when(F.col("event_id") % 3 == 0, F.col("predicted_at") - F.expr("INTERVAL 36 HOUR")).otherwise(F.col("predicted_at"))
+    store.upsert(rows.where("event_id % 3 = 0 OR event_id % 2 = 0").withColumn("predicted_at", moved))
+    store.upsert(rows.where("event_id % 3 = 0 OR event_id % 2 = 1"))
+    return store
+
+
+@query("published_share", "predictions", f"""
+    SELECT {SENTIMENT}, count(*) AS count, {pct('count(*)', 'sum(count(*)) OVER ()')} AS percentage
+    FROM predictions WHERE {since('7 days')} GROUP BY pred_label""")
+def published_share(v):
+    return P.sentiment_share(_published(v).read(), AS_OF)
+
+
+def _sums(v, report, window="7 days"):
+    return report(_published(v).summaries(_LATE, window), _LATE)
+
+
+def _late(sql: str) -> str:
+    return sql.replace(AS_OF, _LATE)
+
+
+@query("rollup_hourly", "predictions", _late(_trend("hour", "7 days")))
+def rollup_hourly(v):
+    return _sums(v, P.hourly_trend)
+
+
+@query("rollup_engagement", "predictions", _late(f"""
+    SELECT {SENTIMENT}, count(*) AS tweet_count,
+      cast(sum(favorite_count) AS bigint) AS total_favorites, cast(sum(retweet_count) AS bigint) AS total_retweets,
+      cast(sum(reply_count) AS bigint) AS total_replies, cast(sum(quote_count) AS bigint) AS total_quotes,
+      {rnd('avg(favorite_count)', 2)} AS avg_favorites, {rnd('avg(retweet_count)', 2)} AS avg_retweets
+    FROM predictions WHERE {since('7 days')} GROUP BY pred_label"""))
+def rollup_engagement(v):
+    return _sums(v, P.engagement)
+
+
+@query("rollup_by_language", "predictions", _late(f"""
+    SELECT lang AS language, {SENTIMENT}, count(*) AS count,
+      {pct('count(*)', 'sum(count(*)) OVER (PARTITION BY lang)')} AS percentage
+    FROM predictions WHERE {since('7 days')} AND lang IS NOT NULL GROUP BY lang, pred_label"""))
+def rollup_by_language(v):
+    return _sums(v, P.by_language)

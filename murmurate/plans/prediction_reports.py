@@ -1,7 +1,8 @@
 """Reports over stored predictions.
 
 Each is one aggregate over the rows of the window; labels are put into title
-case after the aggregate, on a row per group.
+case after the aggregate, on a row per group. Those that ask for no single post or user
+also take hourly sums (:mod:`murmurate.operators.rollup`) in place of the rows.
 """
 
 from __future__ import annotations
@@ -11,17 +12,18 @@ from pyspark.sql import functions as F
 
 from murmurate.functions.scalar import (
     Clock,
-    confidence_band,
     initcap,
+    percentage,
     preview,
     round_numeric,
     trunc_time,
 )
-from murmurate.operators.aggregates import share_of_total, share_where
+from murmurate.operators.aggregates import share_of_total
+from murmurate.operators.rollup import measures
 from murmurate.operators.rows import recent
 
-def _count():
-    return F.count(F.lit(1)).alias("count")
+def _count(p: DataFrame):
+    return measures(p).count.alias("count")
 
 
 def _sentiment():
@@ -37,19 +39,21 @@ def _window(p: DataFrame, as_of: Clock, window: str) -> DataFrame:
 
 
 def sentiment_share(p: DataFrame, as_of: Clock) -> DataFrame:
-    counted = _window(p, as_of, "7 days").groupBy("pred_label").agg(_count())
+    counted = _window(p, as_of, "7 days").groupBy("pred_label").agg(_count(p))
     return share_of_total(counted).orderBy(F.desc("count")).select(_sentiment(), "count", "percentage")
 
 
 def label_percentage(p: DataFrame, as_of: Clock, label: str) -> DataFrame:
-    return share_where(_window(p, as_of, "7 days"), F.col("pred_label") == label)
+    m = measures(p)
+    share = percentage(m.count_if(F.col("pred_label") == label), m.count)
+    return _window(p, as_of, "7 days").agg(share.alias("percentage"))
 
 
 def _trend(p: DataFrame, as_of: Clock, unit: str, window: str) -> DataFrame:
     counted = (
         _window(p, as_of, window)
         .groupBy(trunc_time(p, unit, "predicted_at").alias("time"), "pred_label")
-        .agg(_count())
+        .agg(_count(p))
     )
     return counted.orderBy("time", "pred_label").select("time", _sentiment(), "count")
 
@@ -63,15 +67,15 @@ def hourly_trend(p: DataFrame, as_of: Clock) -> DataFrame:
 
 
 def confidence(p: DataFrame, as_of: Clock) -> DataFrame:
-    score = F.col("pred_score")
+    m = measures(p)
     return (
         _window(p, as_of, "7 days")
         .groupBy("pred_label")
         .agg(
-            round_numeric(F.avg(score), 4).alias("avg_confidence"),
-            round_numeric(F.min(score), 4).alias("min_confidence"),
-            round_numeric(F.max(score), 4).alias("max_confidence"),
-            F.count(F.lit(1)).alias("total_predictions"),
+            round_numeric(m.mean("score"), 4).alias("avg_confidence"),
+            round_numeric(m.least, 4).alias("min_confidence"),
+            round_numeric(m.most, 4).alias("max_confidence"),
+            m.count.alias("total_predictions"),
         )
         .orderBy(F.desc_nulls_first("avg_confidence"))
         .select(
@@ -81,17 +85,18 @@ def confidence(p: DataFrame, as_of: Clock) -> DataFrame:
 
 
 def engagement(p: DataFrame, as_of: Clock) -> DataFrame:
+    m = measures(p)
     return (
         _window(p, as_of, "7 days")
         .groupBy("pred_label")
         .agg(
-            F.count(F.lit(1)).alias("tweet_count"),
+            m.count.alias("tweet_count"),
             F.sum("favorite_count").alias("total_favorites"),
             F.sum("retweet_count").alias("total_retweets"),
             F.sum("reply_count").alias("total_replies"),
             F.sum("quote_count").alias("total_quotes"),
-            round_numeric(F.avg("favorite_count"), 2).alias("avg_favorites"),
-            round_numeric(F.avg("retweet_count"), 2).alias("avg_retweets"),
+            round_numeric(m.mean("favorite_count"), 2).alias("avg_favorites"),
+            round_numeric(m.mean("retweet_count"), 2).alias("avg_retweets"),
         )
         .orderBy(F.desc("tweet_count"))
         .select(
@@ -149,7 +154,7 @@ def by_language(p: DataFrame, as_of: Clock) -> DataFrame:
         _window(p, as_of, "7 days")
         .where(F.col("lang").isNotNull())
         .groupBy("lang", "pred_label")
-        .agg(_count())
+        .agg(_count(p))
     )
     return (
         share_of_total(counted, "count", ["lang"])
@@ -161,8 +166,8 @@ def by_language(p: DataFrame, as_of: Clock) -> DataFrame:
 def confidence_bands(p: DataFrame, as_of: Clock) -> DataFrame:
     counted = (
         _window(p, as_of, "7 days")
-        .groupBy(confidence_band(F.col("pred_score")).alias("confidence_range"))
-        .agg(_count())
+        .groupBy(measures(p).band.alias("confidence_range"))
+        .agg(_count(p))
     )
     return share_of_total(counted).orderBy(F.desc("confidence_range"))
 

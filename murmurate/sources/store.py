@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from murmurate import files
-from murmurate.operators.upsert import one_per_post
+from murmurate.functions.scalar import Clock
+from murmurate.operators import rollup
+from murmurate.operators.upsert import one_per_post, upsert
 from murmurate.schemas import PREDICTION
+from murmurate.session import scratch
 
 PARTITION = "predicted_date"
 
@@ -23,10 +26,13 @@ def write_by_day(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     The rebalance hint brings a day's rows together and splits a day that is
     too large for one task; the order lets readers skip row groups.
     """
-    out = df if PARTITION in df.columns else with_day(df)
+    return _write_days(df if PARTITION in df.columns else with_day(df), path, mode, "pred_label", "username")
+
+
+def _write_days(df: DataFrame, path: str, mode: str, *order: str) -> str:
     (
-        out.hint("rebalance", PARTITION)
-        .sortWithinPartitions(PARTITION, "pred_label", "username")
+        df.hint("rebalance", PARTITION)
+        .sortWithinPartitions(PARTITION, *order)
         .write.partitionBy(PARTITION)
         .option("partitionOverwriteMode", "dynamic")
         .mode(mode)
@@ -36,60 +42,89 @@ def write_by_day(df: DataFrame, path: str, mode: str = "overwrite") -> str:
 
 
 class PredictionStore:
-    """Predictions of posts, one row per post, one writer at a time.
+    """Predictions of posts, one row per post, as a table partitioned by day; one writer at a time.
 
-    The table is a log: a batch is reduced to one row per post and written as a
-    folder of its own, and nothing that stands is touched. Reading takes the first
-    metadata and the last prediction of each post by one aggregate. ``compact``
-    writes that result as a snapshot, which replaces all that came before it.
+    A batch changes the days that its posts enter and the days that they leave. The ids of the
+    table, read without any other column and only where files may hold ids of the batch, say
+    which these are. Only those days are read, merged with the batch by one aggregate and
+    published by dynamic partition overwrite; all other days stay as they are.
 
-    Folders count once Spark has written their ``_SUCCESS``. A writer that died
-    leaves one without, whose number the next writer takes.
+    The merged days stand complete below ``pending`` before the first one is published. A writer
+    that dies while it publishes leaves them there, and the next one publishes them again first,
+    which gives the same table. Readers see the table's plain Parquet folders.
+
+    With ``hourly`` the sums of the changed days are published with them, so that late and
+    re-scored posts count where they belong.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, hourly: bool = False):
         self.spark = spark
+        self.hourly = hourly
         self.path = path.rstrip("/")
+        self.table = f"{self.path}/by-day"
+        self.sums = f"{self.path}/hourly"
+        self.pending = f"{self.path}/pending"
 
-    def _complete(self) -> list[tuple[int, str, str]]:
-        """Number, kind and path of the complete folders from the last snapshot on."""
-        found = []
-        for kind in ("snapshot", "batch"):
-            for marker in files.glob(self.spark, f"{self.path}/{kind}-*/_SUCCESS"):
-                folder = marker.rsplit("/", 1)[0]
-                found.append((int(folder.rsplit("-", 1)[1]), kind, folder))
-        newest = max((n for n, kind, _ in found if kind == "snapshot"), default=0)
-        return sorted(x for x in found if x[0] >= newest)
-
-    def _write(self, df: DataFrame, kind: str) -> int:
-        number = max((n for n, _, _ in self._complete()), default=0) + 1
-        df.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(
-            f"{self.path}/{kind}-{number:012d}"
-        )
-        return number
+    def _rows(self, path: str) -> DataFrame:
+        return self.spark.read.schema(T.StructType([*PREDICTION.fields, T.StructField(PARTITION, T.DateType())])).parquet(path)
 
     def read(self) -> DataFrame:
-        """The table, with the day of each prediction."""
-        folders = [folder for _, _, folder in self._complete()]
-        if not folders:
+        """The table, with the day of each prediction; a condition on the day leaves other days unread."""
+        if not files.exists(self.spark, self.table):
             return with_day(self.spark.createDataFrame([], PREDICTION))
-        schema = T.StructType([*PREDICTION.fields, T.StructField("_batch", T.LongType())])
-        log = self.spark.read.schema(schema).parquet(*folders)
-        return with_day(one_per_post(log, F.col("_batch")).drop("_batch"))
+        return self._rows(self.table)
+
+    def summaries(self, as_of: Clock, window: str) -> DataFrame:
+        """Hourly sums of the last ``window``, which the reports take in place of the rows; an hour that the window cuts is summed from its rows."""
+        if not files.exists(self.spark, self.sums):
+            return rollup.hourly(self.read().where(F.lit(False)))
+        return rollup.since_hour(self.read(), self.spark.read.parquet(self.sums), as_of, window)
+
+    def _left(self, batch: DataFrame, least: str, most: str) -> set:
+        """The days in which posts of the batch stand."""
+        if not files.exists(self.spark, self.table):
+            return set()
+        standing = self.read().where(F.col("id_str").between(least, most)).select("id_str", PARTITION)
+        met = standing.join(batch.select("id_str"), "id_str", "left_semi")
+        return {r[0] for r in met.select(PARTITION).distinct().collect()}
 
     def upsert(self, incoming: DataFrame, order: Column | None = None) -> None:
         """Store a batch; the same batch stored twice gives the same table."""
+        self.recover()
         order = F.col("predicted_at") if order is None else order
-        typed = incoming.withColumn("_order", order).select(
+        typed = incoming.withColumn("_order", F.struct(order)).select(
             *[F.col(f.name).cast(f.dataType).alias(f.name) for f in PREDICTION.fields], "_order"
         )
-        self._write(one_per_post(typed, F.col("_order")).drop("_order"), "batch")
-
-    def compact(self) -> None:
-        """Write the table as one snapshot and delete what it replaces."""
-        before = self._complete()
-        if not before:
-            return
-        self._write(self.read().drop(PARTITION), "snapshot")
-        for _, _, folder in before:
-            files.delete(self.spark, folder)
+        with scratch(self.spark) as keep:
+            batch = keep(with_day(one_per_post(typed, F.col("_order")).drop("_order")), "batch")
+            about = batch.agg(F.min("id_str").alias("least"), F.max("id_str").alias("most"), F.count("*").alias("n")).first()
+            if not about.n:
+                return
+            # a row per day
+            days = {r[0] for r in batch.select(PARTITION).distinct().collect()} | self._left(batch, about.least, about.most)
+            touched = F.col(PARTITION).isin([d for d in days if d is not None])
+            if None in days:
+                touched = F.coalesce(touched, F.lit(True))
+            merged = upsert(self.read().where(touched).drop(PARTITION), batch.drop(PARTITION), F.col("predicted_at"))
+            files.delete(self.spark, self.pending)
+            write_by_day(merged, f"{self.pending}/rows")
+            self.spark.createDataFrame([(d,) for d in days], "day date").coalesce(1).write.parquet(f"{self.pending}/days")
+        self._publish()
+
+    def recover(self) -> None:
+        """Publish what a writer that died had ready."""
+        if files.exists(self.spark, f"{self.pending}/days/_SUCCESS"):
+            self._publish()
+
+    def _publish(self) -> None:
+        """Replace the days of the pending rows, and delete those that all posts have left."""
+        rows = self._rows(f"{self.pending}/rows")
+        left = {r.day for r in self.spark.read.schema("day date").parquet(f"{self.pending}/days").collect()}
+        emptied = left - {r[0] for r in rows.select(PARTITION).distinct().collect()}
+        write_by_day(rows, self.table)
+        if self.hourly:
+            _write_days(with_day(rollup.hourly(rows)), self.sums, "overwrite", "pred_label")
+        for day in emptied:
+            for path in (self.table, self.sums):
+                files.delete(self.spark, f"{path}/{PARTITION}={day or '__HIVE_DEFAULT_PARTITION__'}")
+        files.delete(self.spark, self.pending)

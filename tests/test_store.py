@@ -1,10 +1,12 @@
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from murmurate import files
 from murmurate.operators.upsert import one_per_post, upsert
+from murmurate.plans import prediction_reports
 from murmurate.schemas import PREDICTION
 from murmurate.session import work_path
 from murmurate.sources.store import PARTITION, PredictionStore
@@ -69,68 +71,79 @@ def test_batches_may_be_cut_anywhere(spark, cut):
     assert content(store.read()) == WANT
 
 
-def test_a_batch_touches_nothing_that_stands(spark):
+def test_only_the_days_a_batch_enters_or_leaves_are_written(spark):
     store = PredictionStore(spark, work_path(spark, "t"))
     store.upsert(records(spark, FIRST))
-    before = files.glob(spark, f"{store.path}/*/*.parquet")
+    before = set(files.glob(spark, f"{store.table}/*/*.parquet"))
     store.upsert(records(spark, SECOND))
-    after = files.glob(spark, f"{store.path}/*/*.parquet")
-    assert before and set(before) < set(after)
+    after = set(files.glob(spark, f"{store.table}/*/*.parquet"))
+    days = lambda paths: {p.split("predicted_date=")[1][:10] for p in paths}
+    assert days(before & after) == {"2024-01-01"} and days(before - after) == {"2024-01-02"}
+    assert days(after - before) == {"2024-01-05", "2024-01-07"}
+    assert not files.exists(spark, store.pending)
 
 
-def test_a_snapshot_replaces_the_log(spark):
+@pytest.mark.parametrize("published", [0, 1, 2])
+def test_a_writer_that_died_is_finished_by_the_next(spark, published, monkeypatch):
+    """It died before the first day was published, between two days, or before a day that was left was deleted."""
     store = PredictionStore(spark, work_path(spark, "t"))
-    store.compact()
-    for rows in (FIRST, SECOND):
-        store.upsert(records(spark, rows))
-    store.compact()
-    assert [p.rsplit("/", 1)[1] for p in files.glob(spark, f"{store.path}/*")] == ["snapshot-000000000003"]
-    assert content(store.read()) == WANT
-    store.upsert(records(spark, SECOND))
-    store.compact()
+    store.upsert(records(spark, FIRST))
+    with monkeypatch.context() as m:
+        m.setattr(PredictionStore, "_publish", lambda self: None)
+        store.upsert(records(spark, SECOND))
+    for path in files.glob(spark, f"{store.pending}/rows/predicted_date=*")[:published]:
+        day = path.rsplit("/", 1)[1]
+        files.delete(spark, f"{store.table}/{day}")
+        if published == 2:
+            spark.read.parquet(path).write.parquet(f"{store.table}/{day}")
+    store.recover()
+    assert content(store.read()) == WANT and not files.exists(spark, store.pending)
+    store.recover()
     assert content(store.read()) == WANT
 
 
-def test_a_day_may_lose_all_posts_and_get_others(spark):
-    store = PredictionStore(spark, work_path(spark, "t"))
-    store.upsert(records(spark, [("a", 1, "neutral", 1), ("b", 2, "neutral", 2)]))
-    store.upsert(records(spark, [("a", 9, "positive", 2), ("b", 9, "positive", 1)]))
-    assert content(store.read()) == [("a", 1, "positive", 2), ("b", 2, "positive", 1)]
-
-
-def test_a_folder_without_success_does_not_count(spark):
-    """A writer died: of its batch or of its snapshot; the next one takes the number."""
+def test_rows_that_were_not_complete_are_dropped(spark):
     store = PredictionStore(spark, work_path(spark, "t"))
     store.upsert(records(spark, FIRST))
-    for kind in ("batch", "snapshot"):
-        half = f"{store.path}/{kind}-000000000002"
-        records(spark, SECOND[:1]).withColumn("_batch", F.lit(2).cast("long")).write.parquet(half)
-        files.delete(spark, f"{half}/_SUCCESS")
-    assert content(store.read()) == sorted(FIRST)
+    records(spark, SECOND[:1]).write.parquet(f"{store.pending}/rows/predicted_date=2024-01-05")
     store.upsert(records(spark, SECOND))
     assert content(store.read()) == WANT
-    store.compact()
-    assert content(store.read()) == WANT
 
 
-def test_a_snapshot_whose_log_is_still_there_counts_alone(spark):
+def test_posts_without_time_have_a_day_of_their_own(spark):
     store = PredictionStore(spark, work_path(spark, "t"))
-    store.upsert(records(spark, FIRST))
-    store._write(store.read().drop(PARTITION), "snapshot")
-    store.upsert(records(spark, SECOND))
-    assert content(store.read()) == WANT and len(store._complete()) == 2
+    timeless = records(spark, [("x", 1, "neutral", 1), ("y", 1, "neutral", 1)]).withColumn("predicted_at", F.lit(None).cast("timestamp"))
+    store.upsert(timeless)
+    store.upsert(records(spark, [("x", 5, "positive", 3)]))
+    assert sorted((r.id_str, r.favorite_count, r.pred_label, r.predicted_at is None) for r in store.read().collect()) == [("x", 1, "positive", False), ("y", 1, "neutral", True)]
+    store.upsert(records(spark, [("y", 5, "positive", 3)]))
+    assert store.read().where(F.col(PARTITION).isNull()).count() == 0 and store.read().count() == 2
 
 
-def test_reading_is_one_shuffle(spark):
+def test_a_day_may_lose_all_posts_and_get_others(spark):
     store = PredictionStore(spark, work_path(spark, "t"))
-    store.upsert(records(spark, FIRST))
-    text = store.read()._jdf.queryExecution().simpleString()
-    assert text.count("Exchange") == 1 and "Join" not in text
+    store.upsert(records(spark, [("a", 1, "neutral", 1), ("b", 2, "neutral", 2)]))
+    store.upsert(records(spark, [("a", 9, "positive", 2), ("b", 9, "positive", 1)]))
+    assert content(store.read()) == [("a", 1, "positive", 2), ("b", 2, "positive", 1)]
+
+
+def test_merging_is_one_shuffle(spark):
     merged = upsert(records(spark, FIRST), records(spark, SECOND), F.col("predicted_at"))
     text = merged._jdf.queryExecution().simpleString()
     assert text.count("Exchange") == 1 and "Join" not in text
 
 
+@pytest.mark.parametrize(
+    "report",
+    ["sentiment_share", "daily_trend", "confidence", "hourly_trend", "by_language", "confidence_bands", "daily_summary"],
+)
+def test_reports_on_the_published_table_read_their_days_only(spark, report):
+    store = PredictionStore(spark, work_path(spark, "t"))
+    store.upsert(records(spark, FIRST + SECOND))
+    text = getattr(prediction_reports, report)(store.read(), "2024-01-09 00:00:00")._jdf.queryExecution().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*predicted_date[^]]*>=", text)
+
+
 def test_an_empty_batch_changes_nothing(spark):
     store = PredictionStore(spark, work_path(spark, "t"))
     store.upsert(records(spark, []))
@@ -168,3 +181,27 @@ def test_a_repeated_batch_overwrites_its_updates(spark):
         ST.write_updates(counts, out, check + str(_)).awaitTermination()
     got = sorted((r.time.day, r.pred_label, r["count"]) for r in ST.read_updates(spark, out, ["time", "pred_label"]).collect())
     assert got == [(1, "neutral", 1), (1, "positive", 1), (2, "neutral", 1)]
+
+
+@pytest.mark.parametrize(
+    "report",
+    ["sentiment_share", "daily_trend", "confidence", "hourly_trend", "by_language", "confidence_bands", "engagement"],
+)
+def test_reports_on_sums_equal_those_on_rows(spark, report):
+    store = PredictionStore(spark, work_path(spark, "t"), hourly=True)
+    df = spark.range(400).select(
+        F.concat(F.lit("p"), F.col("id") % 300).alias("id_str"),
+        F.expr("timestamp_seconds(1704067200 + id * 7919)").alias("predicted_at"),
+        F.element_at(F.array(*map(F.lit, ["positive", "negative", "neutral"])), (F.col("id") % 3 + 1).cast("int")).alias("pred_label"),
+        F.when(F.col("id") % 5 > 0, F.element_at(F.array(F.lit("in"), F.lit("en")), (F.col("id") % 2 + 1).cast("int"))).alias("lang"),
+        F.when(F.col("id") % 11 > 0, (F.col("id") * 37 % 1000) / 1000).alias("pred_score"),
+        *(F.when(F.col("id") % 7 > 0, F.col("id") % 13).alias(c) for c in ("favorite_count", "retweet_count", "reply_count", "quote_count")),
+    )
+    df = df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in PREDICTION.fields if f.name not in df.columns})
+    for k in range(4):  # later batches move posts to later days and are late themselves
+        store.upsert(df.where(F.col("predicted_at").cast("long") % 4 == k))
+    assert store.read().count() == 300
+    make = getattr(prediction_reports, report)
+    for as_of in ("2024-02-04 00:00:00", "2024-01-31 13:25:07"):
+        window = "30 days" if report == "daily_trend" else "7 days"
+        assert list(map(tuple, make(store.summaries(as_of, window), as_of).collect())) == list(map(tuple, make(store.read(), as_of).collect())) != []
