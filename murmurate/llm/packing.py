@@ -10,14 +10,13 @@ short, so the padding of the whole corpus is below one window.
 
 Definitions. A null text is the empty text, whose only token is the end mark. A null
 id is kept as it is. Repeated rows are documents of their own. An empty table gives
-no pieces. Columns besides the id and the text are ignored.
+no pieces. Columns besides the id and the text are ignored. A text of any length is one document,
+whose ids are one value of a row; memory follows the longest text.
 """
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,40 +24,31 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from murmurate.llm import tokens
 from murmurate.session import work_path
 
 WINDOW = 2048
 END = 1
 #: Texts per call of the tokeniser.
 _TEXTS = 64
-_SPECIAL = {"<|endoftext|>": 50256}
-
-
-@lru_cache(maxsize=2)
-def encoder(path: str, pattern: str):
-    """The byte-pair vocabulary whose ranks stand in ``path`` (base64 and rank in each line)."""
-    import tiktoken
-
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=_SPECIAL)
 
 
 def tokenize(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", text: str = "text", end: int = END) -> DataFrame:
-    """``part, place, doc_id, doc_tokens, ids``: ids are little-endian unsigned 32-bit, ``place`` counts tokens of the partition before."""
-    kind = docs.schema[doc_id].dataType.simpleString()
+    """Ids by the ``tokenizers`` file at ``path`` whose words ``pattern`` cuts, a special token's string as that token:
+    ``part, place, doc_id, doc_tokens, ids``: ids are little-endian unsigned 32-bit, ``place`` counts tokens of the partition before."""
+    kind, last = docs.schema[doc_id].dataType.simpleString(), np.array([end], "<u4")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, part, place = encoder(path, pattern), TaskContext.get().partitionId(), 0
+        code, part, place = tokens.byte_level(path, pattern), TaskContext.get().partitionId(), 0
         for batch in batches:
             for first in range(0, batch.num_rows, _TEXTS):
                 piece = batch.slice(first, _TEXTS)
-                ids = [np.array([*code.encode(x or "", allowed_special="all"), end], "<u4") for x in piece.column(1).to_pylist()]
-                size = np.array([len(x) for x in ids], np.int64)
+                ids = [np.append(code.encode(x or ""), last).tobytes() for x in piece.column(1).to_pylist()]
+                size = np.array([len(x) // 4 for x in ids], np.int64)
                 begin = place + np.cumsum(size) - size
                 place += int(size.sum())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([part] * len(ids), pa.int32()), pa.array(begin), piece.column(0), pa.array(size), pa.array([x.tobytes() for x in ids], pa.binary())],
+                    [pa.array([part] * len(ids), pa.int32()), pa.array(begin), piece.column(0), pa.array(size), pa.array(ids, pa.binary())],
                     ["part", "place", "doc_id", "doc_tokens", "ids"],
                 )
 
@@ -103,10 +93,10 @@ def pack(docs: DataFrame, path: str, pattern: str, window: int = WINDOW, doc_id:
     """
     spark = docs.sparkSession
     folder = work_path(spark, "packing")
-    tokens = tokenize(docs, path, pattern, doc_id, text, end)
-    tokens.write.option("compression", "zstd").parquet(folder)
-    tokens = spark.read.schema(tokens.schema).parquet(folder)
-    totals = tokens.groupBy("part").agg(F.sum("doc_tokens").alias("total"))
+    coded = tokenize(docs, path, pattern, doc_id, text, end)
+    coded.write.option("compression", "zstd").parquet(folder)
+    coded = spark.read.schema(coded.schema).parquet(folder)
+    totals = coded.groupBy("part").agg(F.sum("doc_tokens").alias("total"))
     before = F.expr("sum(total) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)")
     bases = totals.select("part", F.coalesce(before, F.lit(0)).alias("base"))
-    return cut(tokens.join(F.broadcast(bases), "part").withColumn("at", F.col("base") + F.col("place")), window)
+    return cut(coded.join(F.broadcast(bases), "part").withColumn("at", F.col("base") + F.col("place")), window)

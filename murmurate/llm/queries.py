@@ -19,9 +19,9 @@ from murmurate.session import work_path, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
-VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: The two tokenisers that are aligned.
-BYTE_PIECES, SENTENCE_PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+BYTE_PIECES, SENTENCE_PIECES = VOCABULARY, public_tokenizers.path("piece_bpe_32k.model")
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
