@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmurate.llm import blocks
@@ -150,16 +150,16 @@ def train(x: np.ndarray, lang: np.ndarray) -> Model | None:
 
 
 def fit(docs: DataFrame, learn_from: Column | None = None, sample: int = SAMPLE) -> Model | None:
-    """Fit on about ``sample`` rows of each language among those for which ``learn_from`` holds."""
+    """Fit on ``sample`` different texts of each language, those of least hash, among the rows for which ``learn_from`` holds."""
     known = docs.where(F.col("lang").isNotNull() & (F.col("lang") != "") & F.col("text").isNotNull() & F.col("text").rlike(_LETTER))
     if learn_from is not None:
         known = known.where(learn_from)
-    drawn = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    counts = known.groupBy("lang").count().collect()  # a row for each language
-    if not counts:
-        return None
-    share = F.create_map(*(F.lit(x) for row in counts for x in (row["lang"], min(1.0, sample / row["count"]))))
-    chosen = known.where(drawn < share[F.col("lang")]).select("text", "lang")
+    known = known.select("text", "lang", F.xxhash64("text").alias("hash"))
+    least = Window.partitionBy("lang").orderBy("hash")
+    drawn = known.select("lang", "hash").distinct().withColumn("place", F.row_number().over(least)).where(F.col("place") <= sample)
+    drawn = drawn.select(F.col("lang").alias("of"), F.col("hash").alias("drawn"))
+    # copies are one text; every task sends one of them at most
+    chosen = known.join(drawn, (F.col("lang") == F.col("of")) & (F.col("hash") == F.col("drawn"))).groupBy("lang", "hash").agg(F.min("text").alias("text")).select("text", "lang")
 
     def vectorise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
