@@ -315,14 +315,45 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def _apart(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """``docs`` with a number of its own for each id and text where an id repeats, and those numbers with the ids (null: none repeats).
+
+    The numbers lie below all ids.
+    """
+    own = F.col("doc_id").cast("long")
+    ids = docs.where(own.isNotNull()).groupBy(own.alias("_of_id")).agg(F.count(F.lit(1)).alias("n"))
+    ids = written(ids.where("n > 1").select("_of_id"), "repeated")
+    if ids.isEmpty():
+        return docs, None
+    digest = F.coalesce(F.sha2("text", 256), F.lit(""))
+    low = docs.agg(F.least(F.min(own), F.lit(0))).first()[0]
+    repeated = docs.join(ids, own == ids["_of_id"], "left_semi")
+    names = repeated.select(own.alias("_of_id"), digest.alias("_digest")).distinct()
+    names = written(names.withColumn("_number", F.lit(low - 1) - F.monotonically_increasing_id()), "names")
+    met = repeated.join(names, (own == names["_of_id"]) & (digest == names["_digest"]))
+    renamed = met.select(*(names["_number"].alias("doc_id") if c == "doc_id" else repeated[c] for c in docs.columns))
+    single = docs.join(ids, own == ids["_of_id"], "left_anti").withColumn("doc_id", own)
+    return single.unionByName(renamed), names.select("_number", F.col("_of_id").alias("_id_of_number"))
+
+
 def kept(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs``, with all columns, less those whose component has a smaller id; of rows that share an id, the one with the least text."""
-    rows = written(near_duplicates(docs, size, percent), "near-duplicates").where("doc_id IS NOT NULL")
-    marks = rows.groupBy("doc_id").agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n")).where("n > 1 OR NOT kept")
-    marks = written(marks.select(F.col("doc_id").alias("mark_id"), "kept"), "marks")
-    several = marks.where("kept").select("mark_id")
-    single = docs.join(marks.hint("merge"), docs["doc_id"].cast("long") == marks["mark_id"], "left_anti")
-    chosen = docs.join(several.hint("merge"), docs["doc_id"].cast("long") == several["mark_id"], "left_semi")
-    row = F.struct(*(docs[name] for name in docs.columns))
-    chosen = chosen.groupBy(docs["doc_id"]).agg(F.min_by(row, docs["text"]).alias("row"), F.first(row).alias("any"))
-    return single.union(chosen.select(F.coalesce("row", "any").alias("row")).select("row.*"))
+    """The rows of ``docs``, with all columns, less those with a near-duplicate that stays; the document of the smallest id of a group stays.
+
+    A document is an id and a text: rows equal in both are one, of which one stays, while rows that
+    share an id only are compared like any others. Rows without id stay.
+    """
+    apart, names = _apart(docs)
+    rows = written(near_duplicates(apart, size, percent), "near-duplicates").where("doc_id IS NOT NULL")
+    if names is None:
+        gone = written(rows.where("NOT kept").select(F.col("doc_id").alias("gone_id")), "gone")
+        return docs.join(gone.hint("merge"), docs["doc_id"].cast("long") == gone["gone_id"], "left_anti")
+    nodes = rows.groupBy("doc_id", "component_id").count().join(names, F.col("doc_id") == F.col("_number"), "left")
+    best = nodes.groupBy("component_id").agg(F.min_by("doc_id", F.struct(F.coalesce("_id_of_number", "doc_id"), "doc_id")).alias("_stays"))
+    stays = written(best.select("_stays").join(names, F.col("_stays") == F.col("_number"), "left").select("_stays", "_id_of_number"), "stays")
+    # rows of ids that do not repeat by their id, the others by id and text, one of each
+    single = apart.where(F.col("doc_id").isNull()).unionByName(apart.join(stays.where("_id_of_number IS NULL").hint("merge"), F.col("doc_id") == F.col("_stays"), "left_semi"))
+    several = apart.join(stays.where("_id_of_number IS NOT NULL").hint("merge"), F.col("doc_id") == F.col("_stays"))
+    row = F.struct(*(F.col("_id_of_number").alias(c) if c == "doc_id" else apart[c] for c in docs.columns))
+    several = several.groupBy("_stays").agg(F.first(row).alias("row")).select("row.*")
+    found = single.unionByName(several)
+    return found.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType)).select(*docs.columns)

@@ -429,6 +429,13 @@ def test_packing_cuts_the_ids_of_the_tokenizer(spark):
     assert packing.pack(docs.limit(0), VOCABULARY, public_tokenizers.PATTERN).count() == 0
 
 
+@pytest.mark.parametrize("text", [" " * 5_000_000 + "x", "a" * 5_000_000, "7" * 5_000_000, "\n" * 5_000_000], ids=["blanks", "letters", "digits", "lines"])
+def test_packing_of_very_long_texts(spark, text):
+    pieces = packing.pack(frame(spark, [text, "x"]), VOCABULARY, public_tokenizers.PATTERN).where("doc_id = 0").orderBy("start").collect()
+    ids = Tokenizer.from_file(VOCABULARY).encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(b"".join(bytes(p["ids"]) for p in pieces), "<u4").tolist() == [*ids, 1]
+
+
 # --- cross-entropy (7)
 
 
@@ -548,8 +555,25 @@ def test_quality_without_labels(spark):
 def test_quality_learns_from_six_thousand_rows(spark, monkeypatch):
     docs = spark.range(6100).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"))
     known = spark.range(6100).select(F.col("id").alias("doc_id"), (F.col("id") % 7 != 0).cast("int").alias("quality"))
-    monkeypatch.setattr(quality, "train", lambda rows, bits: len(rows))
-    assert quality.fit(docs, known) == 6000
+
+    def counted(batches, bits):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_arrays([pa.array([b""]), pa.array([float(sum(len(b) for b in batches))])], ["numbers", "bias"])
+
+    monkeypatch.setattr(quality, "_trained", counted)
+    hot = docs.unionByName(spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("word 1").alias("text")))
+    assert quality.fit(docs, known).bias == quality.fit(hot, known).bias == 6000
+
+
+def test_language_draws_different_texts(spark, monkeypatch):
+    """A third of all rows are copies; they are one text of the sample and one row for the driver."""
+    rows = [(k, "same words here" if k % 3 == 0 else f"words {k}", "en" if k % 2 else "de") for k in range(600)]
+    seen = []
+    monkeypatch.setattr(language, "train", lambda x, lang: seen.append(Counter(lang.tolist())))
+    language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=150)
+    language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=1000)
+    assert seen == [{"en": 150, "de": 150}, {"en": 201, "de": 201}]
 
 
 # --- near-duplicates (9)
@@ -611,7 +635,11 @@ def test_near_duplicates_of_null_and_repeated_ids(spark):
     found = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(docs).collect())
     assert found == {(3, 3, True): 2, (5, 3, False): 1, (4, 3, False): 1, (None, None, True): 2, (9, 9, True): 2, (8, 8, True): 2}
     kept = Counter((r["doc_id"], r["text"]) for r in neardup.kept(docs).collect())
-    assert kept == {(3, a): 1, (None, a): 2, (9, None): 1, (8, "alone here"): 1}
+    assert kept == {(3, a): 1, (3, b): 1, (None, a): 2, (9, None): 1, (8, "alone here"): 1}
+    ordinary = neardup.kept(clashing(docs))
+    assert ordinary.columns == clashing(docs).columns and ordinary.count() == sum(kept.values())
+    assert sorted(r["doc_id"] for r in neardup.kept(docs.where("doc_id IN (4, 5) OR text LIKE 'one%' AND doc_id = 3")).collect()) == [3, 4]
+    assert {(r["doc_id"], r["text"]) for r in neardup.kept(docs.where("doc_id IN (4, 5) OR text LIKE 'seven%'")).collect()} == {(3, b), (5, a)}
     assert neardup.near_duplicates(docs.limit(0)).count() == 0 and neardup.kept(docs.limit(0)).count() == 0
 
 
