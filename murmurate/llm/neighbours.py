@@ -8,7 +8,7 @@ vector whose number of collisions reaches ``THRESHOLD`` of the projections is ve
 inner product of the original vectors in double precision.
 
 When the search ends is decided by what it has found and not by a share of the block. The
-windows widen until ``SHARE`` of the block, and ``LEAST`` vectors at least, are verified; then
+windows widen until ``SHARE`` of the block, and ``k`` vectors at least, are verified; then
 once more, to the width at which a vector as near as the ``k``-th best found so far collides
 often enough with probability ``SURE``. Any true neighbour is at least that near, so each is
 verified with that probability, whatever the dimension and the lengths are. Vectors without
@@ -17,8 +17,8 @@ structure, or of many dimensions, cost more verification and not recall.
 Largest inner products become smallest distances by one more coordinate that gives all
 vectors of a group the norm of its longest (the query gets zero there). The vectors of a block
 are grouped by length, longest first, so that a long vector does not flatten the others. A
-group whose longest vector cannot reach the ``k``-th best is left out, which loses nothing;
-groups below ``WHOLE`` vectors are verified whole.
+group whose longest vector cannot reach the ``k``-th best is left out, which loses nothing.
+Blocks and groups of any size are searched alike.
 
 Blocks hold about ``BLOCK`` different vectors and queries come in blocks too; a task searches
 one block for one block of queries, so no task grows with the data. Equal vectors are indexed
@@ -47,14 +47,12 @@ from murmurate.session import written
 PROJECTIONS = 128
 THRESHOLD = 0.6
 SURE = 0.95
-SHARE = 0.2
-LEAST = 2500
+SHARE = 0.02
 STEP = 1.2
 BLOCK = 16_384
 QUERIES = 512
 #: The longest vector of a group has at most this many times the norm of its shortest.
 RANGE = 1.2
-WHOLE = 256
 #: What single precision may take from a distance: the root of its smallest part of one, with room.
 ROUNDING = 1e-3
 
@@ -83,9 +81,6 @@ class _Group:
 
     def __init__(self, rows: np.ndarray, exact: np.ndarray, norm: float, asked: np.ndarray, lines: np.ndarray, threshold: int):
         self.rows, self.exact, self.norm, self.threshold = rows, exact[rows], norm, threshold
-        self.whole = len(rows) < WHOLE
-        if self.whole:
-            return
         # vectors and queries are scaled to norm one, so that windows have one scale
         index = _padded((self.exact / norm).astype(np.float32), 1.0)
         numbers, self.centres = index @ lines, (asked @ lines).astype(np.float32)
@@ -121,7 +116,7 @@ class _Group:
         """Vectors verified and their inner products; ``best`` has the largest ones of the groups before."""
         n = len(self.rows)
         enough = max(enough, k - len(best))
-        if self.whole or enough >= n:
+        if enough >= n:
             return self.rows, self.exact @ query
         found, value, half = np.zeros(0, np.int64), np.zeros(0), 0.0
         if enough > 0:
@@ -141,24 +136,24 @@ class _Group:
         return self.rows[found], value
 
 
-def search(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int, share: float = SHARE, least: int = LEAST, projections: int = PROJECTIONS, seed: int = 5) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def search(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int, share: float = SHARE, projections: int = PROJECTIONS, seed: int = 5) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query: its number, rows of ``vectors`` with the ``k`` largest verified inner products, and these."""
     n, exact, wanted = len(vectors), vectors.astype(np.float64), queries.astype(np.float64)
     norms = np.linalg.norm(exact, axis=1)
     asked = np.hstack([(wanted / np.linalg.norm(wanted, axis=1, keepdims=True)).astype(np.float32), np.zeros((len(queries), 1), np.float32)])
     lines = np.random.default_rng(seed).standard_normal((vectors.shape[1] + 1, projections)).astype(np.float32)
-    enough, threshold = min(n, max(least, int(np.ceil(share * n)))), int(np.ceil(THRESHOLD * projections))
+    enough, threshold = int(np.ceil(share * n)), int(np.ceil(THRESHOLD * projections))
     reach = _reach(projections, threshold, SURE)
     falling = np.argsort(-norms, kind="stable")
     groups, first = [], 0
-    while enough < n and first < n:
+    while first < n:
         norm = float(norms[falling[first]])
         last = int(np.searchsorted(-norms[falling], -norm / RANGE, "right"))
         groups.append(_Group(np.sort(falling[first:last]), exact, norm, asked, lines, threshold))
         first = last
     for q, query in enumerate(wanted):
         length = float(np.linalg.norm(query))
-        rows, value = (np.zeros(0, np.int64), np.zeros(0)) if groups else (np.arange(n), exact @ query)
+        rows, value = np.zeros(0, np.int64), np.zeros(0)
         for group in groups:
             best = np.sort(np.partition(value, -k)[-k:] if len(value) > k else value)
             # the margin is for the rounding of the norms
@@ -179,13 +174,13 @@ def _matrix(column: pa.Array, row: int) -> tuple[np.ndarray, np.ndarray]:
     return ids, flat.reshape(len(ids), -1)
 
 
-def _searched(k: int, share: float, least: int):
+def _searched(k: int, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 ids, vectors = _matrix(batch.column(0), row)
                 asked, queries = _matrix(batch.column(1), row)
-                out = [(asked[q], ids[rows], values) for q, rows, values in search(vectors, ids, queries, k, share, least)]
+                out = [(asked[q], ids[rows], values) for q, rows, values in search(vectors, ids, queries, k, share)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat([q for q, _, _ in out], [len(r) for _, r, _ in out]), pa.int64()), pa.array(np.concatenate([r for _, r, _ in out]), pa.int64()), pa.array(np.concatenate([v for _, _, v in out]))],
                     ["asked", "rep", "score"],
@@ -205,7 +200,7 @@ def _packed(rows: DataFrame, blocks: Column, name: str) -> DataFrame:
     return dealt.groupBy(name, F.size("embedding").alias(f"{name}_dimension")).agg(F.collect_list(F.struct("rep", "embedding")).alias(f"{name}_rows"))
 
 
-def nearest(vectors: DataFrame, is_query: Column, k: int = 20, share: float = SHARE, least: int = LEAST, block: int = BLOCK) -> DataFrame:
+def nearest(vectors: DataFrame, is_query: Column, k: int = 20, share: float = SHARE, block: int = BLOCK) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of every row of ``vectors`` for which ``is_query`` holds."""
     # single precision stays, everything else is taken as double; minus zero becomes zero
     kind = "float" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "double"
@@ -226,7 +221,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, share: float = SH
     # each block of the index meets each block of the stated queries once
     met = data.join(asking, (F.col("query") == F.col("asking")) & (F.col("data_dimension") == F.col("asking_dimension")))
     met = met.repartition(data_blocks * query_blocks, "data", "query").select("data_rows", "asking_rows")
-    found = met.mapInArrow(_searched(k + 1, share, least), "asked long, rep long, score double")
+    found = met.mapInArrow(_searched(k + 1, share), "asked long, rep long, score double")
     # a query needs no more than k + 1 different vectors, each with its smallest ids
     best = Window.partitionBy("asked").orderBy(F.desc("score"), "rep")
     found = written(found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1).drop("place"), "found")
