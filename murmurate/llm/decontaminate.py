@@ -15,9 +15,9 @@ made of which item that was.
 Only windows move between tasks. Spark broadcasts the index if its files are small and
 joins by shuffle, splitting hot keys, if not.
 
-Definitions. Words are runs of letters and digits of the lower-cased text. An item or a
-document with fewer than ``SHINGLE`` words has all of its words as its one shingle (a document
-then matches items of that many words). Null and empty texts have no words and match nothing.
+Definitions. Words are runs of letters and digits of the lower-cased text. An item of
+fewer than ``SHINGLE`` words has all of its words as its one shingle and is found wherever they stand
+in a row, so a benchmark should hold no item that is a common phrase. Null and empty texts have no words and match nothing.
 A window at the edge of a document is cut there. Repeated documents repeat their matches once
 per id; a match of a null id has a null id. Repeated items match each for themselves; items
 without id are left out. Of equal matches the first window counts. Empty tables give no rows.
@@ -106,9 +106,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMILARITY
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), _words(F.col("text")).alias("words"))
     opened = None
     for size in sizes or [SHINGLE]:
-        # a document of fewer words than a full shingle is compared as a whole
-        use = texts if size == SHINGLE else texts.where(F.size("words") == size)
-        shingled = use.select("doc_id", "text_key", F.size("words").alias("length"), F.posexplode(_shingles("words", size)).alias("place", "shingle"))
+        # an item of fewer words than a full shingle is one shingle of its own size
+        shingled = texts.select("doc_id", "text_key", F.size("words").alias("length"), F.posexplode(_shingles("words", size)).alias("place", "shingle"))
         at = shingled.join(postings.where(F.col("shingle_words") == size).select("n_words", "item_place", F.col("shingle").alias("same")), F.col("shingle") == F.col("same"))
         first = F.greatest(F.col("place") - F.col("item_place"), F.lit(0))
         last = F.least(F.col("place") - F.col("item_place") + F.col("n_words"), F.col("length"))
