@@ -14,6 +14,8 @@ from murmurate.operators.quality import check_dataset
 from murmurate.operators.runs import latest_runs
 from murmurate.plans.run_reports import active_runs
 from murmurate.schemas import POST_FIELDS, SCORING_REQUEST
+from murmurate.session import work_path
+from murmurate.sources.keyword_index import indexed_search, write_index
 
 # --- projection, filter, constraint ------------------------------------------
 
@@ -135,6 +137,17 @@ def keyword_search(v):
     ).select("id_str", "created_at")
 
 
+@query("keyword_search_indexed", "posts", f"""
+    SELECT id_str, created_at FROM posts
+    WHERE contains(lower(full_text), 'halo') AND contains(lower(full_text), '@budi')
+      AND {_CREATED} >= timestamp '2024-01-05' AND {_CREATED} < timestamp '2024-01-20'""")
+def keyword_search_indexed(v):
+    posts = v.posts.withColumn("at", S.parse_created_at(F.col("created_at")))
+    path = work_path(v.spark, "index")
+    write_index(posts, path, at="at")
+    return indexed_search(posts, path, ["Halo", "@budi"], since="05-01-2024", until="20-01-2024 10:00", at="at").select("id_str", "created_at")
+
+
 @query("add_label_column", "posts", "SELECT id_str, '' AS label FROM posts")
 def add_label_column(v):
     return O.add_label_column(v.posts.select("id_str"))
@@ -145,20 +158,20 @@ _GOOD = "event_id % 7 <> 0 AND event_id % 9 <> 0 AND event_id % 10 <> 0"
 
 @query("typed_record", "predictions", f"""
     SELECT event_id, {_GOOD} AS accepted, CASE WHEN {_GOOD} THEN favorite_count END AS favorite_count,
-      CASE WHEN {_GOOD} THEN coalesce(quote_count, 0) END AS quote_count
+      CASE WHEN {_GOOD} THEN CASE WHEN event_id % 2 = 0 THEN quote_count ELSE coalesce(quote_count, 0) END END AS quote_count
     FROM predictions""")
 def typed_record(v):
     number = F.col("event_id")
-    body = F.to_json(
-        F.struct(
-            F.when(number % 10 != 0, F.col("id_str")).alias("id_str"),
-            F.col("clean_text"),
-            F.when(number % 9 == 0, "banyak")
-            .otherwise(F.col("favorite_count").cast("string"))
-            .alias("favorite_count"),
-            F.col("quote_count"),
-        )
+    fields = F.struct(
+        F.when(number % 10 != 0, F.col("id_str")).alias("id_str"),
+        F.col("clean_text"),
+        F.when(number % 9 == 0, "banyak")
+        .otherwise(F.col("favorite_count").cast("string"))
+        .alias("favorite_count"),
+        F.col("quote_count"),
     )
+    # every other body names the fields that are null
+    body = F.when(number % 2 == 0, F.to_json(fields, {"ignoreNullFields": "false"})).otherwise(F.to_json(fields))
     body = F.when(number % 7 == 0, F.concat(F.lit("no json "), body)).otherwise(body)
     ok = F.col("accepted")
     return O.typed_requests(v.texted.select("event_id", body.alias("body"))).select(
@@ -318,6 +331,15 @@ def agg_count_distinct(v):
     return v.predictions.groupBy("pred_label").agg(F.count_distinct("username").alias("users"))
 
 
+@query("agg_users_sketch", "predictions", """
+    WITH seen AS (SELECT DISTINCT cast(predicted_at AS date) AS day, username FROM predictions)
+    SELECT d.day, count(DISTINCT s.username) AS users
+    FROM (SELECT DISTINCT day FROM seen) d JOIN seen s ON s.day <= d.day AND s.day > d.day - 7 GROUP BY d.day""")
+def agg_users_sketch(v):
+    """Users of the week up to each day from daily sketches; a few hundred users are counted exactly by a sketch."""
+    return A.rolling_distinct(A.daily_sketches(v.predictions, "username"), 7)
+
+
 @query("agg_avg_min_max", "predictions", f"""
     SELECT lang, {rnd('avg(pred_score)', 4)} AS mean, min(pred_score) AS low, max(pred_score) AS high,
       {rnd('avg(retweet_count)', 2)} AS mean_retweets
@@ -523,7 +545,7 @@ def fn_left(v):
 
 
 @query("fn_round_numeric", "predictions", f"""
-    SELECT id_str, {rnd('value * 1.0005', 4)} AS r4, {rnd('-value * 1.0005', 2)} AS r2
+    SELECT id_str, {rnd('value * 1.0005', 4)} AS r4, {rnd('-value * 1.0005', 2)} AS r2, value * 1e22 AS huge
     FROM (SELECT p.id_str, e.value FROM predictions p JOIN events e ON p.event_id = e.event_id)""")
 def fn_round_numeric(v):
     value = F.col("value") * 1.0005
@@ -531,6 +553,7 @@ def fn_round_numeric(v):
         F.col("event_id").cast("string").alias("id_str"),
         S.round_numeric(value, 4).alias("r4"),
         S.round_numeric(-F.col("value") * 1.0005, 2).alias("r2"),
+        S.round_numeric(F.col("value") * 1e22, 2).alias("huge"),
     )
 
 

@@ -88,6 +88,27 @@ def stream_dedupe(v):
     return v.spark.read.parquet(path)
 
 
+@query("stream_earliest", "predictions", """
+    WITH marked AS (
+        SELECT *, predicted_at - lag(predicted_at) OVER (PARTITION BY user_id ORDER BY predicted_at, event_id) > interval '6 hours' AS opens
+        FROM predictions),
+      numbered AS (SELECT *, count(*) FILTER (opens) OVER (PARTITION BY user_id ORDER BY predicted_at, event_id) AS session FROM marked),
+      sessions AS (
+        SELECT concat('post_', cast(user_id AS varchar)) AS id_str, min(predicted_at) AS predicted_at, max(predicted_at) AS last,
+          arg_min(event_id, (predicted_at, event_id)) AS event_id, arg_min(pred_label, (predicted_at, event_id)) AS pred_label
+        FROM numbered GROUP BY user_id, session)
+    SELECT id_str, cast(predicted_at AS timestamp) AS predicted_at, event_id, pred_label FROM sessions
+    WHERE last + interval '6 hours' <= (SELECT max(predicted_at) FROM predictions) - interval '1 hour'""")
+def stream_earliest(v):
+    path = work_path(v.spark, "earliest")
+    posts = _records(_stream(v)).select(
+        F.concat(F.lit("post_"), F.col("user_id").cast("string")).alias("id_str"), "predicted_at", "event_id", "pred_label"
+    )
+    once = ST.earliest_of_each(posts, "predicted_at", "6 hours", "1 hour")
+    ST.append_parquet(once, path, work_path(v.spark, "earliest-check")).awaitTermination()
+    return v.spark.read.parquet(path)
+
+
 @query("stream_late", "predictions", """
     SELECT date_trunc('hour', predicted_at) AS time, pred_label, count(*) AS count
     FROM predictions

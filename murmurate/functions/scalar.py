@@ -26,10 +26,11 @@ def round_numeric(c: Column, places: int) -> Column:
     """ROUND over NUMERIC: decimal, half away from zero, given back as double.
 
     The decimal takes the shortest text of the number with all its places, so it
-    is rounded once. NaN and infinities have no decimal and stay as they are.
+    is rounded once. From 2**53 on a number has no fraction and stays as it is, as do NaN
+    and infinities.
     """
     number = c.cast("double")
-    plain = ~F.isnan(number) & (F.abs(number) < float("inf"))
+    plain = ~F.isnan(number) & (F.abs(number) < 2.0**53)
     return F.when(plain, F.round(number.cast("decimal(38,18)"), places).cast("double")).otherwise(number)
 
 

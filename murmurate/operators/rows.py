@@ -148,12 +148,18 @@ def keyword_search(
     """
     for word in words:
         df = df.where(lower(F.col(text)).contains(word.lower()))
+    df = in_days(df, at, since, until)
+    return df if target is None else df.limit(target)
+
+
+def in_days(df: DataFrame, at: str, since: str | None, until: str | None) -> DataFrame:
+    """Rows with ``since <= at < until``, days as ``DD-MM-YYYY``."""
     kind = df.schema[at].dataType.simpleString() if at in df.columns else "timestamp"
     if since:
         df = df.where(F.col(at) >= F.lit(_day(since)).cast(kind))
     if until:
         df = df.where(F.col(at) < F.lit(_day(until)).cast(kind))
-    return df if target is None else df.limit(target)
+    return df
 
 
 def add_label_column(df: DataFrame) -> DataFrame:
@@ -177,9 +183,9 @@ def with_defaults(df: DataFrame, record=SCORING_REQUEST) -> DataFrame:
 def typed_requests(df: DataFrame, column: str = "body") -> DataFrame:
     """Parse JSON request bodies into scoring requests.
 
-    Counters may come as numbers or as text. ``accepted`` is false where the
-    body is not JSON, a counter is no number or a required field is missing; the
-    row stays, with its body.
+    Counters may come as numbers or as text; an absent one is 0, one that is there and
+    null stays NULL. ``accepted`` is false where the body is not JSON, a counter is no number
+    or a required field is missing; the row stays, with its body.
     """
     names = [f.name for f in SCORING_REQUEST.fields]
     texts = T.StructType([T.StructField(n, T.StringType()) for n in [*names, "_corrupt"]])
@@ -191,13 +197,14 @@ def typed_requests(df: DataFrame, column: str = "body") -> DataFrame:
         raw = F.col(f"_r.{n}")
         if n in COUNT_FIELDS:
             number = raw.try_cast("bigint")
-            fields.append(F.coalesce(number, F.lit(0)).alias(n))
+            there = F.coalesce(F.array_contains("_keys", n), F.lit(False))
+            fields.append(F.when(there, number).otherwise(F.coalesce(number, F.lit(0))).alias(n))
             ok = ok & (raw.isNull() | number.isNotNull())
         else:
             fields.append(raw.alias(n))
     ok = ok & F.col("_r.id_str").isNotNull() & F.col("_r.clean_text").isNotNull()
     kept = [c for c in df.columns if c not in names]
-    return df.withColumn("_r", parsed).select(
+    return df.withColumns({"_r": parsed, "_keys": F.json_object_keys(column)}).select(
         *kept, *fields, F.coalesce(ok, F.lit(False)).alias("accepted")
     )
 

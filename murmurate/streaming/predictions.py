@@ -108,11 +108,12 @@ def first_of_each(
     """One row per post; a repeat is recognised within ``delay``.
 
     Repeats are dropped per post and salt first, so that the repeats of a hot
-    post are spread over tasks and at most ``salts`` of them meet in one. Salts are
-    drawn, so repeats that are equal in every column are spread as well.
+    post are spread over tasks and at most ``salts`` of them meet in one. The salt is a hash
+    of the row, so a task that is run again deals its rows alike. Which repeat stays is open;
+    :func:`earliest_of_each` keeps the first in time.
     """
     salted = posts.withWatermark(at, delay).withColumn(
-        "_salt", F.floor(F.rand() * salts)
+        "_salt", F.pmod(F.xxhash64(*posts.columns), F.lit(salts))
     )
     return (
         salted.dropDuplicatesWithinWatermark([key, "_salt"])
@@ -121,6 +122,19 @@ def first_of_each(
     )
 
 
+def earliest_of_each(posts: DataFrame, at: str, gap: str, delay: str, key: str = "id_str") -> DataFrame:
+    """The earliest row of each session of a post: of its repeats that follow each other within ``gap``.
+
+    A session ends ``gap`` after its last row and is given out, once, when the watermark (the latest time
+    less ``delay``) has passed that; what comes later than that is dropped. Of rows of one time the least
+    in all columns stays. State is a row per open session.
+    """
+    rest = [c for c in posts.columns if c not in (at, key)]
+    row = F.struct(at, *rest)
+    sessions = posts.withWatermark(at, delay).groupBy(key, F.session_window(at, gap).alias("_session"))
+    return sessions.agg(F.min(row).alias("_row")).select(*(F.col(c) if c == key else F.col(f"_row.{c}").alias(c) for c in posts.columns))
+
+
 def append_parquet(
     df: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
 ) -> StreamingQuery:
