@@ -9,6 +9,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from murmurate.session import scratch
+
 # Hex digits of a hash that make a bucket; each level takes as many more, so a level has 16^4 values at most.
 _PREFIX = 4
 # Copies of one row that a single task writes out.
@@ -55,7 +57,7 @@ class _Cut:
         return out.otherwise(F.lit("validation" if self.settled else None))
 
 
-def _advance(rows: DataFrame, label: str, cuts: dict[int, _Cut], level: str) -> None:
+def _advance(rows: DataFrame, label: str, cuts: dict[int, _Cut], level: str, n: Column) -> None:
     """Take the cut of each open class one level further, in one aggregate.
 
     The running count goes over values of the level, not over rows: over buckets,
@@ -72,7 +74,7 @@ def _advance(rows: DataFrame, label: str, cuts: dict[int, _Cut], level: str) ->
     found = (
         rows.where(here)
         .groupBy(label, level)
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(n.alias("n"))
         .withColumns({"upto": upto, "need": need})
         .where((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("n") < F.col("need")))
     )
@@ -98,17 +100,13 @@ def stratified_split(
     their own hash. A class may hold a third of all rows, and so may a key, so
     neither is ranked as a group. Counts per hash bucket give the bucket in which
     the quota of a class ends, counts per key in that bucket give the key; with
-    unique keys all rows are settled then, each by comparing its hash. Only for
+    unique keys all rows are settled then, each by comparing its hash: two passes. Only for
     a key that is repeated at the very cut the rows of one more bucket are
     ranked, with equal rows counted as one, and written out again after that.
 
     All labels found take part. With ``classes``, a label that is not named fails the
     split, as does a row without label; no row is left out.
     """
-    counts = {r[label]: r.n for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    unknown = [c for c in counts if c is None or (classes is not None and c not in classes)]
-    if unknown:
-        raise ValueError(f"rows with labels that cannot be split: {unknown}")
     digest = F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed))))
     rows = df.withColumn("_key", digest).withColumns(
         {
@@ -118,9 +116,18 @@ def stratified_split(
             "_row_bucket_2": F.left(F.md5(F.to_json(F.struct(*df.columns))), F.lit(2 * _PREFIX)),
         }
     )
-    cuts = {c: _Cut(q) for c, q in quotas(counts, fraction).items()} if counts else {}
-    for level in _LEVELS:
-        _advance(rows, label, cuts, level)
+    each = F.count(F.lit(1))
+    with scratch(df.sparkSession) as keep:
+        # one pass gives the classes, their quotas and the bucket in which each ends
+        buckets = keep(rows.groupBy(label, _LEVELS[0]).agg(each.alias("n")), "buckets")
+        counts = {r[label]: r.n for r in buckets.groupBy(label).agg(F.sum("n").alias("n")).collect()}
+        unknown = [c for c in counts if c is None or (classes is not None and c not in classes)]
+        if unknown:
+            raise ValueError(f"rows with labels that cannot be split: {unknown}")
+        cuts = {c: _Cut(q) for c, q in quotas(counts, fraction).items()} if counts else {}
+        _advance(buckets, label, cuts, _LEVELS[0], F.sum("n"))
+    for level in _LEVELS[1:]:
+        _advance(rows, label, cuts, level, each)
 
     split, need = F.lit(None).cast("string"), F.lit(0).cast("long")
     for c, cut in cuts.items():

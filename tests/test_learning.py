@@ -375,3 +375,19 @@ def test_gradient_equals_numpy(spark):
     assert S.fit(df.limit(0), features=16).model.weights.shape == (3, 16)
     with pytest.raises(ValueError, match="999"):
         S.fit(df.withColumn("label", F.lit(-1)), features=16)
+
+
+def test_unique_keys_are_split_in_two_passes(spark, monkeypatch):
+    """One pass counts buckets, one counts within the bucket of each cut; further levels are for repeated keys."""
+    passes, advance = [], SP._advance
+
+    def counted(rows, label, cuts, level, n):
+        if level == "_key_bucket" or any(cut.need and not cut.settled for cut in cuts.values()):
+            passes.append(level)
+        advance(rows, label, cuts, level, n)
+
+    monkeypatch.setattr(SP, "_advance", counted)
+    df = spark.range(5000).select(F.col("id").cast("string").alias("id_str"), (F.col("id") % 3).alias("label"))
+    got = SP.stratified_split(df, ["id_str"]).groupBy("label", "split").count().collect()
+    assert sum(r["count"] for r in got if r.split == "validation") == 1000 and sum(r["count"] for r in got) == 5000
+    assert passes in (["_key_bucket"], ["_key_bucket", "_key_bucket_2"])
