@@ -14,6 +14,7 @@ from murmurate.operators.aggregates import pivot_keys
 from murmurate.operators.rows import valid_labels
 from murmurate.operators.softmax import FEATURES, LAYERS, fit
 from murmurate.operators.split import stratified_split
+from murmurate.operators.subwords import encode
 from murmurate.plans.learn import evaluate, split_rows, train
 from murmurate.schemas import LABEL_NAMES
 from murmurate.session import work_path, written
@@ -56,6 +57,43 @@ def featurize(v):
     )
 
 
+_PIECES = """pieces AS (SELECT DISTINCT substr(w, 1, 3) AS piece FROM every
+        UNION SELECT concat('##', substr(w, 4, 2)) FROM every WHERE length(w) >= 5
+        UNION SELECT concat('##', w) FROM every WHERE length(w) <= 2
+        UNION SELECT concat('##', c) FROM (SELECT unnest(string_split('aeinorst', '')) AS c))"""
+
+
+@query("featurize_subwords", "labeled", f"""
+    WITH RECURSIVE texts AS (SELECT doc_id, {_WORDS} AS words FROM labeled),
+      every AS (SELECT DISTINCT unnest(words) AS w FROM texts),
+      {_PIECES},
+      short AS (SELECT w FROM every WHERE length(w) <= 100),
+      starts AS (SELECT w, unnest(range(1, length(w) + 1)) AS spot FROM short),
+      cut AS (SELECT w, spot, max(n) AS n FROM (SELECT w, spot, unnest(range(1, least(4, length(w) - spot + 2))) AS n FROM starts)
+        JOIN pieces ON piece = CASE WHEN spot = 1 THEN '' ELSE '##' END || substr(w, spot, n) GROUP BY w, spot),
+      walk AS (
+        SELECT w, 1 AS spot, cast([] AS varchar[]) AS found FROM short
+        UNION ALL SELECT k.w, k.spot + n, list_append(found, CASE WHEN k.spot = 1 THEN '' ELSE '##' END || substr(k.w, k.spot, n))
+        FROM walk k JOIN cut ON cut.w = k.w AND cut.spot = k.spot),
+      whole AS (SELECT w, found FROM walk WHERE spot = length(w) + 1),
+      taken AS (SELECT doc_id, unnest(words[1:126]) AS w, unnest(range(len(words[1:126]))) AS place FROM texts),
+      listed AS (SELECT doc_id, flatten(list(coalesce(found, ['[UNK]']) ORDER BY place))[1:126] AS found
+        FROM taken LEFT JOIN whole ON whole.w = taken.w GROUP BY doc_id),
+      filled AS (SELECT t.doc_id, list_concat(['[CLS]'], coalesce(found, []), ['[SEP]']) AS f FROM texts t LEFT JOIN listed l ON l.doc_id = t.doc_id)
+    SELECT doc_id, cast(len(f) AS bigint) AS attended,
+      md5(array_to_string(list_concat(f, [('[PAD]') FOR _ IN range(128 - len(f))]), ' ')) AS input_hash FROM filled""")
+def featurize_subwords(v):
+    """The vocabulary is a rule over the words themselves: first three letters, two letters further on, a few single ones."""
+    rows = written(v.labeled.select("doc_id", "clean_text"), "texts")
+    w = F.col("w")
+    every = rows.select(F.explode(L.tokens(F.col("clean_text"))).alias("w")).distinct()
+    inner = lambda c: F.concat(F.lit("##"), c).alias("piece")
+    single = v.spark.createDataFrame([(f"##{c}",) for c in "aeinorst"], "piece string")
+    vocabulary = every.select(F.substring(w, 1, 3).alias("piece")).union(every.where(F.length(w) >= 5).select(inner(F.substring(w, 4, 2)))).union(every.where(F.length(w) <= 2).select(inner(w))).union(single)
+    found = encode(rows, written(vocabulary.distinct(), "vocabulary"))
+    return found.select("doc_id", F.aggregate("attention_mask", F.lit(0), lambda t, x: t + x).cast("bigint").alias("attended"), F.md5(F.array_join("input_pieces", " ")).alias("input_hash"))
+
+
 def _labelled(v):
     return valid_labels(v.labeled).select("doc_id", "id_str", "clean_text", "label")
 

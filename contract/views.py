@@ -212,6 +212,8 @@ def _with(names: list[str], dialect: int) -> str:
 def check_sql(names: list[str], body: str) -> str:
     """SQL for DuckDB: the views as common table expressions, then ``body``."""
     prefix = _with(names, 1)
+    if prefix and body.lstrip()[:15].upper() == "WITH RECURSIVE ":
+        return prefix.rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + ", " + body.lstrip()[15:]
     if prefix and body.lstrip()[:5].upper() == "WITH ":
         return prefix.rstrip() + ", " + body.lstrip()[5:]
     return prefix + body

@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 from collections import Counter
 
 import numpy as np
@@ -12,6 +13,7 @@ from murmurate.operators import learn as L
 from murmurate.operators import runs as R
 from murmurate.operators import softmax as S
 from murmurate.operators import split as SP
+from murmurate.operators.subwords import encode
 from murmurate.plans import serve
 from murmurate.plans.learn import evaluate_job, model_versions, newest_model, register_model, serving_model, train
 from murmurate.session import work_path
@@ -391,3 +393,34 @@ def test_unique_keys_are_split_in_two_passes(spark, monkeypatch):
     got = SP.stratified_split(df, ["id_str"]).groupBy("label", "split").count().collect()
     assert sum(r["count"] for r in got if r.split == "validation") == 1000 and sum(r["count"] for r in got) == 5000
     assert passes in (["_key_bucket"], ["_key_bucket", "_key_bucket_2"])
+
+
+def _longest(word, vocabulary):
+    out, at = [], 0
+    while at < len(word):
+        for end in range(len(word), at, -1):
+            piece = ("##" if at else "") + word[at:end]
+            if piece in vocabulary:
+                out.append(piece)
+                at = end
+                break
+        else:
+            return ["[UNK]"]
+    return out if len(word) <= 100 else ["[UNK]"]
+
+
+def test_subwords_equal_plain_longest_match(spark):
+    rng = random.Random(7)
+    vocabulary = {"".join(rng.choices("abcé", k=rng.randint(1, 4))) for _ in range(60)} | {"##" + "".join(rng.choices("abcé", k=rng.randint(1, 3))) for _ in range(30)} | {"a" * 101, "##😀"}
+    texts = [" ".join("".join(rng.choices("abcé😀", k=rng.randint(1, 9))) for _ in range(rng.randint(0, 14))) for _ in range(150)]
+    texts += [None, "", " ", "a" * 101, "ab " * 300, "same", "same", "b" * 5000]
+    df = spark.createDataFrame([(k % 150, t, "x") for k, t in enumerate(texts)], "id long, clean_text string, piece string")
+    pieces = spark.createDataFrame([(p,) for p in [*vocabulary, *vocabulary, None]], "piece string")
+    found = encode(df, pieces, length=16).collect()
+    assert len(found) == len(texts) and found[0].asDict().keys() == {"id", "clean_text", "piece", "input_pieces", "attention_mask"}
+    for r in found:
+        want = [p for w in (r.clean_text or "").split() for p in _longest(w, vocabulary)][:14]
+        want = ["[CLS]", *want, "[SEP]"]
+        assert r.input_pieces == want + ["[PAD]"] * (16 - len(want))
+        assert r.attention_mask == [1] * len(want) + [0] * (16 - len(want))
+    assert encode(df.limit(0), pieces).count() == 0 and encode(df.where("id = 5"), pieces.limit(0)).count() == 2
