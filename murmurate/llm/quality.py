@@ -6,8 +6,8 @@ probability of each class. The table and the layer are trained together by stoch
 gradient descent in numpy. A word that repeats the one before it also counts as the
 pair "same word again".
 
-The model is fitted on a bounded sample of labelled documents (``SAMPLE`` rows, those of
-least hash). Scores use whole texts; as the average and the layer are linear, a table
+The model is fitted on a bounded sample of labelled documents (``SAMPLE`` ids, those of
+least hash, one row of each), in one task. Scores use whole texts; as the average and the layer are linear, a table
 slot is reduced to one number before the texts are read, and only that table of fixed
 size is sent to the tasks.
 
@@ -128,14 +128,25 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, sa
         known = known.where(learn_from)
     known = known.groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("other")).where("label = other").select(F.col("doc_id").alias("known_id"), "label")
     known = known.orderBy(F.xxhash64("known_id"), "known_id").limit(sample)  # a row is an id and a label, so this may be broadcast
-    texts = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("known_id")).select("text", "known_id", F.col("label").cast("int").alias("label"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("known_id"))
+    # of rows that share an id one is learned from; every task sends one of them at most
+    one = texts.groupBy("known_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("label").cast("int").alias("label"))
     kind = labels.schema["doc_id"].dataType.simpleString()
-    counted = texts.mapInArrow(lambda batches: _counted(batches, bits), f"known_id {kind}, label int, places binary, weights binary").toArrow()
-    found = sorted(zip(*(counted[name].to_pylist() for name in ("known_id", "places", "weights", "label")), strict=True))
-    del counted
-    pa.default_memory_pool().release_unused()
-    rows = [(np.frombuffer(p, _place(bits)), np.frombuffer(w, np.float32), label) for _, p, w, label in found]
-    return train(rows, bits)
+    counted = one.select("text", "known_id", "label").mapInArrow(lambda batches: _counted(batches, bits), f"known_id {kind}, label int, places binary, weights binary")
+    # the sample is bounded, so one task trains; the driver gets a number per slot
+    found = counted.repartition(1).mapInArrow(lambda batches: _trained(batches, bits), "numbers binary, bias double").first()
+    if found is None:
+        return train([], bits)
+    return Model(np.frombuffer(bytes(found["numbers"]), np.float32), found["bias"], bits)
+
+
+def _trained(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+    rows = []
+    for batch in batches:
+        rows += zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 1)), strict=True)
+    if rows:
+        model = train([(np.frombuffer(p, _place(bits)), np.frombuffer(w, np.float32), label) for _, p, w, label in sorted(rows)], bits)
+        yield pa.RecordBatch.from_arrays([pa.array([model.table.tobytes()], pa.binary()), pa.array([model.bias])], ["numbers", "bias"])
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
