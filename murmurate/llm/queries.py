@@ -135,6 +135,19 @@ def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     return negatives.mine(_table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0, label)
 
 
+@query
+def licenses_base(spark: SparkSession, folder: str) -> DataFrame:
+    """The part of operator 10 that SQL can express: words, and the places of the base phrases."""
+    found = licenses.scan(_table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+@query
+def pii_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The part of operator 3 that SQL can express: how many base spans of each kind a document has."""
+    return pii.find(_table(spark, folder, "documents")).select("doc_id", *(f"n_{kind}" for kind in pii.BASE))
+
+
 _BITS = [f"{k:04b}" for k in range(16)]
 
 SQL["op5_warc"] = f"""
@@ -194,3 +207,32 @@ SQL["op13_hard_negatives"] = """
       AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
     WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id)
     QUALIFY row_number() OVER w <= 3"""
+
+_PHRASES = {phrase: f"[{', '.join(repr(w) for w in phrase.split())}]" for phrase in licenses.BASE}
+_FOUND = [f"[i for i in range(len(w)) if w[i + 1:i + {len(p.split())}] = {words}]" for p, words in _PHRASES.items()]
+
+SQL["licenses_base"] = rf"""
+    WITH words AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(
+          translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+          '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
+      found AS (SELECT doc_id, w, [{", ".join(_FOUND)}] AS each, {list(licenses.BASE.values())} AS labels FROM words)
+    SELECT doc_id, cast(len(w) AS bigint) AS n_words, cast(len(flatten(each)) AS bigint) AS n_base,
+      cast(list_min(flatten(each)) AS bigint) AS first_word, cast(list_max(flatten(each)) AS bigint) AS last_word,
+      array_to_string(list_sort(list_distinct([labels[k] for k in range(1, len(labels) + 1) if len(each[k]) > 0])), ',') AS base_labels
+    FROM found"""
+
+SQL["pii_counts"] = r"""
+    WITH spans AS (
+        SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS emails,
+          regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ips,
+          [regexp_replace(x, '[^0-9]', '', 'g') for x in regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+')] AS cards,
+          [regexp_replace(x, '[^0-9]', '', 'g') for x in regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]')] AS phones
+        FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))
+    SELECT doc_id, cast(len(emails) AS bigint) AS n_email,
+      cast(len([x for x in ips if list_max([cast(p AS hugeint) for p in string_split(right(x, 100), '.')]) <= 255]) AS bigint) AS n_ip,
+      cast(len([x for x in cards if len(x) BETWEEN 16 AND 19 AND list_sum([
+          CASE WHEN k % 2 = 0 THEN cast(reverse(x)[k + 1] AS int)
+            ELSE cast(reverse(x)[k + 1] AS int) * 2 - CASE WHEN reverse(x)[k + 1] >= '5' THEN 9 ELSE 0 END END for k in range(len(x))]) % 10 = 0]) AS bigint) AS n_card,
+      cast(len([x for x in phones if len(x) BETWEEN 8 AND 15]) AS bigint) AS n_phone
+    FROM spans"""
