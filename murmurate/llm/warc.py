@@ -1,8 +1,9 @@
 """A deterministic sharded WARC writer and its reader.
 
 Records are sorted by page id over shards of about equal payload. The bounds of the shards
-come from exact byte counts of id ranges, so the same table gives the same files whatever
-the cluster. Within a shard a file is closed once its compressed size reaches ``ROLL`` and
+come from exact byte counts of id ranges, which are cut until each fits into a shard; an id that
+is larger than a shard is spread by digest. So the same table gives the same files whatever
+the cluster, and no task has more than two shards' worth, or the copies of one payload. Within a shard a file is closed once its compressed size reaches ``ROLL`` and
 the next one begins. Every record is a gzip member with headers and digests made anew from
 the payload; a payload that occurred before is a revisit record that refers to the page
 with the smallest id.
@@ -31,9 +32,11 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from murmurate.session import written
+
 #: Payload bytes of a shard, which is the work of one task, and compressed bytes of a file.
 SHARD = 16 << 20
 ROLL = 8 << 20
@@ -139,31 +142,60 @@ def _writer(folder: str, least: int, roll: int, date: str):
     return write
 
 
+def _ranges(sizes: DataFrame, shard_bytes: int, ranges: int) -> list[tuple[int, int, int]]:
+    """Ranges of ids in order with their bytes: least and largest id that occurs. Only a single id has more than a shard.
+
+    Each pass cuts the ranges that are too large into as many equal parts as ``ranges`` allows, from
+    the least to the largest id in them, so an id far away costs one more pass and no balance.
+    """
+    ends = sizes.agg(F.min("page_id").alias("low"), F.max("page_id").alias("high")).first()
+    open_, done = [] if ends["low"] is None else [(ends["low"], ends["high"])], []
+    own = F.col("page_id").cast("decimal(20,0)")
+    while open_:
+        parts = max(2, ranges // len(open_))
+        lows, highs = [low for low, _ in open_], [high for _, high in open_]
+        at = _bisect(F.col("page_id"), lows)
+        of = lambda values: F.element_at(F.array(*(F.lit(v).cast("decimal(20,0)") for v in values)), F.col("at") + 1)  # noqa: B023, E731
+        inside = sizes.withColumn("at", at).where((own >= of(lows)) & (own <= of(highs)))
+        part = F.floor((own - of(lows)) / of([max(1, -(-(high - low + 1) // parts)) for low, high in open_]))
+        found = inside.groupBy("at", part.alias("part")).agg(F.sum("bytes").alias("total"), F.min("page_id").alias("low"), F.max("page_id").alias("high")).collect()
+        open_ = []
+        for row in found:
+            (open_ if row["total"] > shard_bytes and row["low"] < row["high"] else done).append((row["low"], row["high"], row["total"]))
+        open_ = sorted((low, high) for low, high, _ in open_)
+    return sorted(done)
+
+
 def _shards(pages: DataFrame, shard_bytes: int, ranges: int) -> tuple[Column, int]:
-    """The shard of a row, a number that grows with the id, and how many shards there are; it follows from id, url and digest."""
-    bounds = pages.agg(F.min("page_id").alias("low"), F.max("page_id").alias("high")).first()
-    low, high = bounds["low"] or 0, bounds["high"] or 0
-    width = max(1, -(-(high - low + 1) // ranges))
-    place = F.floor((F.col("page_id").cast("decimal(20,0)") - F.lit(low)) / F.lit(width)).cast("int")
-    # at most ``ranges`` rows and one for pages without id
-    sums = {x["place"]: x["total"] for x in pages.groupBy(place.alias("place")).agg(F.sum(F.col("size") + F.lit(512)).alias("total")).collect()}
-    nameless, held, starts = sums.pop(None, 0), shard_bytes, []
-    for k in sorted(sums):
-        if held >= shard_bytes:
-            starts.append(k)
-            held = 0
-        held += sums[k]
-    starts = starts or [0]
+    """The shard of a row, a number that grows with id and digest, and how many shards there are; it follows from id, url and digest."""
+    sizes = written(pages.select("page_id", (F.col("size") + F.lit(512)).alias("bytes")), "sizes")
+    nameless = sizes.where("page_id IS NULL").agg(F.sum("bytes")).first()[0] or 0
+    # a start of a shard: its least id, its number, and how many shards the id fills if it is alone
+    starts, held, n = [], shard_bytes, 0
+    for low, _, total in _ranges(sizes, shard_bytes, ranges):
+        if held + total > shard_bytes:
+            alone = max(1, -(-total // shard_bytes))
+            starts.append((low, n, alone))
+            n, held = n + alone, shard_bytes if alone > 1 else 0
+        held += total
+    starts = starts or [(0, 0, 1)]
+    n = max(n, 1)
+    at = _bisect(F.col("page_id"), [low for low, _, _ in starts])
+    number = at
+    if any(alone > 1 for _, _, alone in starts):
+        of = lambda k: F.element_at(F.array(*(F.lit(x[k]) for x in starts)), at + 1).cast("long")
+        # the rows of a large id go by the first 32 bits of their digest
+        share = F.conv(F.left("sha1_hex", F.lit(8)), 16, 10).cast("long") * of(2)
+        number = of(1) + F.shiftright(share, 32)
     extra = -(-nameless // shard_bytes)
-    number = _bisect(place, starts)
     if extra:
-        spread = F.lit(len(starts)) + F.pmod(F.xxhash64("url", "sha1_hex"), F.lit(extra)).cast("int")
+        spread = F.lit(n) + F.pmod(F.xxhash64("url", "sha1_hex"), F.lit(extra)).cast("int")
         number = F.when(F.col("page_id").isNull(), spread).otherwise(number)
-    return number.cast("int"), len(starts) + extra
+    return number.cast("int"), n + extra
 
 
 def _bisect(place: Column, starts: list[int]) -> Column:
-    """Number of the last start at or below ``place``, by a search tree of conditions."""
+    """Number of the last start at or below ``place`` (0 if none is), by a search tree of conditions."""
     if len(starts) == 1:
         return F.lit(0)
     half = len(starts) // 2
@@ -253,7 +285,8 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     files = spark.read.parquet(f"{folder}/manifest")
-    # a file may be as large as a task's work, so they are dealt one by one
-    return files.select("name").repartition(max(1, files.count()), "name").mapInArrow(
+    # a file may be as large as a task's work, so they are dealt one by one; a row per file
+    dealt = files.select("name", (F.row_number().over(Window.orderBy("name")) - 1).alias("place"))
+    return dealt.repartitionById(max(1, files.count()), F.col("place")).select("name").mapInArrow(
         records, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
     )

@@ -422,6 +422,23 @@ def test_warc_is_deterministic_and_keeps_small_payloads(spark):
     assert warc.write(pages.limit(0), empty).count() == 0 and warc.read(spark, empty).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["outlier", "hot id", "negative", "even"])
+def test_warc_shards_are_bounded_whatever_the_ids_are(spark, kind):
+    rng = random.Random(19)
+    ids = {"outlier": [*range(400), 1 << 60, -(1 << 62)], "hot id": [7 if k % 3 == 0 else k for k in range(400)], "negative": [-5 * k for k in range(400)], "even": list(range(400))}[kind]
+    rows = [(i, f"u{k}", "".join(rng.choices("ab<>", k=1000))) for k, i in enumerate(ids)]
+    folder = work_path(spark, "warc")
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    shard, n = warc._shards(pages.select("*", F.length("html").cast("long").alias("size"), F.sha1("html").alias("sha1_hex")), 20_000, 64)
+    dealt = pages.select("page_id", F.sha1("html").alias("sha1_hex")).select("page_id", "sha1_hex", shard.alias("shard")).orderBy("page_id", "sha1_hex").collect()
+    filled = Counter(r["shard"] for r in dealt)
+    assert max(filled.values()) * 1512 <= 2 * 20_000 and len(filled) >= 400 * 1512 / 40_000 and max(filled) < n
+    assert [r["shard"] for r in dealt] == sorted(r["shard"] for r in dealt)
+    warc.write(pages, folder, shard_bytes=20_000)
+    found = warc.read(spark, folder).select("page_id", "payload").collect()
+    assert sorted((r["page_id"], bytes(r["payload"]).decode()) for r in found) == sorted((i, html) for i, _, html in rows)
+
+
 # --- packing (6)
 
 
