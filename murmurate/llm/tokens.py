@@ -9,17 +9,28 @@ special token's string, go to the tokeniser whole, as do words above ``WORD`` ch
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 from functools import lru_cache
 from struct import pack
 
 import numpy as np
-import regex
 
 #: Longest word that is cached, and how many words each of the cache's two halves holds.
 WORD = 64
-WORDS = 1 << 17
+WORDS = 1 << 18
 #: Letters, digits, marks and blanks that all versions of Unicode class alike.
-_PLAIN = regex.compile(r"[\t\n\r\x20-\x7E¡-ɏ]*")
+_PLAIN = re.compile(r"[\t\n\r\x20-\x7E¡-ɏ]*")
+
+
+def _of_plain(pattern: str) -> re.Pattern:
+    """A pattern over Unicode classes as one over the characters of plain texts."""
+    plain = [chr(c) for c in (*range(0x20, 0x7F), *range(0xA1, 0x250))]
+    for kind in "LN":
+        members = "".join(re.escape(c) for c in plain if unicodedata.category(c)[0] == kind)
+        named = rf"\p{{{kind}}}"
+        pattern = re.sub(r"\[[^]]*\]", lambda found: found[0].replace(named, members), pattern).replace(named, f"[{members}]")  # noqa: B023
+    return re.compile(pattern)
 
 
 class ByteLevel:
@@ -35,7 +46,11 @@ class ByteLevel:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special
         self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
-        self.split = regex.compile(pattern)
+        self.model = self.tokenizer.model
+        self.split = _of_plain(pattern)
+        kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        #: the character that stands for each byte
+        self.shown = {b: chr(b) for b in kept} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in kept)}
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -44,32 +59,31 @@ class ByteLevel:
         if not _PLAIN.fullmatch(text) or any(mark in text for mark in self.marks):
             return self._whole(text)
         words = self.split.findall(text)
-        missing = {word for word in words if word not in self.known}
-        if missing:
+        codes = list(map(self.known.get, words))
+        if None in codes:
+            missing = {word for word, code in zip(words, codes, strict=True) if code is None}
             if max(map(len, missing)) > WORD:
                 return self._whole(text)
             if len(self.known) + len(missing) > WORDS:
                 # words still in use come back from the older half, the others are forgotten
                 self.older, self.known = self.known, {}
                 missing = set(words)
-            fresh = []
             for word in missing:
-                if word in self.older:
-                    self.known[word] = self.older[word]
-                else:
-                    fresh.append(word)
-            if fresh:
-                for word, code in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-                    self.known[word] = pack(f"<{len(code.ids)}I", *code.ids)
-        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), "<u4")
+                self.known[word] = self.older.get(word) or self._word(word)
+            codes = map(self.known.__getitem__, words)
+        return np.frombuffer(b"".join(codes), "<u4")
+
+    def _word(self, word: str) -> bytes:
+        """The ids of a word as the tokeniser's model gives them, for which each byte is a character."""
+        ids = [token.id for token in self.model.tokenize(word.encode().decode("latin-1").translate(self.shown))]
+        return pack(f"<{len(ids)}I", *ids)
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
     def pieces(self) -> list[bytes]:
         """The bytes of each token: its characters stand for bytes, the printable ones of Latin-1 for themselves."""
-        shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+        byte = {shown: b for b, shown in self.shown.items()}
         found = [self.tokenizer.id_to_token(k) or "" for k in range(self.tokenizer.get_vocab_size())]
         return [bytes(byte[c] for c in piece) if all(c in byte for c in piece) else piece.encode() for piece in found]
 
