@@ -2,6 +2,8 @@ import datetime as dt
 import re
 
 import pytest
+from pyspark.errors import StreamingQueryException
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from murmurate import files
@@ -205,3 +207,54 @@ def test_reports_on_sums_equal_those_on_rows(spark, report):
     for as_of in ("2024-02-04 00:00:00", "2024-01-31 13:25:07"):
         window = "30 days" if report == "daily_trend" else "7 days"
         assert list(map(tuple, make(store.summaries(as_of, window), as_of).collect())) == list(map(tuple, make(store.read(), as_of).collect())) != []
+
+
+def _plans(spark, run):
+    """Texts of the plans of the writes that ``run`` starts."""
+    seen, write = [], DataFrameWriter.parquet
+
+    def noted(self, path, *args, **kwargs):
+        if isinstance(path, str) and "/batch-" in path:
+            seen.append(self._df._jdf.queryExecution().optimizedPlan().toString())
+        return write(self, path, *args, **kwargs)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(DataFrameWriter, "parquet", noted)
+        run()
+    return seen
+
+
+def _texts(spark, rows):
+    """A text of its own for every post, in another table."""
+    table = spark.createDataFrame([(x, f"text of {x}") for x in sorted({r[0] for r in rows})], "post string, body string")
+    added = table.select(F.col("post").alias("ref"), F.col("body").alias("full_text"), F.col("body").alias("clean_text"))
+    return lambda posts: posts.join(added, "ref").drop("ref")
+
+
+def _without_texts(spark, rows):
+    return records(spark, rows).drop("full_text", "clean_text").withColumn("ref", F.col("id_str"))
+
+
+def test_texts_join_the_rows_that_stay_only(spark):
+    store = PredictionStore(spark, work_path(spark, "t"))
+    for rows in (FIRST, SECOND, SECOND):
+        plans = _plans(spark, lambda rows=rows: store.upsert(_without_texts(spark, rows), complete=_texts(spark, rows)))
+        assert [p.index("Join Inner") < p.index("Aggregate") for p in plans] == [True]
+    assert content(store.read()) == WANT
+    assert all(r.full_text == r.clean_text == f"text of {r.id_str}" for r in store.read().collect())
+
+
+def test_a_stream_may_join_texts_to_the_rows_that_stay(spark):
+    landing, rows = work_path(spark, "landing"), FIRST + SECOND
+    records(spark, rows).repartition(3).write.parquet(landing)
+    stream = lambda: ST.file_stream(spark, landing, PREDICTION, files_per_batch=1)
+    to_records = lambda df: df.drop("full_text", "clean_text").withColumn("ref", F.col("id_str"))
+    store = PredictionStore(spark, work_path(spark, "t"))
+    ST.store_stream(stream(), to_records, store, work_path(spark, "c"), complete=_texts(spark, rows)).awaitTermination()
+    whole = PredictionStore(spark, work_path(spark, "t"))
+    ST.store_stream(stream(), lambda df: df, whole, work_path(spark, "c")).awaitTermination()
+    assert content(store.read()) == content(whole.read())
+    assert all(r.full_text == f"text of {r.id_str}" for r in store.read().collect())
+    without = lambda df: _texts(spark, rows)(df).withColumn("full_text", F.lit(None).cast("string"))
+    with pytest.raises(StreamingQueryException, match="full_text is null"):
+        ST.store_stream(stream(), to_records, PredictionStore(spark, work_path(spark, "t")), work_path(spark, "c"), complete=without).awaitTermination()
