@@ -258,3 +258,16 @@ def test_a_stream_may_join_texts_to_the_rows_that_stay(spark):
     without = lambda df: _texts(spark, rows)(df).withColumn("full_text", F.lit(None).cast("string"))
     with pytest.raises(StreamingQueryException, match="full_text is null"):
         ST.store_stream(stream(), to_records, PredictionStore(spark, work_path(spark, "t")), work_path(spark, "c"), complete=without).awaitTermination()
+
+
+def test_publishing_shuffles_no_rows(spark, monkeypatch):
+    store, seen, write = PredictionStore(spark, work_path(spark, "t")), [], DataFrameWriter.parquet
+
+    def noted(self, path, *args, **kwargs):
+        seen.extend([self._df._jdf.queryExecution().executedPlan().toString()] if path == store.table else [])
+        return write(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", noted)
+    store.upsert(records(spark, FIRST + SECOND))
+    assert len(seen) == 1 and "Exchange" not in seen[0] and "Sort [" in seen[0]
+    assert content(store.read()) == WANT
