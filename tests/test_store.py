@@ -6,6 +6,7 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from murmurate import files
 from murmurate.operators.upsert import one_per_post, upsert
 from murmurate.plans import prediction_reports
@@ -271,3 +272,16 @@ def test_publishing_shuffles_no_rows(spark, monkeypatch):
     store.upsert(records(spark, FIRST + SECOND))
     assert len(seen) == 1 and "Exchange" not in seen[0] and "Sort [" in seen[0]
     assert content(store.read()) == WANT
+
+
+def test_a_batch_without_texts_gets_them_after_it_is_reduced(spark):
+    at, rows = F.col("predicted_at"), SECOND
+    merged = upsert(records(spark, FIRST), _without_texts(spark, rows), at, complete=_texts(spark, rows))
+    assert content(merged) == WANT
+    assert {r.id_str: r.full_text for r in merged.collect()} == {"a": "f", "b": "f", "c": "f", "d": "text of d"}
+
+
+@pytest.mark.parametrize("name", ["upsert_predictions"])
+def test_queries_join_texts_to_the_rows_that_stay_only(spark, name):
+    plan = entry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Join Inner") < plan.rindex("Aggregate")
