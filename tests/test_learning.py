@@ -1,9 +1,11 @@
 import hashlib
 import math
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -424,3 +426,41 @@ def test_subwords_equal_plain_longest_match(spark):
         assert r.input_pieces == want + ["[PAD]"] * (16 - len(want))
         assert r.attention_mask == [1] * len(want) + [0] * (16 - len(want))
     assert encode(df.limit(0), pieces).count() == 0 and encode(df.where("id = 5"), pieces.limit(0)).count() == 2
+
+
+def _slot_lists(sizes):
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    slots = np.random.default_rng(7).integers(0, S.FEATURES, ends[-1])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(slots, pa.int32()))
+
+
+def test_memory_of_a_task_does_not_follow_its_arrow_batch():
+    column, weights, bias = _slot_lists([1000] * 3000), np.zeros((3, S.FEATURES)), np.zeros(3)
+    batch = pa.RecordBatch.from_arrays([column, pa.array(np.arange(3000) % 3, pa.int32())], ["slots", "label"])
+    for run in (lambda: S._all_chances(column, weights, bias), lambda: S._sums([batch], weights, bias)):
+        tracemalloc.start()
+        run()
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 16e6  # an array of doubles over the 3 million words alone is 24 MB per class
+
+
+@pytest.mark.parametrize("piece", [1, 5, 64, 1 << 17])
+def test_pieces_lose_no_text(piece, monkeypatch):
+    monkeypatch.setattr(S, "PIECE", piece)
+    sizes = [0, 0, 3, 70, 1, 0, 4, 5, 0, 200, 0]
+    whole = _slot_lists([9, 1, *sizes])
+    column = whole.slice(2)  # as a slice it does not start at zero
+    weights = np.random.default_rng(1).normal(size=(4, S.FEATURES))
+    bias, label = np.array([0.1, 0.0, -0.2, 0.3]), np.arange(len(sizes)) % 4
+    logits = np.array([[weights[k, x].sum() / max(len(x), 1) ** 0.5 + bias[k] for k in range(4)] for x in (np.array(v, int) for v in column.to_pylist())])
+    want = np.exp(logits) / np.exp(logits).sum(axis=1, keepdims=True)
+    assert np.allclose(S._all_chances(column, weights, bias), want, rtol=1e-9)
+    assert S._all_chances(column.slice(0, 0), weights, bias).shape == (0, 4)
+    error = want - np.eye(4)[label]
+    total = np.zeros_like(weights)
+    for e, x in zip(error, column.to_pylist()):
+        for slot in x:
+            total[:, slot] += e / len(x) ** 0.5
+    got, biases = S._sums([pa.RecordBatch.from_arrays([column, pa.array(label, pa.int32())], ["slots", "label"])], weights, bias)
+    assert np.allclose(got, total, atol=1e-9) and np.allclose(biases, error.sum(axis=0))
