@@ -2,10 +2,11 @@
 
 Each vector has one number per random projection, and each projection of a group of vectors
 is a sorted array. For a query, windows around its own numbers open in all arrays at once and
-widen step by step (virtual rehashing). A window is a run of ranks; as the last ones cover half
-of the arrays, a vector's collisions are counted by holding its ranks against the windows. A
-vector whose number of collisions reaches ``THRESHOLD`` of the projections is verified by the
-inner product of the original vectors in double precision.
+widen step by step (virtual rehashing). Edges cut each array into runs of equal length, and the
+vectors before each edge are kept in bits; a window ends at the next edges outside, so that its
+vectors are two rows of bits apart, and collisions are added 64 vectors to a word. A vector
+whose number of collisions reaches ``THRESHOLD`` of the projections is verified by the inner
+product of the original vectors in double precision.
 
 When the search ends is decided by what it has found and not by a share of the block. The
 windows widen until ``SHARE`` of the block, and ``k`` vectors at least, are verified; then
@@ -50,7 +51,9 @@ SURE = 0.95
 SHARE = 0.02
 STEP = 1.2
 BLOCK = 16_384
-QUERIES = 512
+QUERIES = 4096
+#: Runs of equal length that a sorted array is cut into; a window holds whole runs.
+BINS = 128
 #: The longest vector of a group has at most this many times the norm of its shortest.
 RANGE = 1.2
 #: What single precision may take from a distance: the root of its smallest part of one, with room.
@@ -76,6 +79,30 @@ def _reach(projections: int, threshold: int, sure: float) -> float:
     return NormalDist().inv_cdf((1 + min(high, 1 - 1e-9)) / 2)
 
 
+def _added(x: list[np.ndarray], y: list[np.ndarray]) -> list[np.ndarray]:
+    """Sums of numbers that are given bit by bit, lowest first, 64 numbers to a word."""
+    out, carry = [x[0] ^ y[0]], x[0] & y[0]
+    for a, b in zip(x[1:], y[1:], strict=True):
+        either = a ^ b
+        out.append(either ^ carry)
+        carry = (a & b) | (either & carry)
+    return [*out, carry]
+
+
+def _reached(windows: np.ndarray, threshold: int) -> np.ndarray:
+    """Places whose bits are set in at least ``threshold`` rows of ``windows``."""
+    count = [windows]
+    while (rows := len(count[0])) > 1:
+        if rows % 2:
+            count = [np.concatenate((bits, np.zeros_like(bits[:1]))) for bits in count]
+        half = (rows + 1) // 2
+        count = _added([bits[:half] for bits in count], [bits[half:] for bits in count])
+    enough = np.full_like(windows[0], ~np.uint64(0))
+    for i, bits in enumerate(count):
+        enough = bits[0] & enough if threshold >> i & 1 else bits[0] | enough
+    return np.flatnonzero(np.unpackbits(enough.view(np.uint8)))
+
+
 class _Group:
     """The sorted projection arrays of vectors of similar norm; ``rows`` are their places in the block."""
 
@@ -83,31 +110,24 @@ class _Group:
         self.rows, self.exact, self.norm, self.threshold = rows, exact[rows], norm, threshold
         # vectors and queries are scaled to norm one, so that windows have one scale
         index = _padded((self.exact / norm).astype(np.float32), 1.0)
-        numbers, self.centres = index @ lines, (asked @ lines).astype(np.float32)
-        order = np.argsort(numbers, axis=0, kind="stable").T.copy()
-        self.ordered = np.take_along_axis(numbers, order.T, axis=0).T.copy()
-        self.ranks = np.empty(order.shape, np.uint16 if len(rows) < 1 << 16 else np.uint32)
-        np.put_along_axis(self.ranks, order, np.arange(len(rows), dtype=self.ranks.dtype)[None, :], axis=1)
-        self.from_low, self.inside = np.empty_like(self.ranks), np.empty(order.shape, bool)
-        self.bounds: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # of all queries, at each step
+        numbers, self.centres = np.ascontiguousarray((index @ lines).T), (asked @ lines).astype(np.float32)
+        n, bins = len(rows), min(BINS, len(rows))
+        self.edges = np.sort(numbers, axis=1)[:, np.arange(1, bins) * n // bins]
+        # the vectors before each edge, in bits: none before the first, all before the last
+        self.before = np.zeros((len(numbers), bins + 1, -(-n // 64)), np.uint64)
+        for line, edges, before in zip(numbers, self.edges, self.before.view(np.uint8), strict=True):
+            before[1:-1, : -(-n // 8)] = np.packbits(line < edges[:, None], axis=1)
+            before[-1, : -(-n // 8)] = np.packbits(np.ones(n, bool))
+        self.each = np.arange(len(numbers))
         self.step = 0
 
-    def _colliding(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        """Vectors in enough of the windows, which hold the ranks from ``low`` to before ``high``."""
-        np.subtract(self.ranks, low.astype(self.ranks.dtype)[:, None], out=self.from_low)  # below the window it wraps round
-        np.less(self.from_low, (high - low).astype(self.ranks.dtype)[:, None], out=self.inside)
-        kind = np.uint8 if len(self.ranks) < 1 << 8 else np.uint16
-        return np.flatnonzero(np.add.reduce(self.inside.view(np.uint8), axis=0, dtype=kind) >= self.threshold)
+    def _colliding(self, q: int, half: float) -> np.ndarray:
+        """Vectors in enough of the windows, which end at the next edges outside."""
+        low, high = (np.count_nonzero(self.edges <= (self.centres[q] + np.float32(way * half))[:, None], axis=1) for way in (-1, 1))
+        return _reached(self.before[self.each, high + 1] ^ self.before[self.each, low], self.threshold)
 
     def _at(self, q: int, step: int) -> np.ndarray:
-        if step not in self.bounds:
-            half = np.float32(0.4 * STEP**step)
-            self.bounds[step] = tuple(np.stack([np.searchsorted(line, self.centres[:, i] + way * half, side) for i, line in enumerate(self.ordered)], axis=1) for way, side in ((-1, "left"), (1, "right")))
-        return self._colliding(self.bounds[step][0][q], self.bounds[step][1][q])
-
-    def _within(self, q: int, half: float) -> np.ndarray:
-        low, high = self.centres[q] - np.float32(half), self.centres[q] + np.float32(half)
-        return self._colliding(np.array([line.searchsorted(x, "left") for line, x in zip(self.ordered, low, strict=True)]), np.array([line.searchsorted(x, "right") for line, x in zip(self.ordered, high, strict=True)]))
+        return self._colliding(q, 0.4 * STEP**step)
 
     def _values(self, found: np.ndarray, query: np.ndarray) -> np.ndarray:
         return (self.exact @ query)[found] if 4 * len(found) > len(self.exact) else self.exact[found] @ query
@@ -131,7 +151,7 @@ class _Group:
         reached = np.partition(np.concatenate((best, value)), -k)[-k]
         needed = reach * math.sqrt(max(0.0, 2 - 2 * reached / (float(np.linalg.norm(query)) * self.norm))) + ROUNDING
         if needed > half:
-            found = self._within(q, needed)
+            found = self._colliding(q, needed)
             value = self._values(found, query)
         return self.rows[found], value
 

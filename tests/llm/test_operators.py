@@ -365,6 +365,29 @@ def test_neighbours_verify_a_part_at_every_size(monkeypatch, kind, n, most):
     assert share <= most
 
 
+@pytest.mark.parametrize("lines", [1, 5, 128])
+def test_neighbours_count_collisions_in_bits_as_one_by_one(lines):
+    rng = np.random.default_rng(19)
+    windows = rng.random((lines, 192)) < 0.6
+    for threshold in {1, (lines + 1) // 2, int(np.ceil(0.6 * lines)), lines}:
+        found = neighbours._reached(np.packbits(windows, axis=1).view(np.uint64), threshold)
+        assert found.tolist() == np.flatnonzero(windows.sum(axis=0) >= threshold).tolist()
+
+
+def test_neighbours_windows_leave_out_none_within_them():
+    rng = np.random.default_rng(23)
+    for n in (2, 100, 1000):  # fewer vectors than runs, and vectors that do not fill the last word
+        x = rng.normal(size=(n, 16))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        lines = rng.normal(size=(17, 40)).astype(np.float32)
+        asked = np.hstack([x[:2], np.zeros((2, 1))]).astype(np.float32)
+        group = neighbours._Group(np.arange(n), x, 1.0, asked, lines, 24)
+        numbers = neighbours._padded(x.astype(np.float32), 1.0) @ lines
+        for half in (0.1, 0.8, 9.0):
+            inside = np.abs(numbers - (asked @ lines)[1]) <= half - 1e-4
+            assert set(np.flatnonzero(inside.sum(axis=1) >= 24)) <= set(group._colliding(1, half).tolist()) <= set(range(n))
+
+
 # --- WARC (5)
 
 
