@@ -22,8 +22,11 @@ group whose longest vector cannot reach the ``k``-th best is left out, which los
 Blocks and groups of any size are searched alike.
 
 Blocks hold about ``BLOCK`` different vectors and queries come in blocks too; a task searches
-one block for one block of queries, so no task grows with the data. Equal vectors are indexed
-once, with the ``k + 1`` smallest ids of those that have it: no query can need more of them.
+one block for one block of queries, so no task grows with the data. The first block is searched
+first: its ``k``-th best is a floor for the others, whose windows open at once at the width
+that a vector as near as the floor needs, and which return nothing below it. Equal vectors are
+indexed once, with the ``k + 1`` smallest ids of those that have it: no query can need more of
+them.
 
 Definitions. Vectors that are null, empty, zero, or hold null or non-finite components take
 no part, neither do rows without id. Vectors are compared within equal dimensions only.
@@ -52,6 +55,8 @@ SHARE = 0.02
 STEP = 1.2
 BLOCK = 16_384
 QUERIES = 4096
+#: Queries that the first block is searched for at once, which finds their floors.
+FIRST = 512
 #: Runs of equal length that a sorted array is cut into; a window holds whole runs.
 BINS = 128
 #: The longest vector of a group has at most this many times the norm of its shortest.
@@ -100,7 +105,7 @@ def _reached(windows: np.ndarray, threshold: int) -> np.ndarray:
     enough = np.full_like(windows[0], ~np.uint64(0))
     for i, bits in enumerate(count):
         enough = bits[0] & enough if threshold >> i & 1 else bits[0] | enough
-    return np.flatnonzero(np.unpackbits(enough.view(np.uint8)))
+    return np.flatnonzero(np.unpackbits(enough.view(np.uint8)).view(bool))
 
 
 class _Group:
@@ -114,17 +119,22 @@ class _Group:
         n, bins = len(rows), min(BINS, len(rows))
         self.edges = np.sort(numbers, axis=1)[:, np.arange(1, bins) * n // bins]
         # the vectors before each edge, in bits: none before the first, all before the last
-        self.before = np.zeros((len(numbers), bins + 1, -(-n // 64)), np.uint64)
-        for line, edges, before in zip(numbers, self.edges, self.before.view(np.uint8), strict=True):
-            before[1:-1, : -(-n // 8)] = np.packbits(line < edges[:, None], axis=1)
-            before[-1, : -(-n // 8)] = np.packbits(np.ones(n, bool))
-        self.each = np.arange(len(numbers))
+        before = np.zeros((len(numbers), bins + 1, -(-n // 64)), np.uint64)
+        for line, edges, bits in zip(numbers, self.edges, before.view(np.uint8), strict=True):
+            bits[1:-1, : -(-n // 8)] = np.packbits(line < edges[:, None], axis=1)
+            bits[-1, : -(-n // 8)] = np.packbits(np.ones(n, bool))
+        # rows of bits are taken into the same room for each query
+        self.bits = before.reshape(-1, before.shape[2])
+        self.first = np.arange(len(numbers)) * (bins + 1)
+        self.room = np.empty((2, len(numbers), before.shape[2]), np.uint64)
         self.step = 0
 
     def _colliding(self, q: int, half: float) -> np.ndarray:
         """Vectors in enough of the windows, which end at the next edges outside."""
         low, high = (np.count_nonzero(self.edges <= (self.centres[q] + np.float32(way * half))[:, None], axis=1) for way in (-1, 1))
-        return _reached(self.before[self.each, high + 1] ^ self.before[self.each, low], self.threshold)
+        for edge, room in zip((low, high + 1), self.room, strict=True):
+            self.bits.take(self.first + edge, axis=0, out=room, mode="clip")
+        return _reached(np.bitwise_xor(*self.room, out=self.room[0]), self.threshold)
 
     def _at(self, q: int, step: int) -> np.ndarray:
         return self._colliding(q, 0.4 * STEP**step)
@@ -156,8 +166,12 @@ class _Group:
         return self.rows[found], value
 
 
-def search(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int, share: float = SHARE, projections: int = PROJECTIONS, seed: int = 5) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query: its number, rows of ``vectors`` with the ``k`` largest verified inner products, and these."""
+def search(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int, share: float = SHARE, projections: int = PROJECTIONS, seed: int = 5, floors: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each query: its number, rows of ``vectors`` with the ``k`` largest verified inner products, and these.
+
+    ``floors`` has for each query the ``k``-th best inner product known from elsewhere, or minus
+    infinity; of a query with a floor only products that reach it are looked for and returned.
+    """
     n, exact, wanted = len(vectors), vectors.astype(np.float64), queries.astype(np.float64)
     norms = np.linalg.norm(exact, axis=1)
     asked = np.hstack([(wanted / np.linalg.norm(wanted, axis=1, keepdims=True)).astype(np.float32), np.zeros((len(queries), 1), np.float32)])
@@ -174,21 +188,25 @@ def search(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int, sh
     for q, query in enumerate(wanted):
         length = float(np.linalg.norm(query))
         rows, value = np.zeros(0, np.int64), np.zeros(0)
+        known = np.full(k if floors is not None and floors[q] > -np.inf else 0, -np.inf if floors is None else floors[q])
         for group in groups:
-            best = np.sort(np.partition(value, -k)[-k:] if len(value) > k else value)
+            best = np.concatenate((known, value))
+            best = np.sort(np.partition(best, -k)[-k:] if len(best) > k else best)
+            least = 0 if len(known) else max(0, enough - len(rows))
             # the margin is for the rounding of the norms
-            if len(rows) >= enough and len(best) == k and group.norm * length * (1 + 1e-9) < best[0]:
+            if not least and len(best) == k and group.norm * length * (1 + 1e-9) < best[0]:
                 break
-            more, values = group.verified(q, query, max(0, enough - len(rows)), best, k, reach)
+            more, values = group.verified(q, query, least, best, k, reach)
+            if len(known):
+                more, values = more[values >= known[0]], values[values >= known[0]]
             rows, value = np.concatenate((rows, more)), np.concatenate((value, values))
         near = np.flatnonzero(value >= np.partition(value, -k)[-k]) if len(value) > k else np.arange(len(value))
         top = near[np.lexsort((ids[rows[near]], -value[near]))[:k]]
         yield q, rows[top], value[top]
 
 
-def _matrix(column: pa.Array, row: int) -> tuple[np.ndarray, np.ndarray]:
+def _matrix(cells: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
     """Ids and vectors of a block."""
-    cells = column[row].values
     ids = cells.field("rep").to_numpy()
     flat = cells.field("embedding").flatten().to_numpy(zero_copy_only=False)
     return ids, flat.reshape(len(ids), -1)
@@ -198,9 +216,10 @@ def _searched(k: int, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                ids, vectors = _matrix(batch.column(0), row)
-                asked, queries = _matrix(batch.column(1), row)
-                out = [(asked[q], ids[rows], values) for q, rows, values in search(vectors, ids, queries, k, share)]
+                ids, vectors = _matrix(batch.column(0)[row].values)
+                asking = batch.column(1)[row].values
+                asked, queries = _matrix(asking)
+                out = [(asked[q], ids[rows], values) for q, rows, values in search(vectors, ids, queries, k, share, floors=asking.field("floor").to_numpy())]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.repeat([q for q, _, _ in out], [len(r) for _, r, _ in out]), pa.int64()), pa.array(np.concatenate([r for _, r, _ in out]), pa.int64()), pa.array(np.concatenate([v for _, _, v in out]))],
                     ["asked", "rep", "score"],
@@ -214,10 +233,13 @@ def _usable(embedding: Column) -> Column:
     return embedding.isNotNull() & finite & F.exists(embedding, lambda x: x != 0)
 
 
-def _packed(rows: DataFrame, blocks: Column, name: str) -> DataFrame:
+def _dealt(rows: DataFrame, blocks: int, name: str) -> DataFrame:
+    return rows.withColumn(name, F.pmod(F.xxhash64("rep"), F.lit(blocks)))
+
+
+def _packed(dealt: DataFrame, name: str, *columns: str) -> DataFrame:
     """One row for each block and dimension, with the block's vectors in an array."""
-    dealt = rows.withColumn(name, F.pmod(F.xxhash64("rep"), blocks))
-    return dealt.groupBy(name, F.size("embedding").alias(f"{name}_dimension")).agg(F.collect_list(F.struct("rep", "embedding")).alias(f"{name}_rows"))
+    return dealt.groupBy(name, F.size("embedding").alias(f"{name}_dimension")).agg(F.collect_list(F.struct("rep", "embedding", *columns)).alias(f"{name}_rows"))
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, share: float = SHARE, block: int = BLOCK) -> DataFrame:
@@ -235,13 +257,26 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, share: float = SH
     asked = distinct.join(queries.select(F.col("rep").alias("asked")).distinct(), F.col("rep") == F.col("asked"), "left_semi")
 
     n, m = distinct.count(), queries.select("rep").distinct().count()
-    data_blocks, query_blocks = max(1, -(-n // block)), max(1, -(-m // QUERIES))
-    data = _packed(distinct, F.lit(data_blocks), "data").withColumn("query", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    asking = _packed(asked, F.lit(query_blocks), "asking")
-    # each block of the index meets each block of the stated queries once
-    met = data.join(asking, (F.col("query") == F.col("asking")) & (F.col("data_dimension") == F.col("asking_dimension")))
-    met = met.repartition(data_blocks * query_blocks, "data", "query").select("data_rows", "asking_rows")
-    found = met.mapInArrow(_searched(k + 1, share), "asked long, rep long, score double")
+    data_blocks = max(1, -(-n // block))
+
+    def searched(data: DataFrame, blocks: int, asked: DataFrame, at_once: int) -> DataFrame:
+        """What each block of the index has for each block of the stated queries, which meet once."""
+        query_blocks = max(1, -(-m // at_once))
+        data = _packed(data, "data").withColumn("query", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
+        asking = _packed(_dealt(asked, query_blocks, "asking"), "asking", "floor")
+        met = data.join(asking, (F.col("query") == F.col("asking")) & (F.col("data_dimension") == F.col("asking_dimension")))
+        met = met.repartition(blocks * query_blocks, "data", "query").select("data_rows", "asking_rows")
+        return met.mapInArrow(_searched(k + 1, share), "asked long, rep long, score double")
+
+    dealt = _dealt(distinct, data_blocks, "data")
+    none = F.lit(float("-inf"))
+    found = searched(dealt.where("data = 0"), 1, asked.withColumn("floor", none), FIRST)
+    if data_blocks > 1:
+        # the k + 1 best of the first block are a floor for what the others have to look for
+        found = written(found, "first")
+        floors = found.groupBy("asked").agg(F.min("score").alias("floor"), F.count("score").alias("of")).where(F.col("of") > k)
+        known = asked.join(floors, F.col("rep") == F.col("asked"), "left").select("rep", "embedding", F.coalesce("floor", none).alias("floor"))
+        found = found.unionByName(searched(dealt.where("data > 0"), data_blocks - 1, known, QUERIES))
     # a query needs no more than k + 1 different vectors, each with its smallest ids
     best = Window.partitionBy("asked").orderBy(F.desc("score"), "rep")
     found = written(found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1).drop("place"), "found")

@@ -388,6 +388,57 @@ def test_neighbours_windows_leave_out_none_within_them():
             assert set(np.flatnonzero(inside.sum(axis=1) >= 24)) <= set(group._colliding(1, half).tolist()) <= set(range(n))
 
 
+def test_neighbours_with_a_floor_count_once_and_find_what_reaches_it(monkeypatch):
+    rng = np.random.default_rng(31)
+    x = rng.normal(size=(4000, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    ids, first, other = np.arange(4000), x[:2000], x[2000:]
+    queries = np.concatenate((first[:20], other[:20]))
+    floors = np.array([values[-1] for _, _, values in neighbours.search(first, ids[:2000], queries, 21)])
+    floors[5] = -np.inf  # of this one nothing is known
+    counted, colliding = [], neighbours._Group._colliding
+
+    def counting(self, q, half):
+        counted.append(q)
+        return colliding(self, q, half)
+
+    monkeypatch.setattr(neighbours._Group, "_colliding", counting)
+    hits = due = 0
+    for q, rows, values in neighbours.search(other, ids[2000:], queries, 21, floors=floors):
+        score = other.astype(float) @ queries[q].astype(float)
+        assert np.allclose(values, score[rows], rtol=1e-12) and list(values) == sorted(values, reverse=True)
+        assert (values >= floors[q]).all()
+        expected = [r for r in np.argsort(-score)[:21] if score[r] >= floors[q]]
+        hits, due = hits + len(set(expected) & set(rows)), due + len(expected)
+        assert q != 5 or len(rows) == 21
+    assert hits / due >= 0.9
+    assert all(counted.count(q) == 1 for q in range(len(queries)) if q != 5)
+    # what cannot reach the floor is not searched
+    counted.clear()
+    assert [len(rows) for _, rows, _ in neighbours.search(0.1 * other, ids[2000:], queries[:5], 21, floors=floors[:5])] == [0] * 5
+    assert not counted
+
+
+def test_neighbours_of_many_blocks_and_two_dimensions(spark):
+    rng = np.random.default_rng(37)
+    x = {100 + i: v for i, v in enumerate(rng.normal(size=(1500, 16)).astype(np.float32))}
+    x |= {5000 + i: v for i, v in enumerate(rng.normal(size=(40, 8)).astype(np.float32))}  # too few in the first block for a floor
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in x.items()], "vec_id long, embedding array<float>")
+    found = defaultdict(list)
+    for r in neighbours.nearest(df, F.col("vec_id") % 20 == 0, block=300).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert set(found) == {i for i in x if i % 20 == 0}
+    hits = 0
+    for q, rows in found.items():
+        score = {i: float(v.astype(float) @ x[q].astype(float)) for i, v in x.items() if len(v) == len(x[q]) and i != q}
+        best = sorted(score, key=lambda i: (-score[i], i))[:20]
+        assert len(rows) == 20 and rows == sorted(rows, key=lambda r: (-r[1], r[0]))
+        assert np.allclose([s for _, s in rows], [score[i] for i, _ in rows], rtol=1e-12)
+        hits += len(set(best) & {i for i, _ in rows})
+        assert q < 5000 or [i for i, _ in rows] == best
+    assert hits / (20 * len(found)) >= 0.9
+
+
 # --- WARC (5)
 
 
