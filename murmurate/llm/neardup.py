@@ -37,7 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmurate.llm import blocks
@@ -111,8 +111,8 @@ def sketches(docs: DataFrame, size: int) -> DataFrame:
     )
 
 
-def posting_lists(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``token, id, n_shingles, prefix``: an entry for each coordinate-value pair in the prefix of a class that another class has too."""
+def prefixes(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``id, n_shingles, prefix``: the rarest coordinate-value pairs that each class shares with another; a class without any is left out."""
     value = F.col("value").cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
     posted = classes.select("id", "n_shingles", F.posexplode("posted").alias("coordinate", "value"))
     posted = posted.select("id", "n_shingles", F.shiftleft(F.col("coordinate").cast("long"), 32).bitwiseOR(value).alias("token"))
@@ -121,8 +121,7 @@ def posting_lists(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     prefix = POSTED - least(POSTED, percent) + 1
     # the pairs that the class has alone are the rarest of all and come first
     taken = F.slice("rarest", 1, F.greatest(F.lit(0), F.lit(prefix - POSTED) + F.size("rarest")))
-    prefixes = by_class.select("id", "n_shingles", taken.getField("token").alias("prefix"))
-    return prefixes.select(F.explode("prefix").alias("token"), "id", "n_shingles", "prefix")
+    return by_class.select("id", "n_shingles", taken.getField("token").alias("prefix")).where(F.size("prefix") > 0)
 
 
 def _agree(a: str, b: str) -> Column:
@@ -133,36 +132,37 @@ def _similar_sizes(a: Column, b: Column, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """``a, b, linked`` of pairs of document ids by their full sets."""
-    pairs = written(pairs.select("a", "b"), "pairs")
-    members = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select(F.col("a").alias("leader"), F.ceil(F.col("n") / MEMBERS).alias("parts"))
-    dealt = pairs.join(members, F.col("a") == F.col("leader")).select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.lit(True).alias("is_member"), F.col("b").alias("wanted"))
-    dealt = dealt.union(dealt.select("a", "part", F.lit(False).alias("is_member"), F.col("a").alias("wanted")).distinct())
-    return _compared(dealt, docs, size, percent, every=True).groupBy("a", "b").agg(F.bool_or("linked").alias("linked"))
+def pairwise(pairs: DataFrame) -> DataFrame:
+    """Different pairs ``a, b`` of document ids as comparisons of each ``a`` with its ``b``, for :func:`compared`."""
+    leaders = pairs.groupBy(F.col("a").alias("leader")).agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("parts"))
+    members = pairs.join(leaders, F.col("a") == F.col("leader")).select(F.lit(True).alias("every"), "a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), F.lit(True).alias("is_member"), F.col("b").alias("wanted"))
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
+    return members.union(leaders.select(F.lit(True), "leader", parts, F.lit(False), "leader"))
 
 
-def meetings(outside: DataFrame, labels: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links ``a, b`` of documents ``id`` with any document of the component ``largest``, one for each at most.
+def meetings(outside: DataFrame, labels: DataFrame) -> DataFrame:
+    """Comparisons of documents ``id`` with all of the component ``largest``, for :func:`compared`; ``labels`` as :func:`stars` gives them.
 
     The documents outside come in blocks, and those of the component one after the other.
     """
     blocks_ = outside.groupBy("largest").agg(F.ceil(F.count(F.lit(1)) / MEETING).alias("parts"))
-    inside = labels.join(blocks_, F.col("label") == F.col("largest"))
-    sizes = inside.groupBy(F.col("largest").alias("of")).agg(F.ceil(F.count(F.lit(1)) / MEMBERS).alias("splits"), F.max("parts").alias("parts"))
+    members = labels.groupBy(F.col("label").alias("of")).agg(F.ceil((F.count(F.lit(1)) + 1) / MEMBERS).alias("splits"))
+    sizes = members.join(blocks_, F.col("of") == F.col("largest")).select("of", "splits", "parts")
     splits = F.explode(F.sequence(F.lit(0).cast("long"), F.col("splits") - 1))
     leading = outside.join(sizes, F.col("largest") == F.col("of")).select("largest", F.pmod(F.xxhash64("id"), F.col("parts")).alias("block"), "splits", "id").select("largest", "block", "splits", "id", splits.alias("split"))
-    leading = leading.select(F.col("largest").alias("a"), (F.col("block") * F.col("splits") + F.col("split")).alias("part"), F.lit(False).alias("is_member"), F.col("id").alias("wanted"))
+    leading = leading.select(F.lit(False).alias("every"), F.col("largest").alias("a"), (F.col("block") * F.col("splits") + F.col("split")).alias("part"), F.lit(False).alias("is_member"), F.col("id").alias("wanted"))
     each = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
-    members = labels.join(sizes, F.col("label") == F.col("of")).select("label", "node", "splits", F.pmod(F.xxhash64("node"), F.col("splits")).alias("split"), each.alias("block"))
-    members = members.select(F.col("label").alias("a"), (F.col("block") * F.col("splits") + F.col("split")).alias("part"), F.lit(True).alias("is_member"), F.col("node").alias("wanted"))
-    return _compared(leading.union(members), docs, size, percent, every=False).select("a", "b")
+    members = labels.join(sizes, F.col("label") == F.col("of")).select("label", "node", "splits", "parts").union(sizes.select("of", "of", "splits", "parts"))
+    members = members.select("label", "node", "splits", F.pmod(F.xxhash64("node"), F.col("splits")).alias("split"), each.alias("block"))
+    members = members.select(F.lit(False).alias("every"), F.col("label").alias("a"), (F.col("block") * F.col("splits") + F.col("split")).alias("part"), F.lit(True).alias("is_member"), F.col("node").alias("wanted"))
+    return leading.union(members)
 
 
-def _compared(dealt: DataFrame, docs: DataFrame, size: int, percent: int, every: bool) -> DataFrame:
-    """Sets of the members of each ``(a, part)`` against those that lead it: ``a, b, linked`` with the ids of both.
+def compared(dealt: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links ``a, b`` by the full sets between the members of each ``(every, a, part)`` and the documents that lead it.
 
-    With ``every``, each comparison is a row; without, only the first link of each that leads.
+    With ``every``, all links; without, one of each document that leads at most. A link may come
+    twice where rows share an id.
     """
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,11 +181,11 @@ def _compared(dealt: DataFrame, docs: DataFrame, size: int, percent: int, every:
             out = []
             for start in range(0, batch.num_rows, 64):
                 rows = batch.slice(start, 64)
-                texts = pa.array([unpacker.decompress(x).decode() for x in rows.column(4).to_pylist()], pa.large_string())
+                texts = pa.array([unpacker.decompress(x).decode() for x in rows.column(5).to_pylist()], pa.large_string())
                 sets = [x for _, found in _sets(texts, size) for x in found]
-                for a, part, is_member, number, own in zip(*(rows.column(k).to_pylist() for k in range(4)), sets, strict=True):
-                    if (a, part) != group:
-                        group, leading, marks = (a, part), [], None
+                for every, a, part, is_member, number, own in zip(*(rows.column(k).to_pylist() for k in range(5)), sets, strict=True):
+                    if (every, a, part) != group:
+                        group, leading, marks = (every, a, part), [], None
                     if not is_member:
                         leading.append((number, own))
                         continue
@@ -198,56 +198,61 @@ def _compared(dealt: DataFrame, docs: DataFrame, size: int, percent: int, every:
                     for k in chosen:
                         other = leading[k][1]
                         common = len(np.intersect1d(own, other, assume_unique=True))
-                        linked = bool(common) and 100 * common >= percent * (len(own) + len(other) - common)
-                        if every or linked:
-                            out.append((leading[k][0], number, linked))
-                        if linked:
+                        if common and 100 * common >= percent * (len(own) + len(other) - common):
+                            out.append((leading[k][0], number))
                             linked_now.append(k)
                     if not every and linked_now:
                         leading = [x for k, x in enumerate(leading) if k not in linked_now]
                         marks = np.delete(marks, linked_now, axis=0)
-            columns = list(zip(*out, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["a", "b", "linked"])
+            columns = list(zip(*out, strict=True)) or [()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["a", "b"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id IS NOT NULL").mapInArrow(packed, "id long, text binary")
     # as many texts as there are documents may be wanted, so they meet by a shuffle at every size
-    rows = texts.join(dealt.hint("merge"), F.col("id") == F.col("wanted")).select("a", "part", "is_member", "id", "text")
-    return rows.repartition("a", "part").sortWithinPartitions("a", "part", "is_member").mapInArrow(compare, "a long, b long, linked boolean")
+    rows = texts.join(dealt.hint("merge"), F.col("id") == F.col("wanted")).select("every", "a", "part", "is_member", "id", "text")
+    return rows.repartition("every", "a", "part").sortWithinPartitions("every", "a", "part", "is_member").mapInArrow(compare, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """``node, label``: the smallest node that each node of the edges ``a, b`` can reach.
+def stars(edges: DataFrame) -> DataFrame:
+    """``node, label``: the smallest node that each node of the edges ``a, b`` can reach, where it is another one.
 
     Alternating stars: every node hands its larger neighbours to its smallest one, then its
-    smaller ones, until each component is one star. Each step is an aggregate and a join.
+    smaller ones, until each component is one star. The first step is an aggregate and a join,
+    as a centre may have all of its component for neighbours; the second goes through the
+    smaller neighbours in order, which leaves out repeated ones.
     """
 
-    def star(edges: DataFrame, large: bool) -> DataFrame:
+    def star(edges: DataFrame) -> DataFrame:
         # edges run from a larger to a smaller node
-        seen = edges.union(edges.select("b", "a")) if large else edges
-        centre = seen.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("centre"))
-        moved = seen.join(centre, F.col("a") == F.col("node"))
-        if large:
-            out = moved.where("b > a").select(F.col("b").alias("a"), F.col("centre").alias("b"))
-        else:
-            out = moved.where("b != centre").select(F.col("b").alias("a"), F.col("centre").alias("b")).union(centre.select("node", "centre"))
-        return out.where("a != b").distinct()
-
-    now = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
-    while True:
-        now = written(star(star(now, True), False), "edges")
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == mark:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("label")).union(now.select("b", "b").distinct())
-        mark = state
+        centre = edges.union(edges.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("centre"))
+        moved = edges.join(centre, F.col("b") == F.col("node")).select("a", F.col("centre").alias("b"))
+        smaller = Window.partitionBy("a").orderBy("b")
+        seen = moved.select("a", "b", F.first("b").over(smaller).alias("centre"), F.lag("b").over(smaller).alias("before"))
+        # the first one takes the node itself along
+        return seen.where("before IS NULL OR before != b").select(F.when(F.col("before").isNull(), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("centre").alias("b"))
+
+    def state(edges: DataFrame) -> tuple:
+        return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    now = written(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "edges")
+    mark, before = state(now), None
+    while mark != before:
+        now = written(star(now), "edges")
+        mark, before = state(now), mark
+    return now.select(F.col("a").alias("node"), F.col("b").alias("label"))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """``node, label``: the smallest node that each node of the edges ``a, b`` can reach."""
+    found = stars(edges)
+    return found.union(found.select("label", "label").distinct())
 
 
 def links(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Confirmed pairs of class ids that connect everything that is connected."""
-    lists = written(posting_lists(classes, percent), "postings")
-    members = lists.select(F.col("id").alias("member"), "prefix").distinct()
-    facts = written(classes.join(members, F.col("id") == F.col("member")).select("id", "n_shingles", "signature", "prefix"), "members")
+    """Pairs ``a, b`` of class ids that connect everything that is connected by confirmed links."""
+    facts = written(prefixes(classes, percent), "prefixes")
+    lists = facts.select(F.explode("prefix").alias("token"), "id", "n_shingles")
+    facts = written(classes.select("id", "signature").join(facts.select(F.col("id").alias("member"), "n_shingles", "prefix"), F.col("id") == F.col("member")).drop("member"), "members")
 
     def retained(one: str, two: str) -> Column:
         sizes = _similar_sizes(F.col(f"{one}.n_shingles"), F.col(f"{two}.n_shingles"), percent)
@@ -259,16 +264,16 @@ def links(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
     met = lists.join(leaders, F.col("token") == F.col("list")).select(F.explode("leaders").alias("leader"), "id", "n_shingles").where("leader.id != id")
     pairs = met.where(_similar_sizes(F.col("leader.n_shingles"), F.col("n_shingles"), percent)).select(F.col("leader.id").alias("a"), F.col("id").alias("b")).distinct()
     near = pairs.join(facts.alias("one"), F.col("a") == F.col("one.id")).join(facts.alias("two"), F.col("b") == F.col("two.id")).where(retained("one", "two"))
-    near = written(near.select("a", "b", _agree("one.signature", "two.signature").alias("agree")), "near")
-    best = F.slice(F.sort_array(F.collect_set(F.struct("agree", "a")), False), 1, CONFIRMED).getField("a")
-    foremost = F.slice(F.sort_array(F.collect_set(F.struct(F.xxhash64("a", F.lit(0)).alias("draw"), "a"))), 1, CONFIRMED).getField("a")
-    first = near.groupBy("b").agg(F.array_union(best, foremost).alias("a")).select(F.explode("a").alias("a"), "b")
-    tested = written(confirmed(first, docs, size, percent), "tested")
-    found = tested.where("linked").select("a", "b")
-
-    labels = written(components(found), "labels")
+    # at most LEADERS of each list in its prefix
+    near = near.select("b", F.struct(_agree("one.signature", "two.signature").alias("agree"), "a").alias("leader")).groupBy("b").agg(F.collect_list("leader").alias("met"))
+    best = F.slice(F.sort_array("met", False), 1, CONFIRMED).getField("a")
+    foremost = F.slice(F.sort_array(F.transform("met", lambda x: F.struct(F.xxhash64(x["a"], F.lit(0)).alias("draw"), x["a"].alias("a")))), 1, CONFIRMED).getField("a")
+    near = near.select("b", F.array_union(best, foremost).alias("first"), F.explode("met.a").alias("a"))
+    near = written(near.select("a", "b", F.array_contains("first", F.col("a")).alias("first")), "near")
+    labels = stars(compared(pairwise(near.where("first").select("a", "b")), docs, size, percent))
+
     # candidates that the leaders' turn has left
-    left = near.join(tested.select(F.col("a").alias("one"), F.col("b").alias("two")), (F.col("a") == F.col("one")) & (F.col("b") == F.col("two")), "left_anti")
+    left = near.where("NOT first").select("a", "b")
     for side in ("a", "b"):
         left = left.join(labels.select(F.col("node").alias(f"{side}_node"), F.col("label").alias(f"{side}_label")), F.col(side) == F.col(f"{side}_node"), "left")
     left = left.where(~F.coalesce("a_label", "a").eqNullSafe(F.coalesce("b_label", "b"))).select("a", "b")
@@ -276,12 +281,11 @@ def links(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
     # lists with two members at least that were no leaders; in others all pairs have met
     entries = lists.join(leaders.where(F.col("members") > F.size("leaders") + 1).select("list"), F.col("token") == F.col("list"), "left_semi")
     entries = written(entries.select("token", "id").join(labels, F.col("id") == F.col("node"), "left").select("token", "id", F.coalesce("label", "id").alias("label")), "entries")
-    mixed = entries.groupBy(F.col("token").alias("list")).agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("list")
-    open_ = entries.join(mixed, F.col("token") == F.col("list")).drop("list")
-    largest = open_.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("token").alias("list")).agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.max("n").alias("n"))
-    open_ = open_.join(largest, F.col("token") == F.col("list")).withColumn("main", F.col("label") == F.col("largest"))
+    shares = entries.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n")).groupBy(F.col("token").alias("list"))
+    mixed = shares.agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.max("n").alias("n"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    open_ = entries.join(mixed, F.col("token") == F.col("list")).withColumn("main", F.col("label") == F.col("largest"))
     open_ = written(open_.select("token", "id", "label", "main", "largest", (F.col("n") >= LARGE).alias("large")), "open")
-    outside = written(open_.where("large AND NOT main").select("id", "largest").distinct(), "outside")
+    outside = open_.where("large AND NOT main").select("id", "largest").distinct()
     marked = open_.where("NOT (large AND main)").join(facts.withColumnRenamed("id", "fact"), F.col("id") == F.col("fact"))
     open_ = written(marked.select("token", "id", "label", "main", "n_shingles", "signature", "prefix"), "marked")
     rest = open_.where("NOT main").alias("one").join(
@@ -293,9 +297,10 @@ def links(classes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataF
         & (F.array_min(F.array_intersect("one.prefix", "two.prefix")) == F.col("one.token"))
         & retained("one", "two"),
     )
-    rest = left.union(rest.select(F.col("one.id").alias("a"), F.col("two.id").alias("b"))).distinct()
-    found = found.union(confirmed(rest, docs, size, percent).where("linked").select("a", "b"))
-    return found.union(meetings(outside, labels, docs, size, percent))
+    rest = written(left.union(rest.select(F.col("one.id").alias("a"), F.col("two.id").alias("b"))).distinct(), "pairs")
+    found = compared(pairwise(rest).union(meetings(outside, labels)), docs, size, percent)
+    # the components found so far are stars
+    return labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(found)
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -306,10 +311,11 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     classes = usable.groupBy("set_key").agg(F.min("doc_id").alias("id"), *(F.first(name).alias(name) for name in ("n_shingles", "posted", "signature")))
     classes = written(classes, "classes")
     rows = rows.join(classes.select(F.col("set_key").alias("key"), "id"), (F.col("set_key") == F.col("key")) & F.col("doc_id").isNotNull(), "left").select("doc_id", "n_shingles", "id")
+    rows = written(rows, "rows")
     # an id with several texts links their classes
     several = rows.where("id IS NOT NULL").groupBy("doc_id").agg(F.min("id").alias("b"), F.max("id").alias("high")).where("b != high").select(F.col("doc_id").alias("several"), "b")
     joined = rows.join(several, F.col("doc_id") == F.col("several")).where("id IS NOT NULL").select(F.col("id").alias("a"), "b")
-    labels = components(joined.union(links(classes, docs, size, percent)))
+    labels = stars(joined.union(links(classes, docs, size, percent)))
     out = rows.join(labels, F.col("id") == F.col("node"), "left")
     component = F.coalesce("label", "id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -767,6 +767,33 @@ def test_components_of_long_paths(spark):
     assert found == {n: min(names[:200]) for n in names[:200]} | {n: min(names[200:]) for n in names[200:]}
 
 
+def test_near_duplicates_take_few_tasks(spark):
+    """Where shuffle partitions are many and not merged, each stage costs as many tasks, so stages decide the time of a small table."""
+    partitions, settings = 29, {"spark.sql.shuffle.partitions": "29", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    rows = near_rows(random.Random(13))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    star = spark.range(1, 500).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    before = {k: spark.conf.get(k) for k in settings}
+    context, status = spark.sparkContext, spark.sparkContext.statusTracker()
+
+    def rounds(name, run):
+        context.setJobGroup(name, name)
+        run()
+        stages = {k for job in status.getJobIdsForGroup(name) for k in status.getJobInfo(job).stageIds}
+        return sum(info.numCompletedTasks for info in map(status.getStageInfo, stages) if info) / partitions
+
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        assert rounds("star", lambda: neardup.components(star).count()) < 8
+        assert rounds("near", lambda: neardup.near_duplicates(docs, 2).count()) < 55
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        context.setLocalProperty("spark.jobGroup.id", None)
+        context.setLocalProperty("spark.job.description", None)
+
+
 # --- licences (10)
 
 
