@@ -11,12 +11,14 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
+from itertools import islice
 from struct import pack
 
 import numpy as np
 
-#: Longest word that is cached, and how many words each of the cache's two halves holds.
+#: Longest word that is cached, and half of how many words the cache holds.
 WORD = 64
 WORDS = 1 << 18
 #: Letters, digits, marks and blanks that all versions of Unicode class alike.
@@ -33,6 +35,28 @@ def _of_plain(pattern: str) -> re.Pattern:
     return re.compile(pattern)
 
 
+class _Words(dict):
+    """The ids of words as bytes. Frequent words come early, so a quarter of the words, those that came first, stay when it is full."""
+
+    def __init__(self, encode: Callable[[str], bytes]):
+        super().__init__()
+        self.encode, self.older = encode, {}
+
+    def __missing__(self, word: str) -> bytes:
+        if len(word) > WORD:
+            raise LongWordError
+        if len(self) >= 2 * WORDS:
+            self.older = dict(islice(self.items(), WORDS // 2))
+            self.clear()
+            self.update(self.older)
+        code = self[word] = self.encode(word)
+        return code
+
+
+class LongWordError(Exception):
+    """A text has a word that is not cached."""
+
+
 class ByteLevel:
     """A ``tokenizers`` file of byte-level pieces whose words are cut by ``pattern``.
 
@@ -51,31 +75,26 @@ class ByteLevel:
         kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         #: the character that stands for each byte
         self.shown = {b: chr(b) for b in kept} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in kept)}
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known = _Words(self._word)
 
     def encode(self, text: str) -> np.ndarray:
         """Token ids of a text, unsigned and little-endian."""
         if not _PLAIN.fullmatch(text) or any(mark in text for mark in self.marks):
             return self._whole(text)
-        words = self.split.findall(text)
-        codes = list(map(self.known.get, words))
-        if None in codes:
-            missing = {word for word, code in zip(words, codes, strict=True) if code is None}
-            if max(map(len, missing)) > WORD:
-                return self._whole(text)
-            if len(self.known) + len(missing) > WORDS:
-                # words still in use come back from the older half, the others are forgotten
-                self.older, self.known = self.known, {}
-                missing = set(words)
-            for word in missing:
-                self.known[word] = self.older.get(word) or self._word(word)
-            codes = map(self.known.__getitem__, words)
-        return np.frombuffer(b"".join(codes), "<u4")
+        try:
+            return np.frombuffer(b"".join(map(self.known.__getitem__, self.split.findall(text))), "<u4")
+        except LongWordError:
+            return self._whole(text)
+
+    @property
+    def older(self) -> dict[str, bytes]:
+        return self.known.older
 
     def _word(self, word: str) -> bytes:
         """The ids of a word as the tokeniser's model gives them, for which each byte is a character."""
-        ids = [token.id for token in self.model.tokenize(word.encode().decode("latin-1").translate(self.shown))]
+        plain = word.isascii() and word.isprintable()
+        shown = word.replace(" ", self.shown[32]) if plain else word.encode().decode("latin-1").translate(self.shown)
+        ids = [token.id for token in self.model.tokenize(shown)]
         return pack(f"<{len(ids)}I", *ids)
 
     def _whole(self, text: str) -> np.ndarray:

@@ -114,6 +114,18 @@ def test_words_survive_the_turn_of_the_cache(monkeypatch):
         assert len(coder.known) <= 130 and len(coder.older) <= 130
 
 
+def test_words_that_came_first_are_encoded_once(monkeypatch):
+    monkeypatch.setattr(tokens, "WORDS", 50)
+    encoded, word = [], tokens.ByteLevel._word
+    monkeypatch.setattr(tokens.ByteLevel, "_word", lambda self, x: encoded.append(x) or word(self, x))
+    coder = tokens.ByteLevel(BYTE_PIECES, PATTERN, True)
+    frequent = " ".join(f"first{c}" for c in "abcdefghij")
+    rare = [" ".join("rare" + chr(97 + k // 26) + chr(97 + k % 26) + c for c in "abcdefghij") for k in range(100)]
+    for text in (frequent, *rare, frequent):
+        assert coder.encode(text).tolist() == DIRECT[True].encode(text, add_special_tokens=False).ids
+    assert len(encoded) == len(set(encoded))
+
+
 def test_alignment_query_keeps_every_document(spark):
     found = QUERIES["op11_alignment"](spark, "/root/testdata/sf0.001")
     assert found.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
