@@ -21,8 +21,10 @@ are grouped by length, longest first, so that a long vector does not flatten the
 group whose longest vector cannot reach the ``k``-th best is left out, which loses nothing.
 Blocks and groups of any size are searched alike.
 
-Blocks hold about ``BLOCK`` different vectors and queries come in blocks too; a task searches
-one block for one block of queries, so no task grows with the data. The first block is searched
+Blocks hold about ``BLOCK`` different vectors and queries come in blocks too. Both are written
+once, a file for each block, and every pair of blocks is read from there where it meets: nothing
+is copied, shuffled or broadcast for the product, and no task grows with the data, as it reads
+so many files as Spark puts into a partition. The first block is searched
 first: its ``k``-th best is a floor for the others, whose windows open at once at the width
 that a vector as near as the floor needs, and which return nothing below it. Equal vectors are
 indexed once, with the ``k + 1`` smallest ids of those that have it: no query can need more of
@@ -233,13 +235,11 @@ def _usable(embedding: Column) -> Column:
     return embedding.isNotNull() & finite & F.exists(embedding, lambda x: x != 0)
 
 
-def _dealt(rows: DataFrame, blocks: int, name: str) -> DataFrame:
-    return rows.withColumn(name, F.pmod(F.xxhash64("rep"), F.lit(blocks)))
-
-
-def _packed(dealt: DataFrame, name: str, *columns: str) -> DataFrame:
-    """One row for each block and dimension, with the block's vectors in an array."""
-    return dealt.groupBy(name, F.size("embedding").alias(f"{name}_dimension")).agg(F.collect_list(F.struct("rep", "embedding", *columns)).alias(f"{name}_rows"))
+def _blocks(rows: DataFrame, blocks: int, name: str, *columns: str) -> DataFrame:
+    """One file for each block and dimension, with the block's vectors in an array."""
+    dealt = rows.withColumn(name, F.pmod(F.xxhash64("rep"), F.lit(blocks)))
+    packed = dealt.groupBy(name, F.size("embedding").alias(f"{name}_dimension")).agg(F.collect_list(F.struct("rep", "embedding", *columns)).alias(f"{name}_rows"))
+    return written(packed, f"{name}_blocks", name)
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 20, share: float = SHARE, block: int = BLOCK) -> DataFrame:
@@ -259,24 +259,22 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, share: float = SH
     n, m = distinct.count(), queries.select("rep").distinct().count()
     data_blocks = max(1, -(-n // block))
 
-    def searched(data: DataFrame, blocks: int, asked: DataFrame, at_once: int) -> DataFrame:
+    def searched(data: DataFrame, asked: DataFrame, at_once: int) -> DataFrame:
         """What each block of the index has for each block of the stated queries, which meet once."""
-        query_blocks = max(1, -(-m // at_once))
-        data = _packed(data, "data").withColumn("query", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-        asking = _packed(_dealt(asked, query_blocks, "asking"), "asking", "floor")
-        met = data.join(asking, (F.col("query") == F.col("asking")) & (F.col("data_dimension") == F.col("asking_dimension")))
-        met = met.repartition(blocks * query_blocks, "data", "query").select("data_rows", "asking_rows")
-        return met.mapInArrow(_searched(k + 1, share), "asked long, rep long, score double")
-
-    dealt = _dealt(distinct, data_blocks, "data")
+        asking = _blocks(asked, max(1, -(-m // at_once)), "asking", "floor")
+        # pairs of files: a shuffle or a broadcast would hold a copy of a block for each block that it meets
+        met = data.hint("shuffle_replicate_nl").join(asking, F.col("data_dimension") == F.col("asking_dimension"))
+        return met.select("data_rows", "asking_rows").mapInArrow(_searched(k + 1, share), "asked long, rep long, score double")
+
+    data = _blocks(distinct, data_blocks, "data")
     none = F.lit(float("-inf"))
-    found = searched(dealt.where("data = 0"), 1, asked.withColumn("floor", none), FIRST)
+    found = searched(data.where("data = 0"), asked.withColumn("floor", none), FIRST)
     if data_blocks > 1:
         # the k + 1 best of the first block are a floor for what the others have to look for
         found = written(found, "first")
         floors = found.groupBy("asked").agg(F.min("score").alias("floor"), F.count("score").alias("of")).where(F.col("of") > k)
         known = asked.join(floors, F.col("rep") == F.col("asked"), "left").select("rep", "embedding", F.coalesce("floor", none).alias("floor"))
-        found = found.unionByName(searched(dealt.where("data > 0"), data_blocks - 1, known, QUERIES))
+        found = found.unionByName(searched(data.where("data > 0"), known, QUERIES))
     # a query needs no more than k + 1 different vectors, each with its smallest ids
     best = Window.partitionBy("asked").orderBy(F.desc("score"), "rep")
     found = written(found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1).drop("place"), "found")

@@ -439,6 +439,25 @@ def test_neighbours_of_many_blocks_and_two_dimensions(spark):
     assert hits / (20 * len(found)) >= 0.9
 
 
+def test_neighbours_make_no_copy_of_a_block_for_each_block_of_queries(spark, monkeypatch):
+    """With many blocks of queries the copies of the first block were broadcast, which failed at size; copies of the others were shuffled."""
+    monkeypatch.setattr(neighbours, "FIRST", 1)
+    monkeypatch.setattr(neighbours, "QUERIES", 20)
+    x = np.random.default_rng(41).normal(size=(3000, 64)).astype(np.float32)
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    limit = "spark.sql.maxBroadcastTableSize"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "48m")
+    try:
+        found = neighbours.nearest(df, F.col("vec_id") % 20 == 0, block=1500).collect()
+    finally:
+        spark.conf.set(limit, before)
+    best = plain_nearest(x, list(range(3000)), 20)
+    assert len(found) == 20 * len(best)
+    assert sum(r["vec_id"] in {v for v, _ in best[r["query_id"]]} for r in found) / len(found) >= 0.9
+
+
 # --- WARC (5)
 
 
