@@ -6,7 +6,8 @@ widen step by step (virtual rehashing). Edges cut each array into runs of equal
 vectors before each edge are kept in bits; a window ends at the next edges outside, so that its
 vectors are two rows of bits apart, and collisions are added 64 vectors to a word. A vector
 whose number of collisions reaches ``THRESHOLD`` of the projections is verified by the inner
-product of the original vectors in double precision.
+product of the original vectors in double precision. Where a floor is known (see below), products
+in single precision tell first which of them cannot reach it, whatever their rounding.
 
 When the search ends is decided by what it has found and not by a share of the block. The
 windows widen until ``SHARE`` of the block, and ``k`` vectors at least, are verified; then
@@ -65,6 +66,8 @@ BINS = 128
 RANGE = 1.2
 #: What single precision may take from a distance: the root of its smallest part of one, with room.
 ROUNDING = 1e-3
+#: Queries whose products in single precision are made at once.
+AT_ONCE = 64
 
 
 def _padded(x: np.ndarray, norm: float) -> np.ndarray:
@@ -116,8 +119,8 @@ class _Group:
     def __init__(self, rows: np.ndarray, exact: np.ndarray, norm: float, asked: np.ndarray, lines: np.ndarray, threshold: int):
         self.rows, self.exact, self.norm, self.threshold = rows, exact[rows], norm, threshold
         # vectors and queries are scaled to norm one, so that windows have one scale
-        index = _padded((self.exact / norm).astype(np.float32), 1.0)
-        numbers, self.centres = np.ascontiguousarray((index @ lines).T), (asked @ lines).astype(np.float32)
+        self.index, self.asked = _padded((self.exact / norm).astype(np.float32), 1.0), asked
+        numbers, self.centres = np.ascontiguousarray((self.index @ lines).T), (asked @ lines).astype(np.float32)
         n, bins = len(rows), min(BINS, len(rows))
         self.edges = np.sort(numbers, axis=1)[:, np.arange(1, bins) * n // bins]
         # the vectors before each edge, in bits: none before the first, all before the last
@@ -130,6 +133,7 @@ class _Group:
         self.first = np.arange(len(numbers)) * (bins + 1)
         self.room = np.empty((2, len(numbers), before.shape[2]), np.uint64)
         self.step = 0
+        self.rough, self.made = np.zeros((0, n), np.float32), 0
 
     def _colliding(self, q: int, half: float) -> np.ndarray:
         """Vectors in enough of the windows, which end at the next edges outside."""
@@ -144,8 +148,19 @@ class _Group:
     def _values(self, found: np.ndarray, query: np.ndarray) -> np.ndarray:
         return (self.exact @ query)[found] if 4 * len(found) > len(self.exact) else self.exact[found] @ query
 
-    def verified(self, q: int, query: np.ndarray, enough: int, best: np.ndarray, k: int, reach: float) -> tuple[np.ndarray, np.ndarray]:
-        """Vectors verified and their inner products; ``best`` has the largest ones of the groups before."""
+    def _reaching(self, q: int, found: np.ndarray, least: float) -> np.ndarray:
+        """Those of ``found`` whose cosine may be ``least``: no more than single precision errs by is taken off."""
+        if not 0 <= q - self.made < len(self.rough):
+            self.made = q
+            self.rough = self.asked[q : q + AT_ONCE] @ self.index.T
+        short = self.rough[q - self.made][found] < least - 2.0**-23 * (self.index.shape[1] + 4)
+        return found[~short]
+
+    def verified(self, q: int, query: np.ndarray, enough: int, best: np.ndarray, k: int, reach: float, floor: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors verified and their inner products; ``best`` has the largest ones of the groups before.
+
+        With a ``floor`` among the best, double precision is left to those that may reach the ``k``-th best.
+        """
         n = len(self.rows)
         enough = max(enough, k - len(best))
         if enough >= n:
@@ -161,9 +176,12 @@ class _Group:
                 self.step, found = self.step - 1, less
             value, half = self._values(found, query), 0.4 * STEP**self.step
         reached = np.partition(np.concatenate((best, value)), -k)[-k]
-        needed = reach * math.sqrt(max(0.0, 2 - 2 * reached / (float(np.linalg.norm(query)) * self.norm))) + ROUNDING
+        cosine = reached / (float(np.linalg.norm(query)) * self.norm)
+        needed = reach * math.sqrt(max(0.0, 2 - 2 * cosine)) + ROUNDING
         if needed > half:
             found = self._colliding(q, needed)
+            if floor:
+                found = self._reaching(q, found, cosine)
             value = self._values(found, query)
         return self.rows[found], value
 
@@ -198,7 +216,7 @@ def search(vectors: np.ndarray, ids: np.ndarray, queries: np.ndarray, k: int, sh
             # the margin is for the rounding of the norms
             if not least and len(best) == k and group.norm * length * (1 + 1e-9) < best[0]:
                 break
-            more, values = group.verified(q, query, least, best, k, reach)
+            more, values = group.verified(q, query, least, best, k, reach, bool(len(known)))
             if len(known):
                 more, values = more[values >= known[0]], values[values >= known[0]]
             rows, value = np.concatenate((rows, more)), np.concatenate((value, values))

@@ -439,6 +439,20 @@ def test_neighbours_of_many_blocks_and_two_dimensions(spark):
     assert hits / (20 * len(found)) >= 0.9
 
 
+@pytest.mark.parametrize("dimensions", [3, 64, 768])
+def test_neighbours_single_precision_leaves_out_none_that_reach_the_floor(dimensions):
+    rng = np.random.default_rng(43)
+    x = rng.normal(size=(500, dimensions))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    asked = np.hstack([x[:100], np.zeros((100, 1))]).astype(np.float32)
+    group = neighbours._Group(np.arange(500), x, 1.0, asked, rng.normal(size=(dimensions + 1, 40)).astype(np.float32), 24)
+    for q in (0, 70, 99, 3):  # of more than one batch
+        cosine = x @ x[q]
+        for least in np.sort(cosine)[[-1, -21, 250]]:
+            kept = set(group._reaching(q, np.arange(500), least).tolist())
+            assert set(np.flatnonzero(cosine >= least)) <= kept <= set(np.flatnonzero(cosine >= least - 1e-3))
+
+
 def test_neighbours_make_no_copy_of_a_block_for_each_block_of_queries(spark, monkeypatch):
     """With many blocks of queries the copies of the first block were broadcast, which failed at size; copies of the others were shuffled."""
     monkeypatch.setattr(neighbours, "FIRST", 1)
